@@ -21,5 +21,42 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_simhash)}
-ORACLE_SQL: dict[str, str] = {}
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import drop_repeated_lines
+
+    kept = drop_repeated_lines(table(spark, sf_dir, "documents"), window=2)
+    return kept.select(
+        "doc_id", F.col("line_count").cast("long").alias("n_lines"), F.col("lines_gone").cast("long").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import encode_decode
+
+    coded = encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return coded.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack
+
+    pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_simhash, op6_line_dedup, op8_bpe, op10_packing)}
+
+
+def _sql() -> dict[str, str]:
+    from . import lines
+
+    return {"op6_line_dedup": lines.SQL}
+
+
+ORACLE_SQL = _sql()
