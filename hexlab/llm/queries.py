@@ -30,6 +30,13 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .maxscore import top_k, whole_numbers
+
+    vectors = whole_numbers(table(spark, sf_dir, "embeddings"))
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -41,6 +48,12 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -50,13 +63,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_simhash, op6_line_dedup, op8_bpe, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_simhash, op6_line_dedup, op7_maxscore, op8_bpe, op9_language_id, op10_packing)}
 
 
 def _sql() -> dict[str, str]:
-    from . import lines
+    from . import lines, maxscore
 
-    return {"op6_line_dedup": lines.SQL}
+    return {"op6_line_dedup": lines.SQL, "op7_maxscore": maxscore.SQL}
 
 
 ORACLE_SQL = _sql()
