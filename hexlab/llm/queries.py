@@ -21,6 +21,14 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import classify, train
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = classify(docs, train(docs, labels))
+    return scored.select("doc_id", F.col("junk").alias("junk_score"), F.col("toxic").alias("toxic_score"), (F.col("toxic") >= 0.5).cast("int").alias("toxic"))
+
+
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repeats import remove_repeats
 
@@ -29,6 +37,12 @@ def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lines import drop_repeated_lines
 
@@ -71,13 +85,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_simhash, op4_repeats, op6_line_dedup, op7_maxscore, op8_bpe, op9_language_id, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_simhash, op3_toxicity, op4_repeats, op5_licenses, op6_line_dedup, op7_maxscore, op8_bpe, op9_language_id, op10_packing)}
 
 
 def _sql() -> dict[str, str]:
-    from . import lines, maxscore
+    from . import licenses, lines, maxscore
 
-    return {"op6_line_dedup": lines.SQL, "op7_maxscore": maxscore.SQL}
+    return {"op5_licenses": licenses.SQL, "op6_line_dedup": lines.SQL, "op7_maxscore": maxscore.SQL}
 
 
 ORACLE_SQL = _sql()
