@@ -14,6 +14,7 @@ from __future__ import annotations
 import functools
 import json
 import re
+import struct
 from collections.abc import Iterator
 
 import ahocorasick
@@ -55,14 +56,14 @@ class Bpe:
         self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
         special = sorted(self.special, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
-        self.letters = {b: c for b, c in enumerate(letters)}
         self.automaton = ahocorasick.Automaton()
-        for t, i in vocab.items():
-            if self.merged(self.table[i]) == [i]:  # others never stand in an encoding
-                self.automaton.add_word(t, (len(t), i))
+        for i in vocab.values():
+            raw = self.table[i]
+            if self.merged(raw) == [i]:  # others never stand in an encoding
+                self.automaton.add_word(raw.decode("latin-1"), (len(raw), i))
         self.automaton.make_automaton()
-        self.pairs = Memo(self._compatible, limit=1_000_000)
-        self.parts = Memo(self._part)
+        self.pairs: dict[int, bool] = {}
+        self.parts = Memo(self._part, limit=600_000)
 
     def merged(self, raw: bytes) -> list[int]:
         """By the definition: merge the pair of lowest rank, the first such, until none is left."""
@@ -75,32 +76,40 @@ class Bpe:
             ids[k : k + 2] = [i]
         return ids
 
-    def _compatible(self, pair: tuple[int, int]) -> bool:
-        return self.merged(self.table[pair[0]] + self.table[pair[1]]) == list(pair)
+    def compatible(self, a: int, b: int) -> bool:
+        return self.merged(self.table[a] + self.table[b]) == [a, b]
 
     def piece(self, raw: bytes) -> list[int]:
-        """Ids of one piece: the last token of every prefix, then back from the end."""
-        ends: list[list] = [[] for _ in raw]
-        for end, match in self.automaton.iter("".join(map(self.letters.__getitem__, raw))):
-            ends[end].append(match)
-        last: list[tuple[int, int]] = []
-        for end, matches in enumerate(ends):
-            for n, i in sorted(matches, reverse=True):
-                if n == end + 1 or self.pairs[last[end - n][1], i]:
-                    last.append((n, i))
-                    break
-            else:
-                raise AssertionError("every prefix has a last token")
+        """Ids of one piece: the last token of every prefix, then back from the end.
+
+        The automaton lists the matches by their ends, and those of one end from the longest on.
+        """
+        pairs, last, size, done = self.pairs, [0] * len(raw), [0] * len(raw), -1
+        for end, (n, i) in self.automaton.iter(raw.decode("latin-1")):
+            if end == done:
+                continue
+            before = end - n
+            if before >= 0:
+                key = last[before] << 32 | i
+                fits = pairs.get(key)
+                if fits is None:
+                    fits = pairs[key] = self.compatible(last[before], i)
+                if not fits:
+                    continue
+            last[end], size[end], done = i, n, end
         ids, at = [], len(raw) - 1
         while at >= 0:
-            n, i = last[at]
-            ids.append(i)
-            at -= n
-        return ids[::-1]
+            ids.append(last[at])
+            at -= size[at]
+        ids.reverse()
+        return ids
 
     def _part(self, part: str) -> bytes:
-        ids = [i for p in PIECES.findall(part) for i in self.piece(p.encode("utf-8", "surrogatepass"))]
-        return np.array(ids, dtype="<u4").tobytes()
+        if part.removeprefix(" ").isalpha() and not part.startswith("  "):  # one run of letters is one piece
+            ids = self.piece(part.encode())
+        else:
+            ids = [i for p in PIECES.findall(part) for i in self.piece(p.encode("utf-8", "surrogatepass"))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit numbers."""
@@ -116,7 +125,8 @@ class Bpe:
 
     def trim(self) -> None:
         self.parts.trim()
-        self.pairs.trim()
+        if len(self.pairs) > 1_000_000:
+            self.pairs.clear()
 
 
 @functools.lru_cache(maxsize=2)
