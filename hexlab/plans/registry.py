@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import basic
+from . import basic, polygons
 
-MODULES = (basic,)
+MODULES = (basic, polygons)
 QUERIES: dict = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLE_SQL: dict = {name: s for m in MODULES for name, s in m.SQL.items()}
 FLAGSHIP = QUERIES["m17_temporal_holdout"]
