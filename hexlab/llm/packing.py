@@ -15,6 +15,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import byte_letters
 from .common import small_batches
 from .memo import Memo
 
@@ -123,8 +125,9 @@ class Packer:
 
 @functools.lru_cache(maxsize=2)
 def tokenizer(spec: str, end: int) -> Callable[[str], bytes]:
-    """Ids of a text and the end id. Pieces between white space are encoded once and kept, for this tokenizer
-    drops white space and never looks across it; texts with special tokens go through it whole."""
+    """Ids of a text and the end id. What lies between white space is encoded once and kept, for this tokenizer
+    drops white space and never looks across it; texts with special tokens go through it whole. Latin words
+    (with a mark behind) go straight to its model, for their normal form and their split are known."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -132,13 +135,29 @@ def tokenizer(spec: str, end: int) -> Callable[[str], bytes]:
     t.no_truncation()
     t.no_padding()
     special = [a.content for a in t.get_added_tokens_decoder().values()]
-    raw = lambda x: np.array(t.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes()
-    memo = Memo(raw)
-    last = np.array([end], dtype="<u4").tobytes()
+    model, letters = t.model, byte_letters()
+    packed = lambda ids: struct.pack(f"<{len(ids)}I", *ids)
+
+    def whole(text: str) -> bytes:
+        return packed(t.encode(text, add_special_tokens=False).ids)
+
+    def word(text: str) -> bytes:
+        mark = text[-1] in ".,;:!?"
+        letter_run = text[:-1] if mark else text
+        if not letter_run.isalpha() or max(letter_run) > "ÿ":
+            return whole(text)
+        low = letter_run.lower()
+        if not low.isascii():
+            low = "".join(map(letters.__getitem__, low.encode()))
+        ids = [x.id for x in model.tokenize(low)]
+        return packed(ids + [x.id for x in model.tokenize(text[-1])] if mark else ids)
+
+    memo = Memo(word, limit=700_000)
+    last = packed([end])
 
     def ids(text: str) -> bytes:
         if any(s in text for s in special):
-            return raw(text) + last
+            return whole(text) + last
         memo.trim()
         return b"".join(map(memo.__getitem__, filter(None, BLANK.split(text)))) + last
 
