@@ -44,7 +44,7 @@ SPELLINGS = (
     ("noncommercial", "non-commercial"),
     ("http://", "https://"),
 )
-COPYRIGHT = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
+COPYRIGHT = r"(^|\n)[ \t]*(copyright[ \t:,]*(\(c\)|©|[0-9])|\(c\)|©)[^\n]*"
 APART = r"[^\p{L}\p{N}]+"
 
 

@@ -81,8 +81,8 @@ def repeated_runs(docs: DataFrame, window: int = 2) -> DataFrame:
     return later.groupBy("doc", "text_key").agg(F.array_sort(F.collect_set("start")).alias("starts"))
 
 
-def drop_repeated_lines(docs: DataFrame, window: int = 2) -> DataFrame:
-    """The documents with their text less the later repeated runs, and two more columns: line_count, lines_gone."""
+def _cleaned(docs: DataFrame, window: int) -> DataFrame:
+    """(row, new): the rows as they are, and their text less the later repeated runs with the counts of lines."""
 
     def clean(text: pd.Series, starts: pd.Series) -> pd.DataFrame:
         out = []
@@ -92,12 +92,22 @@ def drop_repeated_lines(docs: DataFrame, window: int = 2) -> DataFrame:
             out.append((kept, n, gone))
         return pd.DataFrame(out, columns=["text", "line_count", "lines_gone"])
 
-    gone = repeated_runs(docs, window).withColumnsRenamed({"doc": "_doc", "text_key": "_key", "starts": "_starts"})
-    doc = F.coalesce(docs["doc_id"].cast("long"), F.lit(2**63 - 1))
-    joined = docs.join(gone, (doc == F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_key")), "left")
-    done = F.pandas_udf(clean, "text string, line_count int, lines_gone int")("text", "_starts")
-    columns = [F.col("_new.text").alias(c) if c == "text" else F.col(c) for c in docs.columns]
-    return joined.withColumn("_new", done).select(*columns, "_new.line_count", "_new.lines_gone")
+    gone = repeated_runs(docs, window).withColumnsRenamed({"doc": "gone_doc", "text_key": "gone_key"})
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    doc = F.coalesce(F.col("row.doc_id").cast("long"), F.lit(2**63 - 1))
+    joined = rows.join(gone, (doc == F.col("gone_doc")) & (F.xxhash64("row.text") == F.col("gone_key")), "left")
+    new = F.pandas_udf(clean, "text string, line_count int, lines_gone int")("row.text", "starts")
+    return joined.select("row", new.alias("new"))
+
+
+def line_report(docs: DataFrame, window: int = 2) -> DataFrame:
+    """(doc_id, text, line_count, lines_gone) of every row: the text without the later repeated runs."""
+    return _cleaned(docs, window).select(F.col("row.doc_id").cast("long").alias("doc_id"), "new.text", "new.line_count", "new.lines_gone")
+
+
+def drop_repeated_lines(docs: DataFrame, window: int = 2) -> DataFrame:
+    """The documents, all of their columns, with their texts less the later repeated runs."""
+    return _cleaned(docs, window).select(*[F.col("new.text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 #: DuckDB: the same rows from every window of lines, without fingerprints.

@@ -44,9 +44,9 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .lines import drop_repeated_lines
+    from .lines import line_report
 
-    kept = drop_repeated_lines(table(spark, sf_dir, "documents"), window=2)
+    kept = line_report(table(spark, sf_dir, "documents"), window=2)
     return kept.select(
         "doc_id", F.col("line_count").cast("long").alias("n_lines"), F.col("lines_gone").cast("long").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256")
     )

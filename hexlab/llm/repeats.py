@@ -266,8 +266,8 @@ def merged(spans) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
-    """All columns of ``docs``, and: n_bytes, spans (removed byte ranges, maximal), kept (the bytes left)."""
+def _removed(docs: DataFrame, length: int) -> DataFrame:
+    """(row, new): the rows as they are; n_bytes, spans (removed byte ranges, maximal) and kept (the bytes left)."""
 
     def clean(text: pd.Series, found: pd.Series) -> pd.DataFrame:
         out = []
@@ -281,20 +281,26 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
             out.append((len(raw), [{"low": a, "high": b} for a, b in spans], b"".join([*kept, raw[at:]])))
         return pd.DataFrame(out, columns=["n_bytes", "spans", "kept"])
 
-    found = repeated_spans(docs, length).withColumnsRenamed({"doc": "_doc", "text_key": "_key", "spans": "_found"})
-    doc = F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63)))
-    joined = docs.join(found, (doc == F.col("_doc")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_key")), "left")
-    done = F.pandas_udf(clean, "n_bytes long, spans array<struct<low: long, high: long>>, kept binary")(docs["text"], F.col("_found"))
-    return joined.withColumn("_new", done).select(*[docs[c] for c in docs.columns], "_new.n_bytes", "_new.spans", "_new.kept")
+    found = repeated_spans(docs, length).withColumnsRenamed({"doc": "found_doc", "text_key": "found_key", "spans": "found"})
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    doc = F.coalesce(F.col("row.doc_id").cast("long"), F.lit(-(2**63)))
+    joined = rows.join(found, (doc == F.col("found_doc")) & (F.xxhash64(F.coalesce("row.text", F.lit(""))) == F.col("found_key")), "left")
+    new = F.pandas_udf(clean, "n_bytes long, spans array<struct<low: long, high: long>>, kept binary")("row.text", "found")
+    return joined.select("row", new.alias("new"))
+
+
+def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
+    """(doc_id, n_bytes, spans, kept) of every row: its removed byte ranges and the bytes left."""
+    return _removed(docs, length).select(F.col("row.doc_id").cast("long").alias("doc_id"), "new.n_bytes", "new.spans", "new.kept")
 
 
 def drop_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
-    """The documents with what is left of their texts; a character that loses some of its bytes goes whole."""
+    """The documents, all of their columns, with what is left of their texts; a character that loses some of its
+    bytes goes whole."""
 
     def readable(kept: pd.Series) -> pd.Series:
         return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
 
-    left = remove_repeats(docs, length)
-    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.pandas_udf(readable, "string")("kept"))
-    return left.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
-
+    left = _removed(docs, length)
+    text = F.when(F.size("new.spans") == 0, F.col("row.text")).otherwise(F.pandas_udf(readable, "string")("new.kept"))
+    return left.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
