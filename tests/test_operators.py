@@ -1,0 +1,221 @@
+"""Hand-made cases and invariants."""
+
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from hexlab.functions import geometry as G
+from hexlab.functions import labels as L
+from hexlab.operators import assoc, cluster, evaluate, grid, hexagg, models, overlay, panel, spatial
+from hexlab.sources import io
+
+
+def one(df):
+    return tuple(df.first())
+
+
+def test_labels(spark):
+    rows = spark.createDataFrame([("Leger",), (" MODÉRÉ ",), ("Grave",), ("2",), ("other",), (None,)], "v string")
+    got = rows.select(L.label_to_int(F.col("v")), L.normalize_intensity(F.col("v")), L.severity_rank(L.normalize_intensity(F.col("v")))).collect()
+    assert [tuple(r) for r in got] == [(1, "Léger", 1), (None, "Modéré", 2), (3, "Grave", 3), (2, "2", 0), (None, "other", 0), (0, None, 0)]
+    ages = spark.createDataFrame([("10",), ("120120",), ("JIN",), ("VIR",), ("",), (None,), ("XX",), ("5070",)], "v string").select(L.parse_age_class(F.col("v"))).collect()
+    assert [r[0] for r in ages] == [10, 120, 30, 90, None, None, None, 50]
+    bins = spark.createDataFrame([(0.1,), (0.3,), (0.5,), (0.51,), (None,)], "v double").select(L.strength_label(F.col("v"))).collect()
+    assert [r[0] for r in bins] == ["négligeable", "faible", "modérée", "forte", None]
+
+
+@pytest.mark.parametrize(("rows", "want"), [([(5.0, 1.0)], 5.0), ([(1.0, 1.0), (3.0, 1.0)], 2.0), ([(1.0, 9.0), (3.0, 1.0)], 1.0), ([(2.0, 1.0), (2.0, 5.0)], 2.0), ([(1.0, 1.0), (2.0, 1.0), (4.0, 2.0)], 1 + 2 * (2 - 1.5) / 1.5 + 1), ([(1.0, 0.0), (None, 3.0), (7.0, 2.0)], 7.0)])
+def test_weighted_median(spark, rows, want):
+    df = spark.createDataFrame([(1, *r) for r in rows], "k int, x double, w double")
+    got = hexagg.weighted_median(df, ["k"], "x", "w", "m").first()["m"]
+    values = sorted((x, w) for x, w in rows if x is not None and w > 0)
+    cum = np.cumsum([w for _, w in values]) - np.array([w for _, w in values]) / 2
+    expected = float(np.interp(sum(w for _, w in values) / 2, cum, [x for x, _ in values])) if len(values) > 1 else values[0][0]
+    assert got == pytest.approx(expected)
+
+
+def test_weighted_mode_ties(spark):
+    df = spark.createDataFrame([(1, "b", 2.0), (1, "a", 1.0), (1, "a", 1.0), (2, None, 9.0), (2, "c", 1.0), (3, "c", 0.0)], "k int, c string, w double")
+    got = {r["k"]: r["m"] for r in hexagg.weighted_mode(df, ["k"], "c", F.col("w"), "m").collect()}
+    assert got == {1: "a", 2: "c"}
+    first_b = hexagg.weighted_mode(df, ["k"], "c", F.col("w"), "m", F.when(F.col("c") == "b", 0).otherwise(1))
+    assert {r["k"]: r["m"] for r in first_b.collect()}[1] == "b"
+
+
+def test_clip_of_a_concave_ring(spark):
+    ring = F.array(*[G.point(F.lit(x), F.lit(y)) for x, y in ((0, 0), (4, 0), (4, 4), (2, 1), (0, 4))])
+    square = G.edges(G.rectangle(F.lit(1), F.lit(0), F.lit(3), F.lit(2)))
+    hole = G.rectangle(F.lit(1.5), F.lit(0), F.lit(2.5), F.lit(0.5))
+    row = spark.range(1).select(G.clip_area(G.polygon(ring), square), G.clip_area(G.polygon(ring, hole), square), G.area(G.polygon(ring, hole)), G.clip_area(G.polygon(ring), G.edges(G.rectangle(F.lit(9), F.lit(9), F.lit(10), F.lit(10)))))
+    # between x = 1 and 3 the ring lies under its notch from (0, 4) over (2, 1) to (4, 4), cut at height 2
+    xs = np.linspace(1, 3, 200001)
+    under = np.minimum(2, 1 + 1.5 * np.abs(xs - 2))
+    want = float(((under[1:] + under[:-1]) / 2 * np.diff(xs)).sum())
+    assert one(row) == pytest.approx((want, want - 0.5, 10 - 0.5, 0.0), abs=1e-6)
+
+
+def test_grid_and_overlay(spark):
+    zone = spark.range(1).select(G.polygon(G.rectangle(F.lit(0), F.lit(0), F.lit(10), F.lit(8)), G.rectangle(F.lit(2), F.lit(2), F.lit(4), F.lit(4))).alias("poly"))
+    pieces = overlay.hex_pieces(overlay.with_box(zone), 1.5)
+    assert pieces.agg(F.sum("piece_area")).first()[0] == pytest.approx(76)
+    g = overlay.hex_grid(zone, 0.5)
+    assert g.count() == g.select("hex_id").distinct().count()
+    tri = overlay.triangles(zone)
+    box = overlay.with_box(spark.range(1).select(F.col("id"), G.polygon(G.rectangle(F.lit(1), F.lit(1), F.lit(5), F.lit(5))).alias("poly")))
+    assert tri.count() > 0 and overlay.clip_to_zone(box, zone, 2.0, ["id"]).first()["area"] == pytest.approx(12)
+    assert overlay.union_area(overlay.with_box(zone).withColumn("k", F.lit(1)), 0.5, ["k"]).first()["area"] == pytest.approx(76)
+
+
+def test_neighbour_weights_add_up(spark):
+    cells = spark.createDataFrame([(q * 10 + r, q, r) for q in range(4) for r in range(4)] + [(999, 50, 50)], "hex_id long, q int, r int")
+    e = grid.neighbours(cells)
+    assert {round(r[1], 9) for r in e.groupBy("src").agg(F.sum("w")).collect()} == {1.0} and e.where("src = 999").count() == 0
+    assert e.groupBy("src").count().agg(F.max("count")).first()[0] == 6
+
+
+def test_gaps_in_years(spark):
+    p = spark.createDataFrame([(1, 2000, 2), (2, 2000, 1), (1, 2003, 3)], "hex_id int, year int, severity int")
+    got = {(r["hex_id"], r["year"]): r["severity"] for r in panel.densify(p, p.select("hex_id").distinct()).collect()}
+    assert got == {(1, 2000): 2, (2, 2000): 1, (1, 2001): 2, (2, 2001): 1, (1, 2002): 2, (2, 2002): 1, (1, 2003): 3, (2, 2003): 0}
+    t = panel.transitions(p.withColumnRenamed("severity", "state")).collect()
+    assert [tuple(r) for r in t] == [(1, 2000, 2, 3)]
+
+
+def test_nearest_active_against_all_pairs(spark):
+    rng = np.random.default_rng(1)
+    at = rng.uniform(0, 500, (80, 2))
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(at)], "hex_id int, x double, y double")
+    severity = rng.integers(0, 4, (80, 3)) * (rng.random((80, 3)) < 0.1)
+    rows = [(i, 2000 + t, int(severity[i, t])) for i in range(80) for t in range(3)]
+    got = {(r["hex_id"], r["year"]): r["distance"] for r in panel.nearest_active(points, spark.createDataFrame(rows, "hex_id int, year int, severity int"), 2, 5.0).collect()}
+    for i in range(80):
+        assert got[i, 2000] is None
+        for t in (1, 2):
+            on = np.flatnonzero(severity[:, t - 1] >= 2)
+            want = min(math.hypot(*(at[i] - at[j])) for j in on) if len(on) else None
+            assert got[i, 2000 + t] == (pytest.approx(want) if want is not None else None)
+
+
+def test_perfect_and_empty_scores(spark):
+    df = spark.createDataFrame([(i % 3, i % 3) for i in range(9)] + [(None, 1)], "o int, p int")
+    assert one(evaluate.scores(df, "o", "p")) == (1.0, 1.0, 0.0, 9)
+    assert one(evaluate.pontius(df, "o", "p", 3)) == (1.0, None, 1.0) or one(evaluate.pontius(df, "o", "p", 3))[0] == 1.0
+    assert one(evaluate.scores(df.where("o > 5"), "o", "p")) == (None, None, None, 0)
+    assert {r["f1"] for r in evaluate.class_metrics(df, "o", "p", 4).collect()} == {1.0, None}
+
+
+def test_memberships_add_up_and_objective_falls(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(c, 0.3, (30, 2)) for c in (0, 3, 6)])
+    rows = spark.createDataFrame([(i, v.tolist(), v.tolist()) for i, v in enumerate(x)], "id int, x array<double>, xl array<double>")
+    last = None
+    for n in (1, 2, 4, 8):
+        c = cluster.fuzzy_cmeans(rows, [(2.0, 0.5)], 3, 2, max_iter=n)
+        u = cluster.memberships(rows, [(2.0, 0.5)], c).collect()
+        assert all(sum(r["u"]) == pytest.approx(1) for r in u)
+        value = sum(r["u"][k] ** 2 * 1.5 * float(((np.array(r["x"]) - c[0][k]) ** 2).sum()) for r in u for k in range(3))
+        assert last is None or value <= last + 1e-9
+        last = value
+    u = cluster.memberships(rows, [(2.0, 0.5)], c)
+    assert cluster.fuzzy_silhouette(u, 3, 2).first()["silhouette"] > 0.8 and cluster.explained_inertia(u, c, 2).first()["explained"] > 0.8
+
+
+def lattice(spark, n=8):
+    rng = np.random.default_rng(5)
+    cells = [(q * n + r, q, r) for q in range(n) for r in range(n)]
+    df = spark.createDataFrame([(i, q, r, float(rng.normal() + 0.5 * q), float(rng.normal())) for i, q, r in cells], "hex_id int, q int, r int, y double, a double")
+    return df, grid.neighbours(df)
+
+
+def test_spatial_likelihoods(spark):
+    df, e = lattice(spark)
+    n = df.count()
+    w = np.zeros((n, n))
+    for r in e.collect():
+        w[r["src"], r["dst"]] = r["w"]
+    traces = models.weight_traces(e, df, order=4, probes=32)
+    exact = [float(np.trace(np.linalg.matrix_power(w, k))) for k in range(1, 9)]
+    assert traces[1] == pytest.approx(exact[1]) and np.allclose(traces, exact, atol=6)
+    got = {r["model"]: r for r in models.compare_models(df, e, "y", ["a"], traces=exact).collect()}
+    assert set(got) == {"OLS", "SLX", "SAR", "SEM", "SDM", "SDEM", "GAM"}
+    rows = df.orderBy("hex_id").collect()
+    y, x = np.array([r["y"] for r in rows]), np.column_stack([np.ones(n), [r["a"] for r in rows]])
+    beta = np.linalg.lstsq(x, y, rcond=None)[0]
+    sse = float(((y - x @ beta) ** 2).sum())
+    ll = -n / 2 * (math.log(2 * math.pi * sse / n) + 1)
+    assert got["OLS"]["log_lik"] == pytest.approx(ll) and got["OLS"]["aic"] == pytest.approx(-2 * ll + 6)
+    assert got["SAR"]["log_lik"] >= ll - 1e-6 and got["SEM"]["log_lik"] >= ll - 1e-6 and got["SAR"]["rho"] > 0.2
+    rho = got["SAR"]["rho"]
+    t = y - rho * w @ y
+    e2 = float(((t - x @ np.linalg.lstsq(x, t, rcond=None)[0]) ** 2).sum())
+    det = -sum(v * rho**k / k for k, v in enumerate(exact, 1))
+    assert got["SAR"]["log_lik"] == pytest.approx(det - n / 2 * (math.log(2 * math.pi * e2 / n) + 1))
+
+
+def test_local_moran_moments(spark):
+    df, e = lattice(spark, 5)
+    rows = df.orderBy("hex_id").collect()
+    y = np.array([r["y"] for r in rows])
+    n, z = len(y), y - y.mean()
+    got = {r["hex_id"]: r for r in spatial.local_moran(df, e, "y").collect()}
+    rng = np.random.default_rng(1)
+    i = 12
+    near = [(r["dst"], r["w"]) for r in e.where(f"src = {i}").collect()]
+    others = np.delete(z, i)
+    draws = np.array([z[i] / (z @ z / n) * sum(wt * v for (_, wt), v in zip(near, rng.choice(others, len(near), replace=False), strict=True)) for _ in range(20000)])
+    assert got[i]["expected"] == pytest.approx(draws.mean(), abs=0.03) and got[i]["variance"] == pytest.approx(draws.var(), rel=0.06)
+    assert got[i]["ii"] == pytest.approx(z[i] / (z @ z / n) * sum(wt * z[j] for j, wt in near))
+
+
+def test_permutation_test(spark):
+    df, e = lattice(spark, 6)
+    p = spatial.moran_permutations(df, e, "y", sims=99, batch=40).first()
+    noise = spatial.moran_permutations(df, e, "a", sims=99, batch=40).first()
+    assert p["moran_i"] == pytest.approx(spatial.global_moran(df, e, "y").first()["moran_i"]) and p["p_value"] <= 0.05 < noise["p_value"] + 0.05 and p["sims"] == 99
+
+
+def test_noise_ranks_last(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(s), float(s + rng.normal()), float(rng.normal()), "ab"[int(s > 1)]) for s in rng.integers(0, 4, 300)]
+    df = spark.createDataFrame(rows, "s int, good double, noise double, kind string")
+    t = assoc.rank_covariates(df, {"noise": "continuous", "good": "continuous", "kind": "categorical"}, "s").collect()
+    assert t[-1]["covariate"] == "noise" and t[-1]["label"] == "négligeable" and t[-1]["p"] > 0.01
+    assert next(r for r in t if r["covariate"] == "good")["p"] < 1e-6
+    assert assoc.chi2_tail(3.841458820694124, 1) == pytest.approx(0.05) and assoc.chi2_tail(30.0, 10) == pytest.approx(0.000857, rel=1e-2)
+    assert assoc.associate(df.limit(2), "good", "s", "continuous") == ("spearman", None, None, None)
+
+
+def test_yates_and_missing_levels(spark):
+    df = spark.createDataFrame([(a, b) for a, b, n in (("x", "u", 10), ("x", "v", 5), ("y", "u", 3), ("y", "v", 12)) for _ in range(n)], "a string, b string")
+    e = 15 * 13 / 30
+    want = sum((abs(o - x) - 0.5) ** 2 / x for o, x in ((10, e), (5, 15 - e), (3, e), (12, 15 - e)))
+    assert assoc.cramers_v(df, "a", "b").first()["chi2"] == pytest.approx(want)
+    assert assoc.cramers_v(df.where("a = 'x'"), "a", "b").first()["v"] is None
+
+
+def test_vif_of_dependent_columns(spark):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(float(a), float(2 * a + 1), float(b)) for a, b in rng.normal(0, 1, (40, 2))], "a double, b double, c double")
+    got = {r["covariate"]: r["vif"] for r in assoc.vif(df, ["a", "b", "c"]).collect()}
+    assert got["a"] == got["b"] == float("inf") and got["c"] < 1.5
+    assert {r["vif"] for r in assoc.vif(df.limit(3), ["a", "b", "c"]).collect()} == {None}
+
+
+def test_sources(spark, tmp_path):
+    df = spark.createDataFrame([("A", 1), ("B", 2)], "region string, v int")
+    with pytest.raises(io.EmptyZone):
+        io.region_scan(df, "region", ["O'Brien"], required=True)
+    p = spark.createDataFrame([(1, 2000, 1), (1, 2001, 2)], "hex_id int, year int, severity int")
+    io.write_panel(p, str(tmp_path / "p"), ["B", "A"], 5000.0, {"x": [], "y": ["g1"]})
+    with pytest.warns(UserWarning, match="built for"):
+        io.read_panel(spark, str(tmp_path / "p"), ["A"], 5000.0)
+    assert io.read_panel(spark, str(tmp_path / "p"), ["A", "B"], 5000.0).count() == 2
+    assert io.covariates_of(spark, str(tmp_path / "p"), "g2") == ["x"] and io.covariates_of(spark, str(tmp_path / "p"), "g1") == ["x", "y"]
+
+
+def test_projection_of_the_origin(spark):
+    row = spark.range(1).select(*G.conformal_conic(F.lit(-68.5), F.lit(44.0)), *G.conformal_conic(F.lit(-71.2), F.lit(46.8)))
+    x0, y0, x1, y1 = one(row)
+    assert abs(x0) < 1e-6 and abs(y0) < 1e-6 and x1 == pytest.approx(-206000, abs=1500) and y1 == pytest.approx(315000, abs=3000)
