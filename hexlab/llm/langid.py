@@ -181,7 +181,9 @@ def held_out() -> F.Column:
 def train(docs: DataFrame, rows: int = TRAIN_ROWS, **fit) -> Gru | None:
     """A network for the languages of ``docs``; None if no row may be learned from."""
     open_ = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    sample = open_.select("doc_id", "lang", "text").orderBy(F.xxhash64("doc_id"), "doc_id", "lang", F.xxhash64("text")).limit(rows).collect()
+    # the numbers first: a sort with a limit sends as many rows from every task to the driver
+    picked = [r[0] for r in open_.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()]
+    sample = open_.where(F.col("doc_id").isin(picked)).select("doc_id", "lang", "text").distinct().collect()
     counts: dict[tuple[bytes, str], float] = {}
     for r in sorted(sample, key=lambda r: (r["doc_id"], r["lang"], r["text"])):
         words = segments(r["text"])
@@ -199,7 +201,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, **fit) -> Gru | None:
 class Labeller:
     """Labels whole texts; keeps what the network gave for each segment, as rows of one table."""
 
-    def __init__(self, net: Gru | None, limit: int = 400_000):
+    def __init__(self, net: Gru | None, limit: int = 250_000):
         self.net, self.limit = net, limit
         self.row: dict[bytes, int] = {}
         self.table = np.zeros((0, len(net.languages) if net else 0), dtype=np.float32)
