@@ -1 +1 @@
-
+"""Operators: DataFrames and arguments in, a DataFrame out."""

@@ -16,7 +16,7 @@ from ..functions import geometry as G
 from . import grid
 
 #: Areas under this share of a cell's are touch, not overlap.
-EPSILON = 1e-9
+EPSILON = 1e-13
 
 
 def with_box(df: DataFrame, poly: str = "poly") -> DataFrame:

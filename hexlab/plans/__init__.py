@@ -1 +1 @@
-
+"""Inputs derived from the given tables, registered queries and their SQL."""

@@ -243,6 +243,41 @@ def s7_a11_winter_minimum(spark, d):
     return panel.winter_minimum(X.cell_daily(spark, d)).select("cell_id", "season", F.round("minimum", 3).alias("minimum"))
 
 
+@query("""select hex_id, severity from (select q * 1000 + r as hex_id, ia as severity, row_number() over (partition by q, r order by count(*) desc, ia) as n from
+ (select floor(xmin/8000) as q, floor(ymin/8000) as r, ia from fx2_patch) group by q, r, ia) where n = 1""")
+def a27_majority(spark, d):
+    cells = X.patch(spark, d).select((F.floor(F.col("xmin") / 8000) * 1000 + F.floor(F.col("ymin") / 8000)).alias("hex_id"), F.col("ia").alias("state"))
+    return hexagg.weighted_mode(cells, ["hex_id"], "state", F.lit(1.0), "severity").select("hex_id", "severity")
+
+
+@query("""select cell, 'both' as kind from (select cell from fx4_panel where year = 1996 and severity >= 2 intersect select cell from fx4_panel where year = 1997 and severity >= 2)
+ union all select cell, 'first' from (select cell from fx4_panel where year = 1996 and severity >= 2 except select cell from fx4_panel where year = 1997 and severity >= 2)""")
+def u3_set_operations(spark, d):
+    p = X.panel(spark, d).where("severity >= 2")
+    a, b = p.where("year = 1996").select("cell"), p.where("year = 1997").select("cell")
+    return a.intersect(b).withColumn("kind", F.lit("both")).unionAll(a.exceptAll(b).withColumn("kind", F.lit("first")))
+
+
+@query("""select p.cell, p.year, p.severity, p.q as static_q, cast(coalesce((select sum(b.severity) from fx4_panel b where b.cell = p.cell and b.year between p.year - 3 and p.year - 1), 0) as bigint) as history from fx4_panel p""")
+def j12_j17_t3_covariates(spark, d):
+    p = X.panel(spark, d)
+    static = p.groupBy("cell").agg(F.first("q").alias("static_q"))
+    yearly = panel.history(p, 3, "cell").select("cell", "year", "history")
+    return panel.with_covariates(p.select("cell", "year", "severity"), [static], [yearly], "cell").orderBy("year", "cell")
+
+
+@query("""select f.block, count(*) as pairs, sum(case when state_t1 > 0 then 1 else 0 end) as infested from fx6_pairs p join (select distinct hex_id, block from fx6_pairs) f on f.hex_id = p.hex_id group by f.block""")
+def j18_fold_lookup(spark, d):
+    p = X.pairs(spark, d)
+    folds = p.select("hex_id", "block").distinct()
+    return p.drop("block").join(folds, "hex_id").groupBy("block").agg(F.count("*").alias("pairs"), F.count_if(F.col("state_t1") > 0).alias("infested"))
+
+
+@query("""select region, n, total from (select region, count(*) as n, round(sum(value), 2) as total from fx1_site group by region) order by total desc, region limit 5""")
+def t1_t4_ranking_head(spark, d):
+    return X.site(spark, d).groupBy("region").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")).orderBy(F.desc("total"), "region").limit(5)
+
+
 # ---- forecasts and scores
 
 PAIRS = ", tr as (select * from fx6_pairs where year_t between 1995 and 1998), te as (select * from fx6_pairs where year_t between 1999 and 2000), st as (select unnest([0,1,2,3]) as s)"

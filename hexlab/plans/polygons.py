@@ -92,10 +92,10 @@ def j1_hex_grid(spark, d):
     return g.select("q", "r", F.round("hex_area", 3).alias("hex_area"))
 
 
-@query("select patch_id, round((xmax-xmin)*(ymax-ymin), 2) as area from fx2_patch")
+@query("select patch_id, round((xmax-xmin)*(ymax-ymin), 1) as area from fx2_patch")
 def j3_hex_overlay(spark, d):
     pieces = overlay.hex_pieces(patches(spark, d), WIDTH)
-    return pieces.groupBy("patch_id").agg(F.round(F.sum("piece_area"), 2).alias("area"))
+    return pieces.groupBy("patch_id").agg(F.round(F.sum("piece_area"), 1).alias("area"))
 
 
 @query("select distinct cell_id, 1.0 as fraction from fx3_cell_daily")

@@ -1 +1 @@
-
+"""Reading, listing, caching and writing."""

@@ -1 +1 @@
-
+"""No streams are part of the work rebuilt here."""
