@@ -30,7 +30,9 @@ from .memo import Memo
 
 #: Pieces that a task holds to choose from.
 POOL = 384
-#: White space of Unicode without U+001C to U+001F, which the pattern of this tokenizer keeps.
+#: Marks that may stand behind a word as one piece; white space for Python's split that the pattern of this tokenizer keeps; and all other white space of Unicode.
+MARKS = ".,;:!?#$%&*|-"
+KEPT = "\x1c\x1d\x1e\x1f"
 BLANK = re.compile("[\t-\r \x85\xa0  -     　]+")
 
 Piece = tuple[object, int, int, int, int]  # document, start, length, sequence, offset
@@ -127,7 +129,7 @@ class Packer:
 def tokenizer(spec: str, end: int) -> Callable[[str], bytes]:
     """Ids of a text and the end id. What lies between white space is encoded once and kept, for this tokenizer
     drops white space and never looks across it; texts with special tokens go through it whole. Latin words
-    (with a mark behind) go straight to its model, for their normal form and their split are known."""
+    (with marks behind) go straight to its model, for their normal form and their split are known."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -141,25 +143,34 @@ def tokenizer(spec: str, end: int) -> Callable[[str], bytes]:
     def whole(text: str) -> bytes:
         return packed(t.encode(text, add_special_tokens=False).ids)
 
+    tails: dict[str, list[int]] = {"": []}
+
     def word(text: str) -> bytes:
-        mark = text[-1] in ".,;:!?"
-        letter_run = text[:-1] if mark else text
-        if not letter_run.isalpha() or max(letter_run) > "ÿ":
+        run = text.rstrip(MARKS)
+        if run and not (run.isalpha() and (run.isascii() or max(run) <= "ÿ")):
             return whole(text)
-        low = letter_run.lower()
+        tail = text[len(run) :]
+        if tail not in tails:
+            if len(tail) > 3:
+                return whole(text)
+            tails[tail] = [x.id for x in model.tokenize(tail)]
+        if not run:
+            return packed(tails[tail])
+        low = run.lower()
         if not low.isascii():
             low = "".join(map(letters.__getitem__, low.encode()))
         ids = [x.id for x in model.tokenize(low)]
-        return packed(ids + [x.id for x in model.tokenize(text[-1])] if mark else ids)
+        return packed(ids + tails[tail])
 
-    memo = Memo(word, limit=700_000)
+    memo = Memo(word, limit=500_000)
     last = packed([end])
 
     def ids(text: str) -> bytes:
         if any(s in text for s in special):
             return whole(text) + last
         memo.trim()
-        return b"".join(map(memo.__getitem__, filter(None, BLANK.split(text)))) + last
+        apart = filter(None, BLANK.split(text)) if any(c in text for c in KEPT) else text.split()
+        return b"".join(map(memo.__getitem__, apart)) + last
 
     return ids
 
