@@ -42,7 +42,7 @@ def p1_p2_p3_p5_labels(spark, d):
 
 
 @query("""select geocode, cl_age, case cl_age when '10' then 10.0 when '3050' then 30.0 when '120' then 120.0 when 'JIN' then 30.0
- when 'VIR' then 90.0 when '7090' then 70.0 end as age from fx5_stand""")
+ when 'VIR' then 90.0 when '7090' then 70.0 end::double as age from fx5_stand""")
 def p4_age_class(spark, d):
     return X.stand(spark, d).select("geocode", "cl_age", L.parse_age_class(F.col("cl_age")).alias("age"))
 
@@ -243,7 +243,7 @@ def s7_a11_winter_minimum(spark, d):
     return panel.winter_minimum(X.cell_daily(spark, d)).select("cell_id", "season", F.round("minimum", 3).alias("minimum"))
 
 
-@query("""select hex_id, severity from (select q * 1000 + r as hex_id, ia as severity, row_number() over (partition by q, r order by count(*) desc, ia) as n from
+@query("""select hex_id, severity from (select cast(q * 1000 + r as bigint) as hex_id, ia as severity, row_number() over (partition by q, r order by count(*) desc, ia) as n from
  (select floor(xmin/8000) as q, floor(ymin/8000) as r, ia from fx2_patch) group by q, r, ia) where n = 1""")
 def a27_majority(spark, d):
     cells = X.patch(spark, d).select((F.floor(F.col("xmin") / 8000) * 1000 + F.floor(F.col("ymin") / 8000)).alias("hex_id"), F.col("ia").alias("state"))
@@ -266,7 +266,7 @@ def j12_j17_t3_covariates(spark, d):
     return panel.with_covariates(p.select("cell", "year", "severity"), [static], [yearly], "cell").orderBy("year", "cell")
 
 
-@query("""select f.block, count(*) as pairs, sum(case when state_t1 > 0 then 1 else 0 end) as infested from fx6_pairs p join (select distinct hex_id, block from fx6_pairs) f on f.hex_id = p.hex_id group by f.block""")
+@query("""select f.block, count(*) as pairs, count(*) filter (state_t1 > 0) as infested from fx6_pairs p join (select distinct hex_id, block from fx6_pairs) f on f.hex_id = p.hex_id group by f.block""")
 def j18_fold_lookup(spark, d):
     p = X.pairs(spark, d)
     folds = p.select("hex_id", "block").distinct()
