@@ -80,6 +80,16 @@ def global_moran(values: DataFrame, edges: DataFrame, column: str = "value", key
     return t.select(n.cast("long").alias("n"), i.alias("moran_i"), ex.alias("expected"), var.alias("variance"), ((i - ex) / F.sqrt(var)).alias("z"))
 
 
+def _rank_within(rows: DataFrame, group: str, order: Sequence[str], out: str) -> DataFrame:
+    """Rank of each row within its group; a group may span many tasks: ranges of (group, order), each with an offset."""
+    ranges = cut(rows.repartitionByRange(group, *order).withColumn("_p", F.spark_partition_id()))
+    before = Window.partitionBy(group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranges.groupBy(group, "_p").agg(F.count("*").alias("_n"))  # a row for each group and range
+    offset = sizes.select(group, "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    inside = Window.partitionBy(group, "_p").orderBy(*order)
+    return ranges.join(offset, [group, "_p"]).withColumn(out, F.col("_o") + F.row_number().over(inside)).drop("_p", "_o")
+
+
 def moran_permutations(values: DataFrame, edges: DataFrame, column: str = "value", key: str = "hex_id", sims: int = 999, seed: int = 1, batch: int = 100) -> DataFrame:
     """(moran_i, p_value, sims): share of random relabellings with an I as large, by hashed orders.
 
@@ -94,8 +104,9 @@ def moran_permutations(values: DataFrame, edges: DataFrame, column: str = "value
         sim = spark.range(first, min(first + batch, sims + 1)).select(F.col("id").cast("int").alias("sim"))
         # simulation 0 keeps the values where they are
         rows = ranked.select(key, "z").crossJoin(F.broadcast(sim))
-        a = rows.select("sim", key, F.row_number().over(Window.partitionBy("sim").orderBy(F.xxhash64(F.lit(0), "sim", key), key)).alias("k"))
-        b = rows.select("sim", "z", F.row_number().over(Window.partitionBy("sim").orderBy(F.when(F.col("sim") == 0, F.xxhash64(F.lit(0), "sim", key)).otherwise(F.xxhash64(F.lit(seed), "sim", key)), key)).alias("k"))
+        here = F.xxhash64(F.lit(0), "sim", key)
+        a = _rank_within(rows.select("sim", key, here.alias("_h")), "sim", ["_h", key], "k").select("sim", key, "k")
+        b = _rank_within(rows.select("sim", key, "z", F.when(F.col("sim") == 0, here).otherwise(F.xxhash64(F.lit(seed), "sim", key)).alias("_h")), "sim", ["_h", key], "k").select("sim", "z", "k")
         v = a.join(b, ["sim", "k"]).select("sim", key, "z")
         c = e.join(v.select(F.col(key).alias("src"), "sim", F.col("z").alias("a")), "src").join(v.select(F.col(key).alias("dst"), "sim", F.col("z").alias("b")), ["dst", "sim"])
         parts.append(c.groupBy("sim").agg(F.sum(F.col("w") * F.col("a") * F.col("b")).alias("c")))
