@@ -68,7 +68,8 @@ def repeated_runs(docs: DataFrame, window: int = 2) -> DataFrame:
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc")
     rows = docs.where("text is not null").select(key, F.xxhash64("text").alias("text_key"), "text")
     prints = cut(rows.mapInPandas(run, "doc long, text_key long, place int, hash long, around array<long>"))
-    shared = prints.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    # both tables are written, so that the joins stand on plain exchanges and a hot line can be split
+    shared = cut(prints.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
     matched = prints.join(shared, "hash", "left_semi")
     side = F.explode(F.sequence(F.lit(0), F.lit(window - 1))).alias("side")
     runs = matched.select("doc", "text_key", "place", "around", side).select(
@@ -76,7 +77,7 @@ def repeated_runs(docs: DataFrame, window: int = 2) -> DataFrame:
         F.slice("around", F.col("side") + 1, window).alias("run"),
     )
     runs = runs.where(~F.exists("run", lambda h: h.isNull()))
-    first = runs.groupBy("run").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").select("run", "first")
+    first = cut(runs.groupBy("run").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").select("run", "first"))
     later = runs.join(first, "run").where("at > first").select("at.*")
     return later.groupBy("doc", "text_key").agg(F.array_sort(F.collect_set("start")).alias("starts"))
 
