@@ -13,7 +13,7 @@ Queries and vectors meet in blocks: every shard goes to every block of ``QUERY_B
 equi-join on the block's number. The work is queries times vectors, as the task is stated.
 
 Defined cases: null vectors and vectors with null or non-finite components take no part, nor do those with a
-null id; vectors of another length than the query's are no candidates for it; equal ids are searched
+null id; a component over ``LARGEST`` as a whole number is an error; vectors of another length than the query's are no candidates for it; equal ids are searched
 as they are, only rows with the query's own id are no candidates; an empty table gives an empty result.
 """
 
@@ -30,6 +30,8 @@ from .common import cut, partitions
 
 QUERY_BLOCK = 512
 SHARD = 4096
+#: Whole numbers up to this give sums of products that fit in 64 bits for vectors of up to 512 components.
+LARGEST = 1 << 27
 #: The share of a shard that a posting list holds, and the terms that are probed at once.
 POSTED = 0.25
 PROBE = 8
@@ -106,13 +108,13 @@ def merged(best: list[tuple[int, int]], score: np.ndarray, ids: np.ndarray, own:
 
 
 def _packed(rows: DataFrame, part, name: str) -> DataFrame:
-    """One row for each part: its ids and its vectors, as little-endian numbers of 64 and 16 bits."""
+    """One row for each part: its ids and its vectors, as little-endian numbers of 64 bits."""
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
         sizes = x["v"].map(len)
         out = []
         for size, y in x.groupby(sizes):
-            out.append((int(x["part"].iat[0]), int(size), y["vec_id"].to_numpy("<i8").tobytes(), np.stack(y["v"].to_list()).astype("<i4").tobytes()))
+            out.append((int(x["part"].iat[0]), int(size), y["vec_id"].to_numpy("<i8").tobytes(), np.stack(y["v"].to_list()).astype("<i8").tobytes()))
         return pd.DataFrame(out, columns=[name, "size", f"{name}_ids", f"{name}_vectors"])
 
     return rows.withColumn("part", part).groupBy("part").applyInPandas(run, f"{name} int, size int, {name}_ids binary, {name}_vectors binary")
@@ -143,10 +145,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                     if best:
                         yield found()
                     at, ids = (r.block, r.lane, r.size), np.frombuffer(r.block_ids, dtype="<i8").tolist()
-                    queries_ = np.frombuffer(r.block_vectors, dtype="<i4").reshape(len(ids), r.size).astype(np.int64)
+                    queries_ = np.frombuffer(r.block_vectors, dtype="<i8").reshape(len(ids), r.size)
                     best = [[] for _ in ids]
                 own = np.frombuffer(r.shard_ids, dtype="<i8")
-                shard = Shard(own, np.frombuffer(r.shard_vectors, dtype="<i4").reshape(len(own), r.size).astype(np.int64))
+                shard = Shard(own, np.frombuffer(r.shard_vectors, dtype="<i8").reshape(len(own), r.size))
                 best = [shard.search(i, q, k, b) for i, q, b in zip(ids, queries_, best, strict=True)]
         if best:
             yield found()
@@ -165,7 +167,8 @@ def whole_numbers(embeddings: DataFrame, scale: int = 256) -> DataFrame:
     x = F.transform("embedding", lambda c: c.cast("double"))
     rows = embeddings.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long"), x.alias("x"))
     bad = lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf")))
-    return rows.where(~F.exists("x", bad)).select("vec_id", F.transform("x", lambda c: F.floor(c * scale)).alias("v"))
+    large = lambda c: F.when(F.abs(c) > LARGEST / scale, F.raise_error(F.lit("a component is too large for exact scores")).cast("long"))
+    return rows.where(~F.exists("x", bad)).select("vec_id", F.transform("x", lambda c: F.coalesce(large(c), F.floor(c * scale))).alias("v"))
 
 
 #: DuckDB: every query against every vector.
