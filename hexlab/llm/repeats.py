@@ -159,7 +159,8 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
                 yield pd.concat(out, ignore_index=True)
 
     places = cut(rows.mapInPandas(find, "gram long, one long, two long, doc long, text_key long, start long, end long"))
-    shared = places.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # written, so that the join stands on plain exchanges and a hot anchor string can be split
+    shared = cut(places.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
     places = cut(places.join(shared, "gram"))
     kinds = cut(places.groupBy("gram", "one", "two").agg(F.count("*").alias("n")))
     spread = cut(kinds.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1"))
