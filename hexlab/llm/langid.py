@@ -201,7 +201,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, **fit) -> Gru | None:
 class Labeller:
     """Labels whole texts; keeps what the network gave for each segment, as rows of one table."""
 
-    def __init__(self, net: Gru | None, limit: int = 250_000):
+    def __init__(self, net: Gru | None, limit: int = 150_000):
         self.net, self.limit = net, limit
         self.row: dict[bytes, int] = {}
         self.table = np.zeros((0, len(net.languages) if net else 0), dtype=np.float32)

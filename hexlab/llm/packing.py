@@ -172,6 +172,7 @@ def tokenizer(spec: str, end: int) -> Callable[[str], bytes]:
         apart = filter(None, BLANK.split(text)) if any(c in text for c in KEPT) else text.split()
         return b"".join(map(memo.__getitem__, apart)) + last
 
+    ids.forget = memo.clear
     return ids
 
 
@@ -211,6 +212,7 @@ def pack(docs: DataFrame, vocabulary: str, end: int = 2, tokens: int = 4096, seg
                 count += 1
             yield rows(pieces)
         yield rows(packer.finish())
+        encode.forget()  # the worker lives on, and other stages need its memory
 
     small_batches(docs.sparkSession)
     skip = F.coalesce(F.col(masked).cast("long"), F.lit(0)) if masked else F.lit(0).cast("long")

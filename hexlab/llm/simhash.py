@@ -41,7 +41,7 @@ from .common import components, cut, partitions, small_batches
 #: Members of an anchor that one task compares; larger anchors are dealt over several.
 BLOCK = 4096
 #: Comparisons and links held at once.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 #: Bits of every byte value, lowest first.
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -199,8 +199,8 @@ def near_links(distinct: DataFrame, threshold: int = 3, wide: int | None = None)
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            for i in range(0, len(x), 4096):
-                part = x.iloc[i : i + 4096]
+            for i in range(0, len(x), 1024):
+                part = x.iloc[i : i + 1024]
                 row, key, home = anchors_of(part["fp"].to_numpy(np.int64).view(np.uint64), threshold)
                 yield pd.DataFrame({"anchor": key, "home": home} | {k: part[k].to_numpy(np.int64)[row] for k in ("node", "fp", "fp2")})
 
