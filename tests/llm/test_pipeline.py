@@ -57,6 +57,13 @@ def test_stages(spark, corpus):
     assert corpus_pipeline.run(spark, corpus).count() > 0
 
 
+def test_lines_that_repeat_alone_go(spark):
+    rows = [(1, "own one\nshared line\nown two"), (2, "own three\n shared line\t\nown four"), (3, "shared line"), (4, "a\nown five\na")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_lines(spark, docs, "").collect()}
+    assert got == {1: rows[0][1], 2: "own three\nown four", 3: "", 4: "a\nown five"}
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_queries_give_the_rows_of_their_sql(spark, small, name):
     got = queries.QUERIES[name](spark, small)
