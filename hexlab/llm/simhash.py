@@ -247,12 +247,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, threshold: int = 3, wide:
     return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, threshold: int = 11, wide: int = 24) -> DataFrame:
-    """The documents without near duplicates (five-word similarity of about 0.8 or more): of each component
-    the one with the smallest doc_id stays, rows with a null doc_id stay.
+def keep_one(docs: DataFrame, shingle: int = 5, share: tuple[int, int] = (4, 5)) -> DataFrame:
+    """The documents without near duplicates (Jaccard similarity of shingles of 4 / 5 or more, decided exactly): of each
+    component the one with the smallest doc_id stays, rows with a null doc_id stay.
 
     Rows go by doc_id, so a component with a third of all rows is no group of the last join.
     """
-    found = near_duplicates(docs, shingle, threshold, wide)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    from .jaccard import similar
+
+    gone = similar(docs, shingle, share).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
     return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from hexlab.llm import bpe, common, fingerprints, langid, licenses, lines, maxscore, packing, repeats, simhash, toxicity
+from hexlab.llm import bpe, common, fingerprints, jaccard, langid, licenses, lines, maxscore, packing, repeats, simhash, toxicity
 
 RNG = random.Random(5)
 WORDS = ["".join(RNG.choice("abcdeé") for _ in range(RNG.randint(1, 7))) for _ in range(120)]
@@ -87,6 +87,33 @@ def test_simhash(docs, nothing):
     assert simhash.near_duplicates(nothing).count() == 0
 
 
+def changed(words, at):
+    return " ".join(f"new{at}x{i}" if i in at else w for i, w in enumerate(words))
+
+
+def test_near_duplicates_are_decided_on_their_shingles(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SMALL", 6)
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    rng, texts = random.Random(3), []
+    passage = [rng.choice(WORDS) + str(rng.random()) for _ in range(90)]
+    for g in range(25):
+        words = [f"g{g}w{rng.random()}" for _ in range(rng.choice([40, 100, 200]))]
+        for n in range(8):
+            texts.append(changed(words, {rng.randrange(len(words)) for _ in range(rng.choice([1, len(words) // 50, len(words) // 40, len(words) // 30]))} if n else ()))
+    texts += [" ".join([*passage, *(f"own{i}x{k}" for k in range(25))]) for i in range(30)] + [" ".join(passage + ["end"])] * 2
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.similar(docs).collect()} == dict(enumerate(root))
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == sorted(set(root))
+    assert 30 < len(set(root)) < len(texts) - 30
+
+
 @pytest.mark.parametrize("threshold", [0, 1, 3, 5, 11])
 def test_simhash_anchors_find_all_links(threshold):
     rng = np.random.default_rng(threshold)
