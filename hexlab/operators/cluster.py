@@ -45,27 +45,46 @@ def memberships(rows: DataFrame, settings: Sequence[tuple[float, float]], center
     return rows.crossJoin(s).select("setting", key, "x", "xl", "m", "alpha", _memberships(F.col("x"), F.col("xl"), F.col("centers"), F.col("m"), F.col("alpha")).alias("u"))
 
 
-def update_centers(u: DataFrame, k: int, dims: int) -> list[np.ndarray]:
-    """New centres of every setting: one grouped aggregate, k x dims sums a setting."""
+def _center_sums(k: int, dims: int) -> list[Column]:
     w = lambda i: F.pow(F.get("u", F.lit(i)), F.col("m"))
     value = lambda j: (F.get("x", F.lit(j)) + F.col("alpha") * F.get("xl", F.lit(j))) / (1 + F.col("alpha"))
-    sums = [F.sum(w(i) * value(j)).alias(f"s{i}_{j}") for i in range(k) for j in range(dims)] + [F.sum(w(i)).alias(f"n{i}") for i in range(k)]
-    got = u.groupBy("setting").agg(*sums).orderBy("setting").collect()  # a row a setting
-    return [np.array([[r[f"s{i}_{j}"] / r[f"n{i}"] for j in range(dims)] for i in range(k)]) for r in got]
+    return [F.sum(w(i) * value(j)).alias(f"s{i}_{j}") for i in range(k) for j in range(dims)] + [F.sum(w(i)).alias(f"n{i}") for i in range(k)]
+
+
+def _centers_of(row, k: int, dims: int) -> np.ndarray:
+    return np.array([[row[f"s{i}_{j}"] / row[f"n{i}"] for j in range(dims)] for i in range(k)])
+
+
+def update_centers(u: DataFrame, k: int, dims: int) -> list[np.ndarray]:
+    """New centres of every setting: one grouped aggregate, k x dims sums a setting."""
+    got = u.groupBy("setting").agg(*_center_sums(k, dims)).orderBy("setting").collect()  # a row a setting
+    return [_centers_of(r, k, dims) for r in got]
 
 
-def fuzzy_cmeans(rows: DataFrame, settings: Sequence[tuple[float, float]], k: int, dims: int, tol: float = 1e-4, max_iter: int = 100, seed: int = 456, key: str = "id") -> list[np.ndarray]:
-    """Centres for each (m, alpha): starts from the k rows of smallest hash; stops once no centre of any setting
-    moves by ``tol``. rows: (key, x, xl)."""
+def fuzzy_cmeans(rows: DataFrame, settings: Sequence[tuple[float, float]], k: int, dims: int, tol: float = 1e-4, max_iter: int = 100, seed: int = 456, key: str = "id", settle: bool = False) -> list[np.ndarray]:
+    """Centres for each (m, alpha): starts from the k rows of smallest hash; a setting leaves the passes once no
+    membership of it changes by more than ``tol``. With ``settle`` it is an error if one has not after ``max_iter``
+    rounds. rows: (key, x, xl)."""
     rows = cut(rows.select(key, "x", "xl"))
     first = rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(k).collect()
     centers = [np.array([r["x"] for r in first], dtype=float) for _ in settings]
+    before: list[np.ndarray | None] = [None for _ in settings]
+    live = list(range(len(settings)))
     for _ in range(max_iter):
-        new = update_centers(memberships(rows, settings, centers, key), k, dims)
-        moved = max(float(np.abs(a - b).max()) for a, b in zip(new, centers, strict=True))
-        centers = new
-        if moved < tol:
+        data = [(i, float(settings[i][0]), float(settings[i][1]), centers[i].tolist(), None if before[i] is None else before[i].tolist()) for i in live]
+        s = rows.sparkSession.createDataFrame(data, "setting int, m double, alpha double, centers array<array<double>>, before array<array<double>>")
+        of = lambda c: _memberships(F.col("x"), F.col("xl"), F.col(c), F.col("m"), F.col("alpha"))
+        u = rows.crossJoin(F.broadcast(s)).select("setting", "x", "xl", "m", "alpha", of("centers").alias("u"), of("before").alias("v"))  # a row a setting
+        moved = F.max(F.array_max(F.zip_with("u", "v", lambda p, q: F.abs(p - q)))).alias("moved")
+        for r in u.groupBy("setting").agg(*_center_sums(k, dims), moved).collect():
+            i = r["setting"]
+            before[i], centers[i] = centers[i], _centers_of(r, k, dims)
+            if r["moved"] is not None and r["moved"] <= tol:
+                live.remove(i)
+        if not live:
             break
+    if settle and live:
+        raise RuntimeError(f"settings {[settings[i] for i in live]} did not settle in {max_iter} rounds")
     return centers
 
 

@@ -64,22 +64,22 @@ def c2_spatial_step(spark, d):
     return spark.createDataFrame(out, "cluster int, c1 double, c2 double")
 
 
-def fitted(spark, d, settings, max_iter=25):
+def fitted(spark, d, settings, tol):
     rows = cut(features(spark, d, lag=True))
-    centers = cluster.fuzzy_cmeans(rows, settings, 4, DIMS, max_iter=max_iter)
+    centers = cluster.fuzzy_cmeans(rows, settings, 4, DIMS, tol=tol, max_iter=5000, settle=True)
     return rows, centers, cluster.memberships(rows, settings, centers)
 
 
 @query()
 def c2_spatial_fcm(spark, d):
-    _, _, u = fitted(spark, d, [(1.6, 0.6)])
+    _, _, u = fitted(spark, d, [(1.6, 0.6)], 1e-4)
     return u.select("id", cluster.hard_class(F.col("u")).alias("cluster"), *[F.round(F.get("u", F.lit(i)), 4).alias(f"groupe_{i + 1}") for i in range(4)])
 
 
 @query()
 def c3_c4_sweep_quality(spark, d):
     settings = [(round(1.1 + 0.1 * i, 1), 0.0) for i in range(20)] + [(1.6, round(0.05 * i, 2)) for i in range(41)]
-    rows, centers, u = fitted(spark, d, settings, 8)
+    rows, centers, u = fitted(spark, d, settings, 0.001)
     u = cut(u)
     e = grid.neighbours(rows.select("id", "q", "r"), "id")
     names = spark.createDataFrame([(i, m, a) for i, (m, a) in enumerate(settings)], "setting int, m double, alpha double")

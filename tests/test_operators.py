@@ -122,6 +122,20 @@ def test_memberships_add_up_and_objective_falls(spark):
     assert cluster.fuzzy_silhouette(u, 3, 2).first()["silhouette"] > 0.8 and cluster.explained_inertia(u, c, 2).first()["explained"] > 0.8
 
 
+def test_fuzzy_settings_run_until_they_settle(spark):
+    rng = np.random.default_rng(9)
+    data = [(i, v, v) for i, v in enumerate((rng.normal(size=(60, 2)) + np.repeat([[0, 0], [2, 1], [1, 3]], 20, axis=0)).tolist())]
+    rows = spark.createDataFrame(data, "id int, x array<double>, xl array<double>").coalesce(1)
+    settings = [(1.2, 0.0), (2.0, 0.5)]
+    with pytest.raises(RuntimeError):
+        cluster.fuzzy_cmeans(rows, settings, 3, 2, max_iter=2, settle=True)
+    c = cluster.fuzzy_cmeans(rows, settings, 3, 2, tol=1e-4, max_iter=500, settle=True)
+    here = cluster.memberships(rows, settings, c)
+    more = cluster.memberships(rows, settings, cluster.update_centers(here, 3, 2))
+    a, b = ({(r["setting"], r["id"]): np.array(r["u"]) for r in u.collect()} for u in (here, more))
+    assert max(float(np.abs(a[i] - b[i]).max()) for i in a) <= 1e-4
+
+
 def lattice(spark, n=8):
     rng = np.random.default_rng(5)
     cells = [(q * n + r, q, r) for q in range(n) for r in range(n)]
