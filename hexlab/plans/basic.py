@@ -426,7 +426,7 @@ def l5_compare_weights(spark, d):
 @query()
 def l4_permutation_test(spark, d):
     p = X.panel(spark, d).where("year = 1996")
-    return spatial.moran_permutations(p, edges(p), "severity", "cell", sims=99, batch=50)
+    return spatial.moran_permutations(p, edges(p), "severity", "cell", sims=999)
 
 
 LISA = """, e as (select a.src, a.dst, p.year, 1.0 / count(*) over (partition by a.src, p.year) as wy, n.k from fx4_nb a join (select src, count(*) as k from fx4_nb group by src) n on n.src = a.src join fx4_panel p on p.cell = a.dst),

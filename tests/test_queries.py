@@ -41,6 +41,10 @@ def test_other_queries_have_rows(spark, small, name):
     assert registry.QUERIES[name](spark, small).count() > 0
 
 
+def test_permutations_are_those_of_the_reference(spark, small):
+    assert registry.QUERIES["l4_permutation_test"](spark, small).first()["sims"] == 999
+
+
 def test_entry(spark):
     import __spark_entry__
 
