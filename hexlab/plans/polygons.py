@@ -41,7 +41,7 @@ def ring(*corners):
 
 
 def zone(spark, d, shape="rectangle"):
-    """The study zone, bounds from the sites' hull (a fixed rectangle), or the L-shape in it."""
+    """A fixed study zone in the plane of the sites: the rectangle, the L-shape in it, or the river across it."""
     corners = {"rectangle": ((0, 0), (X1, 0), (X1, Y1), (0, Y1)), "ell": ((0, 0), (X1, 0), (X1, 30000), (40000, 30000), (40000, Y1), (0, Y1)), "river": ((20000, -1000), (35000, -1000), (35000, 70000), (20000, 70000))}
     return spark.range(1).select(ring(*corners[shape]).alias("poly"))
 
@@ -269,153 +269,4 @@ def s12_s13_panel_cache(spark, d):
 
 @query("select patch_id from fx2_patch, (select min(x) as a, min(y) as b, max(x) as c, max(y) as e from fx1_site) z where xmax > a and xmin < c and ymax > b and ymin < e")
 def s16_zone_from_data(spark, d):
-    return overlay.intersecting(patches(spark, d), zone(spark, d, "ell"), 10000.0, ["patch_id"]).select("patch_id")
-
-
-@query(f"select patch_id, round({RECT}, 2) as area, round({ELL}, 2) as area_ell from fx2_patch where {RECT} > 0")
-def j6_clip_to_zone(spark, d):
-    p = patches(spark, d)
-    a = overlay.clip_to_zone(p, zone(spark, d), 10000.0, ["patch_id"])
-    b = overlay.clip_to_zone(p, zone(spark, d, "ell"), 10000.0, ["patch_id"], "area_ell")
-    return a.join(b, "patch_id", "left").select("patch_id", F.round("area", 2).alias("area"), F.round(F.coalesce("area_ell", F.lit(0.0)), 2).alias("area_ell"))
-
-
-@query(f"select patch_id, round({RECT} - {over(20000, 0, 35000, Y1)}, 2) as area from fx2_patch where {RECT} > 0")
-def j7_difference(spark, d):
-    out = overlay.difference_area(patches(spark, d), zone(spark, d), zone(spark, d, "river"), 10000.0, ["patch_id"])
-    return out.select("patch_id", F.round(F.greatest("area", F.lit(0.0)), 2).alias("area"))
-
-
-CELLS = """, k as (select p.year, i, j from fx2_patch p, lateral (select unnest(generate_series(cast(ceil(p.xmin/500 - 0.5) as bigint), cast(floor(p.xmax/500 - 0.5) as bigint))) as i) a,
- lateral (select unnest(generate_series(cast(ceil(p.ymin/500 - 0.5) as bigint), cast(floor(p.ymax/500 - 0.5) as bigint))) as j) b
- where (i + 0.5) * 500 >= p.xmin and (i + 0.5) * 500 < p.xmax and (j + 0.5) * 500 >= p.ymin and (j + 0.5) * 500 < p.ymax)"""
-
-
-@query(CELLS + " select year, round(count(distinct (i, j)) * cast(250000 as double), 2) as area from k group by year")
-def j8_union_area(spark, d):
-    return overlay.union_area(patches(spark, d), 500.0, ["year"]).select("year", F.round("area", 2).alias("area"))
-
-
-@query(CELLS + f""", v as (select year, trim(level_raw) as level, {RECT} as a from fx2_patch where {RECT} > 0)
- select v.year, round(sum(case when level = 'Leger' then a else 0 end) / 10000, 2) as leger, round(sum(case when level = 'Modéré' then a else 0 end) / 10000, 2) as modere, round(sum(case when level = 'Grave' then a else 0 end) / 10000, 2) as grave,
- any_value(t.n) * cast(25 as double) as touched_ha, round(any_value(t.n) * 250000.0 / {X1 * Y1} * 100, 2) as touched_pct, count(*) as polygons
- from v join (select year, count(distinct (i, j)) as n from k where (i + 0.5) * 500 between 0 and {X1} and (j + 0.5) * 500 between 0 and {Y1} group by year) t on t.year = v.year group by v.year""")
-def a13_a16_yearly_report(spark, d):
-    r = extent.yearly_report(patches(spark, d), zone(spark, d), LEVELS, X1 * Y1, 10000.0, 500.0)
-    return r.select("year", F.round("Léger", 2).alias("leger"), F.round("Modéré", 2).alias("modere"), F.round("Grave", 2).alias("grave"), "touched_ha", "touched_pct", "polygons")
-
-
-@query()
-def a4_a6_severity_per_hex(spark, d):
-    """Severity of every hex of the zone in every year, by area; hexes that are hardly covered have none."""
-    g = overlay.hex_grid(zone(spark, d), WIDTH)
-    p = patches(spark, d)
-    years = p.select("year").distinct()
-    pieces = overlay.hex_pieces(p, WIDTH).withColumn("hex_id", grid.hex_id(F.col("q"), F.col("r")))
-    cells = g.select("hex_id").crossJoin(F.broadcast(years))  # a row a year
-    out = hexagg.aggregate_to_hex(cells, pieces, "level", "ordinal", "level", grid.hex_area(WIDTH), ["hex_id", "year"], rank=L.severity_rank(F.col("level")), add_coverage=True)
-    return out.select("hex_id", "year", "level", F.round("level_cov", 6).alias("coverage"), L.severity_rank(F.col("level")).alias("severity"))
-
-
-@query()
-def a5_a11_raster_covariates(spark, d):
-    """Winter minimum per hex and season: raster cells by season, cut by hexes, weighted median."""
-    daily = X.cell_daily(spark, d)
-    cells = daily.select("cell_id", "x", "y").distinct()
-    pieces = cut(overlay.raster_pieces(cells, 2000.0, WIDTH).select("cell_id", "q", "r", "piece_area", "fraction"))
-    rows = pieces.join(panel.winter_minimum(daily), "cell_id").withColumn("hex_id", grid.hex_id(F.col("q"), F.col("r")))
-    return hexagg.weighted_median(rows, ["hex_id", "season"], "minimum", "fraction", "tmin", "cell_id").select("hex_id", "season", F.round("tmin", 4).alias("tmin"))
-
-
-AGE = "case cl_age when '10' then 10.0 when '3050' then 30.0 when '120' then 120.0 when 'JIN' then 30.0 when 'VIR' then 90.0 when '7090' then 70.0 end"
-
-
-@query(f""", a as (select hex_id, geocode, piece_area as w, {AGE} as x from fx5_stand where {AGE} is not null),
- c as (select *, sum(w) over (partition by hex_id order by x, geocode rows unbounded preceding) - w/2 as c, sum(w) over (partition by hex_id)/2 as half from a),
- l as (select *, lag(x) over (partition by hex_id order by x, geocode) as px, lag(c) over (partition by hex_id order by x, geocode) as pc from c),
- m as (select hex_id, any_value(half) as half, min(c) as c0, max(c) as c1, min(x) as x0, max(x) as x1, max(case when pc < half and c >= half then px + (x-px)*(half-pc)/(c-pc) end) as b, sum(w) as area from l group by hex_id)
- select h.hex_id, case when area / 40000.0 >= 0.25 then round(case when half <= c0 then x0 when half >= c1 then x1 else b end, 6) end as age from (select distinct hex_id from fx5_stand) h left join m on m.hex_id = h.hex_id""")
-def a10_age(spark, d):
-    s = X.stand(spark, d).withColumn("age", L.parse_age_class(F.col("cl_age")))
-    cells = s.select("hex_id").distinct()
-    out = hexagg.aggregate_to_hex(cells, s.where("age is not null"), "age", "continuous", "age", 40000.0)
-    return out.select("hex_id", F.round("age", 6).alias("age"))
-
-
-# ---- sources
-
-
-@query("select site_id, region from fx1_site where region in ('NATION_0', 'NATION_1')")
-def s1_s2_region_scan(spark, d):
-    return io.region_scan(X.site(spark, d), "region", ["NATION_0", "NATION_1"], required=True).select("site_id", "region")
-
-
-@query("select patch_id, year, level_raw from fx2_patch where xmin <= 60000 and xmax >= 20000 and ymin <= 40000 and ymax >= 10000")
-def s3_box_scan(spark, d):
-    return io.box_scan(X.patch(spark, d), 20000, 10000, 60000, 40000, ["patch_id", "year", "level_raw", "no_such_column"])
-
-
-@query("select distinct region, category from fx1_site")
-def s4_u1_u2_stacked(spark, d):
-    s = X.site(spark, d).select("region", "category")
-    return io.stacked([s, s.where("category = 'BUILDING'"), s])
-
-
-@query("select site_id, x, y from fx1_site where category = 'MACHINERY'")
-def s5_named_feature(spark, d):
-    s = X.site(spark, d).select("site_id", "x", "y", "category")
-    return io.named_feature([s.where("site_id % 2 = 0"), s, s.where("site_id % 3 = 0")], "category", "MACHINERY").select("site_id", "x", "y")
-
-
-@query("select category as parameter, cast(site_id % 7 + 1995 as int) as year, 'f' || site_id as name from fx1_site where category = 'FURNITURE' and site_id % 7 + 1995 in (1996, 1998)")
-def s6_s14_csv_index(spark, d):
-    from ..sources import scratch
-
-    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or scratch._own_folder()).rstrip('/')}/index-{uuid.uuid4().hex}"
-    s = X.site(spark, d).select(F.col("category").alias("parameter"), (F.col("site_id") % 7 + 1995).cast("int").alias("year"), F.concat(F.lit("f"), F.col("site_id").cast("string")).alias("name"))
-    io.write_report(s, path)
-    return io.csv_index(spark, path, "parameter string, year int, name string", ("parameter", "FURNITURE"), ("year", [1996, 1998]))
-
-
-@query("""select y.year, count(v.cell_id) as days from (select unnest([1994, 1995, 1996, 2030]) as year) y left join (select cell_id, year(date) as year from fx3_cell_daily where month(date) in (1, 2)) v on v.year = y.year group by y.year""")
-def s7_months(spark, d):
-    return io.months_of(X.cell_daily(spark, d), [1, 2], [1994, 1995, 1996, 2030]).groupBy("year").agg(F.count("cell_id").alias("days"))
-
-
-@query("select cell_id, cast(date as varchar) as date from fx3_cell_daily where cell_id % 3 = 1")
-def s8_band(spark, d):
-    return io.band(X.cell_daily(spark, d).withColumn("band", F.col("cell_id") % 3), 1).select("cell_id", F.col("date").cast("string").alias("date"))
-
-
-@query(f"select patch_id from fx2_patch where {ELL} > 0 and patch_id % 3 <> 0")
-def s9_manifest(spark, d):
-    p = patches(spark, d)
-    return io.manifest(p, zone(spark, d, "ell"), p.where("patch_id % 3 = 0"), 10000.0, "patch_id").select("patch_id")
-
-
-@query("""select tile, name from (select tile, name, row_number() over (partition by tile order by case when lower(name) like '%\\_c.gpkg' escape '\\' then 0 else 1 end, pos) as n from
- (select cast(site_id % 50 as int) as tile, site_id as pos, case when site_id % 7 = 0 then 'f' || site_id || '_C.gpkg' else 'f' || site_id || '.gpkg' end as name from fx1_site)) where n = 1""")
-def s10_preferred(spark, d):
-    s = X.site(spark, d).select((F.col("site_id") % 50).cast("int").alias("tile"), F.col("site_id").alias("position"), F.concat(F.lit("f"), F.col("site_id").cast("string"), F.when(F.col("site_id") % 7 == 0, "_C.gpkg").otherwise(".gpkg")).alias("name"))
-    return io.preferred(s).select("tile", "name")
-
-
-@query("select distinct cast(y as int) as year from (select year as y from fx2_patch union all select year - 1 from fx2_patch) order by 1")
-def s11_years_needed(spark, d):
-    return io.years_needed(X.patch(spark, d).select("year"))
-
-
-@query("select cell, year, severity from fx4_panel")
-def s12_s13_panel_cache(spark, d):
-    from ..sources import scratch
-
-    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or scratch._own_folder()).rstrip('/')}/panel-{uuid.uuid4().hex}"
-    io.write_panel(X.panel(spark, d).select("cell", "year", "severity"), path, ["A"], 10000.0, {"history": ["g1", "g2"], "noise": ["g2"]})
-    return io.read_panel(spark, path, ["A"], 10000.0).select("cell", "year", "severity")
-
-
-@query("select patch_id from fx2_patch, (select min(x) as a, min(y) as b, max(x) as c, max(y) as e from fx1_site) z where xmax > a and xmin < c and ymax > b and ymin < e")
-def s16_zone_from_data(spark, d):
-    box = X.site(spark, d).agg(F.min("x").alias("a"), F.min("y").alias("b"), F.max("x").alias("c"), F.max("y").alias("e"))  # one row
-    z = box.select(G.polygon(G.rectangle(F.col("a"), F.col("b"), F.col("c"), F.col("e"))).alias("poly"))
     return overlay.intersecting(patches(spark, d), hull(spark, d), 10000.0, ["patch_id"]).select("patch_id")

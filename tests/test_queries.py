@@ -1,11 +1,18 @@
 """Every registered query against its SQL on the small tables; rows and invariants for the others."""
 
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
 from hexlab.plans import registry
 from hexlab.plans.fixtures import TABLES
 
+ROOT = Path(__file__).resolve().parent.parent
 SLOW = {"m5_m11_compare_models", "l4_permutation_test", "m3_m18_m19_evaluation", "a25_m22_quick_comparison", "c3_c4_sweep_quality", "m15_rank_covariates"}
 
 
@@ -50,3 +57,17 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 1
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_the_rest_works_without_the_text_operators(tmp_path):
+    """A copy without that subpackage and its tests imports, and registers the queries of the library."""
+    for name in ("hexlab", "__spark_entry__.py", "corpus_pipeline.py", "tests"):
+        if (found := ROOT / name).is_dir():
+            shutil.copytree(found, tmp_path / name, ignore=shutil.ignore_patterns("__pycache__", "llm"))
+        elif found.exists():
+            shutil.copy(found, tmp_path / name)
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    said = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert said.returncode == 0, said.stderr
+    assert said.stdout.split() == [str(len(registry.QUERIES)), str(len(registry.ORACLE_SQL))]
