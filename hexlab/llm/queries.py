@@ -34,7 +34,7 @@ def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     left = remove_repeats(table(spark, sf_dir, "documents"), length=400)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["high"] - s["low"])
-    return left.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return left.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "text")
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

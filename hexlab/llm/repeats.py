@@ -1,4 +1,5 @@
-"""Removal of every byte that lies in a string of ``length`` bytes which also starts anywhere else.
+"""Removal of every byte that lies in a string of ``length`` bytes which also starts anywhere else; or the same of
+words (``unit="word"``), where a word's symbol is a 64-bit hash and white space between words does not count.
 
 Suffixes of all documents are compared column by column, as in the multi-document construction of the
 Burrows-Wheeler transform: every round inserts one more symbol at the front of each string of a collection,
@@ -24,17 +25,24 @@ empty result; further columns are ignored or, in ``drop_repeats``, kept.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from typing import Literal
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_128_digest
+from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from .common import cut, partitions, small_batches
 
-GRAM = 32
+#: Symbols of an anchor string, by unit: powers of two.
+GRAM = {"byte": 32, "word": 8}
+#: Bytes of a symbol.
+SIZE = {"byte": 1, "word": 8}
+SYMBOL = {"byte": np.dtype(np.uint8), "word": np.dtype("<u8")}
+Unit = Literal["byte", "word"]
 #: Contexts that a collection takes before it is closed, and those of one anchor string that a task takes.
 COLLECTION = 16384
 LARGE = 50_000
@@ -44,22 +52,31 @@ MAP_BITS = 29
 _LETTER = np.random.default_rng(5).integers(0, 2**64, 256, dtype=np.uint64)
 
 
-def grams(x: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the ``GRAM`` bytes from each place on, by doubling."""
-    h, step = _LETTER[x], 1
-    while step < GRAM:
+def symbols(text: str, unit: Unit) -> bytes:
+    """The symbols of a text, ``SIZE[unit]`` bytes each."""
+    if unit == "byte":
+        return text.encode("utf-8", "surrogatepass")
+    return np.array([xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in text.split()], dtype="<u8").tobytes()
+
+
+def grams(raw: bytes, unit: Unit) -> np.ndarray:
+    """A 64-bit hash of the ``GRAM[unit]`` symbols from each place on, by doubling."""
+    x = np.frombuffer(raw, dtype=SYMBOL[unit])
+    h, step = _LETTER[x] if unit == "byte" else x, 1
+    while step < GRAM[unit]:
         h = h[:-step] * np.uint64(0x9E3779B97F4A7C15) + (h[step:] ^ (h[step:] >> np.uint64(29)))
         step *= 2
     return h * np.uint64(0xD6E8FEB86659FD93)
 
 
-def anchors(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(raw: bytes, length: int, unit: Unit = "byte") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each anchor: its hash, its place, and the first and last window that it is the anchor of."""
     none = np.zeros(0, dtype=np.int64)
-    if len(raw) < length:
+    windows = len(raw) // SIZE[unit] - length + 1
+    if windows < 1:
         return none, none, none, none
-    h = grams(np.frombuffer(raw, dtype=np.uint8))
-    width, windows = length - GRAM + 1, len(raw) - length + 1
+    h = grams(raw, unit)
+    width = length - GRAM[unit] + 1
     code = (h & np.uint64(0xFFFFFFFF00000000)) | (np.uint64(0xFFFFFFFF) - np.arange(len(h), dtype=np.uint64))
     blocks = np.full(-(-len(h) // width) * width, np.uint64(2**64 - 1))
     blocks[: len(h)] = code
@@ -78,19 +95,19 @@ def _halves(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0], both[:, 1]
 
 
-def repeated(contexts: list[bytes], before: np.ndarray, length: int) -> list[tuple[int, int, int]]:
-    """(context, start, end) of the runs of bytes in windows that two contexts share at equal distance from their anchors.
+def repeated(contexts: list[bytes], before: np.ndarray, length: int, unit: Unit = "byte") -> list[tuple[int, int, int]]:
+    """(context, start, end) of the runs of symbols in windows that two contexts share at equal distance from their anchors.
 
-    ``before``: the bytes of each context before its anchor. Contexts are different strings.
+    ``before``: the symbols of each context before its anchor. Contexts are different strings.
     """
-    n, zero = len(contexts), length - GRAM
-    size = np.array([len(c) for c in contexts])
+    n, zero = len(contexts), length - GRAM[unit]
+    size = np.array([len(c) // SIZE[unit] for c in contexts])
     low = zero - before
     high = low + size
     width = zero + length
-    columns = np.zeros((n, width), dtype=np.uint8)
+    columns = np.zeros((n, width), dtype=SYMBOL[unit])
     at = np.arange(width)[None, :]
-    columns[(at >= low[:, None]) & (at < high[:, None])] = np.frombuffer(b"".join(contexts), dtype=np.uint8)
+    columns[(at >= low[:, None]) & (at < high[:, None])] = np.frombuffer(b"".join(contexts), dtype=SYMBOL[unit])
     columns = np.ascontiguousarray(columns.T)
     order = np.arange(n)
     common = np.zeros(n + 1, dtype=np.uint16)  # with the string before it in the order
@@ -140,9 +157,11 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
 
-def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
-    """(doc, text_key, spans): byte ranges of each document that lie in repeated strings, unmerged."""
-    spark = docs.sparkSession
+def repeated_spans(docs: DataFrame, length: int = 400, unit: Unit = "byte") -> DataFrame:
+    """(doc, text_key, spans): ranges of symbols of each document that lie in repeated strings, unmerged."""
+    if length <= GRAM[unit]:
+        raise ValueError(f"strings of over {GRAM[unit]} symbols")
+    spark, z = docs.sparkSession, SIZE[unit]
     small_batches(spark)
     rows = _rows(docs)
 
@@ -150,10 +169,10 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
         for x in batches:
             out = []
             for doc, key, text in zip(x["doc"], x["text_key"], x["text"], strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
-                h, _, first, last = anchors(raw, length)
+                raw = symbols(text, unit)
+                h, _, first, last = anchors(raw, length, unit)
                 if len(h):
-                    one, two = _halves([xxh3_128_digest(raw[a:b]) for a, b in zip(first.tolist(), (last + length).tolist(), strict=True)])
+                    one, two = _halves([xxh3_128_digest(raw[a:b]) for a, b in zip((z * first).tolist(), (z * (last + length)).tolist(), strict=True)])
                     out.append(pd.DataFrame({"gram": h, "one": one, "two": two, "doc": doc, "text_key": key, "start": first, "end": last + length}))
             if out:
                 yield pd.concat(out, ignore_index=True)
@@ -168,9 +187,9 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     whole = kinds.where("n > 1").select("gram", "one", "two", F.lit(0).cast("long").alias("low"), F.lit(None).cast("long").alias("high"))
     parts = [whole]
     if many[0] > many[1]:
-        parts.append(_by_columns(rows, spread.where(F.col("kinds") <= LARGE).select("gram"), int(many[0] - many[1]), length))
+        parts.append(_by_columns(rows, spread.where(F.col("kinds") <= LARGE).select("gram"), int(many[0] - many[1]), length, unit))
     if many[1]:
-        parts.append(_by_windows(rows, spread.where(F.col("kinds") > LARGE).select("gram"), int(many[1]), length))
+        parts.append(_by_windows(rows, spread.where(F.col("kinds") > LARGE).select("gram"), int(many[1]), length, unit))
     found = parts[0]
     for p in parts[1:]:
         found = found.unionAll(p)
@@ -178,7 +197,8 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     return spans.groupBy("doc", "text_key").agg(F.collect_set("span").alias("spans"))
 
 
-def _by_columns(rows: DataFrame, listed: DataFrame, count: int, length: int) -> DataFrame:
+def _by_columns(rows: DataFrame, listed: DataFrame, count: int, length: int, unit: Unit) -> DataFrame:
+    z = SIZE[unit]
     bits, shared = _bitmap(listed, count)
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -186,10 +206,10 @@ def _by_columns(rows: DataFrame, listed: DataFrame, count: int, length: int) ->
         for x in batches:
             out = []
             for text in x["text"]:
-                raw = text.encode("utf-8", "surrogatepass")
-                h, place, first, last = anchors(raw, length)
+                raw = symbols(text, unit)
+                h, place, first, last = anchors(raw, length, unit)
                 for i in _listed(shared.value, bits, h).tolist():
-                    context = raw[first[i] : last[i] + length]
+                    context = raw[z * first[i] : z * (last[i] + length)]
                     digest = xxh3_128_digest(context)
                     if digest not in seen:
                         seen.add(digest)
@@ -215,7 +235,7 @@ def _by_columns(rows: DataFrame, listed: DataFrame, count: int, length: int) ->
                 while j < len(edges) and edges[j] + sizes[j] - edges[i] <= COLLECTION:
                     j += 1
                 part = slice(edges[i], edges[j - 1] + sizes[j - 1])
-                for k, low, high in repeated(x["context"].iloc[part].tolist(), x["before"].to_numpy()[part], length):
+                for k, low, high in repeated(x["context"].iloc[part].tolist(), x["before"].to_numpy()[part], length, unit):
                     out.append((edges[i] + k, low, high))
                 i = j
             k = [o[0] for o in out]
@@ -237,18 +257,19 @@ def _by_columns(rows: DataFrame, listed: DataFrame, count: int, length: int) ->
     return cut(dealt.mapInPandas(collect, "gram long, one long, two long, low long, high long"))
 
 
-def _by_windows(rows: DataFrame, listed: DataFrame, count: int, length: int) -> DataFrame:
+def _by_windows(rows: DataFrame, listed: DataFrame, count: int, length: int, unit: Unit) -> DataFrame:
     """The same for anchor strings with very many contexts: every window by its hash."""
+    z = SIZE[unit]
     bits, shared = _bitmap(listed, count)
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             for text in x["text"]:
-                raw = text.encode("utf-8", "surrogatepass")
-                h, _, first, last = anchors(raw, length)
+                raw = symbols(text, unit)
+                h, _, first, last = anchors(raw, length, unit)
                 for i in _listed(shared.value, bits, h).tolist():
-                    one, two = np.frombuffer(xxh3_128_digest(raw[first[i] : last[i] + length]), dtype="<i8").tolist()
-                    a, b = _halves([xxh3_128_digest(raw[p : p + length]) for p in range(first[i], last[i] + 1)])
+                    one, two = np.frombuffer(xxh3_128_digest(raw[z * first[i] : z * (last[i] + length)]), dtype="<i8").tolist()
+                    a, b = _halves([xxh3_128_digest(raw[z * p : z * (p + length)]) for p in range(first[i], last[i] + 1)])
                     yield pd.DataFrame({"gram": h[i], "one": one, "two": two, "low": np.arange(len(a)), "a": a, "b": b})
 
     met = rows.select("text").mapInPandas(windows, "gram long, one long, two long, low long, a long, b long").join(listed, "gram", "left_semi")
@@ -267,6 +288,14 @@ def merged(spans) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _joined(docs: DataFrame, length: int, unit: Unit) -> DataFrame:
+    """(row, found): the rows as they are, and the ranges found in their texts."""
+    found = repeated_spans(docs, length, unit).withColumnsRenamed({"doc": "found_doc", "text_key": "found_key", "spans": "found"})
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    doc = F.coalesce(F.col("row.doc_id").cast("long"), F.lit(-(2**63)))
+    return rows.join(found, (doc == F.col("found_doc")) & (F.xxhash64(F.coalesce("row.text", F.lit(""))) == F.col("found_key")), "left")
+
+
 def _removed(docs: DataFrame, length: int) -> DataFrame:
     """(row, new): the rows as they are; n_bytes, spans (removed byte ranges, maximal) and kept (the bytes left)."""
 
@@ -282,26 +311,41 @@ def _removed(docs: DataFrame, length: int) -> DataFrame:
             out.append((len(raw), [{"low": a, "high": b} for a, b in spans], b"".join([*kept, raw[at:]])))
         return pd.DataFrame(out, columns=["n_bytes", "spans", "kept"])
 
-    found = repeated_spans(docs, length).withColumnsRenamed({"doc": "found_doc", "text_key": "found_key", "spans": "found"})
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    doc = F.coalesce(F.col("row.doc_id").cast("long"), F.lit(-(2**63)))
-    joined = rows.join(found, (doc == F.col("found_doc")) & (F.xxhash64(F.coalesce("row.text", F.lit(""))) == F.col("found_key")), "left")
     new = F.pandas_udf(clean, "n_bytes long, spans array<struct<low: long, high: long>>, kept binary")("row.text", "found")
-    return joined.select("row", new.alias("new"))
+    return _joined(docs, length, "byte").select("row", new.alias("new"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
-    """(doc_id, n_bytes, spans, kept) of every row: its removed byte ranges and the bytes left."""
-    return _removed(docs, length).select(F.col("row.doc_id").cast("long").alias("doc_id"), "new.n_bytes", "new.spans", "new.kept")
+    """(doc_id, n_bytes, spans, kept, text) of every row: its removed byte ranges, the bytes left, and these as text."""
+    text = F.pandas_udf(_readable, "string")("new.kept")
+    return _removed(docs, length).select(F.col("row.doc_id").cast("long").alias("doc_id"), "new.n_bytes", "new.spans", "new.kept", text.alias("text"))
+
+
+def _readable(kept: pd.Series) -> pd.Series:
+    return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
+
+
+def without_words(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without some ranges of its words, each with the white space after it."""
+    places = [m.span() for m in re.finditer(r"\S+", text)]
+    at, kept = 0, []
+    for low, high in spans:
+        kept.append(text[at : places[low][0]])
+        at = places[high][0] if high < len(places) else len(text)
+    return "".join([*kept, text[at:]])
 
 
-def drop_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
-    """The documents, all of their columns, with what is left of their texts; a character that loses some of its
-    bytes goes whole."""
+def drop_repeats(docs: DataFrame, length: int = 400, unit: Unit = "byte") -> DataFrame:
+    """The documents, all of their columns, with what is left of their texts. With ``unit="byte"`` a character that
+    loses some of its bytes goes whole."""
 
-    def readable(kept: pd.Series) -> pd.Series:
-        return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
+    def cleaned(text: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([t if t is None or f is None else without_words(t, merged((s["low"], s["high"]) for s in f)) for t, f in zip(text, found, strict=True)], dtype=object)
 
-    left = _removed(docs, length)
-    text = F.when(F.size("new.spans") == 0, F.col("row.text")).otherwise(F.pandas_udf(readable, "string")("new.kept"))
+    if unit == "word":
+        left = _joined(docs, length, unit)
+        text = F.pandas_udf(cleaned, "string")("row.text", "found")
+    else:
+        left = _removed(docs, length)
+        text = F.when(F.size("new.spans") == 0, F.col("row.text")).otherwise(F.pandas_udf(_readable, "string")("new.kept"))
     return left.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

@@ -184,17 +184,40 @@ def test_repeats(spark, docs, nothing, monkeypatch, large):
         assert left.columns == docs.columns and left.count() == docs.count() and repeats.remove_repeats(nothing).count() == 0
 
 
+@pytest.mark.parametrize("large", [50_000, 2])
+def test_repeats_of_words(spark, docs, nothing, monkeypatch, large):
+    monkeypatch.setattr(repeats, "LARGE", large)
+    rng = random.Random(7)
+    passage = prose(80, rng).split()
+    texts = [t for _, t in collected(docs)]
+    for n in (49, 50, 51, 70, 80):  # of other white space, in the middle and at the ends
+        texts += [prose(60, rng) + "\n" + "\t ".join(passage[:n]) + " " + prose(60, rng), "\n".join(passage[-n:])]
+    given = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    seen = Counter(tuple(w[i : i + 50]) for t in texts for w in [(t or "").split()] for i in range(len(w) - 49))
+    got = {r["doc_id"]: r["text"] for r in repeats.drop_repeats(given, 50, "word").collect()}
+    changed_ = 0
+    for d, t in enumerate(texts):
+        w = (t or "").split()
+        gone = {j for i in range(len(w) - 49) if seen[tuple(w[i : i + 50])] > 1 for j in range(i, i + 50)}
+        assert got[d] == t if not gone else got[d].split() == [x for i, x in enumerate(w) if i not in gone]
+        changed_ += bool(gone)
+    assert 8 < changed_ < len(texts) - 5
+    if large > 2:
+        left = repeats.drop_repeats(docs, 50, "word")
+        assert left.columns == docs.columns and left.count() == docs.count() and repeats.drop_repeats(nothing, 50, "word").count() == 0
+
+
 def test_columns_round_by_round():
     rng = random.Random(2)
     for _ in range(20):
-        core = "".join(rng.choice("ab") for _ in range(repeats.GRAM)).encode()
+        core = "".join(rng.choice("ab") for _ in range(repeats.GRAM["byte"])).encode()
         ctx, before = [], []
         for _ in range(rng.randint(2, 12)):
             left, right = ("".join(rng.choice("ab") for _ in range(rng.randint(0, 8))).encode() for _ in range(2))
             if left + core + right not in ctx:
                 ctx.append(left + core + right)
                 before.append(len(left))
-        length = repeats.GRAM + 6
+        length = repeats.GRAM["byte"] + 6
         keep = [k for k in range(len(ctx)) if len(ctx[k]) >= length and before[k] <= 6 and len(ctx[k]) - before[k] <= length]
         ctx, before = [ctx[k] for k in keep], np.array([before[k] for k in keep], dtype=int)
         if not ctx:
