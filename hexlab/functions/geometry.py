@@ -103,6 +103,23 @@ def clip_area(poly: Column, cell: Column) -> Column:
     return let(cell, lambda c: F.aggregate(poly, F.lit(0.0), lambda s, r: s + one(r, c)))
 
 
+def clip_area_in_box(poly: Column, cell: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
+    """``clip_area`` of a polygon with a known box: sides of the cell that the box does not cross are left out, so a
+    polygon whose box lies inside is not clipped at all, and one whose box lies outside of a side has no area."""
+    x, y, w, h = (xmin + xmax) / 2, (ymin + ymax) / 2, (xmax - xmin) / 2, (ymax - ymin) / 2
+
+    def placed(e: Column) -> Column:
+        dx, dy = e["bx"] - e["ax"], e["by"] - e["ay"]
+        middle = dx * (y - e["ay"]) - dy * (x - e["ax"])
+        return F.struct(*[e[k].alias(k) for k in ("ax", "ay", "bx", "by")], middle.alias("middle"), (F.abs(dx) * h + F.abs(dy) * w).alias("reach"))
+
+    def clipped(sides: Column) -> Column:
+        outside = F.exists(sides, lambda e: e["middle"] <= -e["reach"])
+        return F.when(outside, F.lit(0.0)).otherwise(clip_area(poly, F.filter(sides, lambda e: e["middle"] < e["reach"])))
+
+    return let(F.transform(cell, placed), clipped)
+
+
 def hexagon(cx: Column, cy: Column, width: float) -> Column:
     """Vertices of a pointy-top hexagon, counter-clockwise."""
     reach = width / math.sqrt(3)
