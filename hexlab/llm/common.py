@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,8 +21,15 @@ def _own_folder() -> str:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
+    """The shared folder of spark.checkpoint.dir; where that is unset, a temporary one under a local master (tests)."""
+    set_ = spark.conf.get("spark.checkpoint.dir", None)
+    if not set_ and not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (set_ or _own_folder()).rstrip("/")
+
+
+#: Paths of tables written since ``collecting`` began, where it has.
+_written: list[list[str]] = []
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -28,9 +37,29 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _written:
+        _written[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def collecting() -> Iterator[list[str]]:
+    """Gives the list of the tables that are written inside, to be cleared once the result has been written."""
+    _written.append([])
+    try:
+        yield _written[-1]
+    finally:
+        _written.pop()
+
+
+def clear(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that ``cut`` has written; nothing may read them any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    paths.clear()
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of whole texts small, so that Python memory does not follow the batch size."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -165,21 +165,29 @@ def repeated_spans(docs: DataFrame, length: int = 400, unit: Unit = "byte") -> D
     small_batches(spark)
     rows = _rows(docs)
 
+    def only_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            yield pd.DataFrame({"gram": np.concatenate([*(anchors(symbols(t, unit), length, unit)[0] for t in x["text"]), np.zeros(0, dtype=np.int64)])})
+
+    # anchor strings that occur once are not written: a bit map keeps most of them out of the second pass
+    shared = cut(rows.select("text").mapInPandas(only_grams, "gram long").groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
+    bits, listed = _bitmap(shared, shared.count())
+
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             out = []
             for doc, key, text in zip(x["doc"], x["text_key"], x["text"], strict=True):
                 raw = symbols(text, unit)
                 h, _, first, last = anchors(raw, length, unit)
-                if len(h):
+                if len(on := _listed(listed.value, bits, h)):
+                    h, first, last = h[on], first[on], last[on]
                     one, two = _halves([xxh3_128_digest(raw[a:b]) for a, b in zip((z * first).tolist(), (z * (last + length)).tolist(), strict=True)])
                     out.append(pd.DataFrame({"gram": h, "one": one, "two": two, "doc": doc, "text_key": key, "start": first, "end": last + length}))
             if out:
                 yield pd.concat(out, ignore_index=True)
 
-    places = cut(rows.mapInPandas(find, "gram long, one long, two long, doc long, text_key long, start long, end long"))
+    places = rows.mapInPandas(find, "gram long, one long, two long, doc long, text_key long, start long, end long")
     # written, so that the join stands on plain exchanges and a hot anchor string can be split
-    shared = cut(places.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
     places = cut(places.join(shared, "gram"))
     kinds = cut(places.groupBy("gram", "one", "two").agg(F.count("*").alias("n")))
     spread = cut(kinds.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1"))
