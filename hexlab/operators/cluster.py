@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,23 +47,23 @@ def memberships(rows: DataFrame, settings: Sequence[tuple[float, float]], center
     return rows.crossJoin(s).select("setting", key, "x", "xl", "m", "alpha", _memberships(F.col("x"), F.col("xl"), F.col("centers"), F.col("m"), F.col("alpha")).alias("u"))
 
 
-def _center_sums(k: int, dims: int) -> list[Column]:
-    w = lambda i: F.pow(F.get("u", F.lit(i)), F.col("m"))
-    value = lambda j: (F.get("x", F.lit(j)) + F.col("alpha") * F.get("xl", F.lit(j))) / (1 + F.col("alpha"))
-    return [F.sum(w(i) * value(j)).alias(f"s{i}_{j}") for i in range(k) for j in range(dims)] + [F.sum(w(i)).alias(f"n{i}") for i in range(k)]
+def _center_means(k: int) -> list[Column]:
+    """The new centres as vectors: means of the rows, lag and all, weighted by powers of their memberships."""
+    value = array_to_vector(F.zip_with("x", "xl", lambda x, l: (x + F.col("alpha") * l) / (1 + F.col("alpha"))))
+    return [Summarizer.mean(value, F.pow(F.get("u", F.lit(i)), F.col("m"))).alias(f"c{i}") for i in range(k)]
 
 
-def _centers_of(row, k: int, dims: int) -> np.ndarray:
-    return np.array([[row[f"s{i}_{j}"] / row[f"n{i}"] for j in range(dims)] for i in range(k)])
+def _centers_of(row, k: int) -> np.ndarray:
+    return np.array([row[f"c{i}"].toArray() for i in range(k)])
 
 
-def update_centers(u: DataFrame, k: int, dims: int) -> list[np.ndarray]:
-    """New centres of every setting: one grouped aggregate, k x dims sums a setting."""
-    got = u.groupBy("setting").agg(*_center_sums(k, dims)).orderBy("setting").collect()  # a row a setting
-    return [_centers_of(r, k, dims) for r in got]
+def update_centers(u: DataFrame, k: int) -> list[np.ndarray]:
+    """New centres of every setting: one grouped aggregate, k vectors a setting."""
+    got = u.groupBy("setting").agg(*_center_means(k)).orderBy("setting").collect()  # a row a setting
+    return [_centers_of(r, k) for r in got]
 
 
-def fuzzy_cmeans(rows: DataFrame, settings: Sequence[tuple[float, float]], k: int, dims: int, tol: float = 1e-4, max_iter: int = 100, seed: int = 456, key: str = "id", settle: bool = False) -> list[np.ndarray]:
+def fuzzy_cmeans(rows: DataFrame, settings: Sequence[tuple[float, float]], k: int, tol: float = 1e-4, max_iter: int = 100, seed: int = 456, key: str = "id", settle: bool = False) -> list[np.ndarray]:
     """Centres for each (m, alpha): starts from the k rows of smallest hash; a setting leaves the passes once no
     membership of it changes by more than ``tol``. With ``settle`` it is an error if one has not after ``max_iter``
     rounds. rows: (key, x, xl)."""
@@ -76,9 +78,9 @@ def fuzzy_cmeans(rows: DataFrame, settings: Sequence[tuple[float, float]], k: in
         of = lambda c: _memberships(F.col("x"), F.col("xl"), F.col(c), F.col("m"), F.col("alpha"))
         u = rows.crossJoin(F.broadcast(s)).select("setting", "x", "xl", "m", "alpha", of("centers").alias("u"), of("before").alias("v"))  # a row a setting
         moved = F.max(F.array_max(F.zip_with("u", "v", lambda p, q: F.abs(p - q)))).alias("moved")
-        for r in u.groupBy("setting").agg(*_center_sums(k, dims), moved).collect():
+        for r in u.groupBy("setting").agg(*_center_means(k), moved).collect():
             i = r["setting"]
-            before[i], centers[i] = centers[i], _centers_of(r, k, dims)
+            before[i], centers[i] = centers[i], _centers_of(r, k)
             if r["moved"] is not None and r["moved"] <= tol:
                 live.remove(i)
         if not live:

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.labels import error_class, gap_label
 
 
+# Fixed value: the status of a model that has predicted nothing.
+NO_PREDICTION = "non_disponible"
+
+
 def _states(df: DataFrame, n_states: int, name: str) -> DataFrame:
     return df.sparkSession.range(n_states).select(F.col("id").cast("int").alias(name))
 
@@ -112,6 +116,22 @@ def pontius(df: DataFrame, obs: str, pred: str, n_states: int) -> DataFrame:
     return t.select(ratio(p - k, 1 - k).alias("kappa"), ratio(p - k, m - k).alias("k_location"), ratio(m - k, 1 - k).alias("k_quantity"))
 
 
+def evaluate_predictions(predicted: DataFrame | None, obs: str, pred: str, n_states: int, model: str, with_pontius: bool = False) -> dict[str, DataFrame]:
+    """Full evaluation of one model's predictions: ``summary`` (model, status, kappa, accuracy: one row), ``confusion``,
+    ``classes`` and, if asked for, ``pontius``; no tables where there is no prediction (its status is ``NO_PREDICTION``)."""
+    if predicted is None or predicted.where(F.col(pred).isNotNull()).isEmpty():
+        return {}
+    named = lambda df: df.select(F.lit(model).alias("model"), "*")
+    out = {
+        "summary": named(scores(predicted, obs, pred).select(F.lit("ok").alias("status"), "kappa", "accuracy")),
+        "confusion": named(confusion(predicted, obs, pred, n_states)),
+        "classes": named(class_metrics(predicted, obs, pred, n_states)),
+    }
+    if with_pontius:
+        out["pontius"] = named(pontius(predicted, obs, pred, n_states))
+    return out
+
+
 def fold_summary(folds: DataFrame, value: str = "kappa") -> DataFrame:
     """Mean and sample deviation over folds that have a value; the deviation is null under two."""
     return folds.agg(F.round(F.avg(value), 3).alias("mean"), F.round(F.when(F.count(value) > 1, F.stddev_samp(value)), 3).alias("sd"))

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import covered
+from . import grid, overlay
 
 
 def weighted_median(df: DataFrame, keys: Sequence[str], value: str, weight: str, out: str, tie: str | None = None) -> DataFrame:
     """Interpolated weighted median of each group: rows without value or positive weight are left out; rows are
-    sorted by value (then ``tie``), and the value is read off where the centred running weight passes half."""
-    rows = df.where(F.col(value).isNotNull() & (F.col(weight) > 0)).select(*keys, F.col(value).cast("double").alias("_x"), F.col(weight).cast("double").alias("_w"), F.col(tie or value).alias("_t"))
+    sorted by value (then ``tie``, else the weight), and the value is read off where the centred running weight passes half."""
+    rows = df.where(F.col(value).isNotNull() & (F.col(weight) > 0)).select(*keys, F.col(value).cast("double").alias("_x"), F.col(weight).cast("double").alias("_w"), F.col(tie or weight).alias("_t"))
     by = Window.partitionBy(*keys).orderBy("_x", "_t")
     total = F.sum("_w").over(Window.partitionBy(*keys))
     rows = rows.withColumns({"_c": F.sum("_w").over(by.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_w") / 2, "_half": total / 2})
@@ -57,6 +59,27 @@ def aggregate_to_hex(cells: DataFrame, pieces: DataFrame, value: str, value_type
     return joined if add_coverage else joined.drop(f"{out}_cov")
 
 
+@dataclass(frozen=True)
+class Covariate:
+    """A source to bring onto the grid: polygons (poly and box), or with ``side`` raster cells (x, y, maybe band)."""
+
+    source: DataFrame
+    field: str
+    value_type: str
+    side: float | None = None
+    band: int = 1
+
+
+def aggregate_covariates(cells: DataFrame, items: dict[str, Covariate], width: float, min_coverage: float = 0.25) -> tuple[DataFrame, dict[str, str]]:
+    """The hexes (hex_id, …) with a column for each covariate, and the type of each by name."""
+    for name, c in items.items():
+        rows = c.source.where(F.col("band") == c.band) if c.side and "band" in c.source.columns else c.source
+        pieces = overlay.raster_pieces(rows, c.side, width) if c.side else overlay.hex_pieces(rows, width)
+        pieces = pieces.select(grid.hex_id(F.col("q"), F.col("r")).alias("hex_id"), c.field, "piece_area")
+        cells = aggregate_to_hex(cells, pieces, c.field, c.value_type, name, grid.hex_area(width), ["hex_id"], min_coverage=min_coverage)
+    return cells, {name: c.value_type for name, c in items.items()}
+
+
 def ratio_of_sums(pieces: DataFrame, keys: Sequence[str], value: Column, weight: Column, only: Column, out: str) -> DataFrame:
     """Weighted share over the pieces that ``only`` keeps."""
     return pieces.where(only).groupBy(*keys).agg((F.sum(weight * value) / F.sum(weight)).alias(out))

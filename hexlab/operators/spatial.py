@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import cut
+from . import grid
 
 
 def spatial_lag(values: DataFrame, edges: DataFrame, columns: Sequence[str], key: str = "hex_id", by: Sequence[str] = (), prefix: str = "lag_") -> DataFrame:
@@ -90,36 +91,53 @@ def _rank_within(rows: DataFrame, group: str, order: Sequence[str], out: str) ->
     return ranges.join(offset, [group, "_p"]).withColumn(out, F.col("_o") + F.row_number().over(inside)).drop("_p", "_o")
 
 
-def moran_permutations(values: DataFrame, edges: DataFrame, column: str = "value", key: str = "hex_id", sims: int = 999, seed: int = 1, batch: int = 100) -> DataFrame:
+#: Relabelled rows that one pass of a permutation test ranks at once.
+PERMUTED_ROWS = 50_000_000
+
+
+def moran_permutations(values: DataFrame, edges: DataFrame, column: str = "value", key: str = "hex_id", sims: int = 999, seed: int = 1, batch: int | None = None) -> DataFrame:
     """(moran_i, p_value, sims): share of random relabellings with an I as large, by hashed orders.
 
-    Each simulation gives the values to the hexes in the order of a hash; batches bound the rows at once.
+    Hexes are ranked once; each simulation gives the values to them in the order of a hash. A batch of
+    simulations is ranked by one sort; it holds ``batch`` simulations, or as many as ``PERMUTED_ROWS`` allow.
     """
     z, e = _moran_inputs(values, edges, column, key)
-    ranked = z.withColumn("_x", F.xxhash64(F.col(key)))
     spark = values.sparkSession
     m2 = z.agg(F.sum(F.col("z") * F.col("z")).alias("m2"), F.count("*").alias("n")).crossJoin(e.agg(F.sum("w").alias("s0")))
+    batch = batch or max(1, min(sims + 1, PERMUTED_ROWS // max(1, z.count())))
+    own = F.xxhash64(F.lit(0), key)
+    one = z.select(F.lit(0).alias("sim"), key, "z", own.alias("_h"))
+    places = cut(_rank_within(one, "sim", ["_h", key], "k").select(key, "k"))
     parts = []
     for first in range(0, sims + 1, batch):
         sim = spark.range(first, min(first + batch, sims + 1)).select(F.col("id").cast("int").alias("sim"))
+        rows = z.crossJoin(F.broadcast(sim))
         # simulation 0 keeps the values where they are
-        rows = ranked.select(key, "z").crossJoin(F.broadcast(sim))
-        here = F.xxhash64(F.lit(0), "sim", key)
-        a = _rank_within(rows.select("sim", key, here.alias("_h")), "sim", ["_h", key], "k").select("sim", key, "k")
-        b = _rank_within(rows.select("sim", key, "z", F.when(F.col("sim") == 0, here).otherwise(F.xxhash64(F.lit(seed), "sim", key)).alias("_h")), "sim", ["_h", key], "k").select("sim", "z", "k")
-        v = a.join(b, ["sim", "k"]).select("sim", key, "z")
+        rows = rows.select("sim", key, "z", F.when(F.col("sim") == 0, own).otherwise(F.xxhash64(F.lit(seed), "sim", key)).alias("_h"))
+        v = _rank_within(rows, "sim", ["_h", key], "k").select("sim", "z", "k").join(places, "k").select("sim", key, "z")
         c = e.join(v.select(F.col(key).alias("src"), "sim", F.col("z").alias("a")), "src").join(v.select(F.col(key).alias("dst"), "sim", F.col("z").alias("b")), ["dst", "sim"])
-        parts.append(c.groupBy("sim").agg(F.sum(F.col("w") * F.col("a") * F.col("b")).alias("c")))
+        parts.append(cut(c.groupBy("sim").agg(F.sum(F.col("w") * F.col("a") * F.col("b")).alias("c"))))
     every = parts[0]
     for p in parts[1:]:
         every = every.unionAll(p)
     i = every.crossJoin(F.broadcast(m2)).select("sim", (F.col("n") / F.col("s0") * F.col("c") / F.col("m2")).alias("i"))
-    own = i.where("sim = 0").select(F.col("i").alias("moran_i"))
-    return i.crossJoin(F.broadcast(own)).groupBy("moran_i").agg(
+    real = i.where("sim = 0").select(F.col("i").alias("moran_i"))
+    return i.crossJoin(F.broadcast(real)).groupBy("moran_i").agg(
         ((F.count_if((F.col("sim") > 0) & (F.col("i") >= F.col("moran_i") - 1e-12)) + 1) / F.lit(sims + 1)).alias("p_value"), (F.count("*") - 1).alias("sims")
     )
 
 
+def weight_tables(cells: DataFrame, key: str = "hex_id", max_dist: float = float("inf")) -> dict[str, DataFrame]:
+    """The four tables to compare for hexes (key, q, r, x, y): rook and queen contiguity (the same on hexes), 1 / d and
+    1 / d². All pairs weigh in unless ``max_dist`` says up to where; on more than some thousands of hexes, give it."""
+    near = grid.neighbours(cells.select(key, "q", "r"), key)
+    if max_dist == float("inf"):
+        box = cells.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+        max_dist = 1.0 + sum(v or 0.0 for v in box)
+    far = {f"inverse_distance{p if p > 1 else ''}": grid.inverse_distance(cells, max_dist, p, key) for p in (1, 2)}
+    return {"rook": near, "queen": near, **far}
+
+
 def compare_weights(values: DataFrame, tables: dict[str, DataFrame], column: str = "value", key: str = "hex_id", sims: int = 0) -> DataFrame:
     """Moran's I under each weight table, with a permutation p if ``sims``."""
     out = None

@@ -405,22 +405,39 @@ MORAN = """, e as (select src, dst, 1.0 / count(*) over (partition by src) as w
 
 
 @query(MORAN + """ select cast(n as bigint) as n, round(n/s0*c/m2, 6) as moran_i, round(-1/(n-1), 6) as expected,
- round((n*((n*n-3*n+3)*s1-n*s2+3*s0*s0) - n*m4/(m2*m2)*((n*n-n)*s1-2*n*s2+6*s0*s0))/((n-1)*(n-2)*(n-3)*s0*s0) - 1/((n-1)*(n-1)), 8) as variance from s""")
+ round((n*((n*n-3*n+3)*s1-n*s2+3*s0*s0) - n*m4/(m2*m2)*((n*n-n)*s1-2*n*s2+6*s0*s0))/((n-1)*(n-2)*(n-3)*s0*s0) - 1/((n-1)*(n-1)), 8) as variance,
+ round((n/s0*c/m2 + 1/(n-1)) / sqrt((n*((n*n-3*n+3)*s1-n*s2+3*s0*s0) - n*m4/(m2*m2)*((n*n-n)*s1-2*n*s2+6*s0*s0))/((n-1)*(n-2)*(n-3)*s0*s0) - 1/((n-1)*(n-1))), 4) as z from s""")
 def l3_l8_global_moran(spark, d):
     p = X.panel(spark, d).where("year = 1996")
     m = spatial.global_moran(p, edges(p), "severity", "cell")
-    return m.select("n", F.round("moran_i", 6).alias("moran_i"), F.round("expected", 6).alias("expected"), F.round("variance", 8).alias("variance"))
+    return m.select("n", F.round("moran_i", 6).alias("moran_i"), F.round("expected", 6).alias("expected"), F.round("variance", 8).alias("variance"), F.round("z", 4).alias("z"))
 
 
-@query(MORAN + """, f as (select src, dst, w / sum(w) over (partition by src) as w from (select a.cell as src, b.cell as dst, 1 / sqrt(pow((a.q + a.r/2.0) - (b.q + b.r/2.0), 2) + pow(sqrt(3.0)/2*(a.r - b.r), 2)) as w from fx4_panel a join fx4_panel b on a.year = 1996 and b.year = 1996 and a.cell <> b.cell where pow((a.q + a.r/2.0) - (b.q + b.r/2.0), 2) + pow(sqrt(3.0)/2*(a.r - b.r), 2) <= 9)),
- y as (select cell, severity - (select avg(severity) from fx4_panel where year = 1996) as z from fx4_panel where year = 1996)
- select 'queen' as weights, round(n/s0*c/m2, 6) as moran_i from s union all
- select 'distance', round((select count(*) from y) * (select sum(w*a.z*b.z) from f join y a on a.cell = f.src join y b on b.cell = f.dst) / (select sum(w) from f) / (select sum(z*z) from y), 6)""")
-def l5_compare_weights(spark, d):
+DISTANT = """, g as (select a.cell as src, b.cell as dst, 1 / sqrt(pow((a.q + a.r/2.0) - (b.q + b.r/2.0), 2) + pow(sqrt(3.0)/2*(a.r - b.r), 2)) as w from fx4_panel a join fx4_panel b on a.year = 1996 and b.year = 1996 and a.cell <> b.cell),
+ f as (select 1 as p, src, dst, w / sum(w) over (partition by src) as w from g union all select 2, src, dst, w * w / sum(w * w) over (partition by src) from g),
+ y as (select cell, severity - (select avg(severity) from fx4_panel where year = 1996) as z from fx4_panel where year = 1996),
+ i as (select f.p, (select count(*) from y) * sum(w * a.z * b.z) / sum(w) / (select sum(z * z) from y) as i from f join y a on a.cell = f.src join y b on b.cell = f.dst group by f.p)"""
+
+
+def weighted(spark, d):
+    """The panel of a year, and its four weight tables over all pairs (the cells of 10 km are some 60 at every size)."""
     p = X.panel(spark, d).where("year = 1996")
-    at = p.select("cell", grid.center_x(F.col("q"), F.col("r"), 1.0).alias("x"), grid.center_y(F.col("r"), 1.0).alias("y"))
-    t = spatial.compare_weights(p, {"queen": edges(p), "distance": grid.inverse_distance(at, 3.0, 1, "cell")}, "severity", "cell")
-    return t.select("weights", F.round("moran_i", 6).alias("moran_i"))
+    at = p.select("cell", "q", "r", grid.center_x(F.col("q"), F.col("r"), 1.0).alias("x"), grid.center_y(F.col("r"), 1.0).alias("y"))
+    return p, spatial.weight_tables(at, "cell")
+
+
+@query(MORAN + DISTANT + """ select unnest(['rook', 'queen']) as weights, round(n/s0*c/m2, 6) as moran_i from s union all
+ select case p when 1 then 'inverse_distance' else 'inverse_distance2' end, round(i, 6) from i""")
+def l5_compare_weights(spark, d):
+    p, tables = weighted(spark, d)
+    return spatial.compare_weights(p, tables, "severity", "cell").select("weights", F.round("moran_i", 6).alias("moran_i"))
+
+
+@query()
+def l5_l4_compare_weights_with_p(spark, d):
+    """The same with p from 999 relabellings under each table."""
+    p, tables = weighted(spark, d)
+    return spatial.compare_weights(p, tables, "severity", "cell", sims=999).select("weights", "moran_i", "p_value")
 
 
 @query()
@@ -506,7 +523,10 @@ def m14_vif(spark, d):
     return assoc.vif(covariates(spark, d), ["history", "noise"])
 
 
-@query()
+@query(""", c as (select p.cell, p.year, p.severity, (p.cell*7919+p.year*104729)%1009 as noise, coalesce((select sum(b.severity) from fx4_panel b where b.cell = p.cell and b.year between p.year-5 and p.year-1), 0) as history,
+  round(coalesce((select avg(case when b.severity > 0 then 1.0 else 0.0 end) from fx4_edges e join fx4_panel b on b.cell = e.dst and b.year = e.year where e.src = p.cell and e.year = p.year), 0), 3) as pressure from fx4_panel p),
+ k as (select """ + ", ".join(f"rank() over (order by {c}) + (count(*) over (partition by {c}) - 1) / 2.0 as {c}" for c in ("history", "pressure", "noise")) + """ from c)
+ select 'history' as a, 'pressure' as b, round(corr(history, pressure), 3) as rho from k union all select 'history', 'noise', round(corr(history, noise), 3) from k union all select 'pressure', 'noise', round(corr(pressure, noise), 3) from k""")
 def m13_spearman_matrix(spark, d):
     return assoc.spearman_matrix(covariates(spark, d), ["history", "pressure", "noise"])
 

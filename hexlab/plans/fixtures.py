@@ -108,11 +108,11 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def feat(spark: SparkSession, sf_dir: str, dims: int = 8) -> DataFrame:
-    """FX7: feature vectors on a lattice, the first ``dims`` components."""
+def feat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FX7: feature vectors on a lattice."""
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("id"),
-        F.transform(F.slice("embedding", 1, dims), lambda v: v.cast("double")).alias("x"),
+        F.transform("embedding", lambda v: v.cast("double")).alias("x"),
         "label",
         ((F.col("vec_id") * 37) % 23).cast("int").alias("q"),
         F.floor(F.col("vec_id") / 23).cast("int").alias("r"),
@@ -167,7 +167,7 @@ fx6_pairs as (
   select a.cell as hex_id, a.year as year_t, a.severity as state_t, b.severity as state_t1, a.cell%4 as block
   from fx4_panel a join fx4_panel b on a.cell=b.cell and b.year=a.year+1),
 fx7_feat as (
-  select vec_id as id, list_transform(embedding[1:8], lambda v: cast(v as double)) as x, label,
+  select vec_id as id, list_transform(embedding, lambda v: cast(v as double)) as x, label,
          cast((vec_id*37)%23 as int) as q, cast(floor(vec_id/23) as int) as r from embeddings)
 """
 

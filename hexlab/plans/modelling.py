@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import cluster, evaluate, grid, models, panel, report, spatial
-from ..sources.scratch import cut
+from ..sources import io
+from ..sources.scratch import cut, folder
 from . import basic
 from . import fixtures as X
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-DIMS = 8
+#: Components of the given vectors: all of them.
+DIMS = 64
 
 
 def query(sql: str | None = None):
@@ -26,7 +30,7 @@ def query(sql: str | None = None):
 
 
 def features(spark, d, lag=False):
-    rows = X.feat(spark, d, DIMS)
+    rows = X.feat(spark, d)
     if not lag:
         return rows.select("id", "x", F.col("x").alias("xl"), "q", "r", "label")
     e = grid.neighbours(rows.select("id", "q", "r"), "id")
@@ -59,14 +63,14 @@ LDIST = "(" + " + ".join(f"pow(l.l{j} - c.c{j}, 2)" for j in range(DIMS)) + ")"
  select u.label + 1 as cluster, round(sum(pow(u, 1.6) * (f.x[1] + 0.6 * l.l0) / 1.6) / sum(pow(u, 1.6)), 6) as c1, round(sum(pow(u, 1.6) * (f.x[2] + 0.6 * l.l1) / 1.6) / sum(pow(u, 1.6)), 6) as c2 from u join fx7_feat f on f.id = u.id join l on l.id = u.id group by u.label""")
 def c2_spatial_step(spark, d):
     rows = cut(features(spark, d, lag=True))
-    c = cluster.update_centers(cluster.memberships(rows, [(1.6, 0.6)], [start(rows)]), 4, DIMS)[0]
+    c = cluster.update_centers(cluster.memberships(rows, [(1.6, 0.6)], [start(rows)]), 4)[0]
     out = [(i + 1, round(float(v[0]), 6), round(float(v[1]), 6)) for i, v in enumerate(c)]
     return spark.createDataFrame(out, "cluster int, c1 double, c2 double")
 
 
 def fitted(spark, d, settings, tol):
     rows = cut(features(spark, d, lag=True))
-    centers = cluster.fuzzy_cmeans(rows, settings, 4, DIMS, tol=tol, max_iter=5000, settle=True)
+    centers = cluster.fuzzy_cmeans(rows, settings, 4, tol=tol, max_iter=5000, settle=True)
     return rows, centers, cluster.memberships(rows, settings, centers)
 
 
@@ -111,9 +115,9 @@ def a17_group_profile(spark, d):
     return cluster.group_profile(u, "v", F.col("u"), 4, ["label"], 0.2).select("label", "cluster", F.round("mean", 6).alias("mean"))
 
 
-@query("select id, k as dim, round(x[k + 1], 6) as value from fx7_feat, (select unnest(generate_series(0, 7)) as k)")
+@query("select id, k as dim, round(x[k + 1], 6) as value from fx7_feat, (select unnest(generate_series(0, 63)) as k)")
 def u4_long_form(spark, d):
-    rows = X.feat(spark, d, DIMS).select("id", *[F.get("x", F.lit(j)).alias(f"x{j}") for j in range(DIMS)])
+    rows = X.feat(spark, d).select("id", *[F.get("x", F.lit(j)).alias(f"x{j}") for j in range(DIMS)])
     long = rows.unpivot(["id"], [f"x{j}" for j in range(DIMS)], "dim", "value")
     return long.select("id", F.regexp_replace("dim", "x", "").cast("long").alias("dim"), F.round("value", 6).alias("value"))
 
@@ -163,21 +167,70 @@ def m2_random_forest(spark, d):
     return out.select("cell", "year_t", "state_t1", "predicted")
 
 
+def full_pairs(spark, d):
+    """Pairs with all covariates, and the block of a fold."""
+    return cut(pairs(spark, d)), ["history", "pressure", "noise"]
+
+
 @query()
 def m3_m18_m19_evaluation(spark, d):
-    p = cut(pairs(spark, d))
-    return report.evaluate_models(p, (1995, 1998), (1999, 2000), 4, report.registry(["pressure", "history"], 4, trees=50))
+    p, names = full_pairs(spark, d)
+    return report.evaluate_models(p, (1995, 1998), (1999, 2000), 4, report.registry(names, 4))["summary"]
+
+
+def markov_tables(spark, d):
+    return report.evaluate_models(X.pairs(spark, d), (1995, 1998), (1999, 2000), 4, {"Markov": report.registry([], 4)["Markov"]})
+
+
+@query(basic.CV + " select 'Markov' as model, block, round(kappa, 3) as kappa from kb")
+def m18_per_block(spark, d):
+    return markov_tables(spark, d)["per_block"]
+
+
+STATES = basic.RULE + ", m as (select s, (select count(*) from pr where state_t1 = s) as o, (select count(*) from pr where predicted = s) as p, (select count(*) from pr where state_t1 = s and predicted = s) as d, (select count(*) * 1.0 from pr) as n from st)"
+
+
+@query(STATES + " select 'Markov' as model, s as state, round(d * 1.0 / nullif(p, 0), 3) as precision, round(d * 1.0 / nullif(o, 0), 3) as recall, case when d > 0 then round(2.0 * d / (p + o), 3) end as f1, o as support from m")
+def m18_a25_classes(spark, d):
+    return markov_tables(spark, d)["classes"]
+
+
+@query(STATES + """, t as (select sum(d) / max(n) as p, sum(o * p) / max(n) / max(n) as k, sum(least(o, p)) / max(n) as m from m)
+ select 'Markov' as model, round((p-k)/nullif(1-k, 0), 3) as kappa, round((p-k)/nullif(m-k, 0), 3) as k_location, round((m-k)/nullif(1-k, 0), 3) as k_quantity from t""")
+def m18_m19_a25_pontius(spark, d):
+    return markov_tables(spark, d)["pontius"]
+
+
+@query(basic.RULE + """ select 'Markov' as model, a.s as observed, b.s as predicted, count(pr.hex_id) as n, coalesce(round(100.0 * count(pr.hex_id) / nullif(sum(count(pr.hex_id)) over (partition by a.s), 0), 1), 0) as pct
+ from (select unnest([0,1,2,3]) as s) a cross join (select unnest([0,1,2,3]) as s) b left join pr on pr.state_t1 = a.s and pr.predicted = b.s group by a.s, b.s""")
+def m18_a25_confusion(spark, d):
+    return markov_tables(spark, d)["confusion"]
 
 
 @query()
 def a25_m22_quick_comparison(spark, d):
-    p = evaluate.split_years(pairs(spark, d), (1995, 1998), (1999, 2000))
-    train, test = cut(p.where("split = 'train'").drop("split")), cut(p.where("split = 'test'").drop("split"))
-    out = None
-    for name, predict in report.registry(["pressure"], 4, trees=50).items():
-        row = evaluate.scores(predict(train, test), "state_t1", "predicted").select(F.lit(name).alias("model"), "*")
-        out = row if out is None else out.unionAll(row)
-    return out
+    p, names = full_pairs(spark, d)
+    return report.quick_comparison(p, (1995, 1998), (1999, 2000), report.registry(names, 4))
+
+
+@query(""", c as (select p.cell, p.severity as y, coalesce((select sum(b.severity) from fx4_panel b where b.cell = p.cell and b.year between p.year-5 and p.year-1), 0) * 1.0 as u, ((p.cell*7919+p.year*104729)%1009) * 1.0 as v from fx4_panel p where p.year = 2000),
+ s as (select count(*) * 1.0 as n, covar_pop(y, u) as yu, covar_pop(y, v) as yv, covar_pop(u, v) as uv, var_pop(u) as uu, var_pop(v) as vv, var_pop(y) as yy from c),
+ r as (select n, n * (yy - (yu * (yu*vv - yv*uv) + yv * (yv*uu - yu*uv)) / (uu*vv - uv*uv)) as sse, yy from s)
+ select 'OLS' as model, 'ok' as status, round(n * (ln(2*pi()) + ln(sse/n) + 1) + 8, 4) as aic, round(n * (ln(2*pi()) + ln(sse/n) + 1) + 4*ln(n), 4) as bic, round(1 - sse / (n * yy), 4) as pseudo_r2, round(-n/2 * (ln(2*pi()) + ln(sse/n) + 1), 4) as log_lik, cast(n as bigint) as n from r""")
+def m22_m11_cross_section(spark, d):
+    """The regressions of one year, from a panel that is cached where it is not yet; the OLS row has a closed form."""
+    path = f"{folder(spark)}/panel-{uuid.uuid4().hex}"
+    regions = ["all"]
+    for _ in range(2):  # built, then from the cache
+        p, groups = report.panel_for_models(spark, path, regions, 10000.0, lambda: build_and_cache(spark, d, path, regions))
+    t = report.cross_section(p, basic.edges(p.where("year = 2000")), 2000, sorted(c for c, g in groups.items() if "group2" in g), key="cell")
+    return t.where("model = 'OLS'").select("model", "status", *[F.round(c, 4).alias(c) for c in ("aic", "bic", "pseudo_r2", "log_lik")], "n")
+
+
+def build_and_cache(spark, d, path, regions):
+    groups = {"history": ["group1", "group2"], "noise": ["group1", "group2"], "pressure": ["group1"]}
+    io.write_panel(basic.covariates(spark, d).select("cell", "year", "q", "r", "severity", *groups), path, regions, 10000.0, groups)
+    return io.cached_panel(spark, path, regions, 10000.0)
 
 
 @query(""", p as (select c.cell, y.year, coalesce(p.severity, 0) as severity from fx4_cells c cross join (select distinct year from fx4_panel) y left join fx4_panel p on p.cell = c.cell and p.year = y.year)

@@ -11,7 +11,7 @@ from ..functions import geometry as G
 from ..functions import labels as L
 from ..operators import extent, grid, hexagg, overlay, panel
 from ..sources import io
-from ..sources.scratch import cut
+from ..sources.scratch import cut, folder
 from . import fixtures as X
 
 QUERIES: dict = {}
@@ -96,16 +96,33 @@ def j1_hex_grid(spark, d):
     return overlay.hex_grid(hull(spark, d), WIDTH).select("q", "r", F.round("hex_area", 3).alias("hex_area"))
 
 
-@query("select patch_id, round((xmax-xmin)*(ymax-ymin), 1) as area from fx2_patch")
+def pieces_sql(source: str, keys: str, w: float = WIDTH) -> str:
+    """Areas of boxes in hexes: what both share at a height is linear between the heights at which a side of one
+    meets a side or corner of the other, so the trapezoids between these are exact."""
+    s = math.sqrt(3)
+    h, reach = w * s / 2, w / s
+    half = lambda y: f"least({w / 2}, greatest(0, ({reach} - abs({y} - cy)) * {s}))"
+    shared = lambda y: f"greatest(0, least(xmax, cx + {half(y)}) - greatest(xmin, cx - {half(y)}))"
+    heights = ", ".join(["ymin", "ymax", "cy", *(f"cy {way} {at}" for way in "+-" for at in (reach, reach / 2, f"({reach} - abs(xmin - cx) / {s})", f"({reach} - abs(xmax - cx) / {s})"))])
+    return f"""hx as (select *, {w} * (q + r / 2.0) as cx, {h} * r as cy from (select *, unnest(generate_series(cast(ceil((xmin - {w / 2}) / {w} - r / 2.0) as int), cast(floor((xmax + {w / 2}) / {w} - r / 2.0) as int))) as q
+  from (select *, unnest(generate_series(cast(ceil((ymin - {reach}) / {h}) as int), cast(floor((ymax + {reach}) / {h}) as int))) as r from {source}))),
+ hy as (select *, list_sort(list_transform([{heights}], lambda y: greatest(ymin, least(ymax, cast(y as double))))) as ys from hx),
+ pieces as (select {keys}, cast(q as int) as q, cast(r as int) as r, list_sum(list_transform(generate_series(1, 10), lambda i: (ys[i + 1] - ys[i]) * ({shared("ys[i + 1]")} + {shared("ys[i]")}) / 2)) as area from hy)"""
+
+
+@query(", " + pieces_sql("fx2_patch", "patch_id") + " select patch_id, q, r, round(area, 1) as area from pieces where round(area, 1) > 0")
 def j3_hex_overlay(spark, d):
     pieces = overlay.hex_pieces(patches(spark, d), WIDTH)
-    return pieces.groupBy("patch_id").agg(F.round(F.sum("piece_area"), 1).alias("area"))
+    return pieces.select("patch_id", "q", "r", F.round("piece_area", 1).alias("area")).where("area > 0")
+
 
+SQUARES = ", squares as (select distinct cell_id, x - 1000 as xmin, y - 1000 as ymin, x + 1000 as xmax, y + 1000 as ymax from fx3_cell_daily), "
 
-@query("select distinct cell_id, cast(1 as double) as fraction from fx3_cell_daily")
+
+@query(SQUARES + pieces_sql("squares", "cell_id") + " select cell_id, q, r, round(area / 4000000, 6) as fraction from pieces where round(area / 4000000, 6) > 0")
 def j4_raster_overlay(spark, d):
     cells = X.cell_daily(spark, d).select("cell_id", "x", "y").distinct()
-    return overlay.raster_pieces(cells, 1000.0, WIDTH).groupBy("cell_id").agg(F.round(F.sum("fraction"), 6).alias("fraction"))
+    return overlay.raster_pieces(cells, 2000.0, WIDTH).select("cell_id", "q", "r", F.round("fraction", 6).alias("fraction")).where("fraction > 0")
 
 
 @query(""", c as (select floor(x/5000) as i, floor(y/5000) as j, avg(value) as v from fx1_site group by 1, 2), w as (select site_id, x/5000 as u, y/5000 as v from fx1_site)
@@ -158,7 +175,20 @@ def a13_a16_yearly_report(spark, d):
     return r.select("year", F.round("Léger", 2).alias("leger"), F.round("Modéré", 2).alias("modere"), F.round("Grave", 2).alias("grave"), "touched_ha", "touched_pct", "polygons")
 
 
-@query()
+HEX_ID = "cast(q as bigint) * 4294967296 + cast(r as bigint) + 2147483648"
+
+
+def hexes_sql(a: float, b: float, c: float, e: float, w: float = WIDTH) -> str:
+    """Hexes that overlap the box (a, b, c, e), by their shadows on the axes of their sides."""
+    s = math.sqrt(3)
+    sat = " and ".join(f"abs((cx - {(a + c) / 2}) * ({u}) + (cy - {(b + e) / 2}) * ({v})) < {h + (c - a) / 2 * abs(u) + (e - b) / 2 * abs(v) - 1e-6}" for u, v, h in ((1, 0, w / 2), (0, 1, w / s), (0.5, s / 2, w / 2), (-0.5, s / 2, w / 2)))
+    return f"hexes as (select {HEX_ID} as hex_id, q, r from (select q, r, {w} * (q + r/2.0) as cx, {w * s / 2} * r as cy from (select unnest(generate_series(-30, 60)) as q), (select unnest(generate_series(-30, 60)) as r)) where {sat})"
+
+
+@query(", " + pieces_sql("fx2_patch", "year, ia") + ", " + hexes_sql(0, 0, X1, Y1) + f""", sums as (select {HEX_ID} as hex_id, year, ia, sum(area) as a from pieces where area > 1e-5 group by all),
+ best as (select hex_id, year, arg_max(ia, struct_pack(a := a, ia := -ia)) as ia, sum(a) / {grid.hex_area(WIDTH)} as cov from sums group by hex_id, year)
+ select h.hex_id, y.year, case when coalesce(cov, 0) >= 0.25 then case ia when 1 then 'Léger' when 2 then 'Modéré' else 'Grave' end end as level, round(coalesce(cov, 0), 6) as coverage, case when coalesce(cov, 0) >= 0.25 then ia else 0 end as severity
+ from hexes h cross join (select distinct year from fx2_patch) y left join best b on b.hex_id = h.hex_id and b.year = y.year""")
 def a4_a6_severity_per_hex(spark, d):
     """Severity of every hex of the zone in every year, by area; hexes that are hardly covered have none."""
     g = overlay.hex_grid(zone(spark, d), WIDTH)
@@ -180,6 +210,37 @@ def a5_a11_raster_covariates(spark, d):
     return hexagg.weighted_median(rows, ["hex_id", "season"], "minimum", "fraction", "tmin", "cell_id").select("hex_id", "season", F.round("tmin", 4).alias("tmin"))
 
 
+def median_sql(name: str, source: str, keys: str, value: str, weight: str) -> str:
+    """Interpolated weighted medians of (keys, value, weight) rows of a source."""
+    return f"""{name}_c as (select {keys}, {value} as x, sum({weight}) over (partition by {keys} order by {value}, {weight} rows unbounded preceding) - {weight}/2 as c, sum({weight}) over (partition by {keys})/2 as half, {weight} as w from {source} where {value} is not null),
+ {name}_l as (select *, lag(x) over (partition by {keys} order by x, c) as px, lag(c) over (partition by {keys} order by x, c) as pc from {name}_c),
+ {name} as (select {keys}, case when any_value(half) <= min(c) then min(x) else coalesce(max(case when pc < half and c >= half then px + (x-px)*(half-pc)/(c-pc) end), max(x)) end as v, sum(w) as area from {name}_l group by {keys})"""
+
+
+@query(", one as (select * from fx2_patch where year = 1996), " + pieces_sql("one", "patch_id, ia") + SQUARES + pieces_sql("squares", "cell_id").replace("hx", "kx").replace("hy", "ky").replace("pieces", "tiles") + ", " + hexes_sql(0, 0, X1, Y1)
+ + f""", sums as (select {HEX_ID} as hex_id, ia, sum(area) as a from pieces where area > 1e-5 group by all),
+ lev as (select hex_id, arg_max(ia, struct_pack(a := a, ia := -ia)) as ia, sum(a) as a from sums group by hex_id),
+ wide as (select {HEX_ID} as hex_id, cast(patch_id % 97 as double) as x, area from pieces where area > 1e-5), """ + median_sql("wid", "wide", "hex_id", "x", "area") + f""",
+ cold as (select cell_id, year(date) + case when month(date) = 12 then 1 else 0 end as season, round(min(value), 1) as x from fx3_cell_daily where month(date) in (12, 1, 2) group by 1, 2),
+ tmin as (select {HEX_ID} as hex_id, x, area from tiles join cold using (cell_id) where season = 1997 and area > 1e-5), """ + median_sql("tm", "tmin", "hex_id", "x", "area") + f"""
+ select h.hex_id, case when lev.a / {grid.hex_area(WIDTH)} >= 0.25 then lev.ia end as severity, case when wid.area / {grid.hex_area(WIDTH)} >= 0.25 then round(wid.v, 4) end as width, case when tm.area / {grid.hex_area(WIDTH)} >= 0.25 then round(tm.v, 4) end as tmin
+ from hexes h left join lev on lev.hex_id = h.hex_id left join wid on wid.hex_id = h.hex_id left join tm on tm.hex_id = h.hex_id""")
+def a5_covariates(spark, d):
+    """Three covariates of two types brought onto the grid from a list: two of polygons, one of a raster band."""
+    p = patches(spark, d).where("year = 1996").withColumns({"rank": L.severity_rank(F.col("level")), "key97": (F.col("patch_id") % 97).cast("double")})
+    daily = X.cell_daily(spark, d)
+    cold = panel.winter_minimum(daily).withColumns({"band": F.col("season"), "value": F.round("minimum", 1)}).select("cell_id", "band", "value")
+    raster = daily.select("cell_id", "x", "y").distinct().join(cold, "cell_id")
+    items = {
+        "severity": hexagg.Covariate(p, "rank", "ordinal"),
+        "width": hexagg.Covariate(p, "key97", "continuous"),
+        "tmin": hexagg.Covariate(raster, "value", "continuous", side=2000.0, band=1997),
+    }
+    out, kinds = hexagg.aggregate_covariates(overlay.hex_grid(zone(spark, d), WIDTH), items, WIDTH)
+    assert kinds == {"severity": "ordinal", "width": "continuous", "tmin": "continuous"}
+    return out.select("hex_id", "severity", F.round("width", 4).alias("width"), F.round("tmin", 4).alias("tmin"))
+
+
 AGE = "case cl_age when '10' then 10.0 when '3050' then 30.0 when '120' then 120.0 when 'JIN' then 30.0 when 'VIR' then 90.0 when '7090' then 70.0 end"
 
 
@@ -222,9 +283,7 @@ def s5_named_feature(spark, d):
 
 @query("select category as parameter, cast(site_id % 7 + 1995 as int) as year, 'f' || site_id as name from fx1_site where category = 'FURNITURE' and site_id % 7 + 1995 in (1996, 1998)")
 def s6_s14_csv_index(spark, d):
-    from ..sources import scratch
-
-    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or scratch._own_folder()).rstrip('/')}/index-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/index-{uuid.uuid4().hex}"
     s = X.site(spark, d).select(F.col("category").alias("parameter"), (F.col("site_id") % 7 + 1995).cast("int").alias("year"), F.concat(F.lit("f"), F.col("site_id").cast("string")).alias("name"))
     io.write_report(s, path)
     return io.csv_index(spark, path, "parameter string, year int, name string", ("parameter", "FURNITURE"), ("year", [1996, 1998]))
@@ -260,9 +319,7 @@ def s11_years_needed(spark, d):
 
 @query("select cell, year, severity from fx4_panel")
 def s12_s13_panel_cache(spark, d):
-    from ..sources import scratch
-
-    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or scratch._own_folder()).rstrip('/')}/panel-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/panel-{uuid.uuid4().hex}"
     io.write_panel(X.panel(spark, d).select("cell", "year", "severity"), path, ["A"], 10000.0, {"history": ["g1", "g2"], "noise": ["g2"]})
     return io.read_panel(spark, path, ["A"], 10000.0).select("cell", "year", "severity")
 

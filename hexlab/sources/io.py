@@ -98,6 +98,15 @@ def read_panel(spark: SparkSession, path: str, regions: Sequence[str], cellsize:
     return spark.read.parquet(f"{path}/panel")
 
 
+def cached_panel(spark: SparkSession, path: str, regions: Sequence[str], cellsize: float) -> tuple[DataFrame, dict[str, list[str]]] | None:
+    """The panel and the groups of its covariates, or None where nothing has been cached."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/meta/_SUCCESS")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    groups = spark.read.parquet(f"{path}/meta").first()["groups"]
+    return read_panel(spark, path, regions, cellsize), {k: list(v) for k, v in groups.items()}
+
+
 def covariates_of(spark: SparkSession, path: str, group: str) -> list[str]:
     """Covariates of a model group; a covariate without a group belongs to both."""
     groups = spark.read.parquet(f"{path}/meta").first()["groups"]

@@ -6,7 +6,7 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 @functools.lru_cache(maxsize=1)
@@ -14,9 +14,17 @@ def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="spark-hexlab-")
 
 
+def folder(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir; where that is unset, a temporary one under a local master (tests)."""
+    set_ = spark.conf.get("spark.checkpoint.dir", None)
+    if not set_ and spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (set_ or _own_folder()).rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder of spark.checkpoint.dir and read back (a temporary one only if that is unset)."""
+    """``df`` written to the shared folder and read back."""
     spark = df.sparkSession
-    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or _own_folder()).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -185,7 +185,7 @@ def test_memberships_add_up_and_objective_falls(spark):
     rows = spark.createDataFrame([(i, v.tolist(), v.tolist()) for i, v in enumerate(x)], "id int, x array<double>, xl array<double>")
     last = None
     for n in (1, 2, 4, 8):
-        c = cluster.fuzzy_cmeans(rows, [(2.0, 0.5)], 3, 2, max_iter=n)
+        c = cluster.fuzzy_cmeans(rows, [(2.0, 0.5)], 3, max_iter=n)
         u = cluster.memberships(rows, [(2.0, 0.5)], c).collect()
         assert all(sum(r["u"]) == pytest.approx(1) for r in u)
         value = sum(r["u"][k] ** 2 * 1.5 * float(((np.array(r["x"]) - c[0][k]) ** 2).sum()) for r in u for k in range(3))
@@ -201,10 +201,10 @@ def test_fuzzy_settings_run_until_they_settle(spark):
     rows = spark.createDataFrame(data, "id int, x array<double>, xl array<double>").coalesce(1)
     settings = [(1.2, 0.0), (2.0, 0.5)]
     with pytest.raises(RuntimeError):
-        cluster.fuzzy_cmeans(rows, settings, 3, 2, max_iter=2, settle=True)
-    c = cluster.fuzzy_cmeans(rows, settings, 3, 2, tol=1e-4, max_iter=500, settle=True)
+        cluster.fuzzy_cmeans(rows, settings, 3, max_iter=2, settle=True)
+    c = cluster.fuzzy_cmeans(rows, settings, 3, tol=1e-4, max_iter=500, settle=True)
     here = cluster.memberships(rows, settings, c)
-    more = cluster.memberships(rows, settings, cluster.update_centers(here, 3, 2))
+    more = cluster.memberships(rows, settings, cluster.update_centers(here, 3))
     a, b = ({(r["setting"], r["id"]): np.array(r["u"]) for r in u.collect()} for u in (here, more))
     assert max(float(np.abs(a[i] - b[i]).max()) for i in a) <= 1e-4
 
