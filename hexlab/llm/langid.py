@@ -1,12 +1,13 @@
 """Language identification: a bidirectional gated recurrent network over bytes, trained in numpy.
 
-The network reads a segment (a run of bytes between white space, cut at ``LONGEST`` bytes, with a space
-before and after) in both directions and gives every position a distribution over the languages. A document
-is the mean over the positions of all of its segments. The recurrence starts anew at each segment, so equal
-segments have equal outputs and a task computes each of them once.
+The network reads the bytes of a document in both directions, across words, and gives every position a distribution
+over the languages; a document's is the mean over its positions. So that documents of any length are read side
+by side, a text is cut into windows of ``CORE`` bytes; each is read with the ``WARM`` bytes before and
+behind it, whose positions only bring the states up to date and do not count.
 
-It is trained by backpropagation through time on the driver, on the segments of at most ``TRAIN_ROWS`` labelled
-rows (a bounded sample, the rows of the smallest hashes of doc_id); prediction covers every whole text.
+It is trained by backpropagation through time on the driver, on windows of ``TRAIN_BYTES`` bytes: at most
+``TRAIN_WINDOWS``, from all over the text, of each of at most ``TRAIN_ROWS`` labelled rows (a bounded sample, the rows
+of the smallest hashes of doc_id); prediction covers every whole text.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; repeated rows are predicted
 each; without any labelled row everything is ``und``; an empty table gives an empty result; other columns
@@ -24,29 +25,29 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-#: Labelled rows that training takes at most, and the bytes of a segment.
-TRAIN_ROWS = 2000
-LONGEST = 24
+#: Labelled rows that training takes at most, windows of each of them, and the bytes of such a window.
+TRAIN_ROWS, TRAIN_WINDOWS, TRAIN_BYTES = 2000, 8, 64
+#: Bytes of a window that count, and those that are read before and behind them.
+CORE, WARM = 480, 32
+#: Windows that are read side by side.
+TOGETHER = 2048
 UNKNOWN = "und"
 
 
-def segments(text: str) -> list[bytes]:
-    """The segments of a whole text, in order."""
+def windows(raw: bytes) -> list[tuple[bytes, int, int]]:
+    """The windows of a text: what is read, and from where to where its positions count."""
     out = []
-    for word in text.encode("utf-8", "surrogatepass").split():
-        if len(word) <= LONGEST:
-            out.append(word)
-        else:
-            out += [word[i : i + LONGEST] for i in range(0, len(word), LONGEST)]
+    for at in range(0, len(raw), CORE):
+        low, end = max(0, at - WARM), min(len(raw), at + CORE)
+        out.append((raw[low : end + WARM], at - low, end - low))
     return out
 
 
-def as_matrix(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of the segments with a space at both ends, zeros behind; and their lengths."""
-    length = np.array([len(w) + 2 for w in words])
-    x = np.zeros((len(words), int(length.max(initial=2))), dtype=np.uint8)
-    flat = np.frombuffer(b"".join(b" " + w + b" " for w in words), dtype=np.uint8)
-    x[np.arange(x.shape[1])[None, :] < length[:, None]] = flat
+def as_matrix(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the texts, zeros behind; and their lengths."""
+    length = np.array([len(w) for w in texts])
+    x = np.zeros((len(texts), int(length.max(initial=1))), dtype=np.uint8)
+    x[np.arange(x.shape[1])[None, :] < length[:, None]] = np.frombuffer(b"".join(texts), dtype=np.uint8)
     return x, length
 
 
@@ -99,21 +100,43 @@ class Gru:
         at = np.maximum(length[None, :] - 1 - np.arange(x.shape[1])[:, None], 0)
         return np.concatenate([there, np.take_along_axis(back, at[:, :, None], axis=0)], axis=2)
 
-    def positions(self, x: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Probabilities at every position: columns, rows, languages."""
-        v = self._both(x, length) @ self.p["out"] + self.p["bias"]
-        e = np.exp(v - v.max(axis=2, keepdims=True))
-        return e / e.sum(axis=2, keepdims=True)
-
-    def pooled(self, words: list[bytes]) -> np.ndarray:
-        """Sums of the position probabilities of each segment; by length, so little padding is read."""
-        out = np.zeros((len(words), len(self.languages)), dtype=np.float32)
-        order = np.argsort([len(w) for w in words], kind="stable")
-        for i in range(0, len(order), 2048):
-            part = order[i : i + 2048]
-            x, length = as_matrix([words[k] for k in part])
-            inside = np.arange(x.shape[1])[:, None] < length[None, :]
-            out[part] = (self.positions(x, length) * inside[:, :, None]).sum(axis=0)
+    def _steps(self, way: str, x: np.ndarray) -> Iterator[np.ndarray]:
+        """The states after each column of x, one at a time."""
+        h = self.hidden
+        table, zr, c = self.p["in" + way], self.p["zr" + way], self.p["c" + way]
+        half = np.concatenate([np.full(2 * h, 0.5, np.float32), np.ones(h, np.float32)])
+        table, zr = table * half, zr * np.float32(0.5)  # a sigmoid is a tanh of half the argument
+        s = np.zeros((len(x), h), dtype=np.float32)
+        for column in np.ascontiguousarray(x.T):
+            a = table[column]
+            gates = a[:, : 2 * h] + s @ zr
+            np.tanh(gates, out=gates)
+            gates *= 0.5
+            gates += 0.5
+            n = a[:, 2 * h :] + (gates[:, h:] * s) @ c
+            np.tanh(n, out=n)
+            s = n + gates[:, :h] * (s - n)
+            yield s
+
+    def pooled(self, parts: list[tuple[bytes, int, int]]) -> np.ndarray:
+        """Sums of the probabilities at the positions that count, of each window; by length, so little padding is read."""
+        h, out = self.hidden, np.zeros((len(parts), len(self.languages)), dtype=np.float32)
+        order = np.argsort([len(p[0]) for p in parts], kind="stable")
+        for i in range(0, len(order), TOGETHER):
+            part = order[i : i + TOGETHER]
+            x, length = as_matrix([parts[k][0] for k in part])
+            low, high = (np.array([parts[k][j] for k in part]) for j in (1, 2))
+            there = np.empty((x.shape[1], len(part), len(self.languages)), dtype=np.float32)
+            for t, s in enumerate(self._steps("f", x)):
+                np.matmul(s, self.p["out"][:h], out=there[t])
+            rows, sums = np.arange(len(part)), np.zeros((len(part), len(self.languages)), dtype=np.float32)
+            for t, s in enumerate(self._steps("b", self._turned(x, length))):
+                at = length - 1 - t
+                v = there[np.maximum(at, 0), rows] + s @ self.p["out"][h:] + self.p["bias"]
+                np.exp(v - v.max(axis=1, keepdims=True), out=v)
+                v /= v.sum(axis=1, keepdims=True)
+                sums += v * ((low <= at) & (at < high))[:, None]
+            out[part] = sums
         return out
 
     def gradients(self, x: np.ndarray, length: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, dict]:
@@ -155,8 +178,8 @@ class Gru:
             g |= {"in" + way: g_in, "zr" + way: g_zr, "c" + way: g_c}
         return loss, g
 
-    def fit(self, words: list[bytes], label: np.ndarray, weight: np.ndarray, steps: int = 250, batch: int = 512, rate: float = 0.01, seed: int = 11) -> Gru:
-        """Adam on random batches of segments, drawn in proportion to their weight."""
+    def fit(self, words: list[bytes], label: np.ndarray, weight: np.ndarray, steps: int = 250, batch: int = 256, rate: float = 0.01, seed: int = 11) -> Gru:
+        """Adam on random batches of windows, drawn in proportion to their weight."""
         rng = np.random.default_rng(seed)
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -183,47 +206,52 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, **fit) -> Gru | None:
     open_ = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     # the numbers first: a sort with a limit sends as many rows from every task to the driver
     picked = [r[0] for r in open_.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()]
-    sample = open_.where(F.col("doc_id").isin(picked)).select("doc_id", "lang", "text").distinct().collect()
-    counts: dict[tuple[bytes, str], float] = {}
-    for r in sorted(sample, key=lambda r: (r["doc_id"], r["lang"], r["text"])):
-        words = segments(r["text"])
-        for w in words:  # every document weighs the same
-            counts[w, r["lang"]] = counts.get((w, r["lang"]), 0.0) + 1 / len(words)
-    if not counts:
+
+    def pieces(texts: pd.Series) -> pd.Series:
+        """Windows at even distances over the whole text."""
+        out = []
+        for t in texts:
+            raw = t.encode("utf-8", "surrogatepass")
+            n = min(TRAIN_WINDOWS, -(-len(raw) // TRAIN_BYTES))
+            last = max(0, len(raw) - TRAIN_BYTES)
+            out.append([raw[at : at + TRAIN_BYTES] for at in (last * k // max(1, n - 1) for k in range(n))])
+        return pd.Series(out)
+
+    sample = open_.where(F.col("doc_id").isin(picked)).select("doc_id", "lang", F.pandas_udf(pieces, "array<binary>")("text").alias("pieces")).distinct().collect()
+    found = [(bytes(w), r["lang"], 1 / len(r["pieces"])) for r in sorted(sample, key=lambda r: (r["doc_id"], r["lang"], r["pieces"])) for w in r["pieces"] if len(w)]
+    if not found:
         return None
-    languages = sorted({lang for _, lang in counts})
-    label = np.array([languages.index(lang) for _, lang in counts])
-    weight = np.array(list(counts.values()))
+    languages = sorted({lang for _, lang, _ in found})
+    label = np.array([languages.index(lang) for _, lang, _ in found])
+    weight = np.array([w for _, _, w in found])  # every document weighs the same
     weight /= np.bincount(label, weights=weight)[label]  # and every language
-    return Gru(languages).fit([w for w, _ in counts], label, weight, **fit)
+    return Gru(languages).fit([w for w, _, _ in found], label, weight, **fit)
 
 
 class Labeller:
-    """Labels whole texts; keeps what the network gave for each segment, as rows of one table."""
+    """Labels whole texts."""
 
-    def __init__(self, net: Gru | None, limit: int = 150_000):
-        self.net, self.limit = net, limit
-        self.row: dict[bytes, int] = {}
-        self.table = np.zeros((0, len(net.languages) if net else 0), dtype=np.float32)
+    def __init__(self, net: Gru | None):
+        self.net = net
 
     def __call__(self, texts: list) -> tuple[list[str], list[float]]:
-        known = [t if self.net is not None and t is not None and any(map(str.isalpha, t)) else None for t in texts]
-        parts = [segments(t) if t is not None else [] for t in known]
-        if len(self.row) > self.limit:
-            self.row, self.table = {}, self.table[:0]
-        new = list({w for p in parts for w in p}.difference(self.row))
-        if new:
-            self.row.update(zip(new, range(len(self.row), len(self.row) + len(new)), strict=True))
-            self.table = np.concatenate([self.table, self.net.pooled(new)])
-        names, scores = [], []
-        for t, p in zip(known, parts, strict=True):
-            if t is None:
-                names.append(UNKNOWN)
-                scores.append(0.0)
-                continue
-            pooled = self.table[list(map(self.row.__getitem__, p))].sum(axis=0, dtype=np.float64)
-            names.append(self.net.languages[int(pooled.argmax())])
-            scores.append(float(min(1.0, pooled.max() / pooled.sum())))
+        names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        if self.net is None:
+            return names, scores
+        known = [i for i, t in enumerate(texts) if t is not None and any(map(str.isalpha, t))]
+        step: list[int] = []
+        for at, i in enumerate(known):
+            step.append(i)
+            if sum(len(texts[k]) for k in step) > CORE * TOGETHER or at == len(known) - 1:  # about one round of windows
+                parts, of = [], []
+                for k in step:
+                    mine = windows(texts[k].encode("utf-8", "surrogatepass"))
+                    parts += mine
+                    of += [k] * len(mine)
+                pooled = pd.DataFrame(self.net.pooled(parts).astype(np.float64)).groupby(np.array(of)).sum()
+                for k, p in zip(pooled.index, pooled.to_numpy(), strict=True):
+                    names[k], scores[k] = self.net.languages[int(p.argmax())], float(min(1.0, p.max() / p.sum()))
+                step = []
         return names, scores
 
 
@@ -246,15 +274,20 @@ def identify(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     return predict(docs, train(docs, rows)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
+def keep_identified(docs: DataFrame, least: float = 1.2) -> DataFrame:
     """The documents whose language is found: texts that are null or have no letter go, and those whose best
-    language has a score under ``least``. The column ``lang`` is left as it is."""
+    language has a score under ``least`` times chance (one over the number of languages). Without a labelled row
+    every text with a letter stays. The column ``lang`` is left as it is."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs))
 
-    def scores(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        label = Labeller(shared.value)
+    def found(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        net = shared.value
+        label = Labeller(net)
         for t in texts:
-            yield pd.Series(label(t.tolist())[1], dtype=float)
+            if net is None:
+                yield t.map(lambda x: x is not None and any(map(str.isalpha, x))).astype(bool)
+            else:
+                yield pd.Series([n != UNKNOWN and s >= min(1.0, least / len(net.languages)) for n, s in zip(*label(t.tolist()), strict=True)], dtype=bool)
 
     small_batches(docs.sparkSession)
-    return docs.where(F.pandas_udf(scores, "double")("text") >= least)
+    return docs.where(F.pandas_udf(found, "boolean")("text"))

@@ -41,7 +41,7 @@ from .common import components, cut, partitions, small_batches
 #: Members of an anchor that one task compares; larger anchors are dealt over several.
 BLOCK = 4096
 #: Comparisons and links held at once.
-CHUNK = 1 << 19
+CHUNK = 1 << 17
 #: Bits of every byte value, lowest first.
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -224,7 +224,7 @@ def near_links(distinct: DataFrame, threshold: int = 3, wide: int | None = None)
 
         for x in batches:
             held.append(x)
-            if sum(map(len, held)) >= 100_000:
+            if sum(map(len, held)) >= 40_000:
                 x = pd.concat(held, ignore_index=True)
                 other = np.flatnonzero((x["anchor"].to_numpy() != x["anchor"].iat[-1]) | (x["block"].to_numpy() != x["block"].iat[-1]))
                 ends = int(other[-1]) + 1 if len(other) else 0  # the last group may go on in the next batch

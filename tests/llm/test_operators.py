@@ -391,6 +391,42 @@ def test_language_gradients():
             assert abs((up - down) / (2 * e) - g[k][at]) < 1e-5
 
 
+def plain_reading(net, raw):
+    """Position by position, without batches: the mean of the distributions, and the states that go on across words."""
+    h, p = net.hidden, {k: v.astype(np.float64) for k, v in net.p.items()}
+
+    def read(way, letters):
+        s, out = np.zeros(h), []
+        for b in letters:
+            a = p["in" + way][b]
+            z, r = np.split(1 / (1 + np.exp(-(a[: 2 * h] + s @ p["zr" + way]))), 2)
+            n = np.tanh(a[2 * h :] + (r * s) @ p["c" + way])
+            s = (1 - z) * n + z * s
+            out.append(s)
+        return out
+
+    total = np.zeros(len(net.languages))
+    for at in range(0, len(raw), langid.CORE):
+        low, end = max(0, at - langid.WARM), min(len(raw), at + langid.CORE)
+        part = raw[low : end + langid.WARM]
+        for i, (f, b) in enumerate(zip(read("f", part), read("b", part[::-1])[::-1], strict=True)):
+            if at <= low + i < end:
+                e = np.exp(np.concatenate([f, b]) @ p["out"] + p["bias"])
+                total += e / e.sum()
+    return total / total.sum()
+
+
+def test_language_against_a_plain_reading():
+    net = langid.Gru(["a", "b", "c"], hidden=4)
+    rng = random.Random(3)
+    texts = [prose(n, rng) for n in (1, 3, 40, 90, 260)] + ["日本語" * 200, "x" * langid.CORE, "y" * (langid.CORE + 1), None, "12"]
+    names, scores = langid.Labeller(net)(texts)
+    for t, name, score in zip(texts[:-2], names, scores, strict=False):
+        want = plain_reading(net, t.encode())
+        assert name == net.languages[int(want.argmax())] and abs(score - want.max()) < 1e-4
+    assert names[-2:] == ["und", "und"] and scores[-2:] == [0.0, 0.0]
+
+
 def test_language(spark, nothing):
     rng = random.Random(8)
     vocab = {"aa": ["der", "und", "die", "schön", "nicht"], "bb": ["el", "que", "año", "pero", "los"]}
@@ -412,7 +448,11 @@ def test_language(spark, nothing):
     kept = langid.keep_identified(df)
     assert kept.columns == df.columns and kept.count() == len(rows) - 3
     assert langid.identify(nothing).count() == 0
-    assert {r["lang_pred"] for r in langid.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+    unlabelled = df.withColumn("lang", F.lit(None).cast("string"))
+    assert {r["lang_pred"] for r in langid.identify(unlabelled).collect()} == {"und"}
+    assert langid.keep_identified(unlabelled).count() == len(rows) - 3
+    odd = df.withColumns({c: F.lit("odd") for c in ("score", "lang_pred", "held_out", "pieces", "window")})
+    assert {(r["doc_id"], r["lang_pred"]) for r in langid.identify(odd).collect()} == {(r["doc_id"], r["lang_pred"]) for r in got}
 
 
 def test_toxicity(spark, nothing):
