@@ -273,9 +273,10 @@ def brute_top(vectors, k, every=50):
     return sorted(out)
 
 
-@pytest.mark.parametrize("shard", [7, 4096])
+@pytest.mark.parametrize("shard", [30, 4096])
 def test_maxscore(spark, monkeypatch, shard):
     monkeypatch.setattr(maxscore, "SHARD", shard)
+    monkeypatch.setattr(maxscore, "AROUND", shard)
     rng = np.random.default_rng(3)
     vectors = [(i, rng.normal(0, 0.2, 6).astype(np.float32).tolist()) for i in range(160)]
     vectors += [(200, [0.0] * 6), (250, [1.0] * 6), (251, [1.0] * 6), (252, [1.0] * 6), (300, None), (301, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (350, [float("nan")] * 6), (351, [float("inf")] + [0.0] * 5), (None, [1.0] * 6), (400, [0.5, 0.5])]
@@ -285,6 +286,28 @@ def test_maxscore(spark, monkeypatch, shard):
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == brute_top(vectors, 5)
     empty = maxscore.whole_numbers(df.where("vec_id < 0"))
     assert maxscore.top_k(empty, empty).count() == 0
+    odd = df.withColumns({c: F.lit("odd") for c in ("shard", "size", "block", "v", "pivot", "query_id", "score")})
+    again = maxscore.whole_numbers(odd)
+    assert sorted(map(tuple, maxscore.top_k(again, again.where("vec_id % 50 = 0"), 5).collect())) == sorted(map(tuple, got))
+
+
+def test_maxscore_bounds_bite(spark, monkeypatch):
+    """Clustered vectors: exact, and most of them are never scored; components of any size."""
+    monkeypatch.setattr(maxscore, "SHARD", 64)
+    monkeypatch.setattr(maxscore, "AROUND", 50)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 1, (12, 16))
+    x = (centres[rng.integers(0, 12, 1500)] + rng.normal(0, 0.05, (1500, 16))).astype(np.float32)
+    vectors = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    v = maxscore.whole_numbers(df)
+    q = v.where("vec_id % 50 = 0")
+    assert sorted(map(tuple, maxscore.top_k(v, q, 5).collect())) == brute_top(vectors, 5)
+    share = maxscore.scored_share(v, q, 5)
+    assert 0 < share < 0.5, share
+    large = [(i, (np.float32(s) * np.array(v[:4], dtype=np.float32)).tolist()) for (i, v), s in zip(vectors[:200], [1e6, 3e3, 1.0, 2e7] * 50, strict=True)]
+    v = maxscore.whole_numbers(spark.createDataFrame(large, "vec_id long, embedding array<float>"))
+    assert sorted(map(tuple, maxscore.top_k(v, v.where("vec_id % 50 = 0"), 5).collect())) == brute_top(large, 5)
 
 
 def test_bpe(docs, nothing):
