@@ -1,6 +1,7 @@
 """Each operator against brute force on small tables with nulls, empty and long texts, copies and odd columns."""
 
 import hashlib
+import os
 import random
 import zlib
 from collections import Counter
@@ -501,9 +502,52 @@ def test_toxicity(spark, nothing):
     assert toxicity.classify(nothing, none).count() == 0 and toxicity.classify(docs, none).count() == len(rows)
 
 
-def test_licenses(spark, docs, nothing):
+WRAPPED = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+
+
+def test_licenses(spark, docs, nothing, tmp_path):
     mit = next(t for name, t in licenses.KNOWN if name == "MIT")
     rows = [(1, "Copyright (c) 2001 Someone\n\n" + mit.upper().replace(" NOTICE", "\n  NOTICE").replace("COPYRIGHT", "\nCOPYRIGHT")), (2, "Text.\nReleased under the MIT LICENCE!\nMore.\nAll rights reserved."), (3, None), (4, ""), (2, "Text."), (None, "All Rights Reserved"), (5, mit + " and more")]
-    got = {(r["doc_id"], r["n_notices"], r["license"], r["notices"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {(1, 0, "MIT", ""), (2, 2, None, "MIT,reserved"), (3, 0, None, ""), (4, 0, None, ""), (2, 0, None, ""), (None, 1, "reserved", "reserved"), (5, 0, None, "")}
+    rows += [(6, WRAPPED), (7, "A story.\n\n" + WRAPPED.split("\n\n", 2)[2] + "\n\nIts end.\n" * 3000), (8, WRAPPED.replace("hereby", "not"))]
+    got = {(r["doc_id"], r["n_notices"], r["license"], r["notices"], r["contained"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {g for g in got if g[0] not in (6, 7)} == {(1, 0, "MIT", "", "MIT"), (2, 2, None, "MIT,reserved", ""), (3, 0, None, "", ""), (4, 0, None, "", ""), (2, 0, None, "", ""), (None, 1, "reserved", "reserved", "reserved"), (5, 0, None, "", ""), (8, 0, None, "", "")}
+    assert {g for g in got if g[0] in (6, 7)} == {(6, 0, "MIT", "", "MIT"), (7, 0, None, "", "MIT")}
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(nothing).count() == 0
+
+
+def test_every_known_licence_is_found_whole_and_inside(spark):
+    rows = [(i, name, "© 1999 A. N. Other\n" + text.replace(", ", ",\n").upper()) for i, (name, text) in enumerate(licenses.KNOWN)]
+    df = spark.createDataFrame(rows, "doc_id long, name string, text string")
+    inside = df.withColumn("text", F.concat(F.lit("Before it.\n\n"), "text", F.lit("\n \nAnd after it.")))
+    names = {i: {n for n, t in licenses.KNOWN if t.rstrip(".") == licenses.KNOWN[i][1].rstrip(".")} for i, *_ in rows}
+    assert all(r["license"] in names[r["doc_id"]] for r in licenses.scan(df).collect())
+    assert all(r["license"] is None and set(r["contained"].split(",")) <= names[r["doc_id"]] and r["contained"] for r in licenses.scan(inside).collect())
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="the long texts are not on this machine")
+def test_long_licences(spark):
+    files = {"GPL-3.0": "GPL-3", "GPL-2.0": "GPL-2", "LGPL-2.1": "LGPL-2.1", "Apache-2.0": "Apache-2.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    rows = [(i, name, open(f"/usr/share/common-licenses/{f}", encoding="utf-8").read().replace("\n", "\r\n")) for i, (name, f) in enumerate(files.items())]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, name string, text string")).collect()
+    assert {r["doc_id"]: r["license"] for r in got} == {i: name for i, name, _ in rows}
