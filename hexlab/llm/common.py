@@ -8,6 +8,8 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -83,6 +85,28 @@ def bucket_of(key, bounds: list, low: int = 0):
     )
 
 
+#: Most bits of a map that is broadcast: 64 MB.
+MAP_BITS = 29
+
+
+def bitmap(keys: DataFrame, column: str, count: int) -> tuple[int, Broadcast]:
+    """A broadcast bit map of 64-bit keys; at most 2**MAP_BITS bits, some 16 for each key below that. A filter only: it
+    never misses a key, and lets more others pass the fuller it is."""
+    bits = min(MAP_BITS, max(15, (16 * max(1, count)).bit_length()))
+    slot = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
+    found = keys.select((slot + 1).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")).collect()
+    whole = np.zeros(1 << (bits - 3), dtype=np.uint8)
+    for r in found:
+        whole[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+    return bits, keys.sparkSession.sparkContext.broadcast(whole)
+
+
+def listed(whole: np.ndarray, bits: int, keys: np.ndarray) -> np.ndarray:
+    """Numbers of the keys that the map may hold."""
+    s = keys & ((1 << bits) - 1)
+    return np.flatnonzero(whole[s >> 3] >> (s & 7).astype(np.uint8) & 1)
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Connected components of edges (a, b): one row (node, root) for every node, root the smallest reachable.
 
@@ -98,10 +122,11 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     before = None
     for _ in range(rounds):
         both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # minima are written, so that the joins stand on plain exchanges and a hub's rows can be split
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = cut(large.where("u <> v").distinct())
+        down = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = (
             large.join(down, "u")
             .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
@@ -120,4 +145,4 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(roots)
 
 
-__all__ = ["BATCH_ROWS", "F", "Window", "bucket_of", "components", "cut", "partitions", "scratch", "small_batches", "table"]
+__all__ = ["BATCH_ROWS", "F", "Window", "bitmap", "bucket_of", "clear", "collecting", "components", "cut", "listed", "partitions", "scratch", "small_batches", "table"]

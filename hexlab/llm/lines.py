@@ -3,10 +3,11 @@
 A line is what lies between line feeds, without spaces, tabs and carriage returns at its ends; blank lines
 have no number and are neither compared nor deleted. Of every ``window`` successive lines of a document the
 one with the smallest hash (the last such) is a fingerprint, so two documents that share a run of
-``window`` lines share a fingerprint in it. Fingerprints that occur once are dropped; the others are joined
-by hash, and each match is extended to both sides up to the ``window`` - 1 lines beyond which the next
-fingerprint takes over. A run of ``window`` lines or more that occurs earlier (by doc_id, then position)
-is deleted, so the first occurrence of each run stays.
+``window`` lines share a fingerprint in it. Fingerprints that occur once are dropped. The others meet by their lines: a
+match is extended from the fingerprint to both sides, window by window, as far as the ``window`` - 1 lines beyond
+which the next fingerprint takes over, so matches of any length are covered piece by piece. Hashes only
+choose what is compared; windows meet by their whole lines. A run of ``window`` lines or more that occurs
+earlier (by doc_id, then position) is deleted, so the first occurrence of each run stays.
 
 Defined cases: a null text stays null; rows with equal doc_id and text are one document; null ids come last;
 documents with fewer lines than a window lose nothing; a document may repeat itself; other columns pass
@@ -17,12 +18,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import cut, small_batches
+from .common import bitmap, cut, listed, small_batches
 
 BLANKS = " \t\r"
 
@@ -54,31 +56,40 @@ def without(text: str, starts: list[int], window: int) -> tuple[str, int]:
 def repeated_runs(docs: DataFrame, window: int = 2) -> DataFrame:
     """(doc_id, text_key, starts): numbers of the lines at which a window begins that occurs earlier."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def prints(text: str) -> tuple[list[str], list[int], np.ndarray]:
+        """The lines that are not blank, the places of the fingerprints among them, and their hashes."""
+        lines, places = numbered(text)
+        own = [lines[i].strip(BLANKS) for i in places]
+        hashes = [xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - 2**63 for x in own]
+        at = winnow(hashes, window)
+        return own, at, np.array([hashes[p] for p in at], dtype=np.int64)
+
+    def only_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            out = []
-            for doc, key, text in zip(x["doc"], x["text_key"], x["text"], strict=True):
-                lines, places = numbered(text)
-                hashes = [xxh64_intdigest(lines[i].strip(BLANKS).encode("utf-8", "surrogatepass")) - 2**63 for i in places]
-                padded = [None] * (window - 1) + hashes + [None] * (window - 1)
-                out += [(doc, key, p, hashes[p], padded[p : p + 2 * window - 1]) for p in winnow(hashes, window)]
-            yield pd.DataFrame(out, columns=["doc", "text_key", "place", "hash", "around"])
+            yield pd.DataFrame({"hash": np.concatenate([*(prints(t)[2] for t in x["text"]), np.zeros(0, dtype=np.int64)])})
 
     small_batches(docs.sparkSession)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc")
+    # equal rows are one document
     rows = docs.where("text is not null").select(key, F.xxhash64("text").alias("text_key"), "text")
-    prints = cut(rows.mapInPandas(run, "doc long, text_key long, place int, hash long, around array<long>"))
-    # both tables are written, so that the joins stand on plain exchanges and a hot line can be split
-    shared = cut(prints.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
-    matched = prints.join(shared, "hash", "left_semi")
-    side = F.explode(F.sequence(F.lit(0), F.lit(window - 1))).alias("side")
-    runs = matched.select("doc", "text_key", "place", "around", side).select(
-        F.struct("doc", "text_key", (F.col("place") - (window - 1) + F.col("side")).alias("start")).alias("at"),
-        F.slice("around", F.col("side") + 1, window).alias("run"),
-    )
-    runs = runs.where(~F.exists("run", lambda h: h.isNull()))
-    first = cut(runs.groupBy("run").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").select("run", "first"))
-    later = runs.join(first, "run").where("at > first").select("at.*")
+    shared = cut(rows.select("text").mapInPandas(only_hashes, "hash long").groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
+    bits, known = bitmap(shared, "hash", shared.count())
+
+    def extended(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            out = []
+            for doc, key, text in zip(x["doc"], x["text_key"], x["text"], strict=True):
+                own, at, hashes = prints(text)
+                on = listed(known.value, bits, hashes) if len(at) else []
+                starts = {s for k in on for s in range(max(0, at[k] - window + 1), min(at[k], len(own) - window) + 1)}
+                out += [(doc, key, s, "\n".join(own[s : s + window])) for s in sorted(starts)]
+            yield pd.DataFrame(out, columns=["doc", "text_key", "start", "run"])
+
+    # both tables are written, so that the join stands on plain exchanges and a hot line can be split
+    runs = cut(rows.mapInPandas(extended, "doc long, text_key long, start int, run string"))
+    at = F.struct("doc", "text_key", "start")
+    first = cut(runs.groupBy("run").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").select("run", "first"))
+    later = runs.join(first, "run").where(at > F.col("first")).select("doc", "text_key", "start")
     return later.groupBy("doc", "text_key").agg(F.array_sort(F.collect_set("start")).alias("starts"))
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from .common import cut, partitions, small_batches
+from .common import bitmap, cut, listed, partitions, small_batches
 
 #: Symbols of an anchor string, by unit: powers of two.
 GRAM = {"byte": 32, "word": 8}
@@ -46,8 +46,6 @@ Unit = Literal["byte", "word"]
 #: Contexts that a collection takes before it is closed, and those of one anchor string that a task takes.
 COLLECTION = 16384
 LARGE = 50_000
-#: Most bits of the map of repeated anchor strings that is broadcast: 64 MB.
-MAP_BITS = 29
 
 _LETTER = np.random.default_rng(5).integers(0, 2**64, 256, dtype=np.uint64)
 
@@ -136,22 +134,6 @@ def repeated(contexts: list[bytes], before: np.ndarray, length: int, unit: Unit
     return list(zip(k.tolist(), (start[cuts] - low[k]).tolist(), (start[ends] - low[k] + length).tolist(), strict=True))
 
 
-def _bitmap(grams_: DataFrame, count: int) -> tuple[int, object]:
-    """A broadcast bit map of anchor strings; at most 2**MAP_BITS bits, some 16 for each string below that."""
-    bits = min(MAP_BITS, max(15, (16 * max(1, count)).bit_length()))
-    slot = F.col("gram").bitwiseAND(F.lit((1 << bits) - 1))
-    found = grams_.select((slot + 1).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")).collect()
-    whole = np.zeros(1 << (bits - 3), dtype=np.uint8)
-    for r in found:
-        whole[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
-    return bits, grams_.sparkSession.sparkContext.broadcast(whole)
-
-
-def _listed(whole: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
-    s = h & ((1 << bits) - 1)
-    return np.flatnonzero(whole[s >> 3] >> (s & 7).astype(np.uint8) & 1)
-
-
 def _rows(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(text).alias("text_key"), text.alias("text"))
@@ -171,7 +153,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, unit: Unit = "byte") -> D
 
     # anchor strings that occur once are not written: a bit map keeps most of them out of the second pass
     shared = cut(rows.select("text").mapInPandas(only_grams, "gram long").groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
-    bits, listed = _bitmap(shared, shared.count())
+    bits, known = bitmap(shared, "gram", shared.count())
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -179,7 +161,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, unit: Unit = "byte") -> D
             for doc, key, text in zip(x["doc"], x["text_key"], x["text"], strict=True):
                 raw = symbols(text, unit)
                 h, _, first, last = anchors(raw, length, unit)
-                if len(on := _listed(listed.value, bits, h)):
+                if len(on := listed(known.value, bits, h)):
                     h, first, last = h[on], first[on], last[on]
                     one, two = _halves([xxh3_128_digest(raw[a:b]) for a, b in zip((z * first).tolist(), (z * (last + length)).tolist(), strict=True)])
                     out.append(pd.DataFrame({"gram": h, "one": one, "two": two, "doc": doc, "text_key": key, "start": first, "end": last + length}))
@@ -205,9 +187,9 @@ def repeated_spans(docs: DataFrame, length: int = 400, unit: Unit = "byte") -> D
     return spans.groupBy("doc", "text_key").agg(F.collect_set("span").alias("spans"))
 
 
-def _by_columns(rows: DataFrame, listed: DataFrame, count: int, length: int, unit: Unit) -> DataFrame:
+def _by_columns(rows: DataFrame, wanted: DataFrame, count: int, length: int, unit: Unit) -> DataFrame:
     z = SIZE[unit]
-    bits, shared = _bitmap(listed, count)
+    bits, shared = bitmap(wanted, "gram", count)
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[bytes] = set()
@@ -216,7 +198,7 @@ def _by_columns(rows: DataFrame, listed: DataFrame, count: int, length: int, uni
             for text in x["text"]:
                 raw = symbols(text, unit)
                 h, place, first, last = anchors(raw, length, unit)
-                for i in _listed(shared.value, bits, h).tolist():
+                for i in listed(shared.value, bits, h).tolist():
                     context = raw[z * first[i] : z * (last[i] + length)]
                     digest = xxh3_128_digest(context)
                     if digest not in seen:
@@ -226,7 +208,7 @@ def _by_columns(rows: DataFrame, listed: DataFrame, count: int, length: int, uni
                 seen.clear()
             yield pd.DataFrame(out, columns=["gram", "one", "two", "before", "context"])
 
-    met = rows.select("text").mapInPandas(contexts, "gram long, one long, two long, before int, context binary").join(listed, "gram", "left_semi")
+    met = rows.select("text").mapInPandas(contexts, "gram long, one long, two long, before int, context binary").join(wanted, "gram", "left_semi")
     dealt = met.repartition(partitions(rows.sparkSession), "gram").sortWithinPartitions("gram", "one", "two")
 
     def collect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -265,22 +247,22 @@ def _by_columns(rows: DataFrame, listed: DataFrame, count: int, length: int, uni
     return cut(dealt.mapInPandas(collect, "gram long, one long, two long, low long, high long"))
 
 
-def _by_windows(rows: DataFrame, listed: DataFrame, count: int, length: int, unit: Unit) -> DataFrame:
+def _by_windows(rows: DataFrame, wanted: DataFrame, count: int, length: int, unit: Unit) -> DataFrame:
     """The same for anchor strings with very many contexts: every window by its hash."""
     z = SIZE[unit]
-    bits, shared = _bitmap(listed, count)
+    bits, shared = bitmap(wanted, "gram", count)
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             for text in x["text"]:
                 raw = symbols(text, unit)
                 h, _, first, last = anchors(raw, length, unit)
-                for i in _listed(shared.value, bits, h).tolist():
+                for i in listed(shared.value, bits, h).tolist():
                     one, two = np.frombuffer(xxh3_128_digest(raw[z * first[i] : z * (last[i] + length)]), dtype="<i8").tolist()
                     a, b = _halves([xxh3_128_digest(raw[z * p : z * (p + length)]) for p in range(first[i], last[i] + 1)])
                     yield pd.DataFrame({"gram": h[i], "one": one, "two": two, "low": np.arange(len(a)), "a": a, "b": b})
 
-    met = rows.select("text").mapInPandas(windows, "gram long, one long, two long, low long, a long, b long").join(listed, "gram", "left_semi")
+    met = rows.select("text").mapInPandas(windows, "gram long, one long, two long, low long, a long, b long").join(wanted, "gram", "left_semi")
     met = cut(met.dropDuplicates(["gram", "one", "two", "low"]))
     more = met.groupBy("gram", "a", "b").agg(F.count("*").alias("n")).where("n > 1").select("gram", "a", "b")
     return cut(met.join(more, ["gram", "a", "b"], "left_semi").select("gram", "one", "two", "low", (F.col("low") + length).alias("high")))
