@@ -176,12 +176,13 @@ def tokenizer(spec: str, end: int) -> Callable[[str], bytes]:
     return ids
 
 
-def pack(docs: DataFrame, vocabulary: str, end: int = 2, tokens: int = 4096, segments: int = 256, loss: int = 4096, masked: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, end: int = 2, tokens: int = 4096, segments: int = 256, loss: int = 4096, masked: str | None = None, prompt: str | None = None) -> DataFrame:
     """Pieces (doc_id, start, length, ids, doc_tokens, sequence_id, offset) of all documents.
 
     ``vocabulary`` is the path of the tokenizer on the driver, broadcast as text (bounded, whatever the data).
     ``masked`` names a column with the number of leading tokens that bear no loss (instructions); by default
-    all tokens bear loss. ``sequence_id`` is the number of the partition times 2**33 plus a count.
+    all tokens bear loss. ``prompt`` names a column with a text that goes before the document's own, apart from it by a
+    line feed; its tokens bear no loss either. ``sequence_id`` is the number of the partition times 2**33 plus a count.
     """
     with open(vocabulary, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -204,8 +205,11 @@ def pack(docs: DataFrame, vocabulary: str, end: int = 2, tokens: int = 4096, seg
         count = 0
         for x in batches:
             pieces = []
-            for doc_id, text, skip in zip(x["doc_id"].astype("Int64"), x["text"], x["masked"], strict=True):
+            for doc_id, head, text, skip in zip(x["doc_id"].astype("Int64"), x["prompt"], x["text"], x["masked"], strict=True):
                 ids = encode(text or "")
+                if head:
+                    before = encode(head)[:-4]  # without the end
+                    ids, skip = before + ids, len(before) // 4
                 n = len(ids) // 4
                 held[count] = [doc_id, ids, n, n]
                 pieces += packer.add(count, n, int(skip))
@@ -216,6 +220,7 @@ def pack(docs: DataFrame, vocabulary: str, end: int = 2, tokens: int = 4096, seg
 
     small_batches(docs.sparkSession)
     skip = F.coalesce(F.col(masked).cast("long"), F.lit(0)) if masked else F.lit(0).cast("long")
-    return docs.select(F.col("doc_id").cast("long"), "text", skip.alias("masked")).mapInPandas(
+    head = F.col(prompt) if prompt else F.lit(None).cast("string")
+    return docs.select(F.col("doc_id").cast("long"), head.alias("prompt"), "text", skip.alias("masked")).mapInPandas(
         run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     )

@@ -85,7 +85,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_simhash, op3_toxicity, op4_repeats, op5_licenses, op6_line_dedup, op7_maxscore, op8_bpe, op9_language_id, op10_packing)}
+def packing_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packing operator on instruction data: every reply with the turn before it as a prompt that bears no loss, under
+    a limit of 2,048 loss-bearing tokens and 64 segments a sequence. The id is that of the conversation."""
+    import public_tokenizers
+
+    from .packing import pack
+
+    turns = table(spark, sf_dir, "conversations")
+    reply = turns.where("role = 'assistant'").select("conv_id", "turn", "text")
+    before = turns.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("prompt"))
+    rows = reply.join(before, ["conv_id", "turn"], "left").withColumnRenamed("conv_id", "doc_id")
+    pieces = pack(rows, public_tokenizers.path("word_bpe_49k.json"), segments=64, loss=2048, prompt="prompt")
+    return pieces.select(F.col("doc_id").alias("conv_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_simhash, op3_toxicity, op4_repeats, op5_licenses, op6_line_dedup, op7_maxscore, op8_bpe, op9_language_id, op10_packing, packing_instructions)}
 
 
 def _sql() -> dict[str, str]:

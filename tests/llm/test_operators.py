@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -321,6 +322,7 @@ def test_bpe(docs, nothing):
         want = t.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(bytes(r["ids"]), "<u4").tolist() == want and r["decoded"] == t.decode(want, skip_special_tokens=False) == text
     assert bpe.encode_decode(nothing, path).count() == 0
+    assert [bytes(r["ids"]) for r in bpe.encode_decode(docs, path).where("doc_id is null").collect()] == [np.array(t.encode("stray text here", add_special_tokens=False).ids, dtype="<u4").tobytes()]
     b = bpe.load(open(path, encoding="utf-8").read())
     rng = random.Random(9)
     letters = "ab 's\n\t \x85 éÉ12.!|<>日本'll don't \x1c\U0001d538́"
@@ -357,6 +359,28 @@ def test_packing(docs, nothing):
     assert packing.pack(nothing, path).count() == 0
 
 
+def test_packing_of_instructions(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    t.no_truncation()
+    t.no_padding()
+    rng = random.Random(12)
+    rows = [(i, prose(rng.randint(0, 90), rng) or None, prose(rng.randint(0, 400), rng)) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, question string, text string").coalesce(2)
+    pieces = packing.pack(df, path, tokens=512, segments=6, loss=200, prompt="question").collect()
+    ids = {i: (t.encode(q or "", add_special_tokens=False).ids, t.encode(a, add_special_tokens=False).ids + [2]) for i, q, a in rows}
+    seq, seen = {}, {}
+    for p in pieces:
+        head, tail = ids[p["doc_id"]]
+        assert np.frombuffer(bytes(p["ids"]), "<u4").tolist() == (head + tail)[p["start"] : p["start"] + p["length"]] and p["doc_tokens"] == len(head + tail)
+        seen[p["doc_id"]] = seen.get(p["doc_id"], 0) + p["length"]
+        seq.setdefault(p["sequence_id"], []).append((p["length"], max(0, p["start"] + p["length"] - max(p["start"], len(head)))))
+    assert seen == {i: len(a) + len(b) for i, (a, b) in ids.items()}
+    loss = [sum(x for _, x in s) for s in seq.values()]
+    assert all(len(s) <= 6 and sum(n for n, _ in s) <= 512 for s in seq.values()) and max(loss) <= 200
+    assert sum(x > 180 for x in loss) > 20  # the limit on loss-bearing tokens is what closes sequences
+
+
 @pytest.mark.parametrize(("segments", "loss"), [(256, 4096), (3, 4096), (256, 900), (1, 4096)])
 def test_packer_keeps_all_limits(segments, loss):
     rng = random.Random(segments * loss)
@@ -479,6 +503,28 @@ def test_language(spark, nothing):
     assert {(r["doc_id"], r["lang_pred"]) for r in langid.identify(odd).collect()} == {(r["doc_id"], r["lang_pred"]) for r in got}
 
 
+def test_toxicity_scores_by_a_plain_sum():
+    """Each category: bias, weights of the distinct words' letter runs, weights of the earlier probabilities."""
+    rng = random.Random(16)
+    texts = [prose(25, rng) + (" badterm" if i % 3 == 0 else "") + (" spamterm" if i % 4 == 0 else "") for i in range(240)]
+    labels = np.array([[int(i % 4 == 0), int(i % 3 == 0)] for i in range(240)])
+    chain = toxicity.Chain.train(texts, labels, list(range(240)), ["junk", "toxic"])
+    assert all(link.weights for link in chain.links) and [len(link.earlier) for link in chain.links] == [0, 1]
+    score = chain.scorer()
+    known = {f for t in texts for w in toxicity.words(t) for f in toxicity.runs(w)}
+    for t in [*texts[:30], "badterm spamterm", "", None, "BADTERM badterm", "x" * 5000]:
+        out = []
+        for link in chain.links:
+            total = link.bias + sum(a * b for a, b in zip(link.earlier, out, strict=True))
+            for w in {x for x in re.findall(r"[^\W\d_]+", (t or "").casefold())}:
+                marked = f"^{w}$"
+                for f in {marked} | {marked[i : i + n] for n in (4, 5) for i in range(len(marked) - n + 1)}:
+                    total += link.weights.get(zlib.crc32(f.encode()), 0.0) if f in known else 0.0
+            out.append(1 / (1 + np.exp(-np.clip(total, -40, 40))))
+        assert np.allclose(score(t), out, atol=1e-9)
+    assert np.mean([(score(t)[1] >= 0.5) == bool(y[1]) for t, y in zip(texts, labels, strict=True)]) > 0.95
+
+
 def test_toxicity(spark, nothing):
     rng = random.Random(6)
     rows, labels = [], []
@@ -498,6 +544,9 @@ def test_toxicity(spark, nothing):
     held = [r for r in got if r["doc_id"] is not None and 300 <= r["doc_id"] < 400]
     assert np.mean([(r["toxic"] >= 0.5) == truth[r["doc_id"]] for r in held]) > 0.95
     assert next(r for r in got if r["doc_id"] == 900)["toxic"] < 0.5
+    odd = docs.withColumns({c: F.lit("odd") for c in ("junk", "toxic", "quality", "label")}).unionByName(spark.createDataFrame([(None, "vileworda words", *["odd"] * 4)], "doc_id long, text string, junk string, toxic string, quality string, label string"))
+    again = toxicity.classify(odd, chain).collect()
+    assert {r["doc_id"]: r["toxic"] for r in again if r["doc_id"] is not None} == {r["doc_id"]: r["toxic"] for r in got} and len(again) == len(rows) + 1
     none = toxicity.train(docs, marks.where("doc_id < 0"))
     assert toxicity.classify(nothing, none).count() == 0 and toxicity.classify(docs, none).count() == len(rows)
 

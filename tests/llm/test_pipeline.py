@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from hexlab.llm import queries
@@ -57,6 +58,24 @@ def test_stages(spark, corpus):
     assert corpus_pipeline.run(spark, corpus).count() > 0
 
 
+ODD = ["row", "new", "doc", "text_key", "fp", "node", "k1", "n", "starts", "spans", "kept", "run", "gone_id", "component_id", "score", "h", "root", "token"]
+
+
+def test_stages_keep_columns_of_any_name_and_take_empty_tables(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("doc_id < 40").withColumns({c: F.lit(c) for c in ODD})
+    rows = docs.collect()
+    docs = spark.createDataFrame([*rows, rows[0], (None, "une ligne ici\nune ligne ici", *[None] * (len(docs.columns) - 2 - len(ODD)), *ODD)], docs.schema)
+    empty = docs.where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        out = spark.createDataFrame((found := stage(spark, docs, small)).collect(), found.schema)
+        none = stage(spark, empty, small)
+        assert none.count() == 0 and none.columns == found.columns
+        if name != "packing":
+            assert out.columns == docs.columns and {tuple(r[c] for c in ODD) for r in out.where("doc_id is not null").collect()} == {tuple(ODD)}
+            assert out.where("doc_id is null").count() == 1
+            docs = out
+
+
 def test_lines_that_repeat_alone_go(spark):
     rows = [(1, "own one\nshared line\nown two"), (2, "own three\n shared line\t\nown four"), (3, "shared line"), (4, "a\nown five\na")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
