@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..operators import assoc, evaluate, grid, hexagg, panel, spatial
+from ..sources.scratch import cut
 from . import fixtures as X
 
 QUERIES: dict = {}
@@ -382,6 +383,39 @@ def a28_class_weights(spark, d):
     return evaluate.class_weights(X.panel(spark, d), "severity", 4).select("state", "n", F.round("weight", 6).alias("weight"))
 
 
+FLAG = 10000.0
+
+
+@query(f""", hx as (select site_id, arg_min(q, d) as q, arg_min(r, d) as r from (select site_id, q, r, pow(x - {FLAG}*(q + r/2.0), 2) + pow(y - {FLAG}*sqrt(3.0)/2*r, 2) as d
+  from (select s.site_id, s.x, s.y, cast(round(s.y/({FLAG}*sqrt(3.0)/2)) as int) + dr as r, cast(round(s.x/{FLAG} - (round(s.y/({FLAG}*sqrt(3.0)/2)) + dr)/2.0) as int) + dq as q
+   from fx1_site s, (select unnest([-2,-1,0,1,2]) as dr), (select unnest([-2,-1,0,1,2]) as dq))) group by site_id),
+ sums as (select hx.q, hx.r, p.year, p.ia, sum(p.xmax - p.xmin) as w from fx2_patch p join orders o on o.o_orderkey = p.patch_id join hx on hx.site_id = o.o_custkey group by all),
+ top as (select q, r, year, arg_max(ia, struct_pack(w := w, ia := -ia)) as ia from sums group by q, r, year),
+ cells as (select distinct q, r from hx), years as (select distinct year from fx2_patch),
+ p as (select c.q, c.r, y.year, case when (c.q * 13 + c.r * 7 + y.year) % 5 = 0 then 0 else coalesce(ia, 0) end as s from cells c cross join years y left join top t on t.q = c.q and t.r = c.r and t.year = y.year),
+ e as (select p.q, p.r, p.year, round(coalesce(avg(case when b.s > 0 then 1.0 else 0.0 end), 0), 3) as pressure from p left join p b on b.year = p.year and abs(b.q-p.q) + abs(b.r-p.r) + abs((b.q-p.q)+(b.r-p.r)) = 2 group by p.q, p.r, p.year),
+ pairs as (select a.q, a.r, a.year as year_t, a.s as state_t, b.s as state_t1, pressure from p a join p b on b.q = a.q and b.r = a.r and b.year = a.year + 1 join e on e.q = a.q and e.r = a.r and e.year = a.year),
+ st as (select unnest([0,1,2,3]) as s), rule as (select s, coalesce((select state_t1 from pairs where state_t = s and year_t between 1995 and 1998 group by state_t1 order by count(*) desc, state_t1 limit 1), 0) as predicted from st),
+ te as (select case when pressure >= 0.75 then 1 else 0 end as surrounded, state_t1 as o, predicted as p from pairs join rule on rule.s = state_t where year_t between 1999 and 2000)
+ select surrounded, round(avg(case when o = p then 1.0 else 0.0 end), 3) as accuracy, round(1 - sum(pow(o-p, 2)) / nullif(sum(o*o) + sum(p*p) - 2.0 * sum(o) * sum(p) / count(*), 0), 3) as kappa, round(sqrt(avg(pow(o-p, 2))), 3) as rmse, count(*) as n from te group by surrounded""")
+def flagship_forecast(spark, d):
+    """Points to hexes, severity of every hex and year by weighted mode, complete panel, neighbour pressure, transitions,
+    Markov forecast, and its scores by whether the hex was surrounded."""
+    where = grid.assign_hex(X.site(spark, d), FLAG).select("site_id", "q", "r")
+    owner = X.table(spark, d, "orders").select(F.col("o_orderkey").alias("patch_id"), F.col("o_custkey").alias("site_id"))
+    p = X.patch(spark, d).join(owner, "patch_id").join(where, "site_id").withColumn("hex_id", grid.hex_id(F.col("q"), F.col("r")))
+    observed = hexagg.weighted_mode(p, ["hex_id", "year"], "ia", F.col("xmax") - F.col("xmin"), "severity")
+    cells = where.select("q", "r").distinct().withColumn("hex_id", grid.hex_id(F.col("q"), F.col("r")))
+    full = panel.complete_panel(cells, p.select("year"), observed).join(cells, "hex_id")
+    gap = (F.col("q") * 13 + F.col("r") * 7 + F.col("year")) % 5 == 0  # quiet years, so that there is something to forecast
+    full = cut(full.withColumn("severity", F.when(gap, 0).otherwise(F.col("severity"))))
+    full = spatial.pressure(full, grid.neighbours(cells), state="severity")
+    pairs = evaluate.split_years(panel.transitions(full, "hex_id", "severity", ["pressure"]), (1995, 1998), (1999, 2000))
+    test = pairs.where("split = 'test'").withColumn("surrounded", (F.col("pressure") >= 0.75).cast("int"))
+    got = evaluate.markov_predict(pairs.where("split = 'train'"), test, 4)
+    return evaluate.scores(got, "state_t1", "predicted", ["surrounded"])
+
+
 # ---- spatial statistics
 
 

@@ -7,4 +7,4 @@ from . import basic, modelling, polygons
 MODULES = (basic, polygons, modelling)
 QUERIES: dict = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLE_SQL: dict = {name: s for m in MODULES for name, s in m.SQL.items()}
-FLAGSHIP = QUERIES["m17_temporal_holdout"]
+FLAGSHIP = QUERIES["flagship_forecast"]

@@ -13,8 +13,6 @@ from hexlab.plans import registry
 from hexlab.plans.fixtures import TABLES
 
 ROOT = Path(__file__).resolve().parent.parent
-SLOW = {"m5_m11_compare_models", "l4_permutation_test", "m3_m18_m19_evaluation", "a25_m22_quick_comparison", "c3_c4_sweep_quality", "m15_rank_covariates"}
-
 
 def plain(v):
     if isinstance(v, bool) or v is None or isinstance(v, str):
@@ -43,19 +41,18 @@ def test_rows_are_those_of_the_sql(spark, small, con, name):
     assert rows(got.collect()) == rows(want.select(columns).fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
 def test_other_queries_have_rows(spark, small, name):
-    assert registry.QUERIES[name](spark, small).count() > 0
-
-
-def test_permutations_are_those_of_the_reference(spark, small):
-    assert registry.QUERIES["l4_permutation_test"](spark, small).first()["sims"] == 999
+    rows = registry.QUERIES[name](spark, small).collect()
+    assert rows
+    if name == "l4_permutation_test":
+        assert rows[0]["sims"] == 999
 
 
 def test_entry(spark):
     import __spark_entry__
 
-    assert __spark_entry__.entry(spark).count() == 1
+    assert __spark_entry__.entry(spark).count() == 2
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
