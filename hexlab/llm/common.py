@@ -122,11 +122,11 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     before = None
     for _ in range(rounds):
         both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # minima are written, so that the joins stand on plain exchanges and a hub's rows can be split
+        # minima are written, so that the join stands on plain exchanges and a hub's rows can be split
         least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut(large.where("u <> v").distinct())
-        down = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        large = large.where("u <> v").distinct()
+        down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             large.join(down, "u")
             .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
