@@ -43,11 +43,11 @@ def coverage(df: DataFrame, keys: Sequence[str], area: str, hex_area: float, out
     return df.groupBy(*keys).agg((F.sum(area) / hex_area).alias(out))
 
 
-def aggregate_to_hex(cells: DataFrame, pieces: DataFrame, value: str, value_type: str, out: str, hex_area: float, keys: Sequence[str] = ("hex_id",), weight: str = "piece_area", min_coverage: float = 0.25, rank: Column | None = None, add_coverage: bool = False) -> DataFrame:
-    """Median (continuous) or mode (categorical, ordinal) of the pieces of each hex; null where too little of the
-    hex is covered, or nothing is. ``cells`` has one row for each key."""
+def aggregate_to_hex(cells: DataFrame, pieces: DataFrame, value: str, value_type: str, out: str, hex_area: float, keys: Sequence[str] = ("hex_id",), weight: str = "piece_area", min_coverage: float = 0.25, rank: Column | None = None, add_coverage: bool = False, tie: str | None = None) -> DataFrame:
+    """Median (continuous; ``tie`` orders equal values) or mode (categorical, ordinal) of the pieces of each hex; null where
+    too little of the hex is covered, or nothing is. ``cells`` has one row for each key."""
     if value_type == "continuous":
-        found = weighted_median(pieces, keys, value, weight, out)
+        found = weighted_median(pieces, keys, value, weight, out, tie)
     elif value_type in ("categorical", "ordinal"):
         found = weighted_mode(pieces, keys, value, F.col(weight), out, rank)
     else:

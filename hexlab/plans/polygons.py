@@ -252,7 +252,7 @@ AGE = "case cl_age when '10' then 10.0 when '3050' then 30.0 when '120' then 120
 def a10_age(spark, d):
     s = X.stand(spark, d).withColumn("age", L.parse_age_class(F.col("cl_age")))
     cells = s.select("hex_id").distinct()
-    out = hexagg.aggregate_to_hex(cells, s.where("age is not null"), "age", "continuous", "age", 40000.0)
+    out = hexagg.aggregate_to_hex(cells, s.where("age is not null"), "age", "continuous", "age", 40000.0, tie="geocode")
     return out.select("hex_id", F.round("age", 6).alias("age"))
 
 
