@@ -34,11 +34,12 @@ def scratch(spark: SparkSession) -> str:
 _written: list[list[str]] = []
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later stages depend on files, not on executors."""
+def cut(df: DataFrame, *by: str) -> DataFrame:
+    """Write ``df`` to the shared folder, in one folder for each value of ``by``, and read it back: later stages depend
+    on files, not on executors."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=list(by) or None)
     if _written:
         _written[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -75,6 +76,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out round robin where a table has fewer splits than there are cores, so that work in the scan's stage
+    is shared; a table with as many splits as cores is left as it is. The driver looks at the number of splits only."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def bucket_of(key, bounds: list, low: int = 0):
     """Number of ``bounds`` (ascending) below ``key``, as a balanced tree of comparisons; null falls in 0."""
     if not bounds:
@@ -145,4 +153,4 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(roots)
 
 
-__all__ = ["BATCH_ROWS", "F", "Window", "bitmap", "bucket_of", "clear", "collecting", "components", "cut", "listed", "partitions", "scratch", "small_batches", "table"]
+__all__ = ["BATCH_ROWS", "F", "Window", "bitmap", "bucket_of", "clear", "collecting", "components", "cut", "listed", "partitions", "scratch", "small_batches", "spread", "table"]

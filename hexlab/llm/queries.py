@@ -85,6 +85,29 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_rank_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .rankqueue import encode_decode
+
+    coded = encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return coded.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filters import filter_audit
+
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def packing_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packing operator on instruction data: every reply with the turn before it as a prompt that bears no loss, under
     a limit of 2,048 loss-bearing tokens and 64 segments a sequence. The id is that of the conversation."""
@@ -100,13 +123,15 @@ def packing_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select(F.col("doc_id").alias("conv_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_simhash, op3_toxicity, op4_repeats, op5_licenses, op6_line_dedup, op7_maxscore, op8_bpe, op9_language_id, op10_packing, packing_instructions)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_simhash, op3_toxicity, op4_repeats, op5_licenses, op6_line_dedup, op7_maxscore, op8_bpe, op9_language_id, op10_packing, op11_rank_queue, op12_filter_audit, op13_collocations, packing_instructions)}
 
 
 def _sql() -> dict[str, str]:
-    from . import licenses, lines, maxscore
+    from . import filters, licenses, lines, maxscore, phrases
 
-    return {"op5_licenses": licenses.SQL, "op6_line_dedup": lines.SQL, "op7_maxscore": maxscore.SQL}
+    return {
+        "op5_licenses": licenses.SQL, "op6_line_dedup": lines.SQL, "op7_maxscore": maxscore.SQL, "op12_filter_audit": filters.SQL, "op13_collocations": phrases.SQL,
+    }
 
 
 ORACLE_SQL = _sql()
