@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 DOCS = "doc_id long, text string, lang string, source string"
 
 
-def test_rank_queue_gives_the_ids_of_the_library(spark):
+def test_rank_queue_gives_the_ids_of_the_library(spark, monkeypatch):
     import public_tokenizers as P
     import tiktoken
 
@@ -30,6 +30,8 @@ def test_rank_queue_gives_the_ids_of_the_library(spark):
     texts += ["", "x" * 30_001, "".join(rng.choice("abcdefgh") for _ in range(60_000)), "  \n\n  word", texts[3], None]
     rows = [(None if k == 7 else k, t, "id text", 1.5) for k, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string, decoded double")
+    monkeypatch.setattr(rankqueue, "AT_ONCE", 50)  # in this process; every text is then a long one
+    assert bpe.encode_all([t or "" for t in texts]) == [np.array(enc.encode_ordinary(t or ""), dtype="<u4").tobytes() for t in texts]
     got = rankqueue.encode_decode(docs, path).collect()
     want = Counter((r[0], np.array(enc.encode_ordinary(r[1] or ""), dtype="<u4").tobytes(), (r[1] or "").encode()) for r in rows)
     assert Counter((r["doc_id"], bytes(r["ids"]), bytes(r["decoded"])) for r in got) == want
@@ -54,9 +56,11 @@ def test_rank_queue_takes_the_lowest_rank_even_where_a_merge_opens_a_lower_one()
 
     for n in range(1, 9):
         for raw in map(bytes, itertools.product(b"abcd", repeat=n) if n < 6 else (random.Random(n).choices(b"abcd", k=3 * n) for _ in range(300))):
-            assert bpe.merged(raw) == plain(raw)
+            assert bpe.merged([raw]) == [plain(raw)]
+    many = [bytes(random.Random(n).choices(b"abcd", k=n % 40)) for n in range(300)]
+    assert bpe.merged(many) == [plain(raw) for raw in many] and bpe.merged([]) == []
     assert not any(bpe.words) and not any(bpe.buckets), "the queue is empty again"
-    assert bpe.piece(b"abca") == [3] and bpe.piece(b"bca") == [1], "a whole token needs no merge"
+    assert bpe.encode("abca") == np.array([3], "<u4").tobytes(), "a whole token needs no merge"
 
 
 def _audit(docs: list[tuple], labels: list[tuple]) -> dict:
