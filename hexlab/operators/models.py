@@ -1,7 +1,7 @@
 """Cross-sectional regressions from one pass of cross products, spatial likelihoods, and the forecasts' forest.
 
 Row-level work stays on the executors: lags, cross products, residuals. The driver sees the matrix of cross
-products (a few dozen numbers squared), traces of powers of the weights, and coefficients.
+products (a few dozen numbers squared), determinants for some values of rho, and coefficients.
 """
 
 from __future__ import annotations
@@ -16,9 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import cut
+from . import logdet
 from .spatial import global_moran, spatial_lag
 
-RESULT = "model string, status string, aic double, bic double, pseudo_r2 double, moran_p double, rho double, lambda double, log_lik double, n long"
+RESULT = "model string, status string, aic double, bic double, pseudo_r2 double, moran_p double, rho double, lambda double, log_lik double, log_det_error double, n long"
 
 
 def cross_products(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, int]:
@@ -64,68 +65,56 @@ def least_squares(g: np.ndarray, index: dict[str, int], y: dict[str, float], x:
     return Fit(names, beta, float(max(sse, 0.0)), n)
 
 
-def weight_traces(edges: DataFrame, cells: DataFrame, key: str = "hex_id", order: int = 12, probes: int = 16, seed: int = 3) -> list[float]:
-    """Traces of W**1 … W**(2 * order): the first is 0, the second exact, the others by random signs.
-
-    The signs are hashes of the cell; one array column carries all probes, multiplied by W and by its
-    transpose a power at a time, and the products of the two give twice as many traces as powers.
-    """
-    base = cut(cells.select(F.col(key).alias("id")).distinct())
-    e = cut(edges.select("src", "dst", "w"))
-    cols = [f"z{p}" for p in range(probes)]
-    z = base.select("id", *[F.when(F.xxhash64(F.lit(seed), F.lit(p), "id") % 2 == 0, 1.0).otherwise(-1.0).alias(c) for p, c in enumerate(cols)])
-
-    def times(v: DataFrame, a: str, b: str) -> DataFrame:
-        got = e.join(v.withColumnRenamed("id", b), b).groupBy(F.col(a).alias("id")).agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in cols])
-        return base.join(got, "id", "left").na.fill(0.0)
-
-    def inner(a: DataFrame, b: DataFrame) -> float:
-        r = a.join(b.select("id", *[F.col(c).alias("o" + c) for c in cols]), "id").agg(*[F.sum(F.col(c) * F.col("o" + c)).alias(c) for c in cols]).first()
-        return sum(r[c] or 0.0 for c in cols) / probes
-
-    both = e.join(e.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("w").alias("v")), ["src", "dst"]).agg(F.sum(F.col("w") * F.col("v"))).first()[0]
-    out = [0.0, float(both or 0.0)]
-    right, left = cut(z), cut(z)
-    for k in range(1, order + 1):
-        right = cut(times(right, "src", "dst"))
-        if 2 * k - 1 > 2:
-            out.append(inner(left, right))
-        left = cut(times(left, "dst", "src"))
-        if 2 * k > 2:
-            out.append(inner(left, right))
-    return out
-
-
-def log_det(traces: Sequence[float]) -> Callable[[float], float]:
-    """ln |I - rho W| by its series."""
-    return lambda rho: -sum(t * rho**k / k for k, t in enumerate(traces, 1))
-
-
-def maximise(f: Callable[[float], float], low: float = -0.95, high: float = 0.95) -> float:
-    """A grid, then a golden section around its best point."""
-    grid = np.linspace(low, high, 39)
-    i = int(np.argmax([f(v) for v in grid]))
+def maximise(f: Callable[[float], float], low: float = -0.999, high: float = 0.999, points: int = 61) -> float:
+    """The rho of the largest value: a grid over atanh(rho), then a golden section around its best point."""
+    grid = np.linspace(math.atanh(low), math.atanh(high), points)
+    i = int(np.argmax([f(math.tanh(v)) for v in grid]))
     a, b = grid[max(i - 1, 0)], grid[min(i + 1, len(grid) - 1)]
     ratio = (math.sqrt(5) - 1) / 2
-    while b - a > 1e-7:
+    while b - a > 1e-9:
         c, d = b - ratio * (b - a), a + ratio * (b - a)
-        a, b = (a, d) if f(c) > f(d) else (c, b)
-    return float((a + b) / 2)
+        a, b = (a, d) if f(math.tanh(c)) > f(math.tanh(d)) else (c, b)
+    return math.tanh((a + b) / 2)
 
 
-def compare_models(df: DataFrame, edges: DataFrame, y: str, covariates: Sequence[str], key: str = "hex_id", traces: Sequence[float] | None = None, knots: int = 4) -> DataFrame:
+def likeliest(fits: dict[str, Callable[[float], Fit]], det: logdet.Determinant, half: float = 0.1, rounds: int = 8) -> dict[str, tuple[float, float, float]]:
+    """(rho, ln |I - rho W|, its error) of the largest likelihood of each model.
+
+    Searched first on the interpolated determinant, then on narrow pieces of it around what was found, which move along
+    until the best point lies inside its piece; the determinant there is then computed itself.
+    """
+    best = {name: maximise(lambda r, fit=fit: fit(r).log_lik + det(r)) for name, fit in fits.items()}
+    moved = set(fits)
+    for _ in range(rounds):
+        det.refine([best[name] for name in moved], half)
+        for name in list(moved):
+            t, fit = math.atanh(best[name]), fits[name]
+            low, high = max(t - half, -det.high), min(t + half, det.high)
+            best[name] = maximise(lambda r, fit=fit: fit(r).log_lik + det(r), math.tanh(low), math.tanh(high), 9)
+            if abs(math.atanh(best[name]) - t) < 0.9 * half or abs(math.atanh(best[name])) > det.high - half:
+                moved.discard(name)
+        if not moved:
+            break
+    at = list(best.values())
+    values, errors = det.compute(at)
+    return {name: (r, v, e + abs(v - det(r))) for name, r, v, e in zip(best, at, values, errors, strict=True)}
+
+
+def compare_models(df: DataFrame, edges: DataFrame, y: str, covariates: Sequence[str], key: str = "hex_id", place: tuple[str, str] | None = None, det: logdet.Determinant | None = None, knots: int = 4) -> DataFrame:
     """OLS, lagged covariates, spatial lag, spatial error, both Durbin models and an additive model: one row each.
 
-    All seven come from one matrix of cross products of y, X, their lags and the lags of the lags.
+    All seven come from one matrix of cross products of y, X, their lags and the lags of the lags. ``place`` names the
+    columns of the cells' integer coordinates (q and r, if ``df`` has them); with them the determinants of the spatial
+    likelihoods are exact. ``log_det_error`` bounds what is left; rho and lambda lie between -0.999 and 0.999.
     """
     spark = df.sparkSession
     if not covariates:
-        return spark.createDataFrame([("all", "aucune_covariable", *[None] * 7, 0)], RESULT)
+        return spark.createDataFrame([("all", "aucune_covariable", *[None] * 8, 0)], RESULT)
     rows = df.select(key, F.col(y).cast("double").alias("y"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(covariates)]).dropna()
     rows = cut(rows)
     n = rows.count()
     if n < len(covariates) + 5:
-        return spark.createDataFrame([("all", "train_insuffisant", *[None] * 7, n)], RESULT)
+        return spark.createDataFrame([("all", "train_insuffisant", *[None] * 8, n)], RESULT)
     e = edges.join(rows.select(F.col(key).alias("dst")), "dst", "left_semi").join(rows.select(F.col(key).alias("src")), "src", "left_semi")
     total = e.groupBy("src").agg(F.sum("w").alias("_w"))
     e = cut(e.join(total, "src").select("src", "dst", (F.col("w") / F.col("_w")).alias("w")))
@@ -153,8 +142,10 @@ def compare_models(df: DataFrame, edges: DataFrame, y: str, covariates: Sequence
     columns = ["c", "w_c", "y", "w_y", *x, *wx, *wwx, *splines]
     g, n = cross_products(all_, columns)
     index = {c: i for i, c in enumerate(columns)}
-    traces = weight_traces(e, rows, key) if traces is None else traces
-    det = log_det(traces)
+    if place is None and {"q", "r"} <= set(df.columns):
+        place = ("q", "r")
+    if det is None:
+        det = logdet.determinant(e, df.select(key, *(place or ())).join(rows.select(key), key, "left_semi"), key, place)
     lag_of = {"y": "w_y", "c": "w_c"} | dict(zip(x, wx, strict=True)) | dict(zip(wx, wwx, strict=True))
 
     def plain(names: list[str], ridge: np.ndarray | None = None) -> Fit:
@@ -168,9 +159,11 @@ def compare_models(df: DataFrame, edges: DataFrame, y: str, covariates: Sequence
 
     base, durbin = ["c", *x], ["c", *x, *wx]
     found: list[tuple[str, Fit, float | None, float | None, float]] = [("OLS", plain(base), None, None, 0.0), ("SLX", plain(durbin), None, None, 0.0)]
-    for name, names, kind in (("SAR", base, lag), ("SEM", base, error), ("SDM", durbin, lag), ("SDEM", durbin, error)):
-        best = maximise(lambda r, names=names, kind=kind: kind(names, r).log_lik + det(r))
-        found.append((name, kind(names, best), best if kind is lag else None, best if kind is error else None, det(best)))
+    spatial = {"SAR": (base, lag), "SEM": (base, error), "SDM": (durbin, lag), "SDEM": (durbin, error)}
+    best = likeliest({name: (lambda r, names=names, kind=kind: kind(names, r)) for name, (names, kind) in spatial.items()}, det)
+    for name, (names, kind) in spatial.items():
+        r, value, _ = best[name]
+        found.append((name, kind(names, r), r if kind is lag else None, r if kind is error else None, value))
     gam_names = ["c", *x, *splines]
     ridge_on = np.array([0.0] * (1 + len(x)) + [1.0] * len(splines))
     gam, freedom = min(((plain(gam_names, s * ridge_on), s) for s in 10.0 ** np.arange(-6, 1)), key=lambda t: t[0].sse / max(1.0, n - _freedom(g, index, gam_names, t[1] * ridge_on)) ** 2)
@@ -192,7 +185,7 @@ def compare_models(df: DataFrame, edges: DataFrame, y: str, covariates: Sequence
         m = global_moran(res, e, f"e_{name}", key).first()
         p = 1 - NormalDist().cdf(m["z"]) if m and m["z"] is not None else None
         r2 = fits[f"e_{name}"]
-        out.append((name, "ok", float(aic), float(bic), None if r2 is None else float(r2) ** 2, p, rho, lam, float(ll), int(n)))
+        out.append((name, "ok", float(aic), float(bic), None if r2 is None else float(r2) ** 2, p, rho, lam, float(ll), best[name][2] if name in best else None, int(n)))
     return spark.createDataFrame(out, RESULT)
 
 

@@ -98,7 +98,7 @@ def quick_comparison(pairs: DataFrame, train_years: tuple[int, int], test_years:
 
 def cross_section(panel_: DataFrame, edges: DataFrame, year: int, covariates: Sequence[str], y: str = "severity", key: str = "hex_id") -> DataFrame:
     """The regressions of one year of the panel (``models.compare_models``)."""
-    rows = panel_.where(F.col("year") == year).select(key, y, *covariates)
+    rows = panel_.where(F.col("year") == year).select(key, y, *covariates, *[c for c in ("q", "r") if c in panel_.columns and c not in covariates])
     return models.compare_models(rows, edges, y, list(covariates), key)
 
 

@@ -7,7 +7,7 @@ import uuid
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import cluster, evaluate, grid, models, panel, report, spatial
+from ..operators import cluster, evaluate, grid, logdet, models, panel, report, spatial
 from ..sources import io
 from ..sources.scratch import cut, folder
 from . import basic
@@ -152,7 +152,43 @@ def m4_ols(spark, d):
 def m5_m11_compare_models(spark, d):
     rows = year_rows(spark, d)
     t = models.compare_models(rows, basic.edges(rows), "severity", ["history", "noise"], "cell")
-    return t.select("model", "status", *[F.round(c, 4).alias(c) for c in ("aic", "bic", "pseudo_r2", "moran_p", "rho", "lambda", "log_lik")], "n")
+    return t.select("model", "status", *[F.round(c, 4).alias(c) for c in ("aic", "bic", "pseudo_r2", "moran_p", "rho", "lambda", "log_lik", "log_det_error")], "n")
+
+
+PROFILE = tuple(k / 10 for k in range(-8, 9))
+
+
+@query(""", c as (select p.cell, p.severity * 1.0 as y, coalesce((select sum(b.severity) from fx4_panel b where b.cell = p.cell and b.year between p.year-5 and p.year-1), 0) * 1.0 as x from fx4_panel p where p.year = 2000),
+ e0 as (select n.src, n.dst from fx4_nb n join c a on a.cell = n.src join c b on b.cell = n.dst),
+ e as (select src, dst, 1.0::double / count(*) over (partition by src) as w from e0),
+ powers as (with recursive pw(i, j, k, v) as (select src, dst, 1, w from e union all
+   select p.i, e.dst, p.k + 1, sum(p.v * e.w) from pw p join e on e.src = p.j where p.k < 120 group by p.i, e.dst, p.k + 1) select * from pw),
+ traces as (select k, sum(v) filter (i = j) as t from powers group by k),
+ r as (select unnest(range(-8, 9)) / 10.0::double as rho),
+ d as (select rho, -sum(pow(rho, k) * coalesce(t, 0) / k) as log_det from r cross join traces group by rho),
+ l as (select c.cell, c.y, c.x, coalesce(sum(e.w * b.y), 0) as wy, coalesce(sum(e.w * b.x), 0) as wx, coalesce(sum(e.w), 0) as wc from c left join e on e.src = c.cell left join c b on b.cell = e.dst group by c.cell, c.y, c.x),
+ s as (select rho, count(*) as n, regr_syy(y - rho*wy, x) - pow(regr_sxy(y - rho*wy, x), 2) / regr_sxx(y - rho*wy, x) as lag,
+   regr_syy(y - rho*wy, x - rho*wx) - pow(regr_sxy(y - rho*wy, x - rho*wx), 2) / regr_sxx(y - rho*wy, x - rho*wx) as err from r cross join l group by rho)
+ select kind as model, cast(round(rho, 1) as double) as rho, round(log_det, 5) + 0.0 as log_det, round(log_det - n/2.0 * (ln(2*pi()) + ln(case kind when 'SAR' then lag else err end / n) + 1), 4) as log_lik
+ from s join d using (rho) cross join (select unnest(['SAR', 'SEM']) as kind) k""")
+def m6_m7_likelihood_profile(spark, d):
+    """Log-likelihoods of the lag and the error model of one covariate over a grid of rho."""
+    rows = year_rows(spark, d)
+    e = cut(basic.edges(rows))
+    det = logdet.determinant(e, rows, "cell", ("q", "r"))
+    values, _ = det.compute(PROFILE)
+    lags = spatial.spatial_lag(rows.select("cell", F.col("severity").cast("double").alias("y"), F.col("history").cast("double").alias("x")), e, ["y", "x"], "cell", prefix="w")
+    linked = e.select(F.col("src").alias("cell")).distinct().withColumn("wc", F.lit(1.0))
+    lags = lags.join(linked, "cell", "left").select(F.lit(1.0).alias("c"), F.coalesce("wc", F.lit(0.0)).alias("wc"), "y", "wy", "x", "wx")
+    columns = ["c", "wc", "y", "wy", "x", "wx"]
+    g, n = models.cross_products(lags, columns)
+    index = {c: i for i, c in enumerate(columns)}
+    out = []
+    for rho, log_det in zip(PROFILE, values, strict=True):
+        for model, right in (("SAR", [{"c": 1.0}, {"x": 1.0}]), ("SEM", [{"c": 1.0, "wc": -rho}, {"x": 1.0, "wx": -rho}])):
+            f = models.least_squares(g, index, {"y": 1.0, "wy": -rho}, right, ["c", "x"], n)
+            out.append((model, rho, round(log_det, 5) + 0.0, round(f.log_lik + log_det, 4)))
+    return spark.createDataFrame(out, "model string, rho double, log_det double, log_lik double")
 
 
 def pairs(spark, d):
