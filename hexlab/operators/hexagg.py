@@ -9,23 +9,46 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import covered
+from ..sources.scratch import cut
 from . import grid, overlay
 
 
 def weighted_median(df: DataFrame, keys: Sequence[str], value: str, weight: str, out: str, tie: str | None = None) -> DataFrame:
     """Interpolated weighted median of each group: rows without value or positive weight are left out; rows are
-    sorted by value (then ``tie``, else the weight), and the value is read off where the centred running weight passes half."""
-    rows = df.where(F.col(value).isNotNull() & (F.col(weight) > 0)).select(*keys, F.col(value).cast("double").alias("_x"), F.col(weight).cast("double").alias("_w"), F.col(tie or weight).alias("_t"))
-    by = Window.partitionBy(*keys).orderBy("_x", "_t")
-    total = F.sum("_w").over(Window.partitionBy(*keys))
-    rows = rows.withColumns({"_c": F.sum("_w").over(by.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_w") / 2, "_half": total / 2})
-    rows = rows.withColumns({"_px": F.lag("_x").over(by), "_pc": F.lag("_c").over(by)})
-    between = F.col("_px") + (F.col("_x") - F.col("_px")) * (F.col("_half") - F.col("_pc")) / (F.col("_c") - F.col("_pc"))
-    inside = (F.col("_pc") < F.col("_half")) & (F.col("_c") >= F.col("_half"))
-    found = rows.groupBy(*keys).agg(
-        F.max(F.when(inside, between)).alias("_b"), F.min("_c").alias("_c0"), F.first("_half").alias("_half"), F.min("_x").alias("_x0"), F.max("_x").alias("_x1")
+    sorted by value (then ``tie``, else the weight), and the value is read off where the centred running weight passes half.
+
+    Two phases, so that a group of any size is shared out. Rows of one value become one (its weight, and those of its
+    first and last row, which is all that interpolation asks of them), combined before the shuffle. Values are
+    dealt to ranges; sums by group and range tell in which range the running weight passes half, and only that range of each
+    group is put in order.
+    """
+    keys = list(keys)
+    w, order = F.col(weight).cast("double"), F.struct(F.col(tie or weight), F.col(weight).cast("double"))
+    rows = df.where(F.col(value).isNotNull() & (F.col(weight) > 0)).select(*keys, F.col(value).cast("double").alias("_x"), w.alias("_w"), order.alias("_t"))
+    values = rows.groupBy(*keys, "_x").agg(F.sum("_w").alias("_w"), F.min_by("_w", "_t").alias("_first"), F.max_by("_w", "_t").alias("_last"))
+    ranges = cut(cut(values).repartitionByRange(*keys, "_x").withColumn("_p", F.spark_partition_id()))
+    # a row for each group and range that it reaches into
+    sums = ranges.groupBy(*keys, "_p").agg(F.sum("_w").alias("_sum"), F.max(F.struct("_x", "_last")).alias("_end"))
+    by = Window.partitionBy(*keys).orderBy("_p")
+    sums = sums.withColumns({"_to": F.sum("_sum").over(by), "_half": F.sum("_sum").over(Window.partitionBy(*keys)) / 2})
+    sums = sums.withColumn("_c", F.col("_to") - F.col("_end._last") / 2)
+    sums = sums.withColumns({"_px": F.lag("_end._x").over(by), "_pc": F.lag("_c").over(by), "_top": F.max("_end._x").over(Window.partitionBy(*keys))})
+    at = sums.groupBy(*keys).agg(
+        F.first("_top").alias("_top"),  # the same in all rows of a group
+        F.min(F.when(F.col("_c") >= F.col("_half"), F.struct("_p", "_half", (F.col("_to") - F.col("_sum")).alias("_from"), "_px", "_pc"))).alias("_at"),
     )
-    return found.select(*keys, F.when(F.col("_c0") >= F.col("_half"), F.col("_x0")).otherwise(F.coalesce("_b", "_x1")).alias(out))
+    own = [f"_k{i}" for i in range(len(keys))]
+    same = [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, own, strict=True)]  # a null key is a group
+    at = cut(at.select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], "_top", "_at.*"))
+    inside = ranges.join(at.withColumnRenamed("_p", "_in"), [*same, F.col("_p") == F.col("_in")])
+    run = Window.partitionBy(*keys).orderBy("_x")
+    inside = inside.withColumn("_to", F.col("_from") + F.sum("_w").over(run.rowsBetween(Window.unboundedPreceding, 0)))
+    inside = inside.withColumns({"_c0": F.col("_to") - F.col("_w") + F.col("_first") / 2, "_c1": F.col("_to") - F.col("_last") / 2})
+    inside = inside.withColumns({"_px": F.coalesce(F.lag("_x").over(run), "_px"), "_pc": F.coalesce(F.lag("_c1").over(run), "_pc")})
+    between = F.col("_px") + (F.col("_x") - F.col("_px")) * (F.col("_half") - F.col("_pc")) / (F.col("_c0") - F.col("_pc"))
+    read = F.when((F.col("_c0") < F.col("_half")) | F.col("_px").isNull(), F.col("_x")).otherwise(between)
+    found = inside.where(F.col("_c1") >= F.col("_half")).groupBy(*keys).agg(F.min_by(read, "_x").alias("_m"))
+    return at.join(found, same, "left").select(*[F.col(o).alias(k) for k, o in zip(keys, own, strict=True)], F.coalesce("_m", "_top").alias(out))
 
 
 def weighted_mode(df: DataFrame, keys: Sequence[str], category: str, weight: Column, out: str, rank: Column | None = None) -> DataFrame:

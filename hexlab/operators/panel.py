@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,34 +27,36 @@ def nearest_active(points: DataFrame, panel: DataFrame, active: int, start: floa
     """Distance from each hex to the nearest one with severity ``active`` or more in the year before; 0 for an
     active hex, null if that year has no active one or is not in the panel.
 
-    Search by growing radius: in each pass the open hexes meet the active ones of the square cells around
-    (side = radius, an equi-join), those with a find within the radius are done, and the radius doubles.
+    Two quadtrees, one of the hexes and one of the active hexes by year, are walked down together. A square of
+    hexes keeps the squares of active ones that may hold the nearest: those that are not farther at best than another
+    one is at worst. Each level is two equi-joins with the children of both sides and a minimum by square, so
+    neither a far focus nor a crowd of them meets all hexes. ``start`` is the side of the smallest squares.
     """
     rows = panel.select(key, "year").join(points.select(key, "x", "y"), key)
     foci = panel.where(F.col(severity) >= active).select(key, (F.col("year") + 1).alias("year")).join(points.select(key, F.col("x").alias("fx"), F.col("y").alias("fy")), key).drop(key)
-    foci = cut(foci)
+    low = points.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+    wide = 0.0 if low[0] is None else max(low[2] - low[0], low[3] - low[1])
+    depth = max(0, math.ceil(math.log2(max(wide, start) / start)) + 1)
+    square = lambda c, least: F.floor((F.col(c) - F.lit(float(least or 0))) / F.lit(float(start))).cast("long")
+    foci = cut(foci.distinct().withColumns({"gx": square("fx", low[0]), "gy": square("fy", low[1])}))
     some = foci.select("year").distinct()
-    open_ = cut(rows.join(F.broadcast(some), "year"))  # a row a year
-    reach = open_.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
-    most = (sum(v * v for v in reach) ** 0.5 if reach[0] is not None else 0.0) or 1.0
-    done, radius = None, float(start)
-    while True:
-        last = radius >= most
-        cell = lambda c, radius=radius: F.floor(F.col(c) / radius).cast("long")
-        around = F.sequence(F.lit(-1), F.lit(1))
-        near = open_.withColumns({"gx": cell("x"), "gy": cell("y")}).withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around))
-        near = near.withColumns({"gx": F.col("gx") + F.col("dx"), "gy": F.col("gy") + F.col("dy")}).drop("dx", "dy")
-        met = near.join(foci.withColumns({"gx": cell("fx"), "gy": cell("fy")}), ["year", "gx", "gy"])
-        best = met.groupBy(key, "year").agg(F.min(F.hypot(F.col("x") - F.col("fx"), F.col("y") - F.col("fy"))).alias(out))
-        best = cut(best if last else best.where(F.col(out) <= radius))
-        done = best if done is None else done.unionAll(best)
-        if last:
-            break
-        open_ = cut(open_.join(best, [key, "year"], "left_anti"))
-        if open_.isEmpty():
-            break
-        radius *= 2
-    return panel.select(key, "year").join(done, [key, "year"], "left")
+    rows = cut(rows.join(F.broadcast(some), "year").withColumns({"qx": square("x", low[0]), "qy": square("y", low[1])}))  # a row a year
+    up = lambda c, n: F.shiftright(c, n).alias(c)
+    hexes, spots = cut(rows.select("year", "qx", "qy").distinct()), cut(foci.select("year", "gx", "gy").distinct())
+    pairs = some.select("year", *[F.lit(0).cast("long").alias(c) for c in ("qx", "qy", "gx", "gy")])
+    for left in range(depth - 1, -1, -1):
+        for tree, (x, y) in ((hexes, ("qx", "qy")), (spots, ("gx", "gy"))):
+            child = tree.select("year", up(x, left), up(y, left)).distinct()
+            child = child.select("year", F.shiftright(x, 1).alias("_x"), F.shiftright(y, 1).alias("_y"), x, y)
+            pairs = pairs.withColumnsRenamed({x: "_x", y: "_y"}).join(child, ["year", "_x", "_y"]).drop("_x", "_y")
+        dx, dy = F.abs(F.col("qx") - F.col("gx")), F.abs(F.col("qy") - F.col("gy"))
+        least = F.greatest(dx - 1, F.lit(0)) * F.greatest(dx - 1, F.lit(0)) + F.greatest(dy - 1, F.lit(0)) * F.greatest(dy - 1, F.lit(0))
+        most = (dx + 1) * (dx + 1) + (dy + 1) * (dy + 1)
+        bar = F.min(most).over(Window.partitionBy("year", "qx", "qy"))  # the squares that one square has kept
+        pairs = cut(pairs.withColumns({"_least": least, "_bar": bar}).where("_least <= _bar").drop("_least", "_bar"))
+    met = rows.join(pairs, ["year", "qx", "qy"]).join(foci, ["year", "gx", "gy"])
+    best = met.groupBy(key, "year").agg(F.min(F.hypot(F.col("x") - F.col("fx"), F.col("y") - F.col("fy"))).alias(out))
+    return panel.select(key, "year").join(best, [key, "year"], "left")
 
 
 def with_covariates(panel: DataFrame, static: Sequence[DataFrame] = (), yearly: Sequence[DataFrame] = (), key: str = "hex_id") -> DataFrame:

@@ -156,6 +156,49 @@ def test_gaps_in_years(spark):
     assert [tuple(r) for r in t] == [(1, 2000, 2, 3)]
 
 
+def _median(rows):
+    rows = sorted((x, w) for x, w in rows if x is not None and w is not None and w > 0)
+    half, c, last = sum(w for _, w in rows) / 2, 0.0, None
+    for x, w in rows:
+        at = c + w / 2
+        if at >= half:
+            return x if last is None else last[0] + (x - last[0]) * (half - last[1]) / (at - last[1])
+        last, c = (x, at), c + w
+    return rows[-1][0]
+
+
+def test_weighted_median_of_a_hot_hex(spark):
+    rng = np.random.default_rng(7)
+    rows = [("hot", float(rng.integers(0, 400)) if k % 3 else 17.0, float(rng.integers(0, 9))) for k in range(6000)]
+    rows += [(f"h{k % 90}", float(rng.normal()), float(rng.exponential())) for k in range(900)]
+    rows += [("even", v, 1.0) for v in (1.0, 2.0, 3.0, 4.0)] + [("one", 5.0, 2.0), ("ends", 1.0, 1.0), ("ends", 9.0, 8.0), ("gone", None, 1.0), ("gone", 1.0, 0.0), (None, 3.0, 1.0), (None, 4.0, 1.0)]
+    df = spark.createDataFrame(rows, "k string, x double, w double").repartition(7)
+    got = {r["k"]: r["m"] for r in hexagg.weighted_median(df, ["k"], "x", "w", "m").collect()}
+    groups = {}
+    for k, x, w in rows:
+        groups.setdefault(k, []).append((x, w))
+    groups.pop("gone")
+    assert set(got) == set(groups)
+    for k in got:
+        assert got[k] == pytest.approx(_median(groups[k])), k
+
+
+def test_nearest_active_far_and_crowded(spark):
+    n = 64
+    cells = [(q * n + r, float(q), float(r)) for q in range(n) for r in range(n)]
+    points = spark.createDataFrame(cells, "hex_id int, x double, y double")
+    # year 1: a crowd in one corner; year 2: one focus; year 3: none
+    rows = [(i, 1, 3 if x + y > 2 * n - 14 else 0) for i, x, y in cells] + [(i, 2, 3 if i == 5 else 0) for i, *_ in cells] + [(i, 3, 0) for i, *_ in cells] + [(i, 4, 0) for i, *_ in cells]
+    got = {(r["hex_id"], r["year"]): r["distance"] for r in panel.nearest_active(points, spark.createDataFrame(rows, "hex_id int, year int, severity int"), 3, 1.0).collect()}
+    xy = np.array([c[1:] for c in cells])
+    for year in (1, 2, 3):
+        at = xy[[i for i, y, s in rows if y == year and s >= 3]]
+        for i in range(0, n * n, 61):
+            want = np.hypot(*(at - xy[i]).T).min() if len(at) else None
+            assert got[i, year + 1] == (None if want is None else pytest.approx(want))
+    assert got[0, 1] is None
+
+
 def test_nearest_active_against_all_pairs(spark):
     rng = np.random.default_rng(1)
     at = rng.uniform(0, 500, (80, 2))
