@@ -5,9 +5,10 @@ columns, padded where the piece ends. ROLLUP over those counts sums them to all
 occurrence of a phrase begins exactly one window, these sums are the counts of the shorter phrases. There is no
 explosion of n-grams for each order.
 
-Words that occur less than ``least`` times cannot stand in a candidate. A bit map of the others (bounded size, a filter
-that passes some rare words and misses no frequent one) lets the windows break at rare words as they break at the ends
-of pieces. That changes no count of a phrase of frequent words, and merges most of the windows that lead nowhere.
+A word that occurs less than ``least`` times cannot stand in a candidate, nor can two neighbours that meet less than
+``least`` times. Two bit maps of the others (bounded size; filters that pass some rare ones and miss no frequent one) end
+the windows there as the ends of pieces do. That changes no count of a phrase that can matter, and most windows, which
+would lead nowhere, fall together in the task that reads them.
 
 Defined cases: a null text counts as empty, a null lang as ``und``; rows repeated or with null ids count like any other; texts
 without words give nothing; texts of any length are read whole; no rows give an empty result; further columns are not
@@ -19,8 +20,10 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,57 +70,110 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return found.groupBy("lang", "word").agg(F.sum("f").alias("f"))
 
 
-def masked(texts: DataFrame, frequent: DataFrame) -> DataFrame:
-    """(lang, words): frequent words separated by one space, with a line feed in the place of what parts them."""
-    keys = cut(frequent.select(F.xxhash64(F.concat_ws("\n", "lang", "word")).alias("h")))
-    bits, shared = bitmap(keys, "h", keys.count())
+#: Odd factors that spread the hashes of two neighbours over the bits of one.
+FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole, mask, known = shared.value, (1 << bits) - 1, {}
 
-        class Kept(dict):
-            """The word itself where the map holds it, else a break."""
+def paired(h: np.ndarray) -> np.ndarray:
+    """A hash of each word and the next one; 0 where one of them is 0."""
+    key = h[:-1] * FACTORS[0] ^ h[1:] * FACTORS[1]
+    key ^= key >> np.uint64(29)
+    key[key == 0] = 1
+    return np.where((h[:-1] == 0) | (h[1:] == 0), np.uint64(0), key)
+
+
+class Kept(dict):
+    """The hash of a word of one language where the map of frequent words holds it, else 0."""
+
+    def __init__(self, lang: str, bits: int, whole: np.ndarray):
+        super().__init__({BREAK: 0, b"": 0})
+        self.lang, self.mask, self.whole = lang.encode() + b"\n", (1 << bits) - 1, whole
 
-            def __init__(self, lang: str):
-                super().__init__({BREAK: BREAK, b"": b""})
-                self.lang = lang.encode() + b"\n"
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh64_intdigest(self.lang + word, seed=42)
+        s = h & self.mask
+        kept = (h or 1) if self.whole[s >> 3] >> (s & 7) & 1 else 0
+        if len(self) < HELD:
+            self[word] = kept
+        return kept
 
-            def __missing__(self, word: bytes) -> bytes:
-                s = xxhash.xxh64_intdigest(self.lang + word, seed=42) & mask
-                kept = word if whole[s >> 3] >> (s & 7) & 1 else BREAK
-                if len(self) < HELD:
-                    self[word] = kept
-                return kept
 
-        def line(lang: str, raw: bytes) -> str:
-            kept = known.get(lang)
-            if kept is None:
-                kept = known[lang] = Kept(lang)
-            # words that follow each other without a break, as one run
-            runs = b" ".join(filter(None, map(kept.__getitem__, raw.replace(b"\n", b" \n ").split(b" ")))).split(BREAK)
-            return b" \n ".join(x.strip(b" ") for x in runs if x not in (b"", b" ")).decode()
+def _hashed(batches: Iterator[pa.RecordBatch], bits: int, whole: np.ndarray) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
+    """Words and hashes of each text; a line feed stands between pieces."""
+    known: dict[str, Kept] = {}
+    for lang, raw in _rows(batches):
+        words = raw.replace(b"\n", b" \n ").split(b" ")
+        words = [w for w in words if w]
+        kept = known.get(lang)
+        if kept is None:
+            kept = known[lang] = Kept(lang, bits, whole)
+        yield lang, words, np.fromiter(map(kept.__getitem__, words), np.uint64, len(words))
 
-        for x in batches:
-            lines = [line(*row) for row in _rows(iter([x]))]
-            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(lines, pa.string())], ["lang", "words"])
 
-    return texts.mapInArrow(run, "lang string, words string")
+def frequent_pairs(texts: DataFrame, words: tuple[int, Broadcast], least: int) -> DataFrame:
+    """(h): hashes of neighbours that meet ``least`` times or more."""
+    bits, shared = words
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
+        for _, _, h in _hashed(batches, bits, shared.value):
+            key = paired(h)
+            held.append(key[key != 0])
+            size += len(held[-1])
+            if size > 20 * HELD:
+                yield out()
+                held, size = [], 0
+        if size:
+            yield out()
 
-def window_counts(lines: DataFrame, order: int) -> DataFrame:
+    return texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h")
+
+
+def window_counts(texts: DataFrame, words: tuple[int, Broadcast], pairs: tuple[int, Broadcast], order: int) -> DataFrame:
     """(lang, w1 .. w<order>, f) of every padded window: pads are empty strings, which no word is.
 
     A window crosses the shuffle as one string, half as wide as its columns.
     """
-    words = F.split("words", " ")
-    leads = lines.where("words <> ''").withColumn("a", words).select("lang", F.explode(F.arrays_zip(*[F.slice("a", k + 1, F.size("a")).alias(f"w{k + 1}") for k in range(order)])).alias("x"))
-    leads = leads.select("lang", *[F.col("x")[f"w{k + 1}"].alias(f"w{k + 1}") for k in range(order)]).where("w1 <> '\\n'")
-    key, ends = F.col("w1"), F.lit(False)
-    for k in range(1, order):
-        w = F.col(f"w{k + 1}")
-        ends = ends | w.isNull() | (w == "\n")
-        key = F.concat(key, F.when(ends, F.lit("")).otherwise(F.concat(F.lit(" "), w)))
-    counts = leads.select("lang", key.alias("window")).groupBy("lang", "window").agg(F.count("*").alias("f"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Counter] = {}
+        size, (bits, whole), (pair_bits, pair_map) = 0, (words[0], words[1].value), (pairs[0], pairs[1].value)
+        mask = np.uint64((1 << pair_bits) - 1)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, counts in held.items():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(counts), pa.string()), pa.array([w.decode() for w in counts], pa.string()), pa.array(counts.values(), pa.int64())], ["lang", "window", "f"]
+                )
+            held.clear()
+
+        for lang, found, h in _hashed(batches, bits, whole):
+            key = paired(h)
+            s = (key & mask).astype(np.int64)
+            on = (key != 0) & (pair_map[s >> 3] >> (s & 7).astype(np.uint8) & 1 == 1)  # the next word belongs to the window
+            run_ = np.append(on, False)
+            size_of = np.where(h != 0, 1, 0)  # words in the window that begins here
+            lead = run_
+            for k in range(1, order):
+                size_of += lead
+                lead = lead & np.append(run_[k:], [False] * min(k, len(run_)))[: len(run_)]
+            counts = held.setdefault(lang, Counter())
+            before = len(counts)
+            for k in range(1, order + 1):
+                at = np.flatnonzero(size_of == k).tolist()
+                counts.update([found[i] for i in at] if k == 1 else [b" ".join(found[i : i + k]) for i in at])
+            size += len(counts) - before
+            if size > 2 * HELD:
+                yield from out()
+                size = 0
+        yield from out()
+
+    counts = texts.mapInArrow(run, "lang string, window string, f long").groupBy("lang", "window").agg(F.sum("f").alias("f"))
     parts = F.split("window", " ")
     return counts.select("lang", *[F.coalesce(F.get(parts, F.lit(k)), F.lit("")).alias(f"w{k + 1}") for k in range(order)], "f")
 
@@ -186,7 +242,10 @@ def collocations(docs: DataFrame, order: int = 3, least: int = 10, percent: int
     texts = spread(docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")))
     words = cut(word_counts(texts))
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    windows = cut(window_counts(masked(texts, words.where(F.col("f") >= least)), order))
+    frequent = cut(words.where(F.col("f") >= least).select(F.xxhash64(F.concat_ws("\n", "lang", "word")).alias("h")))
+    shared = bitmap(frequent, "h", frequent.count())
+    met = cut(frequent_pairs(texts, shared, least))
+    windows = cut(window_counts(texts, shared, bitmap(met, "h", met.count()), order))
     counts = cut(phrase_counts(windows, order, least))
     candidates = cut(scored(counts, order))
     ranked = first_ranked(not_absorbed(candidates, percent), most)
