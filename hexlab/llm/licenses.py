@@ -4,7 +4,8 @@ A text is reduced to a canonical form: lower case, copyright lines dropped, equi
 but letters and digits one space. Its digest is looked up, as a whole, in the table of known licences by a hash
 join. So is the digest of each of its lines (notices), and of each run of successive paragraphs (parts between blank
 lines) that has the length of a known text: a licence may be wrapped as it likes, and stand inside of a larger
-document. Only pieces of such a length are hashed. The table is part of this module (texts, and digests of
+document. Runs are found by the places where paragraphs begin and end, so their number of paragraphs does not
+matter. Only pieces of such a length are hashed. The table is part of this module (texts, and digests of
 long ones; with the licence's title before the text or without it) or given by the caller, and is broadcast
 only up to ``BROADCAST_ROWS`` rows.
 
@@ -82,8 +83,6 @@ SPELLINGS = (
 COPYRIGHT = r"(^|\n)[ \t]*(copyright[ \t:,]*(\(c\)|©|[0-9])|\(c\)|©)[^\n]*"
 APART = r"[^\p{L}\p{N}\n]+"
 BLANK = r"\n *\n[\n ]*"
-#: Paragraphs that a known text has at most, for it to be found inside of a document.
-PARAGRAPHS = 12
 
 
 def _base(text: Column) -> Column:
@@ -122,16 +121,18 @@ def scan(docs: DataFrame, texts=KNOWN, long=LONG) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_key"), _base(text).alias("base"))
     rows = rows.select("doc_id", "text_key", _even(F.col("base")).alias("whole"), F.split("base", "\n").alias("lines"), F.transform(F.split("base", BLANK), _even).alias("p"))
-    rows = rows.withColumn("n", F.transform("p", lambda x: F.length(x)))
-    whole_size = lambda i, k: F.aggregate(F.slice("n", i, k), F.lit(k - 1), lambda a, b: a + b)
+    # the canonical text is its paragraphs joined by spaces: where each of them ends, and where it begins
+    n = F.transform(F.filter("p", lambda x: x != ""), lambda x: F.length(x))
+    ends = F.aggregate(n, F.array(F.lit(-1)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + 1 + x)))
+    rows = rows.withColumn("p", ends).withColumns({"starts": F.transform(F.slice("p", 1, F.size("p") - 1), lambda e: e + 1), "ends": F.slice("p", 2, F.size("p"))})
 
-    def runs_of(k: int) -> Column:
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("p") - (k - 1), F.lit(1))), lambda i: (F.size("p") >= k) & whole_size(i, k).isin(sizes))
-        return F.transform(starts, lambda i: F.array_join(F.slice("p", i, k), " "))
+    def runs_of(size: int) -> Column:
+        met = F.array_intersect(F.transform("starts", lambda x: x + size), F.col("ends"))
+        return F.when(F.length("whole") >= size, F.transform(met, lambda e: F.substring(F.col("whole"), e - size + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
 
     piece = lambda kind: lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("piece"))
     lines = F.filter(F.transform("lines", lambda x: F.trim(x)), lambda x: F.length(x).isin(sizes))
-    runs = F.concat(*[runs_of(k) for k in range(1, PARAGRAPHS + 1)])
+    runs = F.concat(*[runs_of(size) for size in sizes])
     # one row for the whole text, and one for each piece that is as long as a known text
     pieces = F.concat(F.transform(F.array("whole"), piece("whole")), F.transform(lines, piece("line")), F.transform(runs, piece("run")))
     rows = rows.select("doc_id", "text_key", F.explode(pieces).alias("x")).select("doc_id", "text_key", "x.kind", F.sha2("x.piece", 256).alias("digest"))
@@ -158,6 +159,7 @@ def _sql() -> str:
     values = [*KNOWN, *((name, f"{title} {text}") for name, text in KNOWN for other, title in TITLES if other == name and len(text) > 200)]
     texts = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in values)
     digests = ", ".join(f"('{name}', '{d}')" for name, _, d in LONG)
+    sizes = f"select length({even(base('text'))}) from (values {texts}) v(license, text) union select n from (values {', '.join(f'({n})' for _, n, _ in LONG)}) w(n)"
     return f"""
 with k as (select digest, min(license) as license from (select sha256({even(base('text'))}) as digest, license from (values {texts}) v(license, text) union all select digest, license from (values {digests}) w(license, digest)) group by 1),
 d as (select doc_id, coalesce(text, '') as text, {base("coalesce(text, '')")} as base from (select distinct doc_id, text from documents)),
@@ -166,7 +168,11 @@ n as (select doc_id, text, string_agg(distinct license, ',' order by license) as
       from l join k on sha256(trim(line)) = k.digest group by doc_id, text),
 p as (select doc_id, text, unnest(ps) as par, generate_subscripts(ps, 1) as i from (select doc_id, text, regexp_split_to_array(base, '{BLANK}') as ps from d)),
 a as (select doc_id, text, i, {even('par')} as par from p),
-r as ({" union all ".join(f"select * from (select doc_id, text, string_agg(par, ' ') over (partition by doc_id, text order by i rows between current row and {n} following) as run from a)" for n in range(PARAGRAPHS))}),
+b as (select doc_id, text, i, sum(length(par) + 1) over (partition by doc_id, text order by i) as after, length(par) as n from a where par <> ''),
+w as (select doc_id, text, string_agg(par, ' ' order by i) as whole from a where par <> '' group by doc_id, text),
+r as (select x.doc_id, x.text, substring(w.whole, (x.after - x.n)::bigint, (y.after - 1 - x.after + x.n + 1)::bigint) as run
+  from b x join b y on x.doc_id = y.doc_id and x.text = y.text and y.i >= x.i join w on w.doc_id = x.doc_id and w.text = x.text
+  where y.after - x.after + x.n in ({sizes})),
 c as (select r.doc_id, r.text, string_agg(distinct license, ',' order by license) as contained from r join k on sha256(r.run) = k.digest group by r.doc_id, r.text)
 select e.doc_id, sha256({even('d.base')}) as digest, k.license, coalesce(n.notices, '') as notices, coalesce(n.n_notices, 0) as n_notices, coalesce(c.contained, '') as contained
 from documents e join d on d.doc_id = e.doc_id and d.text = coalesce(e.text, '') left join k on sha256({even('d.base')}) = k.digest
