@@ -16,10 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, cut, partitions, small_batches
-
-#: Bits of the filter that keeps texts without a copy out of the byte comparison: 512 KB, whatever the input.
-FILTER_BITS = 22
+from .common import bitmap, bucket_of, cut, partitions, small_batches
 
 
 def canonical(text: str) -> str:
@@ -52,32 +49,24 @@ def exact_classes(docs: DataFrame, prints: DataFrame | None = None) -> DataFrame
 
     Rows meet by digest; the canonical bytes of equal digests are then compared by grouping on
     (digest, bytes), which combines copies before the shuffle, so a group with a third of all rows
-    costs one row a task. A fixed-size bitmap of repeated digests keeps the other texts out of that
-    shuffle. Two texts of one digest raise an error: they would need another digest.
+    costs one row a task. A bit map of repeated digests, which grows with their number up to 64 MB, keeps most other
+    texts out of that shuffle. Two texts of one digest raise an error: they would need another digest.
     """
     spark = docs.sparkSession
     prints = fingerprint(docs) if prints is None else prints
     many = prints.groupBy("fingerprint").agg(F.count("*").alias("copies"), F.min("doc_id").alias("class_id")).where("copies > 1")
     many = cut(many)
-    slot = F.conv(F.substring("fingerprint", 1, 6), 16, 10).cast("long") % (1 << FILTER_BITS)
-    bits = (
-        many.select(slot.alias("s"))
-        .groupBy(F.bitmap_bucket_number("s").alias("b"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
-        .collect()
-    )
-    maps = spark.sparkContext.broadcast({r["b"]: bytes(r["bits"]) for r in bits})
+    bits, shared = bitmap(many.select(F.conv(F.substring("fingerprint", 1, 16), 16, -10).cast("long").alias("h")), "h", many.count())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = maps.value
+        whole, mask = shared.value, (1 << bits) - 1
         for x in batches:
             out = []
             for t in x["text"]:
                 canon = canonical(t or "")
                 d = digest(canon)
-                s = int(d[:6], 16) % (1 << FILTER_BITS)
-                b, at = ((s - 1) // 32768 + 1, (s - 1) % 32768) if s > 0 else (-s // 32768, -s % 32768)
-                if b in known and known[b][at // 8] >> (at % 8) & 1:
+                s = int(d[:16], 16) & mask
+                if whole[s >> 3] >> (s & 7) & 1:
                     out.append((d, canon.encode("utf-8", "surrogatepass")))
             yield pd.DataFrame(out, columns=["fingerprint", "canon"])
 
