@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, spread
 from .memo import Memo
 
 # The white space of Unicode, and the pattern that byte-level BPE splits a text by.
@@ -151,4 +151,4 @@ def encode_decode(docs: DataFrame, vocabulary: str) -> DataFrame:
             bpe.trim()
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, ids binary, decoded string")
+    return spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInPandas(run, "doc_id long, ids binary, decoded string")

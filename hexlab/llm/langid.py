@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, spread
 
 #: Labelled rows that training takes at most, windows of each of them, and the bytes of such a window.
 TRAIN_ROWS, TRAIN_WINDOWS, TRAIN_BYTES = 2000, 8, 64
@@ -32,6 +32,12 @@ CORE, WARM = 480, 32
 #: Windows that are read side by side.
 TOGETHER = 2048
 UNKNOWN = "und"
+#: Standard deviations by which the bytes of a text may be less usual than its language's.
+FAR = 5.0
+#: Bytes of a text that are held to one language where the whole is not in its own.
+STRETCH = 512
+#: ASCII letters in lower case, other ASCII bytes as spaces: numbers, keys and addresses say nothing of a language.
+WORDS_ONLY = bytes(b if b >= 128 else b | 32 if chr(b).isalpha() else 32 for b in range(256))
 
 
 def windows(raw: bytes) -> list[tuple[bytes, int, int]]:
@@ -211,8 +217,8 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, rows: int = TRAIN_ROWS, **fit) -> Gru | None:
-    """A network for the languages of ``docs``; None if no row may be learned from."""
+def sampled(docs: DataFrame, rows: int = TRAIN_ROWS) -> list[tuple[str, list[bytes]]]:
+    """(lang, windows) of the rows that training takes."""
     open_ = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     # the numbers first: a sort with a limit sends as many rows from every task to the driver
     picked = [r[0] for r in open_.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()]
@@ -228,7 +234,16 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, **fit) -> Gru | None:
         return pd.Series(out)
 
     sample = open_.where(F.col("doc_id").isin(picked)).select("doc_id", "lang", F.pandas_udf(pieces, "array<binary>")("text").alias("pieces")).distinct().collect()
-    found = [(bytes(w), r["lang"], 1 / len(r["pieces"])) for r in sorted(sample, key=lambda r: (r["doc_id"], r["lang"], r["pieces"])) for w in r["pieces"] if len(w)]
+    return [(r["lang"], [bytes(w) for w in r["pieces"] if len(w)]) for r in sorted(sample, key=lambda r: (r["doc_id"], r["lang"], r["pieces"]))]
+
+
+def train(docs: DataFrame, rows: int = TRAIN_ROWS, **fit) -> Gru | None:
+    """A network for the languages of ``docs``; None if no row may be learned from."""
+    return learned(sampled(docs, rows), **fit)
+
+
+def learned(sample: list[tuple[str, list[bytes]]], **fit) -> Gru | None:
+    found = [(w, lang, 1 / len(pieces)) for lang, pieces in sample for w in pieces]
     if not found:
         return None
     languages = sorted({lang for _, lang, _ in found})
@@ -238,6 +253,97 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, **fit) -> Gru | None:
     return Gru(languages).fit([w for w, _, _ in found], label, weight, **fit)
 
 
+class Habits:
+    """How usual the bytes of a text are in each language, which the network, sure of one of its languages whatever it
+    reads, cannot say: the mean log-probability of a byte after the two before it, as a distance from that of the
+    sample's documents of the language.
+
+    Counts of half of the documents are held against the other half to find that mean, its spread over documents and
+    that over bytes, so the distance allows for short texts.
+    """
+
+    BITS = 18
+    #: Weight of the shorter context where the longer one was seen little.
+    BACK = 2.0
+
+    def __init__(self, sample: list[tuple[str, list[bytes]]]):
+        self.tables, self.usual = {}, {}
+        for lang in sorted({lang for lang, _ in sample}):
+            texts = [pieces for g, pieces in sample if g == lang and pieces]
+            halves = [self._table(texts[k::2]) for k in (0, 1)]
+            found = [np.concatenate([self._logs(halves[1 - k], w) for w in pieces]) for k in (0, 1) for pieces in texts[k::2]]
+            found = [f for f in found if len(f)]
+            if len(found) < 10:  # too few to say what is usual
+                continue
+            means = np.array([f.mean() for f in found])
+            byte = float(np.mean([f.var() for f in found]))
+            spread_ = max(float(means.var() - byte * np.mean([1 / len(f) for f in found])), 1e-4)
+            self.tables[lang], self.usual[lang] = self._table(texts), (float(means.mean()), spread_, byte)
+
+    @classmethod
+    def _slots(cls, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        b = np.frombuffer(b" ".join(raw.translate(WORDS_ONLY).split()), dtype=np.uint8).astype(np.int64)
+        two = b[:-1] << 8 | b[1:]
+        three = ((two[:-1] << 8 | b[2:]) * 2654435761 & 0xFFFFFFFF) >> (32 - cls.BITS)
+        return b, two, three
+
+    @classmethod
+    def _table(cls, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Logarithms: of a byte after two (0 where it was not seen), of falling back from two, of a byte after one."""
+        one, two, three = np.zeros(256), np.zeros(1 << 16), np.zeros(1 << cls.BITS)
+        seen = {}
+        for pieces in texts:
+            for w in pieces:
+                b, t, h = cls._slots(w)
+                np.add.at(one, b, 1)
+                np.add.at(two, t, 1)
+                np.add.at(three, h, 1)
+                seen |= dict(zip(h.tolist(), zip(t[:-1].tolist(), t[1:].tolist(), strict=True), strict=True))
+        after = np.log((two + cls.BACK / 256) / (np.repeat(one, 256) + cls.BACK))
+        back = np.log(cls.BACK / (two + cls.BACK))
+        logs = np.zeros(1 << cls.BITS)
+        if seen:
+            h = np.fromiter(seen, np.int64)
+            ab, bc = np.array(list(seen.values())).T
+            logs[h] = np.log((three[h] + cls.BACK * np.exp(after[bc])) / (np.maximum(two[ab], three[h]) + cls.BACK))
+        return logs.astype(np.float32), back.astype(np.float32), after.astype(np.float32)
+
+    @classmethod
+    def _logs(cls, table: tuple[np.ndarray, np.ndarray, np.ndarray], raw: bytes) -> np.ndarray:
+        logs, back, after = table
+        _, two, three = cls._slots(raw)
+        p = logs[three]
+        return np.where(p != 0, p, back[two[:-1]] + after[two[1:]])
+
+    def distance(self, lang: str, text: str) -> float:
+        """Standard deviations below (less than 0) or above what is usual; 0 for a language without a habit."""
+        if lang not in self.usual:
+            return 0.0
+        raw, total, n = text.encode("utf-8", "surrogatepass"), 0.0, 0
+        for at in range(0, len(raw), 1 << 20):  # in pieces, so that memory stays bounded
+            p = self._logs(self.tables[lang], raw[max(0, at - 2) : at + (1 << 20)])
+            total, n = total + float(p.sum()), n + len(p)
+        mean, over_documents, over_bytes = self.usual[lang]
+        return (total / n - mean) / (over_documents + over_bytes / n) ** 0.5 if n else 0.0
+
+    def strange(self, lang: str, text: str, far: float) -> bool:
+        """Whether the text is ``far`` below what is usual in its language, and in the best language of each of its
+        stretches of ``STRETCH`` bytes: a document may quote another known language."""
+        if self.distance(lang, text) >= -far:
+            return False
+        raw, below, variance, n = text.encode("utf-8", "surrogatepass"), 0.0, 0.0, 0
+        for at in range(0, len(raw), STRETCH):
+            found = []
+            for name, (mean, over_documents, over_bytes) in self.usual.items():
+                p = self._logs(self.tables[name], raw[max(0, at - 2) : at + STRETCH])
+                if len(p):
+                    found.append((float(p.mean() - mean) / (over_documents + over_bytes / len(p)) ** 0.5, float(p.sum() - mean * len(p)), over_documents, over_bytes, len(p)))
+            if found:
+                _, off, over_documents, over_bytes, k = max(found)
+                below, variance, n = below + off, variance + over_documents * k + over_bytes, n + k
+        return n > 0 and below / n < -far * (variance / n) ** 0.5
+
+
 class Labeller:
     """Labels whole texts."""
 
@@ -276,7 +382,7 @@ def predict(docs: DataFrame, model: Gru | None) -> DataFrame:
             yield pd.DataFrame({"doc_id": x["doc_id"].astype("Int64"), "lang_pred": names, "score": scores})
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
+    return spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInPandas(run, "doc_id long, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
@@ -284,20 +390,25 @@ def identify(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     return predict(docs, train(docs, rows)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least: float = 1.2) -> DataFrame:
-    """The documents whose language is found: texts that are null or have no letter go, and those whose best
-    language has a score under ``least`` times chance (one over the number of languages). Without a labelled row
-    every text with a letter stays. The column ``lang`` is left as it is."""
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs))
+def keep_identified(docs: DataFrame, least: float = 1.2, far: float = FAR) -> DataFrame:
+    """The documents whose language is found: texts that are null or have no letter go, those whose best
+    language has a score under ``least`` times chance (one over the number of languages), and those whose bytes are
+    ``far`` standard deviations less usual in that language than those of its documents (``Habits``): other
+    languages and random letters. Without a labelled row every text with a letter stays. The column ``lang`` is left
+    as it is."""
+    sample = sampled(docs)
+    shared = docs.sparkSession.sparkContext.broadcast((learned(sample), Habits(sample)))
 
     def found(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        net = shared.value
+        net, habits = shared.value
         label = Labeller(net)
         for t in texts:
             if net is None:
                 yield t.map(lambda x: x is not None and any(map(str.isalpha, x))).astype(bool)
             else:
-                yield pd.Series([n != UNKNOWN and s >= min(1.0, least / len(net.languages)) for n, s in zip(*label(t.tolist()), strict=True)], dtype=bool)
+                bar = min(1.0, least / len(net.languages))
+                names, scores = label(t.tolist())
+                yield pd.Series([n != UNKNOWN and s >= bar and not habits.strange(n, x, far) for n, s, x in zip(names, scores, t, strict=True)], dtype=bool)
 
     small_batches(docs.sparkSession)
-    return docs.where(F.pandas_udf(found, "boolean")("text"))
+    return spread(docs).where(F.pandas_udf(found, "boolean")("text"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters
-from .common import small_batches
+from .common import small_batches, spread
 from .memo import Memo
 
 #: Pieces that a task holds to choose from.
@@ -221,6 +221,6 @@ def pack(docs: DataFrame, vocabulary: str, end: int = 2, tokens: int = 4096, seg
     small_batches(docs.sparkSession)
     skip = F.coalesce(F.col(masked).cast("long"), F.lit(0)) if masked else F.lit(0).cast("long")
     head = F.col(prompt) if prompt else F.lit(None).cast("string")
-    return docs.select(F.col("doc_id").cast("long"), head.alias("prompt"), "text", skip.alias("masked")).mapInPandas(
+    return spread(docs.select(F.col("doc_id").cast("long"), head.alias("prompt"), "text", skip.alias("masked"))).mapInPandas(
         run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     )

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, spread
 from .memo import Memo
 
 TRAIN_ROWS = 4000
@@ -208,4 +208,4 @@ def classify(docs: DataFrame, chain: Chain) -> DataFrame:
             yield pd.DataFrame({"doc_id": x["doc_id"].astype("Int64")} | {n: p[:, i] for i, n in enumerate(shared.value.names)})
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, " + ", ".join(f"{n} double" for n in chain.names))
+    return spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInPandas(run, "doc_id long, " + ", ".join(f"{n} double" for n in chain.names))

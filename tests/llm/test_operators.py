@@ -475,6 +475,24 @@ def test_language_against_a_plain_reading():
     assert names[-2:] == ["und", "und"] and scores[-2:] == [0.0, 0.0]
 
 
+def test_language_stage_rejects_what_is_no_language_it_knows(spark):
+    rng = random.Random(8)
+    syllables = {"aa": ["ba", "lo", "mi", "tu", "re", "sa"], "bb": ["schu", "kno", "per", "dul", "ing", "ost"], "cc": ["xir", "qua", "zho", "wyn", "vek", "juf"]}
+
+    def text(lang, n):
+        return " ".join("".join(rng.choice(syllables[lang]) for _ in range(rng.randint(1, 4))) for _ in range(n))
+
+    rows = [(k, text(lang, rng.randint(5, 200)), lang) for k in range(600) for lang in (("aa", "bb")[k % 2],)]
+    mixed = [(1000 + k, text("aa", 60) + ". " + text("bb", 60) + " 4711 8fa0", "aa") for k in range(20)]
+    other = [(2000 + k, text("cc", rng.randint(8, 100)), None) for k in range(60)]
+    noise = [(3000 + k, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz  ") for _ in range(rng.randint(60, 500))), None) for k in range(60)]
+    rest = [(4000, None, "aa"), (4001, "12 34", "bb"), (4002, text("bb", 20_000), None)]
+    kept = {r["doc_id"] for r in langid.keep_identified(spark.createDataFrame([*rows, *mixed, *other, *noise, *rest], "doc_id long, text string, lang string")).collect()}
+    assert sum(k < 1000 for k in kept) >= 0.99 * len(rows) and sum(1000 <= k < 2000 for k in kept) >= 19
+    assert sum(2000 <= k < 3000 for k in kept) <= 0.1 * len(other) and sum(3000 <= k < 4000 for k in kept) <= 0.1 * len(noise)
+    assert 4002 in kept and not kept & {4000, 4001}
+
+
 def test_language(spark, nothing):
     rng = random.Random(8)
     vocab = {"aa": ["der", "und", "die", "schön", "nicht"], "bb": ["el", "que", "año", "pero", "los"]}
@@ -594,6 +612,23 @@ def test_every_known_licence_is_found_whole_and_inside(spark):
     assert all(r["license"] is None and set(r["contained"].split(",")) <= names[r["doc_id"]] and r["contained"] for r in licenses.scan(inside).collect())
 
 
+def test_long_licences_inside_documents(spark):
+    """However many paragraphs they have, and wherever they stand."""
+    folder, found = "/usr/share/common-licenses", {}
+    for file, name in (("GPL-3", "GPL-3.0"), ("Apache-2.0", "Apache-2.0"), ("CC0-1.0", "CC0-1.0"), ("GPL-2", "GPL-2.0"), ("MPL-1.1", "MPL-1.1"), ("GFDL-1.3", "GFDL-1.3")):
+        if os.path.exists(f"{folder}/{file}"):
+            with open(f"{folder}/{file}", encoding="utf-8") as f:
+                found[name] = f.read()
+    many = "\n\n".join(f"part {k} of a long text" for k in range(40))
+    rows = [(k, f"{prose(30)}\n\n\n{text}\n\n{prose(9)}") for k, text in enumerate(found.values())]
+    rows += [(90, f"before\n\n{many}\n \n\nafter"), (91, many), (92, many.replace("part 7", "part x")), (93, f"{many}\n\n{many}")]
+    known = [("mine", many.replace("\n\n", " "))]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), [*licenses.KNOWN, *known]).collect()}
+    for k, name in enumerate(found):
+        assert name in got[k]["contained"].split(",") and got[k]["license"] is None
+    assert [got[k]["contained"] for k in (90, 91, 92, 93)] == ["mine", "mine", "", "mine"] and got[91]["license"] == "mine"
+
+
 @pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="the long texts are not on this machine")
 def test_long_licences(spark):
     files = {"GPL-3.0": "GPL-3", "GPL-2.0": "GPL-2", "LGPL-2.1": "LGPL-2.1", "Apache-2.0": "Apache-2.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
