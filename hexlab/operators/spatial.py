@@ -129,7 +129,8 @@ def moran_permutations(values: DataFrame, edges: DataFrame, column: str = "value
 
 def weight_tables(cells: DataFrame, key: str = "hex_id", max_dist: float = float("inf")) -> dict[str, DataFrame]:
     """The four tables to compare for hexes (key, q, r, x, y): rook and queen contiguity (the same on hexes), 1 / d and
-    1 / d². All pairs weigh in unless ``max_dist`` says up to where; on more than some thousands of hexes, give it."""
+    1 / d². All pairs weigh in unless ``max_dist`` says up to where; on more than some thousands of hexes, give it, or take
+    ``farfield.moran_by_distance``, which makes no row of a pair."""
     near = grid.neighbours(cells.select(key, "q", "r"), key)
     if max_dist == float("inf"):
         box = cells.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
@@ -139,12 +140,15 @@ def weight_tables(cells: DataFrame, key: str = "hex_id", max_dist: float = float
 
 
 def compare_weights(values: DataFrame, tables: dict[str, DataFrame], column: str = "value", key: str = "hex_id", sims: int = 0) -> DataFrame:
-    """Moran's I under each weight table, with a permutation p if ``sims``."""
-    out = None
+    """Moran's I under each weight table, with a permutation p if ``sims``; a table with two names is worked out once."""
+    out, rows = None, {}
     for name, edges in tables.items():
-        row = global_moran(values, edges, column, key).withColumn("weights", F.lit(name))
-        if sims:
-            row = row.crossJoin(moran_permutations(values, edges, column, key, sims).select("p_value"))
+        if id(edges) not in rows:
+            row = global_moran(values, edges, column, key)
+            if sims:
+                row = row.crossJoin(moran_permutations(values, edges, column, key, sims).select("p_value"))
+            rows[id(edges)] = cut(row)
+        row = rows[id(edges)].withColumn("weights", F.lit(name))
         out = row if out is None else out.unionByName(row)
     return out
 

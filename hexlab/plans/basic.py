@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
-from ..operators import assoc, evaluate, grid, hexagg, panel, spatial
+from ..operators import assoc, evaluate, farfield, grid, hexagg, panel, spatial
 from ..sources.scratch import cut
 from . import fixtures as X
 
@@ -467,6 +467,27 @@ def l5_compare_weights(spark, d):
     return spatial.compare_weights(p, tables, "severity", "cell").select("weights", F.round("moran_i", 6).alias("moran_i"))
 
 
+@query(""", v as (select site_id, x, y, value, value - avg(value) over () as z from fx1_site),
+ d as (select a.site_id as i, b.site_id as j, a.z as zi, b.z as zj, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) as d from v a join v b on a.site_id <> b.site_id),
+ k as (select i, j, zi, zj, p, pow(d, -p) as w from d cross join (select unnest([1, 2]) as p) where d > 0),
+ w as (select i, j, p, zi, zj, w / sum(w) over (partition by i, p) as w from k),
+ c as (select p, sum(w * zi * zj) as c, sum(w) as s0 from w group by p),
+ s1 as (select a.p, sum(pow(a.w + b.w, 2)) / 2 as s1 from w a join w b on a.i = b.j and a.j = b.i and a.p = b.p group by a.p),
+ o as (select i, p, sum(w) as o from w group by i, p), n_ as (select j, p, sum(w) as n from w group by j, p), s2 as (select o.p, sum(pow(o + n, 2)) as s2 from o join n_ on o.i = n_.j and o.p = n_.p group by o.p),
+ m as (select count(*) * 1.0::double as n, sum(z*z) as m2, sum(pow(z, 4)) as m4 from v),
+ t as (select c.p, n, n / s0 * c / m2 as i, -1 / (n - 1) as ex, n * m4 / (m2 * m2) as b2, s0, s1, s2 from c join s1 on s1.p = c.p join s2 on s2.p = c.p cross join m),
+ r as (select p, n, i, ex, (n * ((n*n - 3*n + 3)*s1 - n*s2 + 3*s0*s0) - b2 * ((n*n - n)*s1 - 2*n*s2 + 6*s0*s0)) / ((n-1)*(n-2)*(n-3)*s0*s0) - ex*ex as var from t)
+ select 'inverse_distance' || case p when 2 then '2' else '' end as weights, cast(n as bigint) as n, round(i, 4) + 0.0 as moran_i, round((i - ex) / sqrt(var), 2) as z from r""")
+def l5_all_pairs_by_far_field(spark, d):
+    """Weights 1 / d and 1 / d² over all pairs of the sites, without a row for each pair."""
+    out = None
+    for power in (1, 2):
+        row = farfield.moran_by_distance(X.site(spark, d), power, 4000.0, 3, key="site_id")
+        row = row.select(F.lit(f"inverse_distance{power if power > 1 else ''}").alias("weights"), "n", (F.round("moran_i", 4) + 0.0).alias("moran_i"), F.round("z", 2).alias("z"))
+        out = row if out is None else out.unionAll(row)
+    return out
+
+
 @query()
 def l5_l4_compare_weights_with_p(spark, d):
     """The same with p from 999 relabellings under each table."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from hexlab.functions import geometry as G
 from hexlab.functions import labels as L
-from hexlab.operators import assoc, cluster, evaluate, grid, hexagg, logdet, models, overlay, panel, spatial
+from hexlab.operators import assoc, cluster, evaluate, farfield, grid, hexagg, logdet, models, overlay, panel, spatial
 from hexlab.sources import io
 
 
@@ -321,6 +321,32 @@ def test_log_determinants(spark):
     assert det.compute([0.5])[0] and logdet.lattice(near.where("false"), cells.select(F.col("hex_id").alias("id"), "q", "r"))[2] == 1
 
 
+def test_moran_over_all_pairs_without_pairs(spark):
+    rng = np.random.default_rng(2)
+    cells = [(q * 64 + r, q + r / 2, r * math.sqrt(3) / 2) for q in range(40) for r in range(40)]
+    z = np.cumsum(rng.normal(size=len(cells))) / 10 + rng.normal(size=len(cells))
+    df = spark.createDataFrame([(i, x, y, float(v)) for (i, x, y), v in zip(cells, z, strict=True)] + [(-1, 3.0, 3.0, None)], "hex_id long, x double, y double, value double")
+    xy = np.array([c[1:] for c in cells])
+    d = np.hypot(*(xy[:, None, :] - xy[None, :, :]).transpose(2, 0, 1))
+    np.fill_diagonal(d, np.inf)
+    for power, reach in ((1, 2), (2, 2), (2, 3)):
+        w = d ** -float(power)
+        sums = {r["hex_id"]: r for r in farfield.distance_sums(df.where("value is not null"), ["value"], [power], 4.0, reach).collect()}
+        got, bound = (np.array([sums[c[0]][f"value_{power}{e}"] for c in cells]) for e in ("", "_error"))
+        assert (np.abs(got - w @ z) <= bound + 1e-9).all() and np.abs(got - w @ z).max() < 0.02 * np.abs(w @ z).max() and bound.max() > 0
+        w /= w.sum(axis=1, keepdims=True)
+        c = z - z.mean()
+        exact = len(z) / w.sum() * (c @ w @ c) / (c @ c)
+        r = farfield.moran_by_distance(df, power, 4.0, reach).first()
+        assert r["n"] == len(z) and abs(r["moran_i"] - exact) <= r["error"] and abs(r["moran_i"] - exact) < 1e-3 * abs(exact)
+        n, s0, s1, s2 = len(z), w.sum(), ((w + w.T) ** 2).sum() / 2, ((w.sum(axis=0) + w.sum(axis=1)) ** 2).sum()
+        b2 = n * (c**4).sum() / (c @ c) ** 2
+        var = (n * ((n * n - 3 * n + 3) * s1 - n * s2 + 3 * s0**2) - b2 * ((n * n - n) * s1 - 2 * n * s2 + 6 * s0**2)) / ((n - 1) * (n - 2) * (n - 3) * s0**2) - 1 / (n - 1) ** 2
+        assert r["variance"] == pytest.approx(var, rel=0.02)
+    one = farfield.moran_by_distance(df.where("hex_id < 2"), 1).first()
+    assert one["n"] < 4 and one["moran_i"] is None
+
+
 def test_local_moran_moments(spark):
     df, e = lattice(spark, 5)
     rows = df.orderBy("hex_id").collect()
