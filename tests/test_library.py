@@ -412,3 +412,64 @@ def test_projection_of_the_origin(spark):
     row = spark.range(1).select(*G.conformal_conic(F.lit(-68.5), F.lit(44.0)), *G.conformal_conic(F.lit(-71.2), F.lit(46.8)))
     x0, y0, x1, y1 = one(row)
     assert abs(x0) < 1e-6 and abs(y0) < 1e-6 and x1 == pytest.approx(-206000, abs=1500) and y1 == pytest.approx(315000, abs=3000)
+
+
+def test_panel_versions(spark, tmp_path):
+    path = str(tmp_path / "panel")
+    assert io.cached_panel(spark, path, ["a"], 5.0) is None
+    one = spark.createDataFrame([(k, y, y % 3) for k in range(6) for y in (2000, 2001, 2002)], "hex_id int, year int, severity int")
+    io.write_panel(one, path, ["a"], 5.0, {"c": ["group1"], "d": []})
+    seen = lambda: {(r["hex_id"], r["year"]): r["severity"] for r in io.read_panel(spark, path, ["a"], 5.0).collect()}
+    before = seen()
+    assert len(before) == 18
+    # a write that fails half-way leaves the old panel
+    broken = one.withColumn("severity", F.when(F.col("hex_id") == 5, F.raise_error(F.lit("half-way")).cast("int")).otherwise(9))
+    with pytest.raises(Exception, match="half-way"):
+        io.write_panel(broken, path, ["a"], 5.0, {"c": ["group1"]})
+    assert seen() == before and io.covariates_of(spark, path, "group2") == ["d"]
+    # one year refreshed, by a reader that still holds the version before
+    held = io.read_panel(spark, path, ["a"], 5.0)
+    io.write_panel(one.withColumn("severity", F.lit(7)), path, ["a"], 5.0, {"c": []}, years=[2001])
+    now = seen()
+    assert all(v == (7 if y == 2001 else before[k, y]) for (k, y), v in now.items()) and len(now) == 18
+    assert held.where("severity = 7").count() == 0
+    with pytest.raises(ValueError, match="all of it"):
+        io.write_panel(one, path, ["b"], 5.0, {}, years=[2001])
+    for _ in range(3):  # old folders go, those that are still used stay
+        io.write_panel(one.withColumn("severity", F.lit(8)), path, ["a"], 5.0, {"c": []}, years=[2002])
+    assert {v for (_, y), v in seen().items() if y == 2002} == {8} and {v for (_, y), v in seen().items() if y == 2001} == {7} and len(seen()) == 18
+    assert len(io._versions(spark, path)) <= 4
+    with pytest.warns(UserWarning, match="built for"):
+        io.read_panel(spark, path, ["a"], 6.0)
+
+
+def test_box_scans_skip_row_groups(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    n = 40_000
+    place = lambda m: (F.xxhash64("id", F.lit(m)) % 10_000).cast("double")
+    df = spark.range(n).select("id", place(1).alias("xmin"), place(2).alias("ymin")).withColumns({"xmax": F.col("xmin") + 20, "ymax": F.col("ymin") + 20})
+    df = df.unionByName(spark.createDataFrame([(-1, None, None, None, None)], df.schema))
+    box = (100.0, 200.0, 600.0, 700.0)
+
+    def groups(path):
+        met = total = 0
+        for file in glob.glob(f"{path}/*.parquet"):
+            meta = pq.ParquetFile(file).metadata
+            at = {meta.schema.column(i).name: i for i in range(meta.num_columns)}
+            for g in range(meta.num_row_groups):
+                s = {c: meta.row_group(g).column(i).statistics for c, i in at.items()}
+                total += 1
+                met += not all(v.has_min_max for v in s.values()) or bool(s["xmin"].min <= box[2] and s["xmax"].max >= box[0] and s["ymin"].min <= box[3] and s["ymax"].max >= box[1])
+        return met, total
+
+    io.write_by_place(df, str(tmp_path / "placed"), 16, 256 << 10)
+    df.repartition(16).write.parquet(str(tmp_path / "plain"))
+    (met, total), plain = groups(tmp_path / "placed"), groups(tmp_path / "plain")
+    assert total >= 16 and met <= 0.25 * total and plain[0] == plain[1]
+    scan = lambda path: sorted(r["id"] for r in io.box_scan(spark.read.parquet(str(tmp_path / path)), *box, keep=["id"]).collect())
+    assert scan("placed") == scan("plain") and scan("placed")
+    assert spark.read.parquet(str(tmp_path / "placed")).count() == n + 1
+    io.write_by_place(df.where("false"), str(tmp_path / "none"), 2)
