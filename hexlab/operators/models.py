@@ -49,7 +49,7 @@ class Fit:
         return -2 * ll + 2 * k, -2 * ll + math.log(self.n) * k, ll
 
 
-def least_squares(g: np.ndarray, index: dict[str, int], y: dict[str, float], x: list[dict[str, float]], names: list[str], n: int, ridge: np.ndarray | None = None) -> Fit:
+def least_squares(g: np.ndarray, index: dict[str, int], y: dict[str, float], x: list[dict[str, float]], names: list[str], n: int) -> Fit:
     """Regression of one linear combination of columns on others, from the cross products alone."""
     def dot(a: dict[str, float], b: dict[str, float]) -> float:
         return sum(u * v * g[index[p], index[q]] for p, u in a.items() for q, v in b.items())
@@ -58,13 +58,66 @@ def least_squares(g: np.ndarray, index: dict[str, int], y: dict[str, float], x:
     xy = np.array([dot(a, y) for a in x])
     scale = np.sqrt(np.maximum(np.diag(xx), 1e-300))
     m = xx / np.outer(scale, scale)
-    if ridge is not None:
-        m = m + np.diag(ridge)
     beta = np.linalg.lstsq(m, xy / scale, rcond=1e-12)[0] / scale
     sse = dot(y, y) - 2 * beta @ xy + beta @ xx @ beta
     return Fit(names, beta, float(max(sse, 0.0)), n)
 
 
+def curvature(knots: Sequence[float], low: float, high: float) -> np.ndarray:
+    """Integrals over [low, high] of products of second derivatives of u², u³ and the cubes that begin at the knots."""
+    cuts = sorted({low, high, *(k for k in knots if low < k < high)})
+    at, weight = np.polynomial.legendre.leggauss(2)  # exact for the squares of straight pieces
+    u = np.concatenate([(a + b) / 2 + (b - a) / 2 * at for a, b in zip(cuts, cuts[1:], strict=False)] or [np.zeros(0)])
+    w = np.concatenate([(b - a) / 2 * weight for a, b in zip(cuts, cuts[1:], strict=False)] or [np.zeros(0)])
+    d = np.array([np.full(len(u), 2.0), 6 * u, *(6 * np.maximum(u - k, 0) for k in knots)])
+    return (d * w) @ d.T
+
+
+@dataclass
+class Additive:
+    """An additive fit: its coefficients, effective number of coefficients, and the smoothing of each covariate."""
+
+    fit: Fit
+    freedom: float
+    smoothing: list[float]
+
+
+def additive(g: np.ndarray, index: dict[str, int], y: str, base: list[str], smooths: list[tuple[list[str], np.ndarray]], n: int, rounds: int = 6) -> Additive:
+    """Penalised regression of y on ``base`` (free) and groups of terms, each with its own curvature penalty, from the
+    cross products alone; the smoothing of every group by generalised cross-validation, one group after the other."""
+    names = [*base, *(t for terms, _ in smooths for t in terms)]
+    at = [index[v] for v in names]
+    xx, xy, yy = g[np.ix_(at, at)], g[at, index[y]], g[index[y], index[y]]
+    scale = np.sqrt(np.maximum(np.diag(xx), 1e-300))
+    m, v, blocks, first = xx / np.outer(scale, scale), xy / scale, [], len(base)
+    for terms, s in smooths:
+        own = slice(first, first + len(terms))
+        first += len(terms)
+        s = s / np.outer(scale[own], scale[own])
+        top = np.trace(s)
+        blocks.append((own, s / top if top > 0 else np.eye(len(terms))))
+
+    def solve(logs: Sequence[float]) -> tuple[float, np.ndarray, float, float]:
+        a = m.copy()
+        for (own, s), k in zip(blocks, logs, strict=True):
+            a[own, own] += 10.0**k * s
+        inverse = np.linalg.pinv(a, rcond=1e-13, hermitian=True)
+        beta = inverse @ v
+        freedom, sse = float(np.trace(inverse @ m)), float(max(yy - 2 * beta @ v + beta @ m @ beta, 0.0))
+        return n * sse / max(n - freedom, 1e-9) ** 2, beta, freedom, sse
+
+    logs = [0.0] * len(blocks)
+    for step in [1.0] * (rounds - 2) + [0.25] * 2 if blocks else []:
+        before = list(logs)
+        for i in range(len(blocks)):
+            tried = np.arange(-8.0, 8.5, 1.0) if step == 1.0 else logs[i] + step * np.arange(-4, 5)
+            logs[i] = float(min(tried, key=lambda k, i=i: (solve([*logs[:i], k, *logs[i + 1 :]])[0], -k)))
+        if step == 1.0 and logs == before:
+            continue
+    _, beta, freedom, sse = solve(logs)
+    return Additive(Fit(names, beta / scale, sse, n), freedom, [10.0**k for k in logs])
+
+
 def maximise(f: Callable[[float], float], low: float = -0.999, high: float = 0.999, points: int = 61) -> float:
     """The rho of the largest value: a grid over atanh(rho), then a golden section around its best point."""
     grid = np.linspace(math.atanh(low), math.atanh(high), points)
@@ -100,7 +153,7 @@ def likeliest(fits: dict[str, Callable[[float], Fit]], det: logdet.Determinant,
     return {name: (r, v, e + abs(v - det(r))) for name, r, v, e in zip(best, at, values, errors, strict=True)}
 
 
-def compare_models(df: DataFrame, edges: DataFrame, y: str, covariates: Sequence[str], key: str = "hex_id", place: tuple[str, str] | None = None, det: logdet.Determinant | None = None, knots: int = 4) -> DataFrame:
+def compare_models(df: DataFrame, edges: DataFrame, y: str, covariates: Sequence[str], key: str = "hex_id", place: tuple[str, str] | None = None, det: logdet.Determinant | None = None, knots: int = 8) -> DataFrame:
     """OLS, lagged covariates, spatial lag, spatial error, both Durbin models and an additive model: one row each.
 
     All seven come from one matrix of cross products of y, X, their lags and the lags of the lags. ``place`` names the
@@ -126,19 +179,21 @@ def compare_models(df: DataFrame, edges: DataFrame, y: str, covariates: Sequence
     all_ = cut(two.join(linked, key, "left").withColumn("w_c", F.coalesce("w_c", F.lit(0.0))).withColumn("c", F.lit(1.0)))
     # additive model: cubic pieces at inner quantiles
     quantiles = all_.approxQuantile(x, [(k + 1) / (knots + 1) for k in range(knots)], 0.001)
-    span = all_.agg(*[F.avg(c).alias("m" + c) for c in x], *[F.stddev_samp(c).alias("s" + c) for c in x]).first()
-    pieces: dict[str, list[str]] = {}
+    span = all_.agg(*[f(c).alias(p + c) for c in x for p, f in (("m", F.avg), ("s", F.stddev_samp), ("l", F.min), ("h", F.max))]).first()
+    smooths: list[tuple[list[str], np.ndarray]] = []
     for c, qs in zip(x, quantiles, strict=True):
-        unit = (F.col(c) - span["m" + c]) / (span["s" + c] or 1.0)
-        terms = {f"{c}_2": unit * unit, f"{c}_3": unit * unit * unit}
-        for k, q in enumerate(sorted(set(qs))):
-            d = unit - (q - span["m" + c]) / (span["s" + c] or 1.0)
-            terms[f"{c}_k{k}"] = F.when(d > 0, d * d * d).otherwise(0.0)
+        mean, sd = span["m" + c], span["s" + c] or 1.0
+        unit, low, high = (F.col(c) - mean) / sd, (span["l" + c] - mean) / sd, (span["h" + c] - mean) / sd
+        inner = [k for k in sorted({(q - mean) / sd for q in qs}) if low < k < high]
+        terms = {f"{c}_2": unit * unit, f"{c}_3": unit * unit * unit} if inner else {}  # two values make a line
+        for k, q in enumerate(inner):
+            terms[f"{c}_k{k}"] = F.when(unit > q, (unit - q) * (unit - q) * (unit - q)).otherwise(0.0)
         all_ = all_.withColumns(terms)
-        pieces[c] = list(terms)
+        if terms:
+            smooths.append((list(terms), curvature(inner, low, high)))
     all_ = cut(all_)
     wx, wwx = [f"w_{c}" for c in x], [f"w_w_{c}" for c in x]
-    splines = [t for ts in pieces.values() for t in ts]
+    splines = [t for terms, _ in smooths for t in terms]
     columns = ["c", "w_c", "y", "w_y", *x, *wx, *wwx, *splines]
     g, n = cross_products(all_, columns)
     index = {c: i for i, c in enumerate(columns)}
@@ -148,8 +203,8 @@ def compare_models(df: DataFrame, edges: DataFrame, y: str, covariates: Sequence
         det = logdet.determinant(e, df.select(key, *(place or ())).join(rows.select(key), key, "left_semi"), key, place)
     lag_of = {"y": "w_y", "c": "w_c"} | dict(zip(x, wx, strict=True)) | dict(zip(wx, wwx, strict=True))
 
-    def plain(names: list[str], ridge: np.ndarray | None = None) -> Fit:
-        return least_squares(g, index, {"y": 1.0}, [{v: 1.0} for v in names], names, n, ridge)
+    def plain(names: list[str]) -> Fit:
+        return least_squares(g, index, {"y": 1.0}, [{v: 1.0} for v in names], names, n)
 
     def lag(names: list[str], rho: float) -> Fit:
         return least_squares(g, index, {"y": 1.0, "w_y": -rho}, [{v: 1.0} for v in names], names, n)
@@ -164,10 +219,8 @@ def compare_models(df: DataFrame, edges: DataFrame, y: str, covariates: Sequence
     for name, (names, kind) in spatial.items():
         r, value, _ = best[name]
         found.append((name, kind(names, r), r if kind is lag else None, r if kind is error else None, value))
-    gam_names = ["c", *x, *splines]
-    ridge_on = np.array([0.0] * (1 + len(x)) + [1.0] * len(splines))
-    gam, freedom = min(((plain(gam_names, s * ridge_on), s) for s in 10.0 ** np.arange(-6, 1)), key=lambda t: t[0].sse / max(1.0, n - _freedom(g, index, gam_names, t[1] * ridge_on)) ** 2)
-    found.append(("GAM", gam, None, None, 0.0))
+    gam = additive(g, index, "y", ["c", *x], smooths, n)
+    found.append(("GAM", gam.fit, None, None, 0.0))
     # residuals of all models at once, on the executors
     residual = {}
     for name, f, rho, lam, _ in found:
@@ -180,7 +233,7 @@ def compare_models(df: DataFrame, edges: DataFrame, y: str, covariates: Sequence
     for name, f, rho, lam, d in found:
         extra = 1 + (rho is not None or lam is not None)
         if name == "GAM":
-            extra = 1 + _freedom(g, index, gam_names, freedom * ridge_on) - len(f.beta)
+            extra = 1 + gam.freedom - len(f.beta)
         aic, bic, ll = f.criteria(extra, d)
         m = global_moran(res, e, f"e_{name}", key).first()
         p = 1 - NormalDist().cdf(m["z"]) if m and m["z"] is not None else None
@@ -189,15 +242,6 @@ def compare_models(df: DataFrame, edges: DataFrame, y: str, covariates: Sequence
     return spark.createDataFrame(out, RESULT)
 
 
-def _freedom(g: np.ndarray, index: dict[str, int], names: list[str], ridge: np.ndarray) -> float:
-    """Effective number of coefficients under a ridge."""
-    at = [index[v] for v in names]
-    xx = g[np.ix_(at, at)]
-    scale = np.sqrt(np.maximum(np.diag(xx), 1e-300))
-    m = xx / np.outer(scale, scale)
-    return float(np.trace(np.linalg.pinv(m + np.diag(ridge)) @ m))
-
-
 def forest_predict(train: DataFrame, test: DataFrame, predictors: Sequence[str], label: str = "state_t1", trees: int = 300, seed: int = 1, categorical: Sequence[str] = ()) -> DataFrame | None:
     """``test`` with ``predicted`` of a random forest on complete cases; None with under ten of them."""
     from pyspark.ml import Pipeline

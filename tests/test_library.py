@@ -289,6 +289,45 @@ def test_spatial_likelihoods(spark):
         assert got[name]["log_lik"] == pytest.approx(profile(r, design, error)) and got[name]["log_lik"] >= profile(best, design, error) - 1e-9
 
 
+def test_additive_model(spark):
+    """Against penalised least squares on the whole design; each covariate finds its own smoothness."""
+    rng = np.random.default_rng(4)
+    n = 400
+    cells = [(k, k % 20, k // 20) for k in range(n)]
+    a, b, two = rng.uniform(-2, 2, n), rng.uniform(0, 5, n), rng.integers(0, 2, n).astype(float)
+    truth = np.sin(2.5 * a) + 0.4 * b
+    y = truth + rng.normal(0, 0.3, n)
+    df = spark.createDataFrame([(*c, float(p), float(q), float(t), float(v)) for c, p, q, t, v in zip(cells, a, b, two, y, strict=True)], "hex_id int, q int, r int, a double, b double, two double, y double")
+    got = {r["model"]: r for r in models.compare_models(df, grid.neighbours(df), "y", ["a", "b", "two"]).collect()}
+    assert got["GAM"]["aic"] < got["OLS"]["aic"] - 200 and got["GAM"]["pseudo_r2"] > 0.85 > got["OLS"]["pseudo_r2"] + 0.2
+    # the same penalties in numpy
+    knots = np.linspace(-1.4, 1.4, 8)
+    design, smooths, names = [np.ones(n), a, b], [], ["c", "a", "b"]
+    for v, c in ((a, "a"), (b, "b")):
+        u = (v - v.mean()) / v.std(ddof=1)
+        cols = [u**2, u**3, *(np.maximum(u - k, 0) ** 3 for k in knots)]
+        smooths.append(([f"{c}{k}" for k in range(len(cols))], models.curvature(knots.tolist(), u.min(), u.max())))
+        design += cols
+        names += smooths[-1][0]
+        grid_ = np.linspace(u.min(), u.max(), 20001)
+        second = np.array([np.full_like(grid_, 2.0), 6 * grid_, *(6 * np.maximum(grid_ - k, 0) for k in knots)])
+        assert np.allclose(smooths[-1][1], np.trapezoid(second[:, None] * second[None], grid_), rtol=1e-4)
+    x = np.column_stack([*design, y])
+    index = {v: k for k, v in enumerate([*names, "y"])}
+    fit = models.additive(x.T @ x, index, "y", ["c", "a", "b"], smooths, n)
+    assert fit.smoothing[0] < fit.smoothing[1] / 100 and 6 < fit.freedom < 16
+    m = np.zeros((len(names), len(names)))
+    at, scale = 3, np.sqrt((x**2).sum(axis=0))
+    for (terms, s), k in zip(smooths, fit.smoothing, strict=True):
+        own = slice(at, at + len(terms))
+        m[own, own] = k * s / np.trace(s / np.outer(scale[own], scale[own]))
+        at += len(terms)
+    d = x[:, :-1]
+    beta = np.linalg.solve(d.T @ d + m, d.T @ y)
+    assert np.allclose(d @ fit.fit.beta, d @ beta, atol=1e-3) and np.abs(d @ beta - truth).mean() < 0.1
+    assert fit.fit.sse == pytest.approx(float(((y - d @ beta) ** 2).sum()), rel=1e-3)
+
+
 def test_log_determinants(spark):
     cells = spark.range(30 * 37).select((F.col("id") % 30).cast("int").alias("q"), F.floor(F.col("id") / 30).cast("int").alias("r")).where("(q * 7 + r * 3) % 11 <> 0")
     cells = cells.withColumn("hex_id", grid.hex_id(F.col("q"), F.col("r")))
