@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import cut
@@ -130,6 +131,64 @@ def fuzzy_silhouette(u: DataFrame, k: int, dims: int) -> DataFrame:
     return rows.groupBy("setting").agg((F.sum(F.col("lead") * s) / F.nullif(F.sum("lead"), F.lit(0.0))).alias("silhouette"))
 
 
+def silhouette_by_distance(u: DataFrame, sample: int = 512, seed: int = 1, key: str = "id") -> DataFrame:
+    """(setting, silhouette, error): the same with mean distances instead of mean squared ones.
+
+    Each row is held against at most ``sample`` rows of every cluster, those of the smallest hashes (all rows of a smaller
+    cluster, and then the figure is exact): their number bounds what is shipped, and the spread of the distances to them
+    bounds the error (two standard errors of both means, with the correction for a finite cluster). u: (setting, key, x, u).
+    """
+    top = F.array_max("u")
+    second = F.element_at(F.sort_array("u", asc=False), 2)
+    rows = u.select("setting", F.col(key).alias("id"), F.col("x").cast("array<double>").alias("x"), (F.array_position("u", top) - 1).cast("int").alias("c"), (top - second).alias("lead"))
+    sizes = {(r["setting"], r["c"]): r["n"] for r in rows.groupBy("setting", "c").agg(F.count("*").alias("n")).collect()}  # clusters of settings
+    shares = rows.sparkSession.createDataFrame([(s, c, min(1.0, 4.0 * sample / n)) for (s, c), n in sizes.items()], "setting int, c int, share double")
+    order = F.xxhash64(F.lit(seed), "id")
+    # a share of some four samples first, so that no task ranks a whole cluster
+    few = rows.join(F.broadcast(shares), ["setting", "c"]).where(F.pmod(order, F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    few = few.withColumn("n", F.row_number().over(Window.partitionBy("setting", "c").orderBy(order, "id"))).where(F.col("n") <= sample)
+    held: dict[int, dict[int, tuple[np.ndarray, np.ndarray, int]]] = {}
+    grouped: dict[tuple[int, int], list] = {}
+    for r in few.select("setting", "c", "id", "x").collect():
+        grouped.setdefault((r["setting"], r["c"]), []).append((r["id"], r["x"]))
+    for (s, c), found in grouped.items():
+        held.setdefault(s, {})[c] = (np.array([i for i, _ in found]), np.array([x for _, x in found]), sizes[s, c])
+    shared = rows.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for s, part in batch.groupby("setting"):
+                x, own = np.stack(part["x"].to_list()), part["c"].to_numpy()
+                means, errors = np.full((2, len(part), max(shared.value[s]) + 1), np.inf)
+                alone = np.zeros(len(part), dtype=bool)
+                for c, (ids, y, n) in shared.value[s].items():
+                    d = np.sqrt(np.maximum((x**2).sum(axis=1)[:, None] - 2 * x @ y.T + (y**2).sum(axis=1)[None], 0))
+                    self_ = (part["id"].to_numpy()[:, None] == ids[None]) & (own == c)[:, None]
+                    d[self_] = 0.0
+                    k, of = len(ids) - self_.sum(axis=1), n - (own == c)
+                    alone |= (own == c) & (of == 0)
+                    means[:, c] = d.sum(axis=1) / np.maximum(k, 1)
+                    spread = np.maximum((d**2).sum(axis=1) / np.maximum(k, 1) - means[:, c] ** 2, 0) * k / np.maximum(k - 1, 1)
+                    errors[:, c] = 2 * np.sqrt(spread / np.maximum(k, 1) * np.maximum(1 - k / np.maximum(of, 1), 0))
+                at = np.arange(len(part))
+                a, ea = means[at, own], errors[at, own]
+                means[at, own] = np.inf
+                nearest = means.argmin(axis=1)
+                b, eb = means[at, nearest], errors[at, nearest]
+                top = np.maximum(a, b)
+                fine = np.isfinite(b) & (top > 0) & ~alone
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    value, error = np.where(fine, (b - a) / top, 0.0), np.where(fine, np.minimum((ea + eb) / top, 2.0), 0.0)
+                lead = part["lead"].to_numpy()
+                out.append((s, float(lead @ value), float(lead @ error), float(lead.sum())))
+            yield pd.DataFrame(out, columns=["setting", "s", "e", "w"])
+
+    sums = rows.mapInPandas(run, "setting int, s double, e double, w double").groupBy("setting").agg(*[F.sum(c).alias(c) for c in "sew"])
+    w = F.nullif(F.col("w"), F.lit(0.0))
+    return sums.select("setting", (F.col("s") / w).alias("silhouette"), (F.col("e") / w).alias("error"))
+
+
 def spatial_inconsistency(u: DataFrame, edges: DataFrame, k: int, key: str = "id") -> DataFrame:
     """(setting, inconsistency): Σ w |u_i - u_j|² over edges, over what random places would give on average,
     which is known in closed form: Σ w times the mean squared distance of two different rows."""

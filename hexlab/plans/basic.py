@@ -586,6 +586,24 @@ def m13_spearman_matrix(spark, d):
     return assoc.spearman_matrix(covariates(spark, d), ["history", "pressure", "noise"])
 
 
+@query(""", c as (select p.cell, p.severity, cast(p.cell % 3 as varchar) as zone, ((p.cell*7919+p.year*104729)%1009) * 1.0 as noise, coalesce((select sum(b.severity) from fx4_panel b where b.cell = p.cell and b.year between p.year-5 and p.year-1), 0) * 1.0 as history,
+  round(coalesce((select avg(case when b.severity > 0 then 1.0 else 0.0 end) from fx4_edges e join fx4_panel b on b.cell = e.dst and b.year = e.year where e.src = p.cell and e.year = p.year), 0), 3) as pressure from fx4_panel p),
+ k as (select """ + ", ".join(f"rank() over (order by {c}) + (count(*) over (partition by {c}) - 1) / 2.0 as {c}" for c in ("history", "pressure", "noise", "severity")) + """ from c),
+ o as (select zone, severity, count(*) * 1.0 as o from c group by 1, 2),
+ g as (select a.zone, b.severity, r, q, (select count(*) from c) * 1.0 as n, coalesce(o.o, 0) as o from (select zone, sum(o) as r from o group by 1) a cross join (select severity, sum(o) as q from o group by 1) b left join o on o.zone = a.zone and o.severity = b.severity),
+ v as (select sqrt(sum(pow(o - r*q/n, 2) / (r*q/n)) / (max(n) * (least(count(distinct zone), count(distinct severity)) - 1))) as v from g),
+ m as (select corr(history, pressure) as a, corr(history, noise) as b, corr(pressure, noise) as d from c),
+ t as (select *, 1 + 2*a*b*d - a*a - b*b - d*d as det from m),
+ l as (select 'history' as covariate, 'spearman' as test, corr(history, severity) as s, (select round((1 - d*d) / det, 2) from t) as vif from k union all
+  select 'pressure', 'spearman', corr(pressure, severity), (select round((1 - b*b) / det, 2) from t) from k union all
+  select 'noise', 'spearman', corr(noise, severity), (select round((1 - a*a) / det, 2) from t) from k union all select 'zone', 'cramers_v', v, null from v)
+ select covariate, test, round(abs(s), 3) as strength, case when round(abs(s), 3) <= 0.1 then 'négligeable' when round(abs(s), 3) <= 0.3 then 'faible' when round(abs(s), 3) <= 0.5 then 'modérée' else 'forte' end as label,
+  case when test = 'spearman' then case when s >= 0 then '+' else '-' end end as direction, vif from l""")
+def m15_ranking(spark, d):
+    """The ranking of ``m15_rank_covariates`` without its p."""
+    return m15_rank_covariates(spark, d).drop("p")
+
+
 @query()
 def m15_rank_covariates(spark, d):
     v = covariates(spark, d).withColumn("zone", (F.col("cell") % 3).cast("string"))

@@ -100,6 +100,20 @@ def c4_explained_inertia(spark, d):
     return cluster.explained_inertia(cluster.memberships(rows, [(2.0, 0.0)], [c]), [c], DIMS).select(F.round("explained", 6).alias("explained"))
 
 
+@query(CENTRES + f""", k as (select f.id, c.label, {DIST} as d from fx7_feat f cross join c), u as (select id, label, (1 / d) / sum(1 / d) over (partition by id) as u from k),
+ h as (select id, arg_max(label, u) as c, max(u) - list_sort(list(u), 'desc')[2] as lead from u group by id),
+ p as (select a.id, ha.c as own, hb.c as other, ha.lead, list_distance(a.x, b.x) as d from fx7_feat a join h ha on ha.id = a.id cross join fx7_feat b join h hb on hb.id = b.id where a.id <> b.id),
+ v as (select id, own, lead, other, avg(d) as d, avg(d * d) as d2 from p group by all),
+ s as (select id, lead, max(case when other = own then d end) as a, min(case when other <> own then d end) as b, max(case when other = own then d2 end) as a2, min(case when other <> own then d2 end) as b2 from v group by id, lead)
+ select round(sum(lead * coalesce((b2 - a2) / greatest(a2, b2), 0)) / sum(lead), 5) as squared, round(sum(lead * coalesce((b - a) / greatest(a, b), 0)) / sum(lead), 5) as distances, 0.0::double as error from s""")
+def c4_fuzzy_silhouette(spark, d):
+    """Of memberships in the means of four labels: with squared distances from moments, and with distances."""
+    rows = features(spark, d)
+    u = cut(cluster.memberships(rows, [(2.0, 0.0)], [start(rows)]))
+    both = cluster.fuzzy_silhouette(u, 4, DIMS).withColumnRenamed("silhouette", "squared").join(cluster.silhouette_by_distance(u), "setting")
+    return both.select(F.round("squared", 5).alias("squared"), F.round("silhouette", 5).alias("distances"), F.round("error", 5).alias("error"))
+
+
 @query(CENTRES + f""", k as (select f.id, c.label, {DIST} as d from fx7_feat f cross join c), u as (select id, label, (1 / d) / sum(1 / d) over (partition by id) as u from k)
  select id, case when max(u) < 0.45 then 'undecided' else cast(arg_max(label, u) + 1 as varchar) end as cluster from u group by id""")
 def c5_t2_hard_class(spark, d):

@@ -328,6 +328,26 @@ def test_additive_model(spark):
     assert fit.fit.sse == pytest.approx(float(((y - d @ beta) ** 2).sum()), rel=1e-3)
 
 
+def test_silhouettes_by_distance(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(c, 1.0, (n, 3)) for c, n in ((0, 60), (3, 700), (6, 40))])
+    own = np.repeat([0, 1, 2], [60, 700, 40])
+    u = np.full((len(x), 3), 0.15) + rng.uniform(0, 0.05, (len(x), 1)) * np.array([1, -1, 0])
+    u[np.arange(len(x)), own] = 0.7
+    df = spark.createDataFrame([(0, k, p.tolist(), q.tolist()) for k, (p, q) in enumerate(zip(x, u, strict=True))], "setting int, id int, x array<double>, u array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    means = np.stack([np.where(own == c, d[:, own == c].sum(axis=1) / (sum(own == c) - 1), d[:, own == c].mean(axis=1)) for c in range(3)], axis=1)
+    a = means[np.arange(len(x)), own]
+    means[np.arange(len(x)), own] = np.inf
+    b = means.min(axis=1)
+    lead = u.max(axis=1) - np.sort(u, axis=1)[:, 1]
+    want = float(lead @ ((b - a) / np.maximum(a, b)) / lead.sum())
+    exact = cluster.silhouette_by_distance(df, 1000).first()
+    assert exact["silhouette"] == pytest.approx(want) and exact["error"] == 0
+    some = cluster.silhouette_by_distance(df, 50).first()
+    assert 0 < some["error"] < 0.2 and abs(some["silhouette"] - want) <= some["error"]
+
+
 def test_log_determinants(spark):
     cells = spark.range(30 * 37).select((F.col("id") % 30).cast("int").alias("q"), F.floor(F.col("id") / 30).cast("int").alias("r")).where("(q * 7 + r * 3) % 11 <> 0")
     cells = cells.withColumn("hex_id", grid.hex_id(F.col("q"), F.col("r")))
