@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..sources.scratch import spread
 from . import grid
 
 #: Areas under this share of a cell's are touch, not overlap.
@@ -31,7 +32,7 @@ def hex_edges(width: float, x0: float = 0.0, y0: float = 0.0):
 
 def hex_pieces(polys: DataFrame, width: float, x0: float = 0.0, y0: float = 0.0) -> DataFrame:
     """One row for each (polygon, hex) that overlap, with q, r and ``piece_area``."""
-    near = grid.candidates(polys, width, x0, y0)
+    near = grid.candidates(spread(polys), width, x0, y0)
     # exploding the list of the one area, if it is enough, keeps Catalyst from computing it twice
     area = F.array(G.clip_area_in_box(F.col("poly"), hex_edges(width, x0, y0), *[F.col(c) for c in BOX]))
     return near.withColumn("piece_area", F.explode(F.filter(area, lambda a: a > EPSILON * grid.hex_area(width))))
@@ -137,13 +138,13 @@ def _zone_area(rows: DataFrame, width: float, weight: Column, cell: Column, keys
 
 def clip_to_zone(polys: DataFrame, zone: DataFrame, width: float, keys: Sequence[str], out: str = "area") -> DataFrame:
     """Area of each polygon (told by ``keys``) inside the zone; polygons outside have no row."""
-    met = grid.candidates(polys, width).join(zone_terms(zone, width), ["q", "r"])
+    met = grid.candidates(spread(polys), width).join(zone_terms(zone, width), ["q", "r"])
     return _zone_area(met, width, F.col("weight"), F.col("cell"), keys, out)
 
 
 def clip_to_both(polys: DataFrame, zone: DataFrame, other: DataFrame, width: float, keys: Sequence[str], out: str = "area") -> DataFrame:
     """Area of each polygon inside the zone and inside the other one."""
-    met = grid.candidates(polys, width).join(zone_terms(zone, width), ["q", "r"])
+    met = grid.candidates(spread(polys), width).join(zone_terms(zone, width), ["q", "r"])
     met = met.join(zone_terms(other, width).withColumnsRenamed({"weight": "_w2", "cell": "_c2"}), ["q", "r"])
     return _zone_area(met, width, F.col("weight") * F.col("_w2"), F.concat("cell", "_c2"), keys, out)
 
@@ -171,7 +172,7 @@ def hex_grid(zone: DataFrame, width: float) -> DataFrame:
 def lattice_runs(polys: DataFrame, side: float, keys: Sequence[str] = ()) -> DataFrame:
     """Runs (keys…, j, i0, i1) of lattice cells of a row j whose centre lies in a polygon; runs may overlap."""
     low, high = F.ceil(F.col("ymin") / side - 0.5).cast("long"), F.floor(F.col("ymax") / side - 0.5).cast("long")
-    rows = polys.withColumn("j", F.explode(F.when(low <= high, F.sequence(low, high)))).withColumn("_y", (F.col("j") + 0.5) * side)
+    rows = spread(polys).withColumn("j", F.explode(F.when(low <= high, F.sequence(low, high)))).withColumn("_y", (F.col("j") + 0.5) * side)
     crossing = lambda e: (e["ay"] > F.col("_y")) != (e["by"] > F.col("_y"))
     at = lambda e: e["ax"] + (F.col("_y") - e["ay"]) / (e["by"] - e["ay"]) * (e["bx"] - e["ax"])
     xs = F.array_sort(F.flatten(F.transform("poly", lambda r: F.transform(F.filter(G.edges(r["ring"]), crossing), at))))

@@ -28,3 +28,10 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out round robin where ``df`` comes from fewer files than there are cores, as a file may hold one row
+    group and give one task all the rows. Only the list of files is looked at, nothing is run."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
