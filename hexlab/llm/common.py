@@ -77,10 +77,10 @@ def partitions(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt out round robin where a table has fewer splits than there are cores, so that work in the scan's stage
-    is shared; a table with as many splits as cores is left as it is. The driver looks at the number of splits only."""
+    """Rows dealt out round robin where ``df`` comes from fewer files than there are cores, as a file may hold one row
+    group and give one task all the texts. Only the list of files is looked at, nothing is run."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
 
 
 def bucket_of(key, bounds: list, low: int = 0):
