@@ -205,8 +205,11 @@ def spatial_blocks(points: DataFrame, k: int = 4, seed: int = 1, starts: int = 1
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
-    rows = VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(cut(points.select(key, F.col("x").cast("double"), F.col("y").cast("double"))))
+    rows = cut(points.select(key, F.col("x").cast("double"), F.col("y").cast("double")))
     k = min(k, rows.select("x", "y").distinct().limit(k).count())
+    if k < 2:  # one place, or none
+        return rows.select(key, F.lit(0).alias("block"))
+    rows = VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(rows)
     best = None
     for s in range(starts):
         model = KMeans(k=k, seed=seed + s, predictionCol="block").fit(rows)

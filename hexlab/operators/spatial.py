@@ -95,8 +95,8 @@ def _rank_within(rows: DataFrame, group: str, order: Sequence[str], out: str) ->
 PERMUTED_ROWS = 50_000_000
 
 
-def moran_permutations(values: DataFrame, edges: DataFrame, column: str = "value", key: str = "hex_id", sims: int = 999, seed: int = 1, batch: int | None = None) -> DataFrame:
-    """(moran_i, p_value, sims): share of random relabellings with an I as large, by hashed orders.
+def permuted_moran(values: DataFrame, edges: DataFrame, column: str = "value", key: str = "hex_id", sims: int = 999, seed: int = 1, batch: int | None = None) -> DataFrame:
+    """(sim, i): Moran's I of random relabellings by hashed orders; sim 0 is the real one.
 
     Hexes are ranked once; each simulation gives the values to them in the order of a hash. A batch of
     simulations is ranked by one sort; it holds ``batch`` simulations, or as many as ``PERMUTED_ROWS`` allow.
@@ -120,7 +120,12 @@ def moran_permutations(values: DataFrame, edges: DataFrame, column: str = "value
     every = parts[0]
     for p in parts[1:]:
         every = every.unionAll(p)
-    i = every.crossJoin(F.broadcast(m2)).select("sim", (F.col("n") / F.col("s0") * F.col("c") / F.col("m2")).alias("i"))
+    return every.crossJoin(F.broadcast(m2)).select("sim", (F.col("n") / F.col("s0") * F.col("c") / F.col("m2")).alias("i"))
+
+
+def moran_permutations(values: DataFrame, edges: DataFrame, column: str = "value", key: str = "hex_id", sims: int = 999, seed: int = 1, batch: int | None = None) -> DataFrame:
+    """(moran_i, p_value, sims): share of random relabellings with an I as large (``permuted_moran``)."""
+    i = permuted_moran(values, edges, column, key, sims, seed, batch)
     real = i.where("sim = 0").select(F.col("i").alias("moran_i"))
     return i.crossJoin(F.broadcast(real)).groupBy("moran_i").agg(
         ((F.count_if((F.col("sim") > 0) & (F.col("i") >= F.col("moran_i") - 1e-12)) + 1) / F.lit(sims + 1)).alias("p_value"), (F.count("*") - 1).alias("sims")

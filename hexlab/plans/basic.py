@@ -501,6 +501,20 @@ def l4_permutation_test(spark, d):
     return spatial.moran_permutations(p, edges(p), "severity", "cell", sims=999)
 
 
+@query(MORAN + """ select round(n/s0*c/m2, 6) as moran_i, round(-1/(n-1), 6) as expected,
+ round((n*((n*n-3*n+3)*s1-n*s2+3*s0*s0) - n*m4/(m2*m2)*((n*n-n)*s1-2*n*s2+6*s0*s0))/((n-1)*(n-2)*(n-3)*s0*s0) - 1/((n-1)*(n-1)), 8) as variance, true as mean_fits, true as variance_fits, cast(999 as bigint) as sims from s""")
+def l4_permuted_moments(spark, d):
+    """999 relabellings against the moments that they must have: their mean within four standard errors, their variance
+    within a quarter."""
+    p = X.panel(spark, d).where("year = 1996")
+    e = edges(p)
+    i = spatial.permuted_moran(p, e, "severity", "cell")
+    got = i.groupBy().agg(F.max(F.when(F.col("sim") == 0, F.col("i"))).alias("real"), F.avg(F.when(F.col("sim") > 0, F.col("i"))).alias("mean"), F.var_samp(F.when(F.col("sim") > 0, F.col("i"))).alias("var"), F.count_if(F.col("sim") > 0).alias("sims"))
+    t = got.crossJoin(spatial.global_moran(p, e, "severity", "cell").select("expected", "variance"))  # one row each
+    fits = F.abs(F.col("mean") - F.col("expected")) <= 4 * F.sqrt(F.col("variance") / F.col("sims")), F.col("var") / F.col("variance")
+    return t.select(F.round("real", 6).alias("moran_i"), F.round("expected", 6).alias("expected"), F.round("variance", 8).alias("variance"), fits[0].alias("mean_fits"), fits[1].between(0.8, 1.25).alias("variance_fits"), "sims")
+
+
 LISA = """, e as (select a.src, a.dst, p.year, 1.0 / count(*) over (partition by a.src, p.year) as wy, n.k from fx4_nb a join (select src, count(*) as k from fx4_nb group by src) n on n.src = a.src join fx4_panel p on p.cell = a.dst),
  m as (select cell, year, severity as x, severity - avg(severity) over (partition by year) as z, var_pop(severity) over (partition by year) as m2, count(*) over (partition by year) * 1.0 as n from fx4_panel),
  g as (select m.*, coalesce(sum(b.z / e.k), 0) as lz, coalesce(sum(b.x * 1.0 / e.k), 0) as lag, coalesce(sum(1.0 / e.k), 0) as w1, coalesce(sum(1.0 / e.k / e.k), 0) as w2

@@ -348,6 +348,43 @@ def test_silhouettes_by_distance(spark):
     assert 0 < some["error"] < 0.2 and abs(some["silhouette"] - want) <= some["error"]
 
 
+def test_spatial_blocks_against_plain_k_means(spark):
+    rng = np.random.default_rng(9)
+    xy = np.concatenate([rng.normal(c, 1.0, (60, 2)) for c in ((0, 0), (9, 1), (2, 8), (11, 10))])
+    df = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(xy)], "hex_id int, x double, y double")
+    got = {r["hex_id"]: r["block"] for r in cluster.spatial_blocks(df, 4, 1, 10).collect()}
+    label = np.array([got[k] for k in range(len(xy))])
+    inertia = lambda of: sum(((xy[of == c] - xy[of == c].mean(axis=0)) ** 2).sum() for c in set(of.tolist()))
+    best = np.inf
+    for _ in range(10):
+        c = xy[rng.choice(len(xy), 4, replace=False)]
+        for _ in range(60):
+            of = ((xy[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+            c = np.array([xy[of == k].mean(axis=0) if (of == k).any() else c[k] for k in range(4)])
+        best = min(best, inertia(of))
+    assert len(set(label.tolist())) == 4 and inertia(label) <= 1.001 * best
+    same = df.where("hex_id < 3").withColumns({"x": F.lit(1.0), "y": F.lit(2.0)})
+    assert {r["block"] for r in cluster.spatial_blocks(same, 4, 1, 2).collect()} == {0}
+
+
+def test_fuzzy_clusters_against_a_plain_loop(spark):
+    """The whole loop, to where it settles, from the same rows."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(c, 0.7, (40, 2)) for c in (0, 3, 6)])
+    lag = x + rng.normal(0, 0.2, x.shape)
+    rows = spark.createDataFrame([(k, p.tolist(), q.tolist()) for k, (p, q) in enumerate(zip(x, lag, strict=True))], "id int, x array<double>, xl array<double>")
+    first = [r["id"] for r in rows.orderBy(F.xxhash64(F.lit(456), F.col("id")), "id").limit(3).collect()]
+    for m, alpha in ((2.0, 0.0), (1.6, 0.6)):
+        got = cluster.fuzzy_cmeans(rows, [(m, alpha)], 3, tol=1e-7, max_iter=300, settle=True)[0]
+        c = x[first]
+        for _ in range(400):
+            d = ((x[:, None] - c[None]) ** 2).sum(axis=2) + alpha * ((lag[:, None] - c[None]) ** 2).sum(axis=2)
+            w = np.maximum(d, 1e-300) ** (-1 / (m - 1))
+            u = (w / w.sum(axis=1, keepdims=True)) ** m
+            c = (u.T @ (x + alpha * lag)) / (1 + alpha) / u.sum(axis=0)[:, None]
+        assert np.allclose(np.sort(got, axis=0), np.sort(c, axis=0), atol=1e-4)
+
+
 def test_log_determinants(spark):
     cells = spark.range(30 * 37).select((F.col("id") % 30).cast("int").alias("q"), F.floor(F.col("id") / 30).cast("int").alias("r")).where("(q * 7 + r * 3) % 11 <> 0")
     cells = cells.withColumn("hex_id", grid.hex_id(F.col("q"), F.col("r")))
