@@ -25,8 +25,6 @@ from pyspark.sql import functions as F
 
 from .common import cut, spread
 
-WORDS = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
-
 
 def text_filters() -> dict[str, Column]:
     """Whether ``text`` fails: A too few words, B too few distinct ones, C too many capitals, D markup or symbols."""
@@ -45,7 +43,7 @@ def measured(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[str]]:
     tests = text_filters()
     rows = cut(
         spread(own)
-        .withColumn("words", WORDS)
+        .withColumn("words", F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""))
         .select(F.monotonically_increasing_id().alias("rid"), "doc_id", "part", F.unhex(F.sha2("text", 256)).alias("digest"), *[c.alias(k) for k, c in tests.items()])
     )
     # the smallest doc_id of every text that several rows have: combined before the shuffle, then a join on plain exchanges

@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 import itertools
+import os
 import random
 import re
+import subprocess
+import sys
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+def test_queries_are_listed_without_a_session():
+    code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert set(s) < set(q) and {f'op{n}_' for n in range(1, 14)} <= {k.split('_')[0] + '_' for k in q}"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), timeout=120)
+
+
 DOCS = "doc_id long, text string, lang string, source string"
 
 
