@@ -28,10 +28,11 @@ from .common import cut, spread
 
 def text_filters() -> dict[str, Column]:
     """Whether ``text`` fails: A too few words, B too few distinct ones, C too many capitals, D markup or symbols."""
+    n = F.size("words").cast("long")  # products of very long texts pass 32 bits
     return {
-        "A": F.size("words") < 200,
-        "B": 100 * F.size(F.array_distinct("words")) < 50 * F.size("words"),
-        "C": 100 * F.length(F.regexp_replace("text", "[^A-Z]+", "")) > 3 * F.length("text"),
+        "A": n < 200,
+        "B": 100 * F.size(F.array_distinct("words")).cast("long") < 50 * n,
+        "C": 100 * F.length(F.regexp_replace("text", "[^A-Z]+", "")).cast("long") > 3 * F.length("text").cast("long"),
         "D": F.col("text").rlike("[#$%&*|]"),
     }
 

@@ -34,12 +34,19 @@ BREAK = b"\n"
 FOLD = bytes(ord("\n") if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Different words that a task holds before it hands their counts on.
 HELD = 200_000
+#: Bytes of a text that are looked at together, up to the end of a piece.
+STRETCH = 1 << 20
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+    """Language and folded text; a long text in stretches that end where a piece ends, so that its words are never all held."""
     for x in batches:
         for lang, text in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True):
-            yield lang, text.encode().translate(FOLD)
+            raw, at = text.encode().translate(FOLD), 0
+            while len(raw) - at > STRETCH and (end := raw.find(BREAK, at + STRETCH)) >= 0:
+                yield lang, raw[at:end]
+                at = end
+            yield lang, raw[at:] if at else raw
 
 
 def word_counts(texts: DataFrame) -> DataFrame:

@@ -169,7 +169,7 @@ def test_collocations_are_those_of_plain_counts(spark, order, least, most):
     rng = random.Random(order)
     words = ["the", "The", "of", "été", "\x00", "É", "a b", "rare", *(f"v{k}" for k in range(25))]
     docs = [(k, "".join(rng.choice(words[: rng.choice([4, 9, 33])]) + rng.choice([" ", "  ", "\t", ". ", "\n", " ", " ", ",", "\x0b"]) for _ in range(rng.randint(0, 120))), rng.choice(["en", "en", "en", "de", None, ""]), "s") for k in range(60)]
-    docs += [(1, None, "en", None), (None, "", None, None), (900, "the of " * 5000, "en", "s"), (901, "...,,\n", "fr", "s")]
+    docs += [(1, None, "en", None), (None, "", None, None), (900, "the of " * 5000, "en", "s"), (902, "of the, été of. " * 200_000, "de", "s"), (901, "...,,\n", "fr", "s")]
     frame = spark.createDataFrame(docs, DOCS).withColumns({c: F.lit(c) for c in ("words", "w1", "f", "phrase", "window", "rank")})
     got = sorted(tuple(r) for r in collocations(frame, order, least, 50, most).collect())
     assert got == _collocations(docs, order, least, 50, most) and got
