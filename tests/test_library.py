@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from hexlab.functions import geometry as G
 from hexlab.functions import labels as L
-from hexlab.operators import assoc, cluster, evaluate, farfield, grid, hexagg, logdet, models, overlay, panel, spatial
+from hexlab.operators import assoc, cluster, evaluate, farfield, grid, hexagg, logdet, models, overlay, panel, spatial, union
 from hexlab.sources import io
 
 
@@ -569,3 +569,78 @@ def test_box_scans_skip_row_groups(spark, tmp_path):
     assert scan("placed") == scan("plain") and scan("placed")
     assert spark.read.parquet(str(tmp_path / "placed")).count() == n + 1
     io.write_by_place(df.where("false"), str(tmp_path / "none"), 2)
+
+
+def _common(rings):
+    """The part that convex counter-clockwise rings have in common."""
+    out = rings[0]
+    for cell in rings[1:]:
+        for (ax, ay), (bx, by) in zip(cell, cell[1:] + cell[:1], strict=True):
+            side = lambda p: (bx - ax) * (p[1] - ay) - (by - ay) * (p[0] - ax)  # noqa: B023, E731
+            new = []
+            for p, n in zip(out, out[1:] + out[:1], strict=True):
+                s, t = side(p), side(n)
+                if s >= 0:
+                    new.append(p)
+                if (s >= 0) != (t >= 0):
+                    new.append((p[0] + s / (s - t) * (n[0] - p[0]), p[1] + s / (s - t) * (n[1] - p[1])))
+            out = new
+    return out
+
+
+def _shoelace(ring):
+    return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1], strict=True)) / 2 if ring else 0.0
+
+
+def _polys(spark, rows):
+    """(k, poly) of rows (k, rings…): the first ring and its holes."""
+    made = [(k, None if rings is None else [{"ring": [{"x": float(x), "y": float(y)} for x, y in r], "hole": n > 0} for n, r in enumerate(rings)]) for k, rings in rows]
+    return spark.createDataFrame(made, f"k string, poly {G.POLYGON}")
+
+
+@pytest.mark.parametrize("side", [0.7, 3.0, 50.0])
+def test_exact_union_of_slanted_polygons(spark, side):
+    rng = np.random.default_rng(5)
+    rows, want = [], {}
+    for k in ("a", None):  # a null key is a group as well
+        rings = []
+        for _ in range(7):
+            (x, y), turn, reach, n = rng.uniform(-4, 4, 2), rng.uniform(0, 7), rng.uniform(1, 4), int(rng.integers(3, 7))
+            rings.append([(x + reach * math.cos(turn + 2 * math.pi * i / n), y + reach * math.sin(turn + 2 * math.pi * i / n)) for i in range(n)])
+        subsets = [[r for i, r in enumerate(rings) if m >> i & 1] for m in range(1, 1 << len(rings))]
+        want[k] = sum((-1) ** (len(s) + 1) * _shoelace(_common(s)) for s in subsets)
+        rows += [(k, [r if i % 2 else r[::-1]]) for i, r in enumerate(rings)] + [(k, [rings[0]])]
+    got = {r["k"]: r["area"] for r in union.exact_union_area(_polys(spark, rows), side, ["k"]).collect()}
+    assert got == pytest.approx(want, rel=1e-11)
+
+
+def test_exact_union_of_odd_polygons(spark):
+    box = lambda x0, y0, x1, y1: [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+    notched = [(0, 0), (9, 0), (9, 9), (5, 9), (5, 2), (4, 2), (4, 9), (0, 9)]
+    rows = [("hole", [box(0, 0, 8, 8), box(2, 2, 6, 6)]), ("hole", [box(3, 3, 4, 9)]), ("notch", [notched]), ("touch", [box(0, 0, 4, 4)]), ("touch", [box(4, 0, 8, 4)]), ("touch", [box(0, 4, 4, 8)]), ("line", [box(1, 1, 5, 1)]), ("none", None), ("none", []), ("cross", [box(-5, -1, 5, 1)]), ("cross", [box(-1, -5, 1, 5)])]
+    got = lambda side: {r["k"]: r["area"] for r in union.exact_union_area(_polys(spark, rows), side, ["k"]).collect()}
+    want = {"hole": 48 + 3 + 1, "notch": 81 - 7, "touch": 48, "cross": 36}
+    assert got(4.0) == pytest.approx(want) and got(1.3) == pytest.approx(want)
+    assert union.exact_union_area(_polys(spark, []), 1.0, ["k"]).collect() == []
+    assert union.exact_union_area(_polys(spark, rows[-2:]), 2.0).collect() == [(pytest.approx(36),)]
+
+
+def test_exact_union_of_a_crowd(spark, monkeypatch):
+    """Thousands of polygons on one place: tiles are split until one polygon fills them or few are left."""
+    n, most = 4000, []
+    covered = union._covered
+    monkeypatch.setattr(union, "_covered", lambda rows, side: most.append(rows.groupBy(*union.TILE).count().agg(F.max("count")).first()[0]) or covered(rows, side))
+    x, h = (F.col("id") * 37 % 1009) / 1009, 10 + (F.col("id") * 91 % 977) / 977
+    ring = F.array(G.point(x, F.lit(0.0)), G.point(x + 10, F.lit(0.0)), G.point(x + 10, h), G.point(x, h))
+    polys = spark.range(n).select(G.polygon(ring).alias("poly"))
+    got = union.exact_union_area(polys, 16.0).first()["area"]
+    i = np.arange(n)
+    left, top = i * 37 % 1009 / 1009, 10 + i * 91 % 977 / 977
+    cuts = np.unique(np.concatenate((left, left + 10)))
+    order = np.argsort(-top)
+    total, open_ = 0.0, np.ones(len(cuts) - 1, dtype=bool)
+    for k in order:  # the highest first
+        at = open_ & (cuts[:-1] >= left[k]) & (cuts[1:] <= left[k] + 10)
+        total += top[k] * (cuts[1:] - cuts[:-1])[at].sum()
+        open_ &= ~at
+    assert got == pytest.approx(total, rel=1e-10) and max(m or 0 for m in most) <= union.LIMIT
