@@ -5,6 +5,8 @@ they are upright sides on the left border, of which those of one polygon and str
 polygon fills needs nothing more. A tile with more than ``LIMIT`` rows is split into four, so a place where many
 polygons lie on each other ends as filled tiles and a thin rim. In the other tiles the ends and crossings of sides cut
 the height into slabs; inside a slab the covered length is linear, so its value at half height gives the area.
+
+A zone is dealt to tiles in the same way, once for all groups; tiles that it does not reach are dropped.
 """
 
 from __future__ import annotations
@@ -67,8 +69,8 @@ def _filled(rows: DataFrame, side: float) -> DataFrame:
     return by.where(F.col("_all") & (F.col("_h") >= WHOLE * side)).select(*TILE).distinct()
 
 
-def _covered(rows: DataFrame, side: float) -> DataFrame:
-    """(_g, area) of slabs of tiles."""
+def _covered(rows: DataFrame, side: float, both: bool = False) -> DataFrame:
+    """(_g, i, j, area) of slabs of tiles; with ``both`` of what lies in the zone, whose rows change ``t``, as well."""
     left, right = F.col("i") * side, (F.col("i") + 1) * side
     ends = rows.select(*TILE, F.explode(F.array("y0", "y1")).alias("y"))
     meets = lambda border: (F.col("x0") - border) * (F.col("x1") - border) < 0
@@ -83,34 +85,59 @@ def _covered(rows: DataFrame, side: float) -> DataFrame:
     heights = ends.unionAll(borders).unionAll(crossings).distinct()
     slabs = heights.select(*TILE, F.col("y").alias("_a"), F.lead("y").over(Window.partitionBy(*TILE).orderBy("y")).alias("_b")).where("_b is not null")
     mid = F.col("_a") + (F.col("_b") - F.col("_a")) / 2
-    met = slabs.join(rows.select(*TILE, *ENDS, "s"), TILE).where((F.col("y0") <= F.col("_a")) & (F.col("y1") >= F.col("_b")))
-    met = met.select(*TILE, "_a", "_b", F.greatest(left, F.least(right, _x(mid))).alias("x"), "s").groupBy(*TILE, "_a", "_b", "x").agg(F.sum("s").alias("s"))
+    covers = ["s", "t"] if both else ["s"]
+    met = slabs.join(rows.select(*TILE, *ENDS, *covers), TILE).where((F.col("y0") <= F.col("_a")) & (F.col("y1") >= F.col("_b")))
+    met = met.select(*TILE, "_a", "_b", F.greatest(left, F.least(right, _x(mid))).alias("x"), *covers).groupBy(*TILE, "_a", "_b", "x").agg(*[F.sum(c).alias(c) for c in covers])
     along = Window.partitionBy(*TILE, "_a", "_b").orderBy("x")
     width = F.coalesce(F.lead("x").over(along), right) - F.col("x")
-    met = met.select("_g", "_a", "_b", width.alias("_w"), F.sum("s").over(along).alias("_n")).where("_n > 0")
-    return met.select("_g", (F.col("_w") * (F.col("_b") - F.col("_a"))).alias("area"))
+    met = met.select(*TILE, "_a", "_b", width.alias("_w"), F.least(*[F.sum(c).over(along) for c in covers], *([] if both else [F.lit(1)])).alias("_n")).where("_n > 0")
+    return met.select(*TILE, (F.col("_w") * (F.col("_b") - F.col("_a"))).alias("area"))
+
+
+def _with_zone(rows: DataFrame, zone: DataFrame) -> DataFrame:
+    """The rows of tiles and those that the zone has in them."""
+    of = rows.select(*TILE).distinct().join(zone.select("i", "j", *ENDS, F.col("s").alias("t")), ["i", "j"])
+    return rows.select(*TILE, *ENDS, "s", F.lit(0).cast("long").alias("t")).unionByName(of.select(*TILE, *ENDS, F.lit(0).cast("long").alias("s"), "t"))
 
 
-def exact_union_area(polys: DataFrame, side: float, keys: Sequence[str] = (), out: str = "area") -> DataFrame:
-    """Area (keys…, ``out``) that the polygons (poly) of each group cover, exact but for the rounding of doubles.
+def exact_union_area(polys: DataFrame, side: float, keys: Sequence[str] = (), out: str = "area", zone: DataFrame | None = None) -> DataFrame:
+    """Area (keys…, ``out``) that the polygons (poly) of each group cover (inside the zone: rows with poly, which may
+    overlap), exact but for the rounding of doubles.
 
     ``side`` is that of the first tiles, about the size of a polygon or more: it changes the work, not the result. A group
     is told by its keys, nulls included. Groups without any area, and null or empty polygons, have no row; holes are left
     out, and repeated polygons count once. Polygons are taken to be valid: rings do not cross themselves and
     holes lie inside.
     """
-    rows, done = cut(_dealt(_sides(polys, keys).withColumns({"i": F.lit(0).cast("long"), "j": F.lit(0).cast("long")}), side, False)), []
+    first = lambda df, by: cut(_dealt(_sides(df, by).withColumns({"i": F.lit(0).cast("long"), "j": F.lit(0).cast("long")}), side, False))
+    rows, done, none = first(polys, keys), [], F.lit(0).cast("long")
+    if zone is not None:
+        edge = first(zone, ())
+        rows = rows.join(edge.select("i", "j").distinct(), ["i", "j"], "left_semi")
     for level in range(LEVELS + 1):
-        filled = cut(_filled(rows, side))
-        done.append(filled.select("_g", F.lit(side * side).alias("area")))
+        filled = _filled(rows, side)
+        if zone is None:
+            filled = cut(filled)
+            done.append(filled.select("_g", F.lit(side * side).alias("area")))
+        else:  # a tile with many sides of the zone is split, filled or not
+            sides = cut(edge.groupBy("i", "j").agg(F.count("*").alias("_z")))
+            filled = cut(filled.join(sides.where(F.lit(level == LEVELS) | (F.col("_z") <= LIMIT)), ["i", "j"], "left_semi").select(*TILE))
+            plain = edge.join(filled.select("i", "j").distinct(), ["i", "j"], "left_semi")
+            done.append(filled.join(_covered(plain, side).groupBy("i", "j").agg(F.sum("area").alias("area")), ["i", "j"]).select("_g", "area"))
         rest = rows.join(filled, TILE, "left_anti")
-        crowded = cut(rest.groupBy(*TILE).count().where(F.col("count") > LIMIT).select(*TILE)) if level < LEVELS else None
-        if crowded is None or crowded.isEmpty():
-            done.append(_covered(rest, side))
+        counts = rest.groupBy(*TILE).count()
+        if zone is not None:
+            counts = counts.join(sides, ["i", "j"], "left").withColumn("count", F.col("count") + F.coalesce("_z", none))
+        crowded = cut(counts.where((F.col("count") > LIMIT) & F.lit(level < LEVELS)).select(*TILE))
+        light = rest.join(crowded, TILE, "left_anti")
+        done.append((_covered(light, side) if zone is None else _covered(_with_zone(light, edge), side, True)).select("_g", "area"))
+        if crowded.isEmpty():
             break
-        done.append(_covered(rest.join(crowded, TILE, "left_anti"), side))
         side /= 2
         rows = cut(_dealt(rest.join(crowded, TILE, "left_semi"), side, True))
+        if zone is not None:
+            edge = cut(_dealt(edge.join(crowded.select("i", "j").distinct(), ["i", "j"], "left_semi"), side, True))
+            rows = rows.join(edge.select("i", "j").distinct(), ["i", "j"], "left_semi")
     every = done[0]
     for more in done[1:]:
         every = every.unionAll(more)

@@ -166,19 +166,28 @@ def j8_union_area(spark, d):
     return overlay.union_area(patches(spark, d), 500.0, ["year"]).select("year", F.round("area", 2).alias("area"))
 
 
-def rectangles_sql(scale: str = "1.0") -> str:
-    """Area that the patches of a year cover: strips between neighbouring left and right sides, heights by running maxima."""
-    return f""", x as (select distinct year, unnest([xmin, xmax]) as a from fx2_patch), strip as (select year, a, lead(a) over (partition by year order by a) as b from x),
- met as (select s.year, a, b, ymin, ymax, max(ymax) over (partition by s.year, a order by ymin, ymax rows between unbounded preceding and 1 preceding) as top from strip s join fx2_patch p on p.year = s.year and xmin <= a and xmax >= b)
+def rectangles_sql(scale: str = "1.0", of: str = "fx2_patch") -> str:
+    """Area that rectangles of a year cover: strips between neighbouring left and right sides, heights by running maxima."""
+    return f""", p as ({of}), x as (select distinct year, part, unnest([xmin, xmax]) as a from p), strip as (select year, part, a, lead(a) over (partition by year, part order by a) as b from x),
+ met as (select s.year, a, b, ymin, ymax, max(ymax) over (partition by s.year, s.part, a order by ymin, ymax rows between unbounded preceding and 1 preceding) as top from strip s join p on p.year = s.year and p.part = s.part and xmin <= a and xmax >= b)
  select year, round(sum((b - a) * greatest(0, ymax - greatest(ymin, coalesce(top, ymin)))) * {scale} / 1e6, 3) as km2 from met group by year"""
 
 
-@query(rectangles_sql())
+PATCHES = "select year, 0 as part, xmin, ymin, xmax, ymax from fx2_patch"
+
+
+def inside_sql(*boxes: tuple[float, float, float, float]) -> str:
+    """The parts of the patches in boxes."""
+    parts = [f"select year, {k} as part, greatest(xmin, {a}) as xmin, greatest(ymin, {b}) as ymin, least(xmax, {c}) as xmax, least(ymax, {e}) as ymax from fx2_patch" for k, (a, b, c, e) in enumerate(boxes)]
+    return f"select * from ({' union all '.join(parts)}) where xmin < xmax and ymin < ymax"
+
+
+@query(rectangles_sql(of=PATCHES))
 def j8_exact_union(spark, d):
     return union.exact_union_area(patches(spark, d), 4000.0, ["year"]).select("year", F.round(F.col("area") / 1e6, 3).alias("km2"))
 
 
-@query(rectangles_sql("(1 + 0.3 * 0.2)"))
+@query(rectangles_sql("(1 + 0.3 * 0.2)", PATCHES))
 def j8_exact_union_slanted(spark, d):
     """The patches under a linear map, which multiplies areas by its determinant."""
     moved = lambda p: G.point(p["x"] + 0.3 * p["y"], p["y"] - 0.2 * p["x"])
@@ -186,6 +195,12 @@ def j8_exact_union_slanted(spark, d):
     return union.exact_union_area(slanted, 4000.0, ["year"]).select("year", F.round(F.col("area") / 1e6, 3).alias("km2"))
 
 
+@query(rectangles_sql(of=inside_sql((0, 0, X1, 30000), (0, 30000, 40000, Y1))))
+def a14_exact_touched(spark, d):
+    """Area touched each year inside the L-shaped zone."""
+    return union.exact_union_area(patches(spark, d), 4000.0, ["year"], "a", zone(spark, d, "ell")).select("year", F.round(F.col("a") / 1e6, 3).alias("km2"))
+
+
 @query(CELLS + f""", v as (select year, trim(level_raw) as level, {RECT} as a from fx2_patch where {RECT} > 0)
  select v.year, round(sum(case when level = 'Leger' then a else 0 end) / 10000, 2) as leger, round(sum(case when level = 'Modéré' then a else 0 end) / 10000, 2) as modere, round(sum(case when level = 'Grave' then a else 0 end) / 10000, 2) as grave,
  any_value(t.n) * cast(25 as double) as touched_ha, round(any_value(t.n) * 250000.0 / {X1 * Y1} * 100, 2) as touched_pct, count(*) as polygons

@@ -612,6 +612,16 @@ def test_exact_union_of_slanted_polygons(spark, side):
         rows += [(k, [r if i % 2 else r[::-1]]) for i, r in enumerate(rings)] + [(k, [rings[0]])]
     got = {r["k"]: r["area"] for r in union.exact_union_area(_polys(spark, rows), side, ["k"]).collect()}
     assert got == pytest.approx(want, rel=1e-11)
+    # inside a zone of two slanted squares that overlap: what the union loses when the zone is taken out of the sum
+    zone = [[(-3, -4), (2, -5), (3, 0), (-2, 1)], [(0, -2), (4, -1), (3, 3), (-1, 2)]]
+    whole = [[r for i, r in enumerate(zone) if m >> i & 1] for m in range(1, 4)]
+    rings = {k: [r[0] if _shoelace(r[0]) > 0 else r[0][::-1] for q, r in rows if q == k][:-1] for k in want}
+    inside = {}
+    for k, own in rings.items():
+        subsets = [[r for i, r in enumerate(own) if m >> i & 1] for m in range(1, 1 << len(own))]
+        inside[k] = sum((-1) ** (len(s) + len(w)) * _shoelace(_common(s + w)) for s in subsets for w in whole)
+    got = {r["k"]: r["area"] for r in union.exact_union_area(_polys(spark, rows), side, ["k"], zone=_polys(spark, [("z", [r]) for r in zone])).collect()}
+    assert got == pytest.approx(inside, rel=1e-11)
 
 
 def test_exact_union_of_odd_polygons(spark):
@@ -629,7 +639,7 @@ def test_exact_union_of_a_crowd(spark, monkeypatch):
     """Thousands of polygons on one place: tiles are split until one polygon fills them or few are left."""
     n, most = 4000, []
     covered = union._covered
-    monkeypatch.setattr(union, "_covered", lambda rows, side: most.append(rows.groupBy(*union.TILE).count().agg(F.max("count")).first()[0]) or covered(rows, side))
+    monkeypatch.setattr(union, "_covered", lambda rows, *a: most.append(rows.groupBy(*union.TILE).count().agg(F.max("count")).first()[0]) or covered(rows, *a))
     x, h = (F.col("id") * 37 % 1009) / 1009, 10 + (F.col("id") * 91 % 977) / 977
     ring = F.array(G.point(x, F.lit(0.0)), G.point(x + 10, F.lit(0.0)), G.point(x + 10, h), G.point(x, h))
     polys = spark.range(n).select(G.polygon(ring).alias("poly"))
@@ -644,3 +654,17 @@ def test_exact_union_of_a_crowd(spark, monkeypatch):
         total += top[k] * (cuts[1:] - cuts[:-1])[at].sum()
         open_ &= ~at
     assert got == pytest.approx(total, rel=1e-10) and max(m or 0 for m in most) <= union.LIMIT
+
+
+def test_exact_union_in_a_zone_of_many_sides(spark, monkeypatch):
+    """A square with a hole that covers a zone of many sides has the zone less the hole; the zone's tiles are split."""
+    n = 600
+    ring = [((6 + 0.4 * (i % 2)) * math.cos(2 * math.pi * i / n), (6 + 0.4 * (i % 2)) * math.sin(2 * math.pi * i / n)) for i in range(n)]
+    square = [[(-9, -9), (9, -9), (9, 9), (-9, 9)], [(-1, -1), (1, -1), (1, 1), (-1, 1)]]
+    polys = _polys(spark, [("a", square), ("a", square), ("far", [[(20, 20), (21, 20), (21, 21)]])])
+    most = []
+    covered = union._covered
+    monkeypatch.setattr(union, "_covered", lambda rows, *a: most.append(rows.groupBy(*union.TILE).count().agg(F.max("count")).first()[0]) or covered(rows, *a))
+    got = union.exact_union_area(polys, 16.0, ["k"], zone=_polys(spark, [("z", [ring])])).collect()
+    assert [r["k"] for r in got] == ["a"] and got[0]["area"] == pytest.approx(_shoelace(ring) - 4, rel=1e-11)
+    assert max(m or 0 for m in most) <= union.LIMIT
