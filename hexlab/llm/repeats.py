@@ -18,6 +18,8 @@ Spark's shuffle and the written tables stand for the sequential external files;
 own. An anchor string with over ``LARGE`` different contexts is not given to one task: its windows are counted
 by a 128-bit hash, combined before the shuffle. Contexts and windows are taken as equal if 128-bit hashes are.
 
+With ``words``, ``remove_repeats`` also reports runs of so many words, which may be shorter than ``length`` bytes.
+
 Defined cases: a null text is empty; texts shorter than ``length`` lose nothing; rows with equal doc_id and
 text are two documents, copies of each other; texts of any length are taken whole; an empty table gives an
 empty result; further columns are ignored or, in ``drop_repeats``, kept.
@@ -33,7 +35,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest, xxh3_128_digest
+from xxhash import xxh3_64_digest, xxh3_128_digest
 
 from .common import bitmap, cut, listed, partitions, small_batches
 
@@ -47,6 +49,7 @@ Unit = Literal["byte", "word"]
 COLLECTION = 16384
 LARGE = 50_000
 
+_FACTOR = [np.uint64(pow(0x9E3779B97F4A7C15, 1 << k, 1 << 64)) for k in range(8)]
 _LETTER = np.random.default_rng(5).integers(0, 2**64, 256, dtype=np.uint64)
 
 
@@ -54,17 +57,18 @@ def symbols(text: str, unit: Unit) -> bytes:
     """The symbols of a text, ``SIZE[unit]`` bytes each."""
     if unit == "byte":
         return text.encode("utf-8", "surrogatepass")
-    return np.array([xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in text.split()], dtype="<u8").tobytes()
+    return b"".join(map(xxh3_64_digest, text.split()))
 
 
 def grams(raw: bytes, unit: Unit) -> np.ndarray:
-    """A 64-bit hash of the ``GRAM[unit]`` symbols from each place on, by doubling."""
+    """A 64-bit hash of the ``GRAM[unit]`` symbols from each place on: a polynomial, by doubling."""
     x = np.frombuffer(raw, dtype=SYMBOL[unit])
-    h, step = _LETTER[x] if unit == "byte" else x, 1
-    while step < GRAM[unit]:
-        h = h[:-step] * np.uint64(0x9E3779B97F4A7C15) + (h[step:] ^ (h[step:] >> np.uint64(29)))
-        step *= 2
-    return h * np.uint64(0xD6E8FEB86659FD93)
+    h = _LETTER[x] if unit == "byte" else x
+    for k in range(GRAM[unit].bit_length() - 1):
+        ahead = h[1 << k :]
+        h = h[: -(1 << k)] * _FACTOR[k]
+        h += ahead
+    return h
 
 
 def anchors(raw: bytes, length: int, unit: Unit = "byte") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -75,17 +79,17 @@ def anchors(raw: bytes, length: int, unit: Unit = "byte") -> tuple[np.ndarray, n
         return none, none, none, none
     h = grams(raw, unit)
     width = length - GRAM[unit] + 1
-    code = (h & np.uint64(0xFFFFFFFF00000000)) | (np.uint64(0xFFFFFFFF) - np.arange(len(h), dtype=np.uint64))
-    blocks = np.full(-(-len(h) // width) * width, np.uint64(2**64 - 1))
-    blocks[: len(h)] = code
-    blocks = blocks.reshape(-1, width)
-    ahead = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    behind = np.minimum.accumulate(blocks, axis=1).ravel()
-    least = np.minimum(ahead[:windows], behind[width - 1 : width - 1 + windows])
+    least = (h & np.uint64(0xFFFFFFFF00000000)) | (np.uint64(0xFFFFFFFF) - np.arange(len(h), dtype=np.uint64))
+    span = 1  # strings that each minimum covers
+    while span < width:
+        step = min(span, width - span)
+        least = np.minimum(least[:-step], least[step:])
+        span += step
     first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
     last = np.concatenate((first[1:], [windows])) - 1
     place = (np.uint64(0xFFFFFFFF) - (least[first] & np.uint64(0xFFFFFFFF))).astype(np.int64)
-    return h[place].view(np.int64), place, first, last
+    h = h[place]
+    return ((h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64), place, first, last
 
 
 def _halves(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -157,16 +161,23 @@ def repeated_spans(docs: DataFrame, length: int = 400, unit: Unit = "byte") -> D
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            out = []
-            for doc, key, text in zip(x["doc"], x["text_key"], x["text"], strict=True):
+            digests: list[bytes] = []
+            gram, start, end, count = [], [], [], []
+            for text in x["text"]:
                 raw = symbols(text, unit)
                 h, _, first, last = anchors(raw, length, unit)
-                if len(on := listed(known.value, bits, h)):
-                    h, first, last = h[on], first[on], last[on]
-                    one, two = _halves([xxh3_128_digest(raw[a:b]) for a, b in zip((z * first).tolist(), (z * (last + length)).tolist(), strict=True)])
-                    out.append(pd.DataFrame({"gram": h, "one": one, "two": two, "doc": doc, "text_key": key, "start": first, "end": last + length}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
+                on = listed(known.value, bits, h)
+                count.append(len(on))
+                if len(on):
+                    first, after = first[on], last[on] + length
+                    gram.append(h[on])
+                    start.append(first)
+                    end.append(after)
+                    digests.extend([xxh3_128_digest(raw[a:b]) for a, b in zip((z * first).tolist(), (z * after).tolist(), strict=True)])
+            if digests:
+                one, two = _halves(digests)
+                doc, key = (np.repeat(x[c].to_numpy(), count) for c in ("doc", "text_key"))
+                yield pd.DataFrame({"gram": np.concatenate(gram), "one": one, "two": two, "doc": doc, "text_key": key, "start": np.concatenate(start), "end": np.concatenate(end)})
 
     places = rows.mapInPandas(find, "gram long, one long, two long, doc long, text_key long, start long, end long")
     # written, so that the join stands on plain exchanges and a hot anchor string can be split
@@ -194,19 +205,26 @@ def _by_columns(rows: DataFrame, wanted: DataFrame, count: int, length: int, uni
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[bytes] = set()
         for x in batches:
-            out = []
+            digests: list[bytes] = []
+            gram, before, found = [], [], []
             for text in x["text"]:
                 raw = symbols(text, unit)
                 h, place, first, last = anchors(raw, length, unit)
-                for i in listed(shared.value, bits, h).tolist():
-                    context = raw[z * first[i] : z * (last[i] + length)]
-                    digest = xxh3_128_digest(context)
-                    if digest not in seen:
-                        seen.add(digest)
-                        out.append((h[i], *np.frombuffer(digest, dtype="<i8").tolist(), place[i] - first[i], context))
+                if len(on := listed(shared.value, bits, h)):
+                    h, place, first, after = h[on], place[on] - first[on], z * first[on], z * (last[on] + length)
+                    for g, p, a, b in zip(h.tolist(), place.tolist(), first.tolist(), after.tolist(), strict=True):
+                        context = raw[a:b]
+                        digest = xxh3_128_digest(context)
+                        if digest not in seen:
+                            seen.add(digest)
+                            digests.append(digest)
+                            gram.append(g)
+                            before.append(p)
+                            found.append(context)
             if len(seen) > 500_000:
                 seen.clear()
-            yield pd.DataFrame(out, columns=["gram", "one", "two", "before", "context"])
+            one, two = _halves(digests)
+            yield pd.DataFrame({"gram": np.array(gram, dtype=np.int64), "one": one, "two": two, "before": np.array(before, dtype=np.int32), "context": found})
 
     met = rows.select("text").mapInPandas(contexts, "gram long, one long, two long, before int, context binary").join(wanted, "gram", "left_semi")
     dealt = met.repartition(partitions(rows.sparkSession), "gram").sortWithinPartitions("gram", "one", "two")
@@ -278,37 +296,52 @@ def merged(spans) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _joined(docs: DataFrame, length: int, unit: Unit) -> DataFrame:
-    """(row, found): the rows as they are, and the ranges found in their texts."""
-    found = repeated_spans(docs, length, unit).withColumnsRenamed({"doc": "found_doc", "text_key": "found_key", "spans": "found"})
+def _joined(docs: DataFrame, length: int, unit: Unit, words: int | None = None) -> DataFrame:
+    """(row, found): the rows as they are, and the ranges found in their texts; with ``words``, also (passages): the ranges
+    of words in repeated strings of so many words."""
+    found = repeated_spans(docs, length, unit).withColumnRenamed("spans", "found")
+    if words is not None:
+        found = found.join(repeated_spans(docs, words, "word").withColumnRenamed("spans", "passages"), ["doc", "text_key"], "full")
+    found = found.withColumnsRenamed({"doc": "found_doc", "text_key": "found_key"})
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     doc = F.coalesce(F.col("row.doc_id").cast("long"), F.lit(-(2**63)))
     return rows.join(found, (doc == F.col("found_doc")) & (F.xxhash64(F.coalesce("row.text", F.lit(""))) == F.col("found_key")), "left")
 
 
-def _removed(docs: DataFrame, length: int) -> DataFrame:
-    """(row, new): the rows as they are; n_bytes, spans (removed byte ranges, maximal) and kept (the bytes left)."""
+def _removed(docs: DataFrame, length: int, words: int | None = None) -> DataFrame:
+    """(row, new): the rows as they are; n_bytes, spans (removed byte ranges, maximal), kept (the bytes left) and
+    passages (maximal ranges of words, none without ``words``)."""
+
+    def ranges(found) -> list[tuple[int, int]]:
+        return merged((s["low"], s["high"]) for s in found) if found is not None else []
 
-    def clean(text: pd.Series, found: pd.Series) -> pd.DataFrame:
+    def clean(text: pd.Series, found: pd.Series, passages: pd.Series) -> pd.DataFrame:
         out = []
-        for t, f in zip(text, found, strict=True):
+        for t, f, p in zip(text, found, passages, strict=True):
             raw = (t or "").encode("utf-8", "surrogatepass")
-            spans = merged((s["low"], s["high"]) for s in f) if f is not None else []
+            spans = ranges(f)
             at, kept = 0, []
             for low, high in spans:
                 kept.append(raw[at:low])
                 at = high
-            out.append((len(raw), [{"low": a, "high": b} for a, b in spans], b"".join([*kept, raw[at:]])))
-        return pd.DataFrame(out, columns=["n_bytes", "spans", "kept"])
+            out.append((len(raw), [{"low": a, "high": b} for a, b in spans], b"".join([*kept, raw[at:]]), [{"low": a, "high": b} for a, b in ranges(p)]))
+        return pd.DataFrame(out, columns=["n_bytes", "spans", "kept", "passages"])
 
-    new = F.pandas_udf(clean, "n_bytes long, spans array<struct<low: long, high: long>>, kept binary")("row.text", "found")
-    return _joined(docs, length, "byte").select("row", new.alias("new"))
+    span = "array<struct<low: long, high: long>>"
+    passages = F.lit(None).cast(span) if words is None else F.col("passages")
+    new = F.pandas_udf(clean, f"n_bytes long, spans {span}, kept binary, passages {span}")("row.text", "found", passages)
+    return _joined(docs, length, "byte", words).select("row", new.alias("new"))
 
 
-def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
-    """(doc_id, n_bytes, spans, kept, text) of every row: its removed byte ranges, the bytes left, and these as text."""
+def remove_repeats(docs: DataFrame, length: int = 400, words: int | None = None) -> DataFrame:
+    """(doc_id, n_bytes, spans, kept, text) of every row: its removed byte ranges, the bytes left, and these as text.
+
+    With ``words``, also (passages): the ranges of words, split at white space, that lie in strings of so many words which
+    also start elsewhere. They may be shorter than ``length`` bytes; they are reported, and nothing is removed for them.
+    """
     text = F.pandas_udf(_readable, "string")("new.kept")
-    return _removed(docs, length).select(F.col("row.doc_id").cast("long").alias("doc_id"), "new.n_bytes", "new.spans", "new.kept", text.alias("text"))
+    more = [] if words is None else ["new.passages"]
+    return _removed(docs, length, words).select(F.col("row.doc_id").cast("long").alias("doc_id"), "new.n_bytes", "new.spans", "new.kept", text.alias("text"), *more)
 
 
 def _readable(kept: pd.Series) -> pd.Series:

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from hexlab.llm import bpe, common, fingerprints, jaccard, langid, licenses, lines, maxscore, packing, repeats, simhash, toxicity
+from hexlab.llm import bpe, common, fingerprints, jaccard, langid, licenses, lines, maxscore, packing, queries, repeats, simhash, toxicity
 
 RNG = random.Random(5)
 WORDS = ["".join(RNG.choice("abcdeé") for _ in range(RNG.randint(1, 7))) for _ in range(120)]
@@ -209,6 +209,43 @@ def test_repeats_of_words(spark, docs, nothing, monkeypatch, large):
         assert left.columns == docs.columns and left.count() == docs.count() and repeats.drop_repeats(nothing, 50, "word").count() == 0
 
 
+def test_repeats_report_passages_shorter_than_400_bytes(spark, docs, tmp_path):
+    rng = random.Random(11)
+    passage = [WORDS[i % len(WORDS)][:3] for i in rng.sample(range(1000), 55)]
+    own = [prose(70, rng) for _ in range(4)]
+    texts = [own[0] + " " + " ".join(passage) + " " + own[1], " ".join(passage) + "\n" + own[2], own[3] + "\n" + "\t ".join(passage), own[3][::-1], None, "", LONG, LONG]
+    assert len(" ".join(passage).encode()) < 400
+    texts += [t for _, t in collected(docs)]
+    path = str(tmp_path)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(f"{path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op4_repeats(spark, path).collect()}
+    assert len(got) == len(texts)
+    split = [(t or "").split() for t in texts]
+    seen = Counter(tuple(w[i : i + 50]) for w in split for i in range(len(w) - 49))
+    for d, ((n, gone, kept), w) in enumerate(zip(repeated_bytes(texts, 400), split, strict=True)):
+        inside = {j for i in range(len(w) - 49) if seen[tuple(w[i : i + 50])] > 1 for j in range(i, i + 50)}
+        r = got[d]
+        assert (r["n_passage_words"], r["n_passages"]) == (len(inside), sum(j - 1 not in inside for j in inside))
+        assert (r["n_bytes"], r["n_removed"], r["kept_sha256"]) == (n, gone, hashlib.sha256(kept).hexdigest())
+    assert [(got[d]["n_removed"], got[d]["n_passage_words"], got[d]["n_passages"]) for d in range(4)] == [(0, 55, 1)] * 3 + [(0, 0, 0)]
+
+
+def test_anchors_by_definition():
+    rng = np.random.default_rng(3)
+    for unit, length in (("byte", 33), ("byte", 400), ("word", 9), ("word", 50)):
+        raw = rng.integers(0, 3, 1500).astype(repeats.SYMBOL[unit]).tobytes()
+        h = repeats.grams(raw, unit) >> np.uint64(32)
+        key, place, first, last = repeats.anchors(raw, length, unit)
+        assert first[0] == 0 and last[-1] == 1500 - length and (first[1:] == last[:-1] + 1).all()
+        for p, a, b in zip(place, first, last, strict=True):
+            for i in range(a, b + 1):
+                window = h[i : i + length - repeats.GRAM[unit] + 1]
+                assert p == i + np.flatnonzero(window == window.min())[-1]
+        strings = {}
+        for k, p in zip(key.tolist(), place.tolist(), strict=True):
+            assert strings.setdefault(k, raw[repeats.SIZE[unit] * p :][: repeats.SIZE[unit] * repeats.GRAM[unit]]) == raw[repeats.SIZE[unit] * p :][: repeats.SIZE[unit] * repeats.GRAM[unit]]
+
+
 def test_columns_round_by_round():
     rng = random.Random(2)
     for _ in range(20):
