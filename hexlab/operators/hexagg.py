@@ -56,9 +56,8 @@ def weighted_mode(df: DataFrame, keys: Sequence[str], category: str, weight: Col
     rank = F.col(category) if rank is None else rank
     rows = df.where(F.col(category).isNotNull() & (weight > 0)).select(*keys, F.col(category).alias(out), weight.alias("_w"), rank.alias("_k"))
     sums = rows.groupBy(*keys, out, "_k").agg(F.sum("_w").alias("_w"))
-    best = sums.groupBy(*keys).agg(F.max(F.struct(F.col("_w"), F.struct("_k").alias("_u"))).alias("_m"))
-    top = sums.join(best.select(*keys, F.col("_m._w").alias("_mw")), list(keys)).where("_w = _mw")
-    return top.groupBy(*keys).agg(F.min_by(out, "_k").alias(out))
+    # one pass: sums that were worked out twice may differ in their last digits, so they are never joined on
+    return sums.groupBy(*keys).agg(F.min_by(out, F.struct(-F.col("_w"), "_k")).alias(out))
 
 
 def coverage(df: DataFrame, keys: Sequence[str], area: str, hex_area: float, out: str = "coverage") -> DataFrame:
