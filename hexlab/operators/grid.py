@@ -32,15 +32,14 @@ def center_y(r: Column, width: float, y0: float = 0.0) -> Column:
 
 
 def assign_hex(df: DataFrame, width: float, x: str = "x", y: str = "y", x0: float = 0.0, y0: float = 0.0) -> DataFrame:
-    """Adds (q, r) of the hex that holds each point: closed form, no join."""
-    rf = (F.col(y) - y0) / (width * ROOT3 / 2)
-    qf = (F.col(x) - x0) / width - rf / 2
-    up = lambda c: F.floor(c + 0.5)
-    df = df.withColumns({"_q": qf, "_r": rf}).withColumns({"_rq": up(F.col("_q")), "_rr": up(F.col("_r")), "_rs": up(-F.col("_q") - F.col("_r"))})
-    dq, dr, ds = F.abs(F.col("_rq") - F.col("_q")), F.abs(F.col("_rr") - F.col("_r")), F.abs(F.col("_rs") + F.col("_q") + F.col("_r"))
-    q = F.when((dq > dr) & (dq > ds), -F.col("_rr") - F.col("_rs")).otherwise(F.col("_rq"))
-    r = F.when((dq > dr) & (dq > ds), F.col("_rr")).when(dr > ds, -F.col("_rq") - F.col("_rs")).otherwise(F.col("_rr"))
-    return df.withColumns({"q": q.cast("int"), "r": r.cast("int")}).drop("_q", "_r", "_rq", "_rr", "_rs")
+    """Adds (q, r) of the hex that holds each point: closed form, no join. A point on a border goes to the smaller r, then q."""
+    px, py, r = F.col(x), F.col(y), F.col("_r")
+    left = lambda r: F.ceil((px - x0) / width - r / 2 - 0.5).cast("int")
+    far = lambda q, r: F.pow(px - center_x(q, r, width, x0), F.lit(2)) + F.pow(py - center_y(r, width, y0), F.lit(2))
+    # the nearest of the row of centres below and of that above
+    df = df.withColumn("_r", F.floor((py - y0) / (width * ROOT3 / 2)).cast("int")).withColumns({"_q0": left(r), "_q1": left(r + 1)})
+    df = df.withColumn("_up", far(F.col("_q1"), r + 1) < far(F.col("_q0"), r))
+    return df.withColumns({"q": F.when(F.col("_up"), F.col("_q1")).otherwise(F.col("_q0")), "r": F.when(F.col("_up"), r + 1).otherwise(r)}).drop("_r", "_q0", "_q1", "_up")
 
 
 def candidates(df: DataFrame, width: float, x0: float = 0.0, y0: float = 0.0) -> DataFrame:

@@ -57,6 +57,18 @@ def test_weighted_mode_of_sums_that_change(spark):
     assert got == {k: "a" for k in range(4)}
 
 
+@pytest.mark.parametrize("width", [5000.0, 10000.0, 3.0])
+def test_points_on_borders_of_hexes(spark, width):
+    """Points as far from one centre as from another go to the smaller r, then to the smaller q."""
+    points = [(i, width / 2 * a, float(b)) for i, (a, b) in enumerate((a, b) for a in range(-7, 8) for b in range(-9000, 9001, 611))]
+    df = spark.createDataFrame(points, "id int, x double, y double")
+    got = {r["id"]: (r["r"], r["q"]) for r in grid.assign_hex(df, width).collect()}
+    for i, x, y in points:
+        r0 = round(y / (width * grid.ROOT3 / 2))
+        near = [(r, q) for r in range(r0 - 2, r0 + 3) for q in range(round(x / width - r / 2) - 2, round(x / width - r / 2) + 3)]
+        assert got[i] == min(near, key=lambda c: ((x - width * (c[1] + c[0] / 2.0)) ** 2 + (y - width * math.sqrt(3.0) / 2 * c[0]) ** 2, *c))
+
+
 def test_clip_of_a_concave_ring(spark):
     ring = F.array(*[G.point(F.lit(x), F.lit(y)) for x, y in ((0, 0), (4, 0), (4, 4), (2, 1), (0, 4))])
     square = G.edges(G.rectangle(F.lit(1), F.lit(0), F.lit(3), F.lit(2)))
