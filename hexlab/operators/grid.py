@@ -6,6 +6,7 @@ A hex is its axial coordinates (q, r); its id packs both, its geometry follows f
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,15 +67,25 @@ def row_standardised(edges: DataFrame) -> DataFrame:
 
 
 def inverse_distance(points: DataFrame, max_dist: float, power: int = 1, key: str = "hex_id") -> DataFrame:
-    """Edges (src, dst, w) of points within ``max_dist``, w = 1 / d**power, rows adding up to 1.
+    """Edges (src, dst, w) of points within ``max_dist``, w = 1 / d**power, rows adding up to 1."""
+    return inverse_distances(points, max_dist, [power], key).withColumnRenamed(f"w_{power}", "w")
 
-    Points are dealt to square cells of side ``max_dist``; each meets its own and the eight around.
+
+def inverse_distances(points: DataFrame, max_dist: float, powers: Sequence[int], key: str = "hex_id") -> DataFrame:
+    """Edges (src, dst, w_p for each power p) of points within ``max_dist``, w_p = 1 / d**p, rows of each adding up to 1.
+
+    Points are dealt to square cells of side ``max_dist``; each meets its own and the eight around. Pairs are met twice,
+    for the totals of their rows and again for the weights, so that no shuffle, sort or join ever holds an edge: points
+    are all that moves.
     """
     cell = lambda c: F.floor(F.col(c) / max_dist).cast("long")
     near = F.sequence(F.lit(-1), F.lit(1))
     a = points.select(F.col(key).alias("src"), F.col("x").alias("ax"), F.col("y").alias("ay"), cell("x").alias("gx"), cell("y").alias("gy"))
-    a = a.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near)).withColumns({"gx": F.col("gx") + F.col("dx"), "gy": F.col("gy") + F.col("dy")})
     b = points.select(F.col(key).alias("dst"), F.col("x").alias("bx"), F.col("y").alias("by"), cell("x").alias("gx"), cell("y").alias("gy"))
-    d = F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))
-    edges = a.join(b, ["gx", "gy"]).where((F.col("src") != F.col("dst")) & (d <= max_dist) & (d > 0))
-    return row_standardised(edges.select("src", "dst", (1 / F.pow(d, F.lit(power))).alias("w")))
+    b = b.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near)).withColumns({"gx": F.col("gx") + F.col("dx"), "gy": F.col("gy") + F.col("dy")}).drop("dx", "dy")
+    dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
+    square = dx * dx + dy * dy
+    weight = {p: 1 / F.pow(F.sqrt(square), F.lit(p)) for p in powers}
+    meet = lambda a: a.join(b, ["gx", "gy"]).where((F.col("src") != F.col("dst")) & (square <= max_dist * max_dist) & (square > 0))
+    totals = meet(a).groupBy("src").agg(*[F.sum(w).alias(f"_t{p}") for p, w in weight.items()])
+    return meet(a.join(totals, "src")).select("src", "dst", *[(w / F.col(f"_t{p}")).alias(f"w_{p}") for p, w in weight.items()])

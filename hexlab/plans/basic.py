@@ -125,10 +125,8 @@ def j9_contiguity(spark, d):
  from (select a.site_id as src, b.site_id as dst, 1 / sqrt(pow(a.x-b.x,2) + pow(a.y-b.y,2)) as w from fx1_site a join fx1_site b
   on a.site_id <> b.site_id and pow(a.x-b.x,2) + pow(a.y-b.y,2) <= 4000000.0)""")
 def j10_inverse_distance(spark, d):
-    s = X.site(spark, d)
-    one = grid.inverse_distance(s, 2000.0, 1, "site_id").select("src", "dst", F.round("w", 6).alias("w"))
-    two = grid.inverse_distance(s, 2000.0, 2, "site_id").select("src", "dst", F.round("w", 6).alias("w2"))
-    return one.join(two, ["src", "dst"])
+    e = grid.inverse_distances(X.site(spark, d), 2000.0, (1, 2), "site_id")
+    return e.select("src", "dst", F.round("w_1", 6).alias("w"), F.round("w_2", 6).alias("w2"))
 
 
 @query(f"""select c.cell, coalesce(n, 0) as n, coalesce(v, -1.0) as value from (select cast(i as int) * 100 + cast(j as int) as cell, i, j from

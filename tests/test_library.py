@@ -173,6 +173,24 @@ def test_neighbour_weights_add_up(spark):
     assert e.groupBy("src").count().agg(F.max("count")).first()[0] == 6
 
 
+def test_inverse_distances_move_no_edges(spark):
+    """Points meet last of all: no shuffle, sort or join holds an edge."""
+    df = spark.range(90).select(F.col("id").alias("hex_id"), (F.col("id") * 37 % 11).cast("double").alias("x"), (F.col("id") * 53 % 13).cast("double").alias("y"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        e = grid.inverse_distance(df, 3.0, 2)
+        plan = e._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "gx" in next(line for line in plan if "Join" in line or "Exchange" in line)
+    xy = np.array([(k * 37 % 11, k * 53 % 13) for k in range(90)], dtype=float)
+    d = np.hypot(*(xy[:, None] - xy[None]).transpose(2, 0, 1))
+    w = np.where((d > 0) & (d <= 3), 1 / np.maximum(d, 1) ** 2, 0)
+    w /= w.sum(axis=1, keepdims=True)
+    got = {(r["src"], r["dst"]): r["w"] for r in e.collect()}
+    assert got == pytest.approx({(int(i), int(j)): w[i, j] for i, j in zip(*np.nonzero(w), strict=True)})
+
+
 def test_gaps_in_years(spark):
     p = spark.createDataFrame([(1, 2000, 2), (2, 2000, 1), (1, 2003, 3)], "hex_id int, year int, severity int")
     got = {(r["hex_id"], r["year"]): r["severity"] for r in panel.densify(p, p.select("hex_id").distinct()).collect()}
