@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -68,29 +70,90 @@ def fuzzy_cmeans(rows: DataFrame, settings: Sequence[tuple[float, float]], k: in
     """Centres for each (m, alpha): starts from the k rows of smallest hash; a setting leaves the passes once no
     membership of it changes by more than ``tol``. With ``settle`` it is an error if one has not after ``max_iter``
     rounds. rows: (key, x, xl)."""
-    rows = cut(rows.select(key, "x", "xl"))
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    rows = cut(rows.select(key, F.col("x").cast("array<double>"), F.col("xl").cast("array<double>")).repartition(cores))
     first = rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(k).collect()
     centers = [np.array([r["x"] for r in first], dtype=float) for _ in settings]
     before: list[np.ndarray | None] = [None for _ in settings]
     live = list(range(len(settings)))
     for _ in range(max_iter):
-        data = [(i, float(settings[i][0]), float(settings[i][1]), centers[i].tolist(), None if before[i] is None else before[i].tolist()) for i in live]
-        s = rows.sparkSession.createDataFrame(data, "setting int, m double, alpha double, centers array<array<double>>, before array<array<double>>")
-        of = lambda c: _memberships(F.col("x"), F.col("xl"), F.col(c), F.col("m"), F.col("alpha"))
-        u = rows.crossJoin(F.broadcast(s)).select("setting", "x", "xl", "m", "alpha", of("centers").alias("u"), of("before").alias("v"))  # a row a setting
-        moved = F.max(F.array_max(F.zip_with("u", "v", lambda p, q: F.abs(p - q)))).alias("moved")
-        for r in u.groupBy("setting").agg(*_center_means(k), moved).collect():
-            i = r["setting"]
-            before[i], centers[i] = centers[i], _centers_of(r, k)
-            if r["moved"] is not None and r["moved"] <= tol:
+        part = rows.select("x", "xl").mapInArrow(_round([(i, *settings[i], centers[i], before[i]) for i in live], tol), "setting int, sums array<double>, moved double")
+        sums: dict[int, np.ndarray] = {}
+        moved = dict.fromkeys(live, -1.0)
+        for r in part.collect():  # a row a setting and task: k centres, twice, and k weights
+            sums[r["setting"]] = sums.get(r["setting"], 0.0) + np.array(r["sums"])
+            moved[r["setting"]] = max(moved[r["setting"]], r["moved"])
+        for i, got in sums.items():
+            own, lag = got[k:].reshape(2, k, -1)
+            alpha = settings[i][1]
+            before[i], centers[i] = centers[i], (own + alpha * lag) / (1 + alpha) / got[:k, None]
+            if 0 <= moved[i] <= tol:
                 live.remove(i)
-        if not live:
+        if not live or not sums:
             break
     if settle and live:
         raise RuntimeError(f"settings {[settings[i] for i in live]} did not settle in {max_iter} rounds")
     return centers
 
 
+#: Rows that a task holds against the centres of all settings at once.
+CHUNK = 2048
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[list[np.ndarray]]:
+    """Columns of batches as arrays of at most ``CHUNK`` rows; columns of lists have two dimensions."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, CHUNK):
+            part = batch.slice(at, CHUNK)
+            cols = [part.column(n) for n in names]
+            yield [c.flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1) if pa.types.is_list(c.type) else c.to_numpy(zero_copy_only=False) for c in cols]
+
+
+def _squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared distances of rows to centres, taken about the middle of the centres."""
+    o = c.mean(axis=0)
+    x, c = x - o, c - o
+    return np.maximum((x**2).sum(axis=1)[:, None] - 2 * x @ c.T + (c**2).sum(axis=1)[None], 0.0)
+
+
+def _shares(x: np.ndarray, xl: np.ndarray, centers: np.ndarray, m: np.ndarray, alpha: np.ndarray) -> np.ndarray:
+    """Memberships (row, setting, centre) as ``_memberships`` has them; centers: (setting, centre, component)."""
+    n, flat = len(x), centers.reshape(-1, centers.shape[2])
+    d = _squares(x, flat).reshape(n, *centers.shape[:2])
+    if alpha.any():
+        d = d + alpha[None, :, None] * _squares(xl, flat).reshape(d.shape)
+    least = d.min(axis=2, keepdims=True)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        raw = np.where(least <= 0, d <= 0, (d / least) ** (-1 / (m - 1))[None, :, None])
+    return raw / raw.sum(axis=2, keepdims=True)
+
+
+def _round(live: list[tuple], tol: float):
+    """A task's part of a round: for each setting sums of weights and of weighted rows and lags, and the largest change of a
+    membership (-1 where there is nothing to compare with). Past ``tol`` it need not be known, so it is not looked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centers, m, alpha = np.stack([s[3] for s in live]), np.array([s[1] for s in live], dtype=float), np.array([s[2] for s in live], dtype=float)
+        known = np.array([s[4] is not None for s in live])
+        old = np.stack([s[3] if s[4] is None else s[4] for s in live])
+        count, k, dims = centers.shape
+        total, moved = None, np.where(known, 0.0, -1.0)
+        for x, xl in _chunks(batches, "x", "xl"):
+            u = _shares(x, xl, centers, m, alpha)
+            look = np.flatnonzero(known & (moved <= tol))
+            if len(look):
+                v = _shares(x, xl, old[look], m[look], alpha[look])
+                moved[look] = np.maximum(moved[look], np.abs(u[:, look] - v).max(axis=(0, 2)))
+            w = (u ** m[None, :, None]).reshape(len(x), -1)
+            lag = w.T @ xl if alpha.any() else np.zeros((count * k, dims))
+            part = np.concatenate([w.sum(axis=0).reshape(count, k), (w.T @ x).reshape(count, -1), lag.reshape(count, -1)], axis=1)
+            total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"setting": pa.array([s[0] for s in live], pa.int32()), "sums": pa.array(list(total), pa.list_(pa.float64())), "moved": pa.array(moved, pa.float64())})
+
+    return run
+
+
 def hard_class(u: Column, least: float = 0.45) -> Column:
     """1-based class of the largest membership (the first on ties), "undecided" under ``least``."""
     top = F.array_max(u)
@@ -131,10 +194,11 @@ def fuzzy_silhouette(u: DataFrame, k: int, dims: int) -> DataFrame:
     return rows.groupBy("setting").agg((F.sum(F.col("lead") * s) / F.nullif(F.sum("lead"), F.lit(0.0))).alias("silhouette"))
 
 
-def silhouette_by_distance(u: DataFrame, sample: int = 512, seed: int = 1, key: str = "id") -> DataFrame:
-    """(setting, silhouette, error): the same with mean distances instead of mean squared ones.
+def silhouette_by_distance(u: DataFrame, sample: int | None = None, seed: int = 1, key: str = "id") -> DataFrame:
+    """(setting, silhouette, error): the same with mean distances instead of mean squared ones, exact (error 0) unless
+    ``sample`` is given: every row meets every other one (``_silhouette_of_all``).
 
-    Each row is held against at most ``sample`` rows of every cluster, those of the smallest hashes (all rows of a smaller
+    With ``sample`` each row is held against at most ``sample`` rows of every cluster, those of the smallest hashes (all rows of a smaller
     cluster, and then the figure is exact): their number bounds what is shipped, and the spread of the distances to them
     bounds the error (two standard errors of both means, with the correction for a finite cluster). u: (setting, key, x, u).
     """
@@ -142,6 +206,8 @@ def silhouette_by_distance(u: DataFrame, sample: int = 512, seed: int = 1, key:
     second = F.element_at(F.sort_array("u", asc=False), 2)
     rows = u.select("setting", F.col(key).alias("id"), F.col("x").cast("array<double>").alias("x"), (F.array_position("u", top) - 1).cast("int").alias("c"), (top - second).alias("lead"))
     sizes = {(r["setting"], r["c"]): r["n"] for r in rows.groupBy("setting", "c").agg(F.count("*").alias("n")).collect()}  # clusters of settings
+    if sample is None:
+        return _silhouette_of_all(rows, sizes)
     shares = rows.sparkSession.createDataFrame([(s, c, min(1.0, 4.0 * sample / n)) for (s, c), n in sizes.items()], "setting int, c int, share double")
     order = F.xxhash64(F.lit(seed), "id")
     # a share of some four samples first, so that no task ranks a whole cluster
@@ -189,6 +255,65 @@ def silhouette_by_distance(u: DataFrame, sample: int = 512, seed: int = 1, key:
     return sums.select("setting", (F.col("s") / w).alias("silhouette"), (F.col("e") / w).alias("error"))
 
 
+#: Rows of a block that one task holds against all rows.
+BLOCK = 4096
+
+
+def _silhouette_of_all(rows: DataFrame, sizes: dict[tuple[int, int], int]) -> DataFrame:
+    """``silhouette_by_distance`` over all pairs. Rows are dealt to blocks, and each block goes to a task that all rows
+    of its setting stream past: what a task holds does not grow with the table; the work does with its square."""
+    counts: dict[int, int] = {}
+    for (s, _), n in sizes.items():
+        counts[s] = counts.get(s, 0) + n
+    blocks = max(1, math.ceil(max(counts.values(), default=0) / BLOCK))
+    k = 1 + max((c for _, c in sizes), default=0)
+    columns = ["id", "x", "c", "lead"]
+    mine = rows.select("setting", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"), F.lit(0).alias("side"), *columns)
+    all_ = rows.select("setting", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.lit(1).alias("side"), *columns)
+    dealt = mine.unionAll(all_).repartition(max(1, len(counts) * blocks), "setting", "b").sortWithinPartitions("setting", "b", "side")
+
+    def ended(setting: int, held: list[np.ndarray], sums: np.ndarray | None) -> pa.RecordBatch:
+        c, lead = np.concatenate(held[2]), np.concatenate(held[3])
+        at = np.arange(len(c))
+        of = np.array([sizes.get((setting, j), 0) for j in range(k)])[None] - (np.arange(k)[None] == c[:, None])
+        with np.errstate(invalid="ignore", divide="ignore"):
+            means = np.where(of > 0, sums / of, np.inf)
+            a = means[at, c]
+            means[at, c] = np.inf
+            b = means.min(axis=1)
+            top = np.maximum(a, b)
+            value = np.where(np.isfinite(top) & (top > 0), (b - a) / top, 0.0)
+        return pa.RecordBatch.from_pydict({"setting": pa.array([setting], pa.int32()), "s": [float(lead @ value)], "w": [float(lead.sum())]})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, x, sums = None, None, None, None
+        for setting, block, side, ids, rows_, c, lead in _chunks(batches, "setting", "b", "side", *columns):
+            starts = np.flatnonzero(np.r_[True, (np.diff(setting) != 0) | (np.diff(block) != 0) | (np.diff(side) != 0)])
+            for a, b in zip(starts, [*starts[1:], len(setting)], strict=True):
+                if at != (setting[a], block[a]):
+                    if sums is not None:
+                        yield ended(int(at[0]), held, sums)
+                    at, held, sums = (setting[a], block[a]), [[], [], [], []], None
+                if side[a] == 0:
+                    for into, column in zip(held, (ids, rows_, c, lead), strict=True):
+                        into.append(column[a:b])
+                    continue
+                if not held[0]:  # a block without rows of its own
+                    continue
+                if sums is None:
+                    x, own = np.concatenate(held[1]), np.concatenate(held[0])
+                    sums = np.zeros((len(x), k))
+                d = np.sqrt(_squares(x, rows_[a:b]))
+                _, i, j = np.intersect1d(own, ids[a:b], return_indices=True)
+                d[i, j] = 0.0
+                sums += d @ (c[a:b, None] == np.arange(k)[None]).astype(float)
+        if sums is not None:
+            yield ended(int(at[0]), held, sums)
+
+    found = dealt.mapInArrow(run, "setting int, s double, w double").groupBy("setting").agg(F.sum("s").alias("s"), F.sum("w").alias("w"))
+    return found.select("setting", (F.col("s") / F.nullif(F.col("w"), F.lit(0.0))).alias("silhouette"), F.lit(0.0).alias("error"))
+
+
 def spatial_inconsistency(u: DataFrame, edges: DataFrame, k: int, key: str = "id") -> DataFrame:
     """(setting, inconsistency): Σ w |u_i - u_j|² over edges, over what random places would give on average,
     which is known in closed form: Σ w times the mean squared distance of two different rows."""
@@ -200,6 +325,78 @@ def spatial_inconsistency(u: DataFrame, edges: DataFrame, k: int, key: str = "id
     return found.join(F.broadcast(mean), "setting").select("setting", (F.col("s") / F.nullif(F.col("w") * F.col("e"), F.lit(0.0))).alias("inconsistency"))
 
 
+def sweep_quality(rows: DataFrame, edges: DataFrame, settings: Sequence[tuple[float, float]], centers: Sequence[np.ndarray], key: str = "id") -> DataFrame:
+    """(setting, explained, silhouette, inconsistency) as ``explained_inertia``, ``fuzzy_silhouette`` and
+    ``spatial_inconsistency`` have them, for many settings without a row for each row and setting: tasks work out the
+    memberships of all settings and sum. rows: (key, x, xl)."""
+    rows = cut(rows.select(key, F.col("x").cast("array<double>"), F.col("xl").cast("array<double>")).repartition(rows.sparkSession.sparkContext.defaultParallelism))
+    c, m, alpha = np.stack(centers), np.array([s[0] for s in settings], dtype=float), np.array([s[1] for s in settings], dtype=float)
+    count, k, dims = c.shape
+
+    def added(df: DataFrame, part) -> np.ndarray:
+        """The sum of what ``part`` makes of the chunks of tasks; a row a task comes to the driver."""
+        names = df.columns
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for columns in _chunks(batches, *names):
+                got = part(*columns)
+                total = got if total is None else total + got
+            if total is not None:
+                yield pa.RecordBatch.from_pydict({"sums": pa.array([total], pa.list_(pa.float64()))})
+
+        return sum(np.array(r["sums"]) for r in df.mapInArrow(run, "sums array<double>").collect())
+
+    def first(x: np.ndarray, xl: np.ndarray) -> np.ndarray:
+        u = _shares(x, xl, c, m, alpha)
+        hot = (u.argmax(axis=2)[:, :, None] == np.arange(k)[None, None]).astype(float).reshape(len(x), -1)
+        within = (u * _squares(x, c.reshape(-1, dims)).reshape(u.shape)).sum(axis=(0, 2))
+        square = (x**2).sum(axis=1)
+        parts = ([len(x)], x.sum(axis=0), [square.sum()], within, u.sum(axis=0), (u**2).sum(axis=0), hot.sum(axis=0), hot.T @ square, hot.T @ x)
+        return np.concatenate([np.ravel(p) for p in parts])
+
+    got = added(rows.select("x", "xl"), first)
+    if not np.ndim(got):
+        return rows.sparkSession.createDataFrame([], "setting int, explained double, silhouette double, inconsistency double")
+    n, mean, square, within, su, su2, hn, hs, hx = np.split(got, np.cumsum([1, dims, 1, count, count * k, count * k, count * k, count * k]))
+    n, mean = n[0], mean / n[0]
+    hn = hn.reshape(count, k)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        explained = 1 - within / (square[0] - n * mean @ mean)
+        hm, hs = hx.reshape(count, k, dims) / hn[:, :, None], hs.reshape(count, k) / hn  # nan in empty clusters
+
+    def second(x: np.ndarray, xl: np.ndarray) -> np.ndarray:
+        u = _shares(x, xl, c, m, alpha)
+        own, order = u.argmax(axis=2), np.sort(u, axis=2)
+        lead = order[:, :, -1] - order[:, :, -2]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            far = (x**2).sum(axis=1)[:, None, None] - 2 * (x @ np.nan_to_num(hm).reshape(-1, dims).T).reshape(u.shape) + hs[None]
+            far = np.where(hn[None] > 0, far, np.inf)
+            mine = (own[:, :, None] == np.arange(k)[None, None])
+            size = (mine * hn[None]).sum(axis=2)
+            a = np.where(mine, far, 0).sum(axis=2) * size / (size - 1)
+            b = np.where(mine, np.inf, far).min(axis=2)
+            value = np.where((size > 1) & np.isfinite(b) & (np.maximum(a, b) != 0), (b - a) / np.maximum(a, b), 0.0)
+        return np.concatenate([(lead * value).sum(axis=0), lead.sum(axis=0)])
+
+    value, lead = added(rows.select("x", "xl"), second).reshape(2, count)
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, x, xl in _chunks(batches, key, "x", "xl"):
+            yield pa.RecordBatch.from_pydict({key: pa.array(ids, pa.int64()), "u": pa.array(list(_shares(x, xl, c, m, alpha).reshape(len(x), -1)), pa.list_(pa.float64()))})
+
+    u = cut(rows.select(F.col(key).cast("long"), "x", "xl").mapInArrow(shares, f"{key} long, u array<double>"))
+    met = edges.select("src", "dst", "w").join(u.select(F.col(key).alias("src"), F.col("u").alias("ua")), "src").join(u.select(F.col(key).alias("dst"), F.col("u").alias("ub")), "dst")
+    apart = lambda w, a, b: np.append((w[:, None] * ((a - b) ** 2).reshape(len(w), count, k).sum(axis=2)).sum(axis=0), w.sum())
+    found = added(met.select("w", "ua", "ub"), apart)
+    spread = ((su2 / n - (su / n) ** 2).reshape(count, k).sum(axis=1)) * 2 * n / (n - 1) if n > 1 else np.full(count, np.nan)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        uneven = found[:count] / (found[count] * spread) if np.ndim(found) else np.full(count, np.nan)
+        columns = (explained, value / lead, uneven)
+    out = [(i, *[float(v[i]) if np.isfinite(v[i]) else None for v in columns]) for i in range(count)]
+    return rows.sparkSession.createDataFrame(out, "setting int, explained double, silhouette double, inconsistency double")
+
+
 def spatial_blocks(points: DataFrame, k: int = 4, seed: int = 1, starts: int = 10, key: str = "hex_id") -> DataFrame:
     """(key, block): k-means on places, the best of several starts; no more blocks than different places."""
     from pyspark.ml.clustering import KMeans

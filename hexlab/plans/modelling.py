@@ -83,11 +83,11 @@ def c2_spatial_fcm(spark, d):
 @query()
 def c3_c4_sweep_quality(spark, d):
     settings = [(round(1.1 + 0.1 * i, 1), 0.0) for i in range(20)] + [(1.6, round(0.05 * i, 2)) for i in range(41)]
-    rows, centers, u = fitted(spark, d, settings, 0.001)
-    u = cut(u)
+    rows = cut(features(spark, d, lag=True))
+    centers = cluster.fuzzy_cmeans(rows, settings, 4, tol=0.001, max_iter=5000, settle=True)
     e = grid.neighbours(rows.select("id", "q", "r"), "id")
     names = spark.createDataFrame([(i, m, a) for i, (m, a) in enumerate(settings)], "setting int, m double, alpha double")
-    q = cluster.explained_inertia(u, centers, DIMS).join(cluster.fuzzy_silhouette(u, 4, DIMS), "setting").join(cluster.spatial_inconsistency(u, e, 4), "setting")
+    q = cluster.sweep_quality(rows, e, settings, centers)
     return names.join(q, "setting").select("m", "alpha", *[F.round(c, 4).alias(c) for c in ("explained", "silhouette", "inconsistency")])
 
 

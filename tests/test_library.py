@@ -391,6 +391,45 @@ def test_silhouettes_by_distance(spark):
     assert 0 < some["error"] < 0.2 and abs(some["silhouette"] - want) <= some["error"]
 
 
+def test_silhouettes_by_distance_of_all_pairs(spark, monkeypatch):
+    """More rows than the sample had, in several blocks: exact, error 0; a cluster of one row, and copies of a row."""
+    monkeypatch.setattr(cluster, "BLOCK", 300)
+    rng = np.random.default_rng(4)
+    x, own = np.concatenate([rng.normal(c, 1.0, (n, 3)) for c, n in ((0, 900), (3, 700), (9, 1))]), np.repeat([0, 1, 2], [900, 700, 1])
+    x[5:9] = x[4]
+    u = np.full((len(x), 3), 0.1) + rng.uniform(0, 0.05, (len(x), 1)) * np.array([1, -1, 0])
+    u[np.arange(len(x)), own] = 0.8
+    df = spark.createDataFrame([(s, k, p.tolist(), q.tolist()) for s in (0, 1) for k, (p, q) in enumerate(zip(x, u, strict=True)) if s == 0 or k < 40], "setting int, id int, x array<double>, u array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    means = np.stack([d[:, own == c].sum(axis=1) / np.maximum(sum(own == c) - (own == c), 1) for c in range(3)], axis=1)
+    at = np.arange(len(x))
+    a = means[at, own]
+    means[at, own] = np.inf
+    b, lead = means.min(axis=1), u.max(axis=1) - np.sort(u, axis=1)[:, 1]
+    want = float(lead @ np.where(own == 2, 0, (b - a) / np.maximum(a, b)) / lead.sum())
+    got = {r["setting"]: r for r in cluster.silhouette_by_distance(df).collect()}
+    assert got[0]["silhouette"] == pytest.approx(want, rel=1e-9) and got[0]["error"] == 0
+    assert got[1]["silhouette"] == 0  # one cluster only
+
+
+def test_quality_of_a_sweep(spark, monkeypatch):
+    """The same as from rows of memberships, without a table of rows, settings and features."""
+    monkeypatch.setattr(cluster, "CHUNK", 16)
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(c, 0.6, (30, 4)) for c in (0, 2, 5)])
+    rows = spark.createDataFrame([(i, v.tolist(), (v + rng.normal(size=4) / 5).tolist(), i % 9, i // 9) for i, v in enumerate(x)], "id long, x array<double>, xl array<double>, q int, r int").cache()
+    e = grid.neighbours(rows.select("id", "q", "r"), "id")
+    settings = [(1.1, 0.0), (2.0, 0.0), (1.6, 0.7)]
+    written = []
+    monkeypatch.setattr(cluster, "cut", lambda df, real=cluster.cut: written.append(df.columns) or real(df))
+    centers = cluster.fuzzy_cmeans(rows, settings, 3, tol=1e-6, max_iter=500, settle=True)
+    got = {r["setting"]: r[1:] for r in cluster.sweep_quality(rows, e, settings, centers).collect()}
+    assert not any("setting" in c and "x" in c for c in written)
+    u = cluster.memberships(rows, settings, centers).cache()
+    for part, j in ((cluster.explained_inertia(u, centers, 4), 0), (cluster.fuzzy_silhouette(u, 3, 4), 1), (cluster.spatial_inconsistency(u, e, 3), 2)):
+        assert {k: v[j] for k, v in got.items()} == pytest.approx({r[0]: r[1] for r in part.collect()}, rel=1e-9)
+
+
 def test_spatial_blocks_against_plain_k_means(spark):
     rng = np.random.default_rng(9)
     xy = np.concatenate([rng.normal(c, 1.0, (60, 2)) for c in ((0, 0), (9, 1), (2, 8), (11, 10))])
