@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -525,6 +526,24 @@ def test_moran_over_all_pairs_without_pairs(spark):
     assert one["n"] < 4 and one["moran_i"] is None
 
 
+def test_sums_over_a_crowded_leaf(spark):
+    """Pairs are worked out in parts, and a leaf that holds too many points is split."""
+    rng = np.random.default_rng(6)
+    x, v = rng.uniform(0, 100, (3000, 2)), rng.normal(size=(3000, 1))
+    x[7] = x[8]
+    square = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    square[square == 0] = np.inf
+    tracemalloc.start()
+    sums = farfield._meet(x, x, [1, 2], v)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(sums[0], square**-0.5 @ v) and np.allclose(sums[1], (1 / square) @ v) and peak < 64e6
+    df = spark.createDataFrame([(i, float(a), float(b), float(c)) for i, ((a, b), (c,)) in enumerate(zip(x, v, strict=True))], "hex_id long, x double, y double, value double")
+    got = {r["hex_id"]: r for r in farfield.distance_sums(df, ["value"], [1], 100.0).collect()}
+    found, bound = (np.array([got[i][f"value_1{e}"] for i in range(len(x))]) for e in ("", "_error"))
+    assert bound.max() > 0 and (np.abs(found - sums[0][:, 0]) <= bound + 1e-9).all()
+
+
 def test_local_moran_moments(spark):
     df, e = lattice(spark, 5)
     rows = df.orderBy("hex_id").collect()
