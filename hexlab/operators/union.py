@@ -6,6 +6,9 @@ polygon fills needs nothing more. A tile with more than ``LIMIT`` rows is split
 polygons lie on each other ends as filled tiles and a thin rim. In the other tiles the ends and crossings of sides cut
 the height into slabs; inside a slab the covered length is linear, so its value at half height gives the area.
 
+Where the first tiles are crowded, tiles two levels down that one polygon fills are told by the polygons alone, and only the
+sides in other tiles are shuffled: the rims, however many polygons lie on each other.
+
 A zone is dealt to tiles in the same way, once for all groups; tiles that it does not reach are dropped.
 """
 
@@ -46,6 +49,15 @@ def _x(y: Column, of: str = "") -> Column:
 
 def _dealt(rows: DataFrame, side: float, split: bool) -> DataFrame:
     """Rows of tiles of a side; with ``split`` the rows are those of tiles of twice the side and go to their quarters."""
+    return _merged(_spread_out(rows, side, split))
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*TILE, "pid", "xmax", *ENDS).agg(F.sum("s").alias("s")).where("s <> 0")
+
+
+def _spread_out(rows: DataFrame, side: float, split: bool) -> DataFrame:
+    """``_dealt`` before equal sides of a polygon become one row: nothing is shuffled."""
     between = lambda low, high: F.explode(F.when(low <= high, F.sequence(low, high)))
     first, last = (lambda v: F.floor(v / side)), (lambda v: F.ceil(v / side) - 1)
     rows = rows.withColumnsRenamed({"i": "_i", "j": "_j"}).withColumn("j", between(first(F.col("y0")), last(F.col("y1"))))
@@ -58,8 +70,56 @@ def _dealt(rows: DataFrame, side: float, split: bool) -> DataFrame:
     border = F.col("i") * side
     passed = F.greatest("_u", "_v") <= border
     x = lambda c: F.when(passed, border).otherwise(F.col(c))
-    rows = rows.select(*TILE, "pid", F.least("xmax", border + side).alias("xmax"), x("_u").alias("x0"), F.col("_a").alias("y0"), x("_v").alias("x1"), F.col("_b").alias("y1"), "s")
-    return rows.groupBy(*TILE, "pid", "xmax", *ENDS).agg(F.sum("s").alias("s")).where("s <> 0")
+    return rows.select(*TILE, "pid", F.least("xmax", border + side).alias("xmax"), x("_u").alias("x0"), F.col("_a").alias("y0"), x("_v").alias("x1"), F.col("_b").alias("y1"), "s")
+
+
+def _inner(polys: DataFrame, keys: Sequence[str], side: float) -> DataFrame:
+    """Tiles that lie within a polygon of one ring (and its holes), told by the polygon alone. In a row of tiles that the ring
+    passes from below to above, no side crosses what lies right of all its left borders and left of all its right ones,
+    and that is inside. Only tiles leave the task, each once."""
+    rows = spread(polys).where(F.size(F.filter("poly", lambda r: ~r["hole"])) == 1)
+    y = F.flatten(F.transform(F.filter("poly", lambda r: ~r["hole"]), lambda r: F.transform(r["ring"], lambda p: p["y"])))
+    one = lambda a, b, c, e, right: F.struct(a.alias("x0"), b.alias("y0"), c.alias("x1"), e.alias("y1"), right.alias("right"))
+
+    def borders(r: Column) -> Column:
+        left = (G.signed_area(r["ring"]) >= 0) != r["hole"]
+        up = lambda e: e["by"] > e["ay"]
+        low = lambda e: F.when(up(e), one(e["ax"], e["ay"], e["bx"], e["by"], left)).otherwise(one(e["bx"], e["by"], e["ax"], e["ay"], ~left))
+        return F.transform(F.filter(G.edges(r["ring"]), lambda e: e["ay"] != e["by"]), low)
+
+    rows = rows.select(F.struct(F.lit(0).alias("_0"), *keys).alias("_g"), F.flatten(F.transform("poly", borders)).alias("_e"), F.array_min(y).alias("_low"), F.array_max(y).alias("_high"))
+    first, last = F.ceil(F.col("_low") / side), F.floor(F.col("_high") / side) - 1
+    rows = rows.withColumn("j", F.explode(F.when(first <= last, F.sequence(first, last))))
+    a, b = F.col("j") * side, (F.col("j") + 1) * side
+    met = F.filter("_e", lambda e: (e["y0"] < b) & (e["y1"] > a))
+    at = lambda e, y: e["x0"] + (y - e["y0"]) / (e["y1"] - e["y0"]) * (e["x1"] - e["x0"])
+    ends = lambda e: (at(e, F.greatest(e["y0"], a)), at(e, F.least(e["y1"], b)))
+    low = F.array_max(F.transform(F.filter("_m", lambda e: ~e["right"]), lambda e: F.greatest(*ends(e))))
+    high = F.array_min(F.transform(F.filter("_m", lambda e: e["right"]), lambda e: F.least(*ends(e))))
+    rows = rows.select("_g", "j", met.alias("_m")).select("_g", "j", F.ceil(low / side).alias("_i"), (F.floor(high / side) - 1).alias("_k"))
+    return rows.select("_g", F.explode(F.when(F.col("_i") <= F.col("_k"), F.sequence("_i", "_k"))).alias("i"), "j").distinct()
+
+
+def _crowds(polys: DataFrame, keys: Sequence[str], side: float) -> tuple[DataFrame, float, list[DataFrame]] | None:
+    """Rows to go on with and the side of their tiles, and areas that are known, where tiles of the first side are crowded:
+    those are taken two levels down at once, and what lies in tiles that a polygon fills is dropped before anything
+    is shuffled, so that rims are all that is. None where no tile is crowded."""
+    sides = _sides(polys, keys).withColumns({"i": F.lit(0).cast("long"), "j": F.lit(0).cast("long")})
+    rows = _spread_out(sides, side, False)
+    crowded = cut(rows.groupBy(*TILE).count().where(F.col("count") > LIMIT).select(*TILE))
+    if crowded.isEmpty():
+        return None
+    small = side / 4
+    above = [F.shiftright(c, 2).alias(c) for c in ("i", "j")]
+    full = cut(_inner(polys, keys, small).withColumns({"_i": F.col("i"), "_j": F.col("j")}).select("_g", *above, "_i", "_j").join(crowded, TILE, "left_semi"))
+    open_ = cut(crowded.join(full.groupBy(*TILE).count().where("count = 16").select(*TILE), TILE, "left_anti"))
+    full = full.select("_g", F.col("_i").alias("i"), F.col("_j").alias("j"))
+    light = cut(_merged(rows.join(crowded, TILE, "left_anti")))
+    rim = _spread_out(_spread_out(rows.join(open_, TILE, "left_semi"), side / 2, True), small, True).join(full, TILE, "left_anti")
+    known = [full.select("_g", F.lit(small * small).alias("area")), _covered(light, side).select("_g", "area")]
+    return cut(_merged(rim)), small, known
+
+
 
 
 def _filled(rows: DataFrame, side: float) -> DataFrame:
@@ -110,7 +170,12 @@ def exact_union_area(polys: DataFrame, side: float, keys: Sequence[str] = (), ou
     holes lie inside.
     """
     first = lambda df, by: cut(_dealt(_sides(df, by).withColumns({"i": F.lit(0).cast("long"), "j": F.lit(0).cast("long")}), side, False))
-    rows, done, none = first(polys, keys), [], F.lit(0).cast("long")
+    none = F.lit(0).cast("long")
+    crowds = _crowds(polys, keys, side) if zone is None else None
+    if crowds is None:
+        rows, done = first(polys, keys), []
+    else:
+        rows, side, done = crowds
     if zone is not None:
         edge = first(zone, ())
         rows = rows.join(edge.select("i", "j").distinct(), ["i", "j"], "left_semi")

@@ -757,6 +757,25 @@ def test_exact_union_of_a_crowd(spark, monkeypatch):
     assert got == pytest.approx(total, rel=1e-10) and max(m or 0 for m in most) <= union.LIMIT
 
 
+def test_exact_union_shuffles_rims_only(spark):
+    """Tiles that a polygon fills are dropped before the first shuffle; they do lie in the polygon, notches and holes or not."""
+    x, y = F.col("id") * 37 % 101 / 10, F.col("id") * 91 % 97 / 10
+    ring = F.array(G.point(x, y), G.point(x + 9, y + 1), G.point(x + 8, y + 10), G.point(x - 1, y + 9))
+    polys = spark.range(600).select(G.polygon(ring).alias("poly"))
+    sides = union._sides(polys, []).withColumns({"i": F.lit(0).cast("long"), "j": F.lit(0).cast("long")})
+    rims, all_ = union._crowds(polys, [], 4.0)[0].count(), union._dealt(sides, 4.0, False).count()
+    assert 2 * rims < all_, (rims, all_)
+    notch = [(0, 0), (9, 0), (9, 9), (5, 9), (5, 3.5), (4, 3.5), (4, 9), (0, 9)]
+    roofs = [(0, 0), (9, 0), (9, 9), (7, 9), (7, 4.5), (2, 4.5), (2, 6.5), (0, 6.5)]
+    rows = [("notch", [notch]), ("roofs", [roofs[::-1]]), ("hole", [[(-1, -1), (9, 0), (8, 9), (0, 8)], [(3, 3), (3, 5), (5, 5), (5, 3)]])]
+    inner = union._inner(_polys(spark, rows), ["k"], 1.0).select("_g.k", "i", "j").collect()
+    assert {r["k"] for r in inner} == {"notch", "roofs", "hole"}
+    tiles = _polys(spark, [(f"{r['k']} {r['i']} {r['j']}", [[(r["i"], r["j"]), (r["i"] + 1, r["j"]), (r["i"] + 1, r["j"] + 1), (r["i"], r["j"] + 1)]]) for r in inner]).withColumn("of", F.substring_index("k", " ", 1))
+    met = tiles.join(_polys(spark, rows).select(F.col("k").alias("of"), F.col("poly").alias("whole")), "of")
+    areas = [r[0] for r in met.select(G.clip_area(F.col("whole"), G.edges(F.col("poly")[0]["ring"]))).collect()]
+    assert len(areas) == len(inner) and areas == pytest.approx([1.0] * len(areas))
+
+
 def test_exact_union_in_a_zone_of_many_sides(spark, monkeypatch):
     """A square with a hole that covers a zone of many sides has the zone less the hole; the zone's tiles are split."""
     n = 600
